@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from lodefit.llm.bpe import op9_bpe
 from lodefit.llm.langid import op1_langid
 from lodefit.llm.quality_knn import op2_quality_knn
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_quality_knn": op2_quality_knn,
+    "op9_bpe": op9_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
