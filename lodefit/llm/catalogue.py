@@ -5,10 +5,12 @@ from __future__ import annotations
 from lodefit.llm.bpe import op9_bpe
 from lodefit.llm.langid import op1_langid
 from lodefit.llm.quality_knn import op2_quality_knn
+from lodefit.llm.simhash import op7_simhash
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_quality_knn": op2_quality_knn,
+    "op7_simhash": op7_simhash,
     "op9_bpe": op9_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
