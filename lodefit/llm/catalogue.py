@@ -5,16 +5,19 @@ from __future__ import annotations
 from lodefit.llm.bpe import op9_bpe
 from lodefit.llm.langid import op1_langid
 from lodefit.llm.quality_knn import op2_quality_knn
+from lodefit.llm.secret_ledger import OP3_SQL, op3_secret_ledger
 from lodefit.llm.simhash import op7_simhash
 from lodefit.llm.substring import OP6_SQL, op6_substring
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_quality_knn": op2_quality_knn,
+    "op3_secret_ledger": op3_secret_ledger,
     "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op9_bpe": op9_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_ledger": OP3_SQL,
     "op6_substring": OP6_SQL,
 }
