@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodefit.llm.bpe import op9_bpe
 from lodefit.llm.langid import op1_langid
 from lodefit.llm.quality_knn import op2_quality_knn
+from lodefit.llm.quality_rules import op4_quality_rules
 from lodefit.llm.secret_ledger import OP3_SQL, op3_secret_ledger
 from lodefit.llm.simhash import op7_simhash
 from lodefit.llm.substring import OP6_SQL, op6_substring
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_quality_knn": op2_quality_knn,
     "op3_secret_ledger": op3_secret_ledger,
+    "op4_quality_rules": op4_quality_rules,
     "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op9_bpe": op9_bpe,
