@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to a Python worker; bounds its memory.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,7 @@ def small_batches(spark: SparkSession) -> None:
     """Ready the session for Python workers: at most BATCH_ROWS rows at a time."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
