@@ -1,13 +1,73 @@
-"""The corpus pipeline: the stages are added as their operators are."""
+"""The corpus pipeline: stages over ``documents``, each written and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of docs; the last
+returns a row of token digests for each document of the mix.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodefit.llm import bpe, pfair, quality_rules, secret_ledger, simhash
+from lodefit.llm.common import shared_dir
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or that a learned rule rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    rows = quality_rules.with_features(quality_rules.with_statistics(whole))
+    rules = quality_rules.fit(quality_rules.with_statistics(docs.select("doc_id", "text")).drop("text"), labels)
+    return rows.where(~quality_rules.base_failed() & (quality_rules.verdict(rules) == 0)).select("_row.*")
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document of smallest doc_id stays, once. Rows without a doc_id stay, but for exact repeats."""
+    found = simhash.near_duplicates(docs)
+    losers = found.where("doc_id <> component_id").select("doc_id")
+    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def secret_ledger_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text, and n_chars follows."""
+    found = secret_ledger.scan_versions(docs.select(F.struct("*").alias("_row"), "text"))
+    hit = F.size("spans") > 0
+    row = F.col("_row").withField("text", secret_ledger.redact(F.col("text"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(hit, F.length(row["text"]).cast("long")).otherwise(F.col("_row.n_chars")))
+    return found.select(F.when(hit, row).otherwise(F.col("_row")).alias("_row")).select("_row.*")
+
+
+def pfair_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix, in order: every document once, and again where its source's weight asks for more."""
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "source")
+    return pfair.mix(whole).select("_row.*")
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of the mix."""
+    return bpe.encode_table(docs, bpe.vocabulary_path(spark))
+
+
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("secret scans", secret_ledger_stage),
+    ("mixing sources", pfair_stage),
+    ("bpe encoding", bpe_stage),
+]
+#: A learned decision list has no SQL: the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each but the last written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    at = f"{shared_dir(spark)}/corpus-pipeline-{uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodefit.llm.bpe import op9_bpe
 from lodefit.llm.html_text import op8_html_text
 from lodefit.llm.langid import op1_langid
+from lodefit.llm.pfair import op5_pfair
 from lodefit.llm.quality_knn import op2_quality_knn
 from lodefit.llm.quality_rules import op4_quality_rules
 from lodefit.llm.secret_ledger import OP3_SQL, op3_secret_ledger
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality_knn": op2_quality_knn,
     "op3_secret_ledger": op3_secret_ledger,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pfair": op5_pfair,
     "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op8_html_text": op8_html_text,
