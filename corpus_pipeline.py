@@ -18,10 +18,8 @@ from lodefit.llm.common import shared_dir
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that a learned rule rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    rows = quality_rules.with_features(quality_rules.with_statistics(whole))
-    rules = quality_rules.fit(quality_rules.with_statistics(docs.select("doc_id", "text")).drop("text"), labels)
-    return rows.where(~quality_rules.base_failed() & (quality_rules.verdict(rules) == 0)).select("_row.*")
+    rules = quality_rules.fit(quality_rules.with_statistics(docs), labels)
+    return docs.where(quality_rules.keeps(F.col("text"), rules))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ rest; the list is emitted as one ordered Spark conditional expression.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,11 @@ class Condition:
     above: bool
     threshold: float
 
-    def holds(self, row: dict) -> bool:
-        return row[self.feature] > self.threshold if self.above else row[self.feature] <= self.threshold
+    def holds(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        return rows[self.feature] > self.threshold if self.above else rows[self.feature] <= self.threshold
 
-    def column(self) -> Column:
-        c = F.col(self.feature)
+    def column(self, feature: Callable[[str], Column]) -> Column:
+        c = feature(self.feature)
         return c > self.threshold if self.above else c <= self.threshold
 
     def __str__(self) -> str:
@@ -79,24 +80,36 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) > window, let(hashes, covered)).otherwise(F.lit(0))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs(..., text) with the statistics of each whole text; null and empty texts have no words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_t", text).withColumn("_w", F.array_remove(F.split("_t", BETWEEN_WORDS), ""))
-    rows = rows.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, BETWEEN_WORDS), "")
+
+
+def lines_of(text: Column) -> Column:
+    """The lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def statistics(text: Column, words: Column, lines: Column) -> list[Column]:
     plain = {
-        "n_words": F.size("_w"),
-        "word_chars": F.length(F.array_join("_w", "")),
-        "n_symbols": chars_of(F.col("_t"), r"#*$%&|<>"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": repeated_words(F.col("_w")),
-        "n_upper": chars_of(F.col("_t"), r"\p{Lu}"),
-        "n_shouts": chars_of(F.col("_t"), "!?"),
-        "n_digits": chars_of(F.col("_t"), "0-9"),
-        "n_lines": F.size("_l"),
-        "n_distinct": F.size(F.array_distinct("_w")),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": chars_of(text, r"#*$%&|<>"),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": repeated_words(words),
+        "n_upper": chars_of(text, r"\p{Lu}"),
+        "n_shouts": chars_of(text, "!?"),
+        "n_digits": chars_of(text, "0-9"),
+        "n_lines": F.size(lines),
+        "n_distinct": F.size(F.array_distinct(words)),
     }
-    return rows.withColumns({k: c.cast("long") for k, c in plain.items()}).drop("_t", "_w", "_l")
+    return [c.cast("long").alias(k) for k, c in plain.items()]
+
+
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id and the statistics of each whole text; null and empty texts have no words."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.select("doc_id", "t", words_of(F.col("t")).alias("w"), lines_of(F.col("t")).alias("l"))
+    return rows.select("doc_id", *statistics(F.col("t"), F.col("w"), F.col("l")))
 
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts", "n_digits", "n_lines", "n_distinct")
@@ -114,75 +127,90 @@ SHARES = {
 FEATURES = ("n_words", *SHARES)
 
 
+def features(statistic: Callable[[str], Column] = F.col) -> list[Column]:
+    return [F.when(statistic(b) > 0, statistic(a) / statistic(b)).otherwise(0.0).alias(k) for k, (a, b) in SHARES.items()]
+
+
 def with_features(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({k: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0) for k, (a, b) in SHARES.items()})
+    return rows.select("*", *features())
 
 
 # ---- learning ----------------------------------------------------------------------------
 
 
-def _gain(p0: int, n0: int, p: int, n: int) -> float:
-    return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0.0
+def _gain(p0: int, n0: int, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))), 0.0)
 
 
-def grow(rows: list[dict], cuts: dict[str, list[float]], settings: Settings) -> list[Condition]:
+def grow(rows: dict[str, np.ndarray], cuts: dict[str, np.ndarray], settings: Settings) -> list[Condition]:
     """Add the condition of highest information gain until no good row is covered."""
     rule: list[Condition] = []
     while len(rule) < settings.most_conditions:
-        bad = sum(r["bad"] for r in rows)
-        if not bad or bad == len(rows):
+        n, bad = len(rows["bad"]), int(rows["bad"].sum())
+        if not bad or bad == n:
             break
         best, best_gain = None, 1e-9
         for f, thresholds in cuts.items():
-            for t in thresholds:
-                over = [r["bad"] for r in rows if r[f] > t]
-                p, n = sum(over), len(over)
-                for above, a, b in ((True, p, n - p), (False, bad - p, len(rows) - n - (bad - p))):
-                    gain = _gain(bad, len(rows) - bad, a, b)
-                    if gain > best_gain:
-                        best, best_gain = Condition(f, above, t), gain
+            order = np.argsort(rows[f], kind="stable")
+            at = np.searchsorted(rows[f][order], thresholds, side="right")  # rows at or below each threshold
+            below = np.append(0, np.cumsum(rows["bad"][order]))[at]
+            for above, p, q in ((True, bad - below, n - at - (bad - below)), (False, below, at - below)):
+                gain = _gain(bad, n - bad, p, q)
+                if len(gain) and gain.max() > best_gain:
+                    best, best_gain = Condition(f, above, float(thresholds[gain.argmax()])), gain.max()
         if best is None:
             break
         rule.append(best)
-        rows = [r for r in rows if best.holds(r)]
+        rows = _where(rows, best.holds(rows))
     return rule
 
 
-def worth(rule: list[Condition], rows: list[dict]) -> tuple[float, int, int]:
+def _where(rows: dict[str, np.ndarray], mask: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v[mask] for k, v in rows.items()}
+
+
+def covered_by(rule: list[Condition], rows: dict[str, np.ndarray]) -> np.ndarray:
+    return np.logical_and.reduce([c.holds(rows) for c in rule])
+
+
+def worth(rule: list[Condition], rows: dict[str, np.ndarray]) -> tuple[float, int, int]:
     """(p - n) / (p + n) of the rows that a rule covers, with p and n."""
-    found = [r["bad"] for r in rows if all(c.holds(r) for c in rule)]
-    p = sum(found)
-    return ((2 * p - len(found)) / len(found) if found else -1.0), p, len(found) - p
+    found = rows["bad"][covered_by(rule, rows)]
+    p = int(found.sum())
+    return ((2 * p - len(found)) / len(found) if len(found) else -1.0), p, len(found) - p
 
 
-def prune(rule: list[Condition], rows: list[dict]) -> list[Condition]:
+def prune(rule: list[Condition], rows: dict[str, np.ndarray]) -> list[Condition]:
     """Drop conditions from the end while that isn't worse on rows that the rule wasn't grown on."""
     while len(rule) > 1 and worth(rule[:-1], rows)[0] >= worth(rule, rows)[0]:
         rule = rule[:-1]
     return rule
 
 
-def learn(rows: list[dict], settings: Settings = Settings()) -> list[list[Condition]]:
-    """Rules for bad rows, in order. rows: features, bad (0 or 1) and held (True for those to prune on).
+def learn(sample: list[dict], settings: Settings = Settings()) -> list[list[Condition]]:
+    """Rules for bad rows, in order. sample: features, bad (0 or 1) and held (True for those to prune on).
 
     A rule stays if it is precise on both parts; covered rows leave before the next is grown.
     """
+    if not sample:
+        return []
+    rows = {k: np.array([r[k] for r in sample], bool if k == "held" else float) for k in (*FEATURES, "bad", "held")}
     cuts = {}
     for f in FEATURES:
-        values = sorted({r[f] for r in rows})
-        step = max(1, (len(values) - 1) // settings.thresholds)
-        cuts[f] = [(a + b) / 2 for a, b in list(zip(values, values[1:]))[::step]]
+        values = np.unique(rows[f])
+        cuts[f] = ((values[:-1] + values[1:]) / 2)[:: max(1, (len(values) - 1) // settings.thresholds)]
     rules: list[list[Condition]] = []
     while len(rules) < settings.most_rules:
-        rule = grow([r for r in rows if not r["held"]], cuts, settings)
+        rule = grow(_where(rows, ~rows["held"]), cuts, settings)
         if not rule:
             break
-        rule = prune(rule, [r for r in rows if r["held"]])
+        rule = prune(rule, _where(rows, rows["held"]))
         _, p, n = worth(rule, rows)
         if p < settings.least_cover or p < settings.least_precision * (p + n):
             break
         rules.append(rule)
-        rows = [r for r in rows if not all(c.holds(r) for c in rule)]
+        rows = _where(rows, ~covered_by(rule, rows))
     return rules
 
 
@@ -194,19 +222,33 @@ def fit(stats: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return learn([r.asDict() for r in drawn.select(*FEATURES, (F.col("quality") == 0).cast("int").alias("bad"), held).collect()], settings)
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
+def verdict(rules: list[list[Condition]], feature: Callable[[str], Column] = F.col) -> Column:
     """The decision list: the number, from 1, of the first rule that rejects a row, else 0."""
     out = None
     for k, rule in enumerate(rules, 1):
-        every = rule[0].column()
+        every = rule[0].column(feature)
         for c in rule[1:]:
-            every = every & c.column()
+            every = every & c.column(feature)
         out = F.when(every, k) if out is None else out.when(every, k)
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed(statistic: Callable[[str], Column] = F.col) -> Column:
+    return (statistic("n_words") < 20) | (100 * statistic("n_repeat_words") > 30 * statistic("n_words"))
+
+
+def keeps(text: Column, rules: list[list[Condition]]) -> Column:
+    """Whether a text passes the base rules and the list, as one expression that has every statistic once.
+
+    A filter on statistics of a row below would be pushed down with a copy of them for each mention.
+    """
+    t = F.coalesce(text, F.lit(""))
+
+    def decide(parts: Column) -> Column:
+        stats = F.struct(*statistics(parts["t"], parts["w"], parts["l"]))
+        return let(stats, lambda s: let(F.struct(s["n_words"].alias("n_words"), *features(lambda k: s[k])), lambda f: ~base_failed(lambda k: s[k]) & (verdict(rules, lambda k: f[k]) == 0)))
+
+    return let(F.struct(t.alias("t"), words_of(t).alias("w"), lines_of(t).alias("l")), decide)
 
 
 def judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -215,7 +257,7 @@ def judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     Null and empty texts have no words and fail. Rows that no rule rejects are
     kept. Labels of documents that aren't there are left out; of two labels the lower counts.
     """
-    stats = cut(with_statistics(docs.select("doc_id", "text")).drop("text"))
+    stats = cut(with_statistics(docs))
     rule = verdict(fit(stats, labels, settings)).alias("rule")
     return with_features(stats).select("doc_id", *STATISTICS, base_failed().alias("base_failed"), rule).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
