@@ -224,17 +224,16 @@ def scan_best(spark, sf):
 GRID = "(SELECT CAST(unnest(range(0, 21)) AS INT) AS i), (SELECT CAST(unnest(range(0, 21)) AS INT) AS j)"
 
 
-@query(f"""WITH g AS (SELECT i, j, n * (vy + pow(intercept + slope * mx - ((i - 10) * 20.0 + intercept + (slope + (j - 10) * 2.0) * mx), 2) + pow(slope + (j - 10) * 2.0, 2) * vx - 2 * (slope + (j - 10) * 2.0) * cxy) / 1e6 AS f FROM {FITTED}, {GRID})
- SELECT i, j, {sig_sql('round(f - min(f) OVER (), 3)', 4)} AS rise FROM g""")
+@query(f"""WITH g AS (SELECT i, j, n * (pow((i - 10) * 20.0 + (j - 10) * 2.0 * mx, 2) + pow((j - 10) * 2.0, 2) * vx) / 1e6 AS f FROM {FITTED}, {GRID})
+ SELECT i, j, {sig_sql('f - min(f) OVER ()', 6)} AS rise FROM g""")
 def contour_grid_line(spark, sf):
-    """A slice on a 21 by 21 grid about the minimum, from the moments of one aggregate."""
-    m = _line(spark, sf).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("y", "x").alias("cxy"))
+    """A slice on a 21 by 21 grid about the minimum, from the moments of one aggregate, as the rise that they give without cancelling."""
+    m = _line(spark, sf).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.var_pop("x").alias("vx"))
     grid = m.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    b = F.col("cxy") / F.col("vx") + (F.col("j") - 10) * 2.0
-    shift = F.col("my") - ((F.col("i") - 10) * 20.0 + F.col("my") - F.col("cxy") / F.col("vx") * F.col("mx") + b * F.col("mx"))
-    f = F.col("n") * (F.col("vy") + shift * shift + b * b * F.col("vx") - 2 * b * F.col("cxy")) / (ERR * ERR)
+    a, b = (F.col("i") - 10) * 20.0, (F.col("j") - 10) * 2.0
+    f = F.col("n") * (F.pow(a + b * F.col("mx"), F.lit(2.0)) + b * b * F.col("vx")) / (ERR * ERR)
     w = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return grid.select("i", "j", f.alias("f")).select("i", "j", sig(F.round(F.col("f") - F.min("f").over(w), 3), 4).alias("rise"))
+    return grid.select("i", "j", f.alias("f")).select("i", "j", sig(F.col("f") - F.min("f").over(w), 6).alias("rise"))
 
 
 @query(f"SELECT k, {sig_sql('slope + (k - 15) * 0.5', 6)} AS slope, {sig_sql('intercept - (k - 15) * 0.5 * mx', 6)} AS intercept, {sig_sql('n * pow((k - 15) * 0.5, 2) * vx / 1e6', 5)} AS rise FROM {FITTED}, (SELECT CAST(unnest(range(0, 31)) AS INT) AS k)")
