@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodefit.functions.shipping import ship
+
 #: Rows of one Arrow batch handed to a Python worker; bounds its memory.
 BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
@@ -19,20 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lodefit_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="lodefit-")) / "lodefit_src.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(to))
-    sc._lodefit_shipped = True
-
-
 def small_batches(spark: SparkSession) -> None:
     """Ready the session for Python workers: at most BATCH_ROWS rows at a time."""
     ship(spark)
@@ -42,18 +28,18 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
         found = tempfile.mkdtemp(prefix="lodefit-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
