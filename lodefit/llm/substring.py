@@ -103,7 +103,7 @@ def send(rows: pa.Table, parts: int, window: int) -> pa.Table:
     _, _, hashes, ids = _chunk_windows(rows, window)
     part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
-    ends = np.append(edges[1:], len(part))
+    ends = np.append(edges[1:], len(part)) if len(edges) else edges
     chunk = rows.column("chunk")[0].as_py()
     return pa.Table.from_batches([batch_of([part[edges].astype(np.int32), [chunk] * len(edges), [pack(hashes[a:b], ids[a:b]) for a, b in zip(edges, ends, strict=True)]], _SENT)])
 
