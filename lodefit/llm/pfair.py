@@ -119,14 +119,17 @@ def mix(rows: DataFrame, settings: Settings = Settings(), weights: dict[str, flo
     size, period = settings.block_rows, settings.period
     length = max(-(-s.wanted // size) * period / s.share for s in sources) * size
     epochs = sum(-(-s.wanted // s.rows) for s in sources)
-    most = max(1, OFFSET_ROWS // epochs)
+    if epochs > OFFSET_ROWS // 2:
+        raise ValueError(f"the weights repeat small sources {epochs} times: give them less, or a longer period")
+    # a source's epochs span the mix at most twice, so offsets are at most 2 buckets + epochs rows a source
+    most = max(1, (OFFSET_ROWS - epochs) // (2 * len(sources)))
     buckets = min(most, max(64, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")), sum(s.wanted for s in sources) // 16384))
     known = spark.createDataFrame([(s.name, s.rows, s.share, s.wanted) for s in sources], "_s string, _n long, _c long, _m long")
     places = spark.createDataFrame([(s, k, x) for s, xs in slots.items() for k, x in enumerate(xs)], "_s string, _k long, _x long")
     # at most one row a source, and period rows
     every = keyed.join(F.broadcast(known), "_s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.expr("cast((_m - 1) div _n as int)"))))
     share = F.pmod(F.xxhash64("doc_id", "epoch"), F.lit(1 << 40)) / float(1 << 40)
-    every = every.withColumn("_u", share).withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col("epoch") + F.col("_u")) * F.col("_n") * period / F.col("_c") / length * buckets)).cast("int"))
+    every = every.withColumn("_u", share).withColumn("_b", F.floor((F.col("epoch") + F.col("_u")) * F.col("_n") * period / F.col("_c") / length * buckets).cast("int"))
     before = Window.partitionBy("_s", "epoch").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = every.groupBy("_s", "epoch", "_b").count().withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     # at most OFFSET_ROWS rows, by the choice of buckets
