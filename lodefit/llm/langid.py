@@ -35,7 +35,7 @@ class Settings:
     docs_per_language: int = 256
     piece_chars: int = 512
     dictionary_bytes: int = 131_072
-    level: int = 6
+    level: int = 12
     chunk_bytes: int = 2048
     scale_bytes: float = 4.0
     margin: float = 0.01
@@ -48,7 +48,7 @@ def normalise(text: str | None) -> str:
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
-    """Dictionaries by language from rows(text, lang); null texts and languages are left out.
+    """Dictionaries by language, the one of most rows first, from rows(text, lang); null texts and languages are left out.
 
     The sample is drawn by the hash of the text, at a rate set from the number of
     rows of each language, and is at most docs_per_language pieces for each.
@@ -72,7 +72,8 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
         for r in drawn.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min("piece").alias("piece")).collect():
             pieces[r["lang"]].append(r["piece"])
     # the last bytes of a raw dictionary are the cheapest to refer to
-    return {lang: " ".join(map(normalise, found)).encode()[-settings.dictionary_bytes :] for lang, found in sorted(pieces.items())}
+    order = sorted(pieces, key=lambda lang: (-counts[lang], lang))
+    return {lang: " ".join(map(normalise, pieces[lang])).encode()[-settings.dictionary_bytes :] for lang in order}
 
 
 @lru_cache(maxsize=4)
@@ -90,7 +91,7 @@ def classify(text: str | None, model: tuple, settings: Settings) -> tuple[str, f
     """(language, confidence from 0 to 1, rejected) of one whole text.
 
     A null text or one without a letter is undetermined at 0. Equal sizes go to
-    the first language by name.
+    the language that comes first in the model, which has the most labelled rows.
     """
     plain = normalise(text)
     if not model or not any(map(str.isalpha, plain)):
