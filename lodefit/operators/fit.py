@@ -185,13 +185,15 @@ class Fit:
         self.minimum = minimize.replace(m, x=external, inverse=inverse)
         return self.minimum
 
-    def migrad(self, maxfcn: int | None = None, iterate: int = 5) -> Fit:
-        """Passes until the fit is valid, iterate at most; the deepest one is kept."""
+    def migrad(self, maxfcn: int | None = None, iterate: int = 5, warm: bool = False) -> Fit:
+        """Passes until the fit is valid, iterate at most; the deepest one is kept. warm: begin with the last inverse Hessian."""
         best = None
         pars = self.parameters
+        prior = self._internal.inverse if warm and self._internal is not None else None
         for _ in range(max(1, iterate)):
             inner = self._inner(pars)
-            m = minimize.migrad(inner, pars.initial_internal(self.precision), pars.initial_internal_errors(self.precision), self.strategy, self.tol, maxfcn, self.precision)
+            m = minimize.migrad(inner, pars.initial_internal(self.precision), pars.initial_internal_errors(self.precision), self.strategy, self.tol, maxfcn, self.precision, prior)
+            prior = None
             if best is None or m.fval < best[0].fval or not math.isfinite(best[0].fval):
                 repeated = best is not None and best[0].fval - m.fval < 1e-12 * (1 + abs(m.fval))
                 best = (m, pars)
@@ -452,6 +454,17 @@ class Fit:
         rows = [rf"{p.name.replace('_', chr(92) + '_')} & ${rounded(p.value, p.error)}$ \\" for p in self.parameters]
         return "\n".join([r"\begin{tabular}{lr}", *rows, r"\end{tabular}"])
 
+    def checks(self) -> dict[str, bool]:
+        """What makes a fit good, point by point."""
+        m = self.minimum
+        if m is None:
+            return {"fitted": False}
+        return {"fitted": True, "valid": m.is_valid, "finite": not m.nonfinite_fval, "below call limit": not m.reached_call_limit, "edm small": not m.above_max_edm, "covariance accurate": m.is_accurate, "covariance as computed": m.status == minimize.VALID, "away from limits": not any(p.has_limits and not p.fixed and any(b is not None and abs(p.value - b) < 0.5 * p.error for b in (p.lower, p.upper)) for p in self.parameters)}
+
+    def strong_correlations(self, above: float = 0.95) -> list[tuple[str, str, float]]:
+        c, names = self.matrix(correlation=True), [self.names[i] for i in self.parameters.free]
+        return [] if c is None else [(names[i], names[j], float(c[i, j])) for i in range(len(names)) for j in range(i) if abs(c[i, j]) > above]
+
     def __repr__(self) -> str:
         head = f"fval = {self.fval:.6g}  edm = {self.edm:.3g}  nfcn = {self.nfcn}  valid = {self.valid}"
         rows = [f"{p.name:>12} = {p.value:.6g} +- {p.error:.3g}" + (" fixed" if p.fixed else "") + (f" in [{p.lower}, {p.upper}]" if p.has_limits else "") for p in self.parameters]
@@ -475,6 +488,13 @@ def minimum_summary_from_dict(d: dict) -> dict:
     return {k: d.get(k) for k in ("names", "values", "errors", "covariance", "fval", "edm", "up", "nfcn", "valid", "cov_status")}
 
 
+def minos_to_latex(e: MinosError) -> str:
+    """A value with its two errors, to two digits of the smaller one."""
+    small = min(abs(e.lower), abs(e.upper)) or 1.0
+    places = max(0, 1 - math.floor(math.log10(small)))
+    return rf"{e.name} = ${e.value:.{places}f}_{{{e.lower:.{places}f}}}^{{+{e.upper:.{places}f}}}$"
+
+
 def text_plot(points: Sequence[tuple[float, float]], width: int = 60, height: int = 20) -> str:
     """A scatter of points in letters."""
     pts = np.asarray(points, float)
