@@ -18,7 +18,7 @@ from lodefit.llm.common import shared_dir
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that a learned rule rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rules = quality_rules.fit(quality_rules.with_statistics(docs), labels)
+    rules = quality_rules.fit_texts(docs, labels)
     return docs.where(quality_rules.keeps(F.col("text"), rules))
 
 

@@ -43,6 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def draw(rows: DataFrame, most: int, key: str) -> DataFrame:
+    """At most so many rows, those of the smallest hashes of key; all of them if there are fewer.
+
+    A rate from the number of rows comes first, so that a task hands on its share
+    of the sample and not as many rows as the whole sample has.
+    """
+    space = 1 << 30
+    rate = min(space, space * (2 * most + 100) // max(1, rows.count()))
+    near = rows.where(F.pmod(F.xxhash64(key), F.lit(space)) < rate)
+    return near.orderBy(F.pmod(F.xxhash64(key), F.lit(space)), key).limit(most)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32(doc_id as text) mod modulus is remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodefit.llm.common import batch_of, held_out, small_batches, table, texts
+from lodefit.llm.common import batch_of, draw, held_out, small_batches, table, texts
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 _BLOCK = 1 << 20
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """
     spark = docs.sparkSession
     small_batches(spark)
-    drawn = [labels.where(F.col("quality") == q).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample_per_label) for q in (0, 1)]
+    drawn = [draw(labels.where(F.col("quality") == q).select("doc_id", "quality"), settings.sample_per_label, "doc_id") for q in (0, 1)]
     sample = docs.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

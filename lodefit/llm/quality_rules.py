@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodefit.llm.common import cut, table
+from lodefit.llm.common import cut, draw, table
 from lodefit.llm.secret_ledger import let
 
 BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
@@ -214,14 +214,24 @@ def learn(sample: list[dict], settings: Settings = Settings()) -> list[list[Cond
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> list[list[Condition]]:
-    """Rules from stats(doc_id, statistics) and labels(doc_id, quality); no labels give no rules."""
-    marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    drawn = with_features(stats).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample_rows)
+def labelled_sample(labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, quality: at most sample_rows labelled documents; of two labels the lower counts."""
+    return draw(labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")), settings.sample_rows, "doc_id")
+
+
+def fit(stats: DataFrame, sample: DataFrame, settings: Settings = Settings()) -> list[list[Condition]]:
+    """Rules from stats(doc_id, statistics) and a bounded sample(doc_id, quality); no labels give no rules."""
+    drawn = with_features(stats).join(F.broadcast(sample), "doc_id")
     held = (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0).alias("held")
     return learn([r.asDict() for r in drawn.select(*FEATURES, (F.col("quality") == 0).cast("int").alias("bad"), held).collect()], settings)
 
 
+def fit_texts(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> list[list[Condition]]:
+    """The same from docs(doc_id, text): only the sample's statistics are computed."""
+    sample = labelled_sample(labels, settings)
+    return fit(with_statistics(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")), sample, settings)
+
+
 def verdict(rules: list[list[Condition]], feature: Callable[[str], Column] = F.col) -> Column:
     """The decision list: the number, from 1, of the first rule that rejects a row, else 0."""
     out = None
@@ -258,7 +268,7 @@ def judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     kept. Labels of documents that aren't there are left out; of two labels the lower counts.
     """
     stats = cut(with_statistics(docs))
-    rule = verdict(fit(stats, labels, settings)).alias("rule")
+    rule = verdict(fit(stats, labelled_sample(labels, settings), settings)).alias("rule")
     return with_features(stats).select("doc_id", *STATISTICS, base_failed().alias("base_failed"), rule).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 

@@ -33,7 +33,7 @@ def as_rows(df):
 
 def test_stages(spark, staged):
     before = {r[0]: r for r in duckdb.sql(f"SELECT * FROM '{SF}/documents.parquet'").fetchall()}
-    rules = quality_rules.fit(quality_rules.with_statistics(spark.read.parquet(f"{SF}/documents.parquet")), spark.read.parquet(f"{SF}/labels.parquet"))
+    rules = quality_rules.fit_texts(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     kept = as_rows(staged[0])
     for i, r in before.items():
         s = dict(zip(quality_rules.STATISTICS, brute_statistics(r[1])))
