@@ -45,12 +45,34 @@ class Settings:
     surge: int = 86
 
 
-def _marked(attributes: str) -> bool:
-    return bool(attributes) and any(not MARKS.isdisjoint(_WORD.findall((a or b or c).lower())) for a, b, c in _NAMES.findall(attributes))
+#: Beginnings that mark as well, and first parts of a name that only say something of another element.
+STEMS = ("advert", "breadcrumb", "comment", "cookie", "navig", "newsletter", "sidebar", "sponsor", "subscri")
+MODIFIERS = frozenset("has hide is no show with without".split())
+#: What marks an article element that isn't the page's own.
+OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo related replies reply sponsored teaser".split())
+
+
+def _names(attributes: str) -> Iterator[list[str]]:
+    """The words of each class, id and role name, but for names that only modify."""
+    if attributes:
+        for a, b, c in _NAMES.findall(attributes):
+            for name in (a or b or c).lower().split():
+                words = _WORD.findall(name)
+                if words and words[0] not in MODIFIERS:
+                    yield words
+
+
+def _marked(attributes: str, article: bool) -> bool:
+    return any(
+        not MARKS.isdisjoint(words)
+        or any(w.startswith(STEMS) and not w.startswith("commentar") for w in words)
+        or (not article and "header" in words and (len(words) == 1 or not {"site", "page", "top", "global"}.isdisjoint(words)))
+        for words in _names(attributes)
+    )
 
 
 def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article element) of each line.
+    """(text, characters outside links, inside the article) of each line; a main element is the article where there is no other.
 
     A part that isn't the article leaves window blank lines, so no window reaches over it.
     """
@@ -58,6 +80,14 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
     held: list[str] = []
     state = {"free": 0, "article": 0, "link": 0}
     skip, depth, at = "", 0, 0
+    own = "article" if re.search(r"<article\b", page, re.I) else "main"
+
+    def outside(name: str, attributes: str) -> bool:
+        if name in ("html", "body", "main") or name in VOID:
+            return False
+        if name == "article":
+            return any(not OTHER_ARTICLES.isdisjoint(words) for words in _names(attributes))
+        return name in OUTSIDE or (name == "header" and not state["article"]) or _marked(attributes, state["article"] > 0)
 
     def close() -> None:
         text = " ".join("".join(held).split())
@@ -87,14 +117,15 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
                 if depth == 0:
                     skip = ""
             continue
-        if name in ("article", "main"):
-            close()
-            state["article"] = max(0, state["article"] + (-1 if m[2] else 1))
-        if not m[2] and name not in VOID and name not in ("html", "body") and (name in OUTSIDE or name == "header" and not state["article"] or name not in ("article", "main") and _marked(m[4])):
+        if not m[2] and outside(name, m[4]):
             close()
             lines.extend([("", 0, False)] * window)
             skip, depth = name, 1
-        elif name == "a":
+            continue
+        if name == own:
+            close()
+            state["article"] = max(0, state["article"] + (-1 if m[2] else 1))
+        if name == "a":
             state["link"] = 0 if m[2] else 1
         elif name not in INLINE:
             close()

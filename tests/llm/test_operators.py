@@ -394,6 +394,8 @@ def test_html_awkward(spark):
     assert html_text.extract("<article><header><h1>T</h1></header><p>a<b>b</b> c<script>var t='</p>'</script><aside>x</aside><p>d</article>") == "T ab c d"
     assert html_text.extract("<nav><ul><li>unclosed") == "" and html_text.extract("just text") == "just text" and html_text.extract("<!-- open") == ""
     assert html_text.extract("<article>" + "<p>w</p>" * 20_000 + "</article>").count("w") == 20_000
+    assert html_text.extract('<div class="page has-sidebar"><div class="site-header">S</div><main><p>m</p><article class="post"><div class="entry-header"><h1>T</h1></div><p>a</p><section class="reader-comments">c</section><article class="comment">d</article></article></main></div>') == "T a"
+    assert html_text.extract("<main><nav>n</nav><p>short</p></main><p>out</p>") == "short"
     df = spark.createDataFrame([(1, None, None, "e"), (1, "u", "", "e"), (None, "u", page, "e")], "page_id long, url string, html string, text string")
     assert sorted(r["n_chars"] for r in html_text.extract_table(df).collect()) == [0, 0, len(long) + 14]
     assert html_text.extract_table(df.limit(0)).count() == 0
