@@ -29,8 +29,7 @@ class Settings:
     thresholds: int = 48
     most_conditions: int = 3
     most_rules: int = 12
-    least_precision: float = 0.9
-    least_cover: int = 2
+    least_precision: float = 0.85
 
 
 @dataclass(frozen=True)
@@ -191,7 +190,8 @@ def prune(rule: list[Condition], rows: dict[str, np.ndarray]) -> list[Condition]
 def learn(sample: list[dict], settings: Settings = Settings()) -> list[list[Condition]]:
     """Rules for bad rows, in order. sample: features, bad (0 or 1) and held (True for those to prune on).
 
-    A rule stays if it is precise on both parts; covered rows leave before the next is grown.
+    A rule stays if it is precise on rows that it wasn't grown on, by Laplace's estimate;
+    covered rows leave before the next is grown.
     """
     if not sample:
         return []
@@ -207,7 +207,7 @@ def learn(sample: list[dict], settings: Settings = Settings()) -> list[list[Cond
             break
         rule = prune(rule, _where(rows, rows["held"]))
         _, p, n = worth(rule, rows)
-        if p < settings.least_cover or p < settings.least_precision * (p + n):
+        if (p + 1) / (p + n + 2) < settings.least_precision:  # a few rows alone don't make a rule
             break
         rules.append(rule)
         rows = _where(rows, ~covered_by(rule, rows))
