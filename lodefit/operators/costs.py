@@ -8,6 +8,7 @@ sets are summed in one job, and rows that are collected for small fits.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from copy import copy
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -67,11 +68,16 @@ class Cost:
         return self.on_arrays({c: np.array([r[c] for r in rows], float) for c in self.columns})
 
     def on_arrays(self, row: dict[str, np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+        """The objective over arrays; it can go to a worker, as it holds no DataFrame."""
+        plain = copy(self)
+        plain.rows = None
+        shape = row[self.columns[0]].shape
+
         def value(thetas: np.ndarray) -> np.ndarray:
             thetas = np.atleast_2d(np.asarray(thetas, float))
             with np.errstate(all="ignore"):
-                sums = np.array([[float(np.sum(np.broadcast_to(c, row[self.columns[0]].shape))) for c in self.sums(row, t, np)] for t in thetas])
-                return self.combine(thetas, sums)
+                sums = np.array([[float(np.sum(np.broadcast_to(c, shape))) for c in plain.sums(row, t, np)] for t in thetas])
+                return plain.combine(thetas, sums)
 
         return value
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodefit.functions.shipping import ship
+from lodefit.operators.fit import Fit
 
 ENSEMBLE = "chain int, iter long, p array<double>, fval double, logpost double"
 
@@ -201,6 +202,45 @@ def sample(spark: SparkSession, target: Target, centre: Sequence[float], covaria
     return spark.range(chains).select(F.col("id").cast("int").alias("chain")).repartition(chains, "chain").groupBy("chain").applyInPandas(run, ENSEMBLE)
 
 
+def target_of(fit: Fit, priors: Sequence[Prior] = ()) -> tuple[Target, list[str]]:
+    """A fit's likelihood and limits with priors, over its free parameters, as it is now.
+
+    Rows of a cost are collected, up to its bound, since each chain needs them all.
+    """
+    parameters, free = fit.parameters, fit.parameters.free
+    whole = fit.cost.local() if hasattr(fit.cost, "local") else fit.objective.batch
+    names = [parameters[i].name for i in free]
+    if unknown := {p.name for p in priors} - set(names):
+        raise ValueError(f"priors of parameters that aren't free: {sorted(unknown)}")
+    values = parameters.values()
+
+    def batch(rows: np.ndarray) -> np.ndarray:
+        every = np.tile(values, (len(rows), 1))
+        every[:, free] = rows
+        return whole(every)
+
+    return Target(batch, fit.errordef, names, [(parameters[i].lower, parameters[i].upper) for i in free], combine_priors(*priors)), names
+
+
+def is_consistent(fit: Fit, target: Target) -> bool:
+    """Whether the fit still is what the target was made of: same names, start within the support."""
+    free = fit.parameters.free
+    return target.names == [fit.parameters[i].name for i in free] and math.isfinite(target(fit.values[free])[0])
+
+
+def mcmc_sample(spark: SparkSession, fit: Fit, sampler: str = "metropolis", **options) -> DataFrame:
+    """An ensemble of the likelihood itself."""
+    target, _ = target_of(fit)
+    return sample(spark, target, fit.values[fit.parameters.free], fit.free_covariance, sampler=sampler, **options)
+
+
+def bayesian(spark: SparkSession, fit: Fit, priors: Sequence[Prior] = (), level: float = 0.68, **options) -> tuple[DataFrame, DataFrame]:
+    """The posterior's ensemble and its summary."""
+    target, names = target_of(fit, priors)
+    found = sample(spark, target, fit.values[fit.parameters.free], fit.free_covariance, **options)
+    return found, posterior_summary(found, names, level)
+
+
 # ---- summaries ---------------------------------------------------------------------------
 
 

@@ -429,6 +429,24 @@ class Fit:
                 out.append(x if full else x[[i, j]])
         return np.array(out)
 
+    def cross(self, along: dict[str, float], sigma: float = 1.0) -> tuple[float, bool, bool]:
+        """(t, valid, at a limit): how far along a direction in some parameters the profile rises by up sigma squared."""
+        self._need()
+        d = {self.parameters.index(k): float(v) for k, v in along.items()}
+        most = math.inf
+        for i, w in d.items():
+            limit = self.parameters[i].upper if w > 0 else self.parameters[i].lower
+            if limit is not None and w:
+                most = min(most, abs((limit - self.values[i]) / w))
+        scale = math.sqrt(sum((w / self.parameters[i].error) ** 2 for i, w in d.items()))
+        t, ok, at_limit, _ = self._cross(d, {i: float(self.values[i]) for i in d}, self.fval + self.errordef * sigma**2, sigma / scale, most)
+        return t, ok, at_limit
+
+    def mnmatrix(self, bins: int = 20, points: int = 12, cl: float = 0.68) -> dict:
+        """What a matrix plot shows: a profile of each free parameter, a contour of each pair."""
+        names = [self.names[i] for i in self.parameters.free]
+        return {(a, b): self.mnprofile(a, bins)[:2] if a == b else self.mncontour(a, b, cl, points) for k, a in enumerate(names) for b in names[: k + 1]}
+
     def mncontour(self, a, b, cl: float = 0.68, points: int = 20) -> np.ndarray:
         """The joint confidence contour of two parameters."""
         return self.contour_exact(a, b, points, math.sqrt(delta_chisq(cl, 2)))

@@ -62,7 +62,7 @@ def distance2(a: Column, b: Column) -> Column:
 
 def near_pairs(rows: DataFrame, radius: float, dims: int = 2) -> DataFrame:
     """a, b with a < b: ids of rows(id, z) within radius. Rows meet in grid cells of the first dims coordinates, one radius wide."""
-    cell = lambda k: F.floor(F.get("z", F.lit(k)) / radius)
+    cell = lambda k: F.coalesce(F.floor(F.get("z", F.lit(k)) / radius), F.lit(0))
     left = rows.select(F.col("id").alias("a"), F.col("z").alias("za"), *[cell(k).alias(f"c{k}") for k in range(dims)])
     right = rows.select(F.col("id").alias("b"), F.col("z").alias("zb"), *[cell(k).alias(f"c{k}") for k in range(dims)])
     for k in range(dims):
@@ -147,3 +147,22 @@ def find_solution_modes(samples: DataFrame, errors, covariance=None, radius: flo
     ship(samples.sparkSession)
     polished = found.select("mode", "representative").groupBy("mode").applyInPandas(run, "mode int, refit_p array<double>, refit_fval double")
     return found.join(polished, "mode").withColumn("new_min", F.col("refit_fval") < F.col("fval")).orderBy("refit_fval")
+
+
+def find_deeper_by_resampling(fit, replicates: DataFrame, radius: float = 3.0, min_size: int = 2):
+    """Starts the fit anew from each distinct solution among replicates(rep, p, valid) of its free parameters, and keeps the deepest."""
+    fit._need()
+    free = fit.parameters.free
+    good = _cut(replicates.where("valid").select(F.col("rep").cast("long").alias("id"), "p").withColumn("fval", F.lit(0.0)))
+    z = whiten(good, whitener(good, "errors", errors=fit.errors[free])).select("id", "z")
+    found = modes(good, single_linkage(z, radius, min_size)).collect()
+    best = (fit.fval, fit.parameters)
+    for r in found:
+        p = best[1]
+        for k, i in enumerate(free):
+            p = p.set(i, value=float(r["representative"][k]))
+        fit._changed(p).migrad()
+        if fit.valid and fit.fval < best[0]:
+            best = (fit.fval, fit.parameters)
+    fit._changed(best[1]).migrad()
+    return fit

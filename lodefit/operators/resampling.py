@@ -8,14 +8,17 @@ other fits run in groups, one replicate each.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from copy import copy
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodefit.functions.columns import normal, poisson1, uniform
+from lodefit.functions.columns import SparkMath, normal, poisson1, uniform
 from lodefit.functions.shipping import ship
+from lodefit.operators.costs import Cost, LeastSquares, UnbinnedNLL
+from lodefit.operators.fit import Fit
 
 
 def replicates(df: DataFrame, obs_id: str, n: int, seed: int = 0) -> DataFrame:
@@ -51,6 +54,10 @@ def bootstrap(df: DataFrame, obs_id: str, refit: Callable[[pd.DataFrame], Sequen
     A group holds one data set, as a fit of it does. A failing fit is a row of no values, valid false.
     """
 
+    return _refits(replicates(df, obs_id, n, seed), refit)
+
+
+def _refits(each: DataFrame, refit: Callable[[pd.DataFrame], Sequence[float]]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             p = [float(v) for v in refit(pdf)]
@@ -59,8 +66,49 @@ def bootstrap(df: DataFrame, obs_id: str, refit: Callable[[pd.DataFrame], Sequen
             p, ok = [], False
         return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "p": [p], "valid": [ok]})
 
-    ship(df.sparkSession)
-    return replicates(df, obs_id, n, seed).groupBy("rep").applyInPandas(run, "rep int, p array<double>, valid boolean")
+    ship(each.sparkSession)
+    return each.groupBy("rep").applyInPandas(run, "rep int, p array<double>, valid boolean")
+
+
+def bootstrap_cost(cost: Cost, obs_id: str, start: Sequence[float], n: int = 200, seed: int = 0, limits: dict | None = None, noise: bool = False) -> DataFrame:
+    """Replicates of a cost over rows that have obs_id. noise: y is drawn anew about the model at start.
+
+    Only sums over points can be resampled, and only least squares has errors to draw by.
+    """
+    if not isinstance(cost, (LeastSquares, UnbinnedNLL)):
+        raise ValueError("binned costs and sums of costs have no points to resample")
+    if noise and not isinstance(cost, LeastSquares):
+        raise ValueError("only least squares can be drawn from its model")
+    rows, names, errordef = cost.rows, cost.names, cost.errordef
+    plain = copy(cost)
+    plain.rows = None
+
+    def refit(pdf: pd.DataFrame) -> list[float]:
+        times = np.ones(len(pdf), int) if noise else pdf["w"].to_numpy(int)
+        batch = plain.on_arrays({c: np.repeat(pdf[c].to_numpy(float), times) for c in plain.columns})
+        f = Fit(batch, dict(zip(names, start, strict=True)), errordef=errordef, limits=limits, batched=True).migrad()
+        if not f.valid:
+            raise ValueError("no minimum")
+        return f.values.tolist()
+
+    if not noise:
+        return bootstrap(rows.select(obs_id, *cost.columns), obs_id, refit, n, seed)
+    fitted = cost.model(F.col("x"), [F.lit(float(t)) for t in start], SparkMath)
+    drawn = parametric(rows.select(obs_id, *cost.columns), obs_id, fitted, F.col("err"), n, seed)
+    return _refits(drawn, refit)
+
+
+def jackknife(df: DataFrame, block: Column, blocks: int, refit: Callable[[pd.DataFrame], Sequence[float]]) -> DataFrame:
+    """replicates(rep, p, valid) of any fit with each block, numbered from 0, left out in turn."""
+    each = df.withColumn("_b", block).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("rep <> _b").drop("_b")
+    return _refits(each, refit)
+
+
+def jackknife_summary(reps: DataFrame, whole: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """name, bias and error of each parameter; the scale is the number of valid groups. whole: the fit of all rows."""
+    long = reps.where("valid").select(F.posexplode("p").alias("k", "v")).groupBy("k").agg(F.count("*").alias("g"), F.avg("v").alias("m"), F.var_pop("v").alias("v"))
+    value = F.element_at(F.array(*[F.lit(float(v)) for v in whole]), F.col("k") + 1)
+    return long.select(F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("name"), ((F.col("g") - 1) * (F.col("m") - value)).alias("bias"), F.sqrt((F.col("g") - 1) * F.col("v")).alias("error"))
 
 
 def summary(reps: DataFrame, names: Sequence[str], cl: float = 0.68, filter_invalid: bool = True) -> DataFrame:

@@ -125,3 +125,32 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = linear.line_fit(df, F.col("x"), F.col("y")).first()
     assert spark.table("lines_of_g").first()["slope"] == pytest.approx(want["slope"])
+
+
+def test_costs_resampled(spark):
+    df = line_rows(spark, 60).withColumn("err", F.lit(0.3))
+    cost = LeastSquares(df, lambda x, p, m: p[0] * x + p[1], ["a", "b"])
+    fit = Fit(cost, {"a": 1.0, "b": 0.0}, local=True).migrad().hesse()
+    for noise in (False, True):
+        s = {r["name"]: r for r in resampling.summary(resampling.bootstrap_cost(cost, "obs_id", fit.values, 30, 2, noise=noise), ["a", "b"]).collect()}
+        assert s["a"]["std"] == pytest.approx(fit.errors[0], rel=0.6)
+    with pytest.raises(ValueError):
+        resampling.bootstrap_cost(cost + cost, "obs_id", [0, 0])
+    reps = resampling.jackknife(df, F.col("obs_id") % 10, 10, lambda pdf: np.polyfit(pdf["x"], pdf["y"], 1))
+    j = {r["name"]: r for r in resampling.jackknife_summary(reps, fit.values, ["a", "b"]).collect()}
+    assert j["a"]["error"] == pytest.approx(fit.errors[0], rel=0.8)
+    e, summary = ensembles.bayesian(spark, fit, [ensembles.normal_prior("a", 2.0, 10.0)], chains=2, steps=400, burn=100, thin=2)
+    got = {r["name"]: r for r in summary.collect()}
+    assert got["a"]["mean"] == pytest.approx(fit.values[0], abs=4 * fit.errors[0]) and e.select("chain").distinct().count() == 2
+    assert ensembles.mcmc_sample(spark, fit, chains=1, steps=300, burn=100, thin=4).count() == 50
+    target, _ = ensembles.target_of(fit)
+    assert ensembles.is_consistent(fit, target)
+    t, ok, _ = fit.cross({"a": 1.0})
+    assert ok and t == pytest.approx(fit.minos("a").merrors["a"].upper, rel=1e-2)
+    assert len(fit.mnmatrix(4, 4)) == 3
+
+
+def test_deeper_by_resampling(spark):
+    fit = Fit(lambda p: (p[0] ** 2 - 1) ** 2 + 0.2 * p[0], {"x": 0.9}).migrad()
+    reps = spark.createDataFrame([(i, [(1.0 if i % 2 else -1.0) + i / 1000], True) for i in range(20)] + [(99, [], False)], "rep int, p array<double>, valid boolean")
+    assert modes.find_deeper_by_resampling(fit, reps, radius=1.0).values[0] < 0
