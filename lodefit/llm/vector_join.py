@@ -68,14 +68,15 @@ def principal_axes(rows: DataFrame, settings: Settings) -> dict[int, np.ndarray]
                 s = sums.setdefault(d, [0, np.zeros(d), np.zeros((d, d))])
                 s[0], s[1], s[2] = s[0] + len(u), s[1] + u.sum(0), s[2] + u.T @ u
         for d, (n, one, two) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([np.concatenate([[n], one, two.ravel()]).tobytes()])], ["d", "sums"])
+            v = np.concatenate([[n], one, two.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), d)), pa.array(np.arange(len(v))), pa.array(v)], ["d", "k", "v"])
 
-    total: dict[int, np.ndarray] = {}
-    # one row for each task and length, of fixed size
-    for r in rows.select("embedding").mapInArrow(run, "d long, sums binary").toLocalIterator():
-        total[r["d"]] = total.get(r["d"], 0) + np.frombuffer(bytes(r["sums"]))
+    total: dict[int, dict] = {}
+    for r in rows.select("embedding").mapInArrow(run, "d long, k long, v double").groupBy("d", "k").agg(F.sum("v").alias("v")).collect():
+        total.setdefault(r["d"], {})[r["k"]] = r["v"]
     axes = {}
-    for d, s in total.items():
+    for d, found in total.items():
+        s = np.array([found[k] for k in range(1 + d + d * d)])
         n, one, two = s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)
         _, vectors = np.linalg.eigh(two / n - np.outer(one, one) / n**2)
         axes[d] = np.ascontiguousarray(vectors[:, ::-1][:, : settings.grid_dimensions])
