@@ -475,3 +475,10 @@ def test_vector_join(spark, settings):
     got = sorted((tuple(r) for r in vector_join.near_duplicates(df, settings).collect()), key=str)
     assert got == brute_vectors([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], lab) for i, v, lab in rows])
     assert vector_join.near_duplicates(df.limit(0), settings).count() == 0
+
+
+def test_draw(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    one = {r["doc_id"] for r in common.draw(rows, 100, "doc_id").collect()}
+    assert len(one) == 100 and one == {r["doc_id"] for r in common.draw(rows.repartition(7), 100, "doc_id").collect()}
+    assert common.draw(rows.limit(20), 100, "doc_id").count() == 20 and common.draw(rows.limit(0), 100, "doc_id").count() == 0
