@@ -13,6 +13,7 @@ import json
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256
 PIECE_CHARS = 1 << 20
 #: Encodings a worker keeps; when there are more it starts anew.
 KEPT_WORDS = 300_000
+#: Bytes of words, ids and names, without their objects' own, that a worker keeps; likewise.
+KEPT_BYTES = 64 << 20
 #: Pairs of tokens whose order a worker remembers.
 FOLLOWS = 500_000
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -71,6 +74,7 @@ class TrieEncoder:
         self.follows: tuple[dict, dict] = ({}, {})
         self.encoded: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
+        self.kept_bytes = 0
 
     def spine(self, token: str, side: int) -> list[tuple[str, float]]:
         """The tokens at the left (0) or right (1) edge of token's merge tree, from token down,
@@ -107,11 +111,11 @@ class TrieEncoder:
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, bytes, str]]:
         """Each distinct word, in byte letters, with the bytes of its ids and its tokens' names.
 
-        A state is the last token of a prefix with the ids and names up to it.
+        A state is the last token of a prefix and where it starts; the state there is the token before.
         """
         inner, final, longest, end = self.inner, self.final, self.longest, self.end
         follows, follows_last = self.follows[False].get, self.follows[True].get
-        states: list[tuple[str, bytes, str]] = [("", b"", "")]
+        tokens, starts = [""], array("q", [0])
         before = ""
         for word in sorted(set(words)):
             size = len(word)
@@ -120,30 +124,31 @@ class TrieEncoder:
                 if x != y:
                     break
                 shared += 1
-            # states[n] is that of word[:n]; the state of a whole word as a prefix is made when it's needed
-            del states[shared + 1 :]
-            for n in range(len(states), size):
+            # tokens[n] and starts[n] are those of word[:n]; the state of a whole word as a prefix is made when it's needed
+            del tokens[shared + 1 :], starts[shared + 1 :]
+            for n in range(len(tokens), size):
                 for i in range(n - longest if n > longest else 0, n):
                     t = word[i:n]
                     if t in inner:
-                        a, ids, names = states[i]
-                        if i == 0:
-                            states.append((t, inner[t], t))
-                            break
-                        ok = follows((a, t))
-                        if ok or ok is None and self.may_follow(a, t, False):
-                            states.append((t, ids + inner[t], f"{names} {t}"))
+                        ok = i == 0 or follows((tokens[i], t))
+                        if ok or ok is None and self.may_follow(tokens[i], t, False):
+                            tokens.append(t)
+                            starts.append(i)
                             break
             for i in range(size - longest if size > longest else 0, size):
                 t = word[i:]
                 if t in final:
-                    a, ids, names = states[i]
-                    if i == 0:
-                        yield word, final[t], t + end
-                        break
-                    ok = follows_last((a, t))
-                    if ok or ok is None and self.may_follow(a, t, True):
-                        yield word, ids + final[t], f"{names} {t}{end}"
+                    ok = i == 0 or follows_last((tokens[i], t))
+                    if ok or ok is None and self.may_follow(tokens[i], t, True):
+                        if i == 0:
+                            yield word, final[t], t + end
+                            break
+                        found = []
+                        while i:
+                            found.append(tokens[i])
+                            i = starts[i]
+                        found.reverse()
+                        yield word, b"".join([inner[x] for x in found]) + final[t], " ".join(found) + f" {t}{end}"
                         break
             before = word[:-1]
 
@@ -155,15 +160,17 @@ class TrieEncoder:
     def learn(self, words: set[str]) -> None:
         """Have the encodings of all these words."""
         new = words.difference(self.encoded)
-        if len(self.encoded) + len(new) > KEPT_WORDS:
+        if len(self.encoded) + len(new) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
             self.encoded.clear()
             self.decoded.clear()
+            self.kept_bytes = 0
             new = words
         raw = {self.as_letters(w): w for w in new}
         for letters, ids, names in self.walk(raw):
             w = raw[letters]
             self.encoded[w] = ids
             self.decoded[w] = names
+            self.kept_bytes += len(w) + len(ids) + len(names)
 
     def split_words(self, text: str) -> list[str]:
         """Normalised words of a text without special tokens."""

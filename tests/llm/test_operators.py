@@ -5,6 +5,7 @@ import html
 import random
 import re
 import struct
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -421,6 +422,24 @@ def test_bpe_is_the_library(spark, docs, empty, real):
     assert bpe.encode_ids(docs.where("doc_id = 5"), path).first()["ids"] == lib.encode("one two", add_special_tokens=False).ids
 
 
+def test_bpe_long_word_takes_linear_memory(spark):
+    e = bpe.TrieEncoder(bpe.vocabulary_path(spark))
+    word = "".join(rnd.choice("acgtzqx") for _ in range(20_000))
+    tracemalloc.start()
+    got = e.encode(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == e.tokenizer.encode(word, add_special_tokens=False).ids and peak < 50 << 20
+
+
+def test_bpe_forgets_by_bytes(spark, monkeypatch):
+    e = bpe.TrieEncoder(bpe.vocabulary_path(spark))
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 1000)
+    for i in range(20):
+        e.encode("acgt" * 50 + "abcdefghijklmnopqrst"[i])
+    assert len(e.encoded) < 20 and e.kept_bytes == sum(len(w) + len(e.encoded[w]) + len(e.decoded[w]) for w in e.encoded)
+
+
 def test_bpe_pieces_and_forgetting(spark, monkeypatch):
     e = bpe.TrieEncoder(bpe.vocabulary_path(spark))
     text = " ".join(prose(50) + f" q{i}z" for i in range(40))
