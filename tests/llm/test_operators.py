@@ -277,6 +277,34 @@ def test_mix(spark, docs, empty):
         pfair.mix(df, s, {"s:big": 1.0})
 
 
+def test_plan_keeps_exact_weights():
+    weights = {"s:a": 0.7, "s:b": 0.2, "s:c": 0.1}
+    n, size = 15_000_000, 64
+    sources, slots = pfair.plan({s: int(n * w) for s, w in weights.items()}, pfair.Settings(), weights)
+    end = sum(map(len, slots.values()))
+    assert end >= n // size and sorted(x for xs in slots.values() for x in xs) == list(range(end))
+    for s, xs in slots.items():
+        at = np.array(xs)
+        k = np.arange(len(at))
+        w = weights[s]
+        assert (np.abs(k - at * w) < 1 + 1e-6).all() and (np.abs(k + 1 - (at + 1) * w) < 1 + 1e-6).all() and abs(len(xs) - end * w) < 1
+
+
+def test_plan_of_many_small_sources(spark):
+    counts = {"s:big": 15_000_000} | {f"s:{i}": 1 for i in range(40)}
+    sources, slots = pfair.plan(counts, pfair.Settings())
+    end = sum(map(len, slots.values()))
+    assert end < 15_000_000 / 64 * 1.001 and all(26 <= s.wanted <= 29 for s in sources if s.rows == 1)
+    assert all(s.wanted >= s.rows and abs(s.wanted / 64 - end * s.share / 4096) < 1 for s in sources)
+    sources, _ = pfair.plan({f"s:{i}": 1 + i % 3 for i in range(5000)}, pfair.Settings())
+    assert len(sources) == 5000
+    rows = spark.range(9000).selectExpr("id AS doc_id", "CAST(if(id < 3000, -1, id % 4500) AS string) AS source")
+    out = pfair.mix(rows, pfair.Settings(block_rows=2))
+    assert out.where("epoch = 0").select("doc_id").distinct().count() == 9000
+    assert out.select("slot").distinct().count() == out.selectExpr("max(slot) + 1").first()[0]
+    assert out.select("position").distinct().count() == out.count()
+
+
 # ---- 6 substrings ------------------------------------------------------------------------
 
 
