@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,18 @@ _WORD = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("head nav footer aside form menu dialog button select fieldset".split())
+#: What HTML lets go unclosed: a start of these names closes the open elements named next, up to one named last.
+_BLOCK = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul"
+_CELLS = "td th caption button object html"
+IMPLIED = {
+    start: (frozenset(closed.split()), frozenset(border.split()))
+    for starts, closed, border in (
+        (_BLOCK, "p", f"{_CELLS} table"), ("li", "li p", f"{_CELLS} table ul ol menu"), ("dt dd", "dt dd p", f"{_CELLS} table dl"), ("option optgroup", "option", "select"),
+        ("td th", "td th", "tr table"), ("tr", "tr td th", "table"), ("tbody thead tfoot", "tbody thead tfoot tr td th", "table"), ("body", "head", "html"),
+    )
+    for start in starts.split()
+}
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 #: Parts of class, id and role names that mark what isn't the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer discussion disqus footer gdpr login masthead menu "
@@ -79,7 +92,10 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     held: list[str] = []
     state = {"free": 0, "article": 0, "link": 0}
-    skip, depth, at = "", 0, 0
+    stack: list[tuple[str, int]] = []  # open elements and where their tags start
+    count: Counter[str] = Counter()  # of each name in it
+    skip, at = -1, 0  # the place in the stack of the element that is skipped
+    start, unclosed = 0, set()
     own = "article" if re.search(r"<article\b", page, re.I) else "main"
 
     def outside(name: str, attributes: str) -> bool:
@@ -102,26 +118,96 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
         if not state["link"]:
             state["free"] += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
-        if not skip and m.start() > at:
+    def push(name: str, start: int) -> None:
+        stack.append((name, start))
+        count[name] += 1
+
+    def pop(i: int, to: int | None = None) -> None:
+        count.subtract([n for n, _ in stack[i:to]])
+        del stack[i:to]
+
+    def implied(name: str) -> None:
+        """Close what a start of name closes."""
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            pop(len(stack) - 1)
+        closed, border = IMPLIED.get(name, (frozenset(), frozenset()))
+        if any(count[n] for n in closed):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in border:
+                    break
+                if stack[i][0] in closed:
+                    pop(i)
+
+    def end(name: str) -> None:
+        """Close the innermost element of name: with what is open in it, but for blocks within an inline one."""
+        nonlocal skip
+        if not count[name]:
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == name:
+                if name in INLINE and any(n not in INLINE for n, _ in stack[i:]):
+                    pop(i, i + 1)
+                    skip = skip - 1 if i < skip else len(stack) if i == skip else skip
+                else:
+                    pop(i)
+                return
+            if name not in ("table", "html", "body") and stack[i][0] in ("td", "th", "caption") and name not in ("tr", "tbody", "thead", "tfoot"):
+                return
+
+    def again() -> bool:
+        """Whether the skipped element is to be read after all, as nothing closes it before the page's end."""
+        name = stack[skip][0]
+        if name in OUTSIDE and not re.compile(rf"<{own}\b", re.I).search(page, stack[skip][1] + 1):
+            return False
+        unclosed.update(at for _, at in stack[skip:])
+        return True
+
+    pos = 0
+    while True:
+        m = _TOKEN.search(page, pos)
+        if m is None:
+            if skip >= 0 and again():
+                pos = at = start
+                pop(skip)
+                skip = -1
+                continue
+            break
+        pos = m.end()
+        if skip < 0 and m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at = pos
         name = (m[3] or "").lower()
         if not name:
-            if not skip and m[1]:
+            if skip < 0 and m[1]:
                 close()
             continue
-        if skip:  # only the element's own name counts, so that unclosed elements in it don't matter
-            if name == skip and not m[4].endswith("/"):
-                depth += -1 if m[2] else 1
-                if depth == 0:
-                    skip = ""
+        if skip >= 0 and m[2] and name in ("body", "html") and again():
+            pos = at = start
+            pop(skip)
+            skip = -1
             continue
-        if not m[2] and outside(name, m[4]):
+        if m[2]:
+            own_end = skip >= 0 and name == stack[skip][0]
+            end(name)
+        else:
+            own_end = False
+            implied(name)
+        if skip >= 0:
+            if len(stack) > skip:
+                if not m[2] and name not in VOID and not m[4].endswith("/"):
+                    push(name, m.start())
+                continue
+            skip = -1
+            if own_end:
+                continue
+        if not m[2] and m.start() not in unclosed and outside(name, m[4]):
             close()
             lines.extend([("", 0, False)] * window)
-            skip, depth = name, 1
+            skip, start = len(stack), m.start()
+            push(name, m.start())
             continue
+        if not m[2] and name not in VOID and not m[4].endswith("/"):
+            push(name, m.start())
         if name == own:
             close()
             state["article"] = max(0, state["article"] + (-1 if m[2] else 1))
@@ -130,7 +216,7 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
         elif name not in INLINE:
             close()
             state["link"] = 0
-    if not skip:
+    if skip < 0:
         add(page[at:])
         close()
     return lines

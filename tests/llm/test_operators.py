@@ -430,6 +430,21 @@ def test_html_awkward(spark):
     assert html_text.extract_table(df.limit(0)).count() == 0
 
 
+def test_html_unclosed():
+    body = "".join(f"<p>{prose(30)}" for _ in range(3))
+    want = " ".join(body.replace("<p>", " ").split())
+    assert html_text.extract(f"<p class=notice>We use cookies{body}") == want
+    assert html_text.extract(f"<body><p class=notice>We use cookies<p>x</p><article>{body}</article></body>") == want
+    assert html_text.extract(f"<div><ul><li class=ad>buy<li>{prose(30)} end</ul></div>").endswith("end")
+    assert html_text.extract(f"<div><ul><li class=ad>buy</ul>{body}</div>") == want
+    assert html_text.extract(f"<table><tr><td class=sidebar>s<td>{body}</table>") == want
+    assert html_text.extract(f"<html><body><div class=notice>{body}</body></html>") == want
+    assert html_text.extract(f"<nav>menu<article>{body}</article>") == want
+    assert html_text.extract(f"<span class=ad>buy<b>x</b><span>y</span></span>{body}") == want
+    assert html_text.extract(f"<div class=ad><div>a<p>b</div><p>c</div>{body}") == want
+    assert html_text.extract("<div class=ad>" * 20_000 + body) == want
+
+
 # ---- 9 bpe -------------------------------------------------------------------------------
 
 
