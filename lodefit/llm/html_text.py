@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,10 +88,14 @@ def _marked(attributes: str, article: bool) -> bool:
 def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside the article) of each line; a main element is the article where there is no other.
 
-    A part that isn't the article leaves window blank lines, so no window reaches over it.
+    A part that isn't the article leaves window blank lines, so no window reaches over it,
+    unless the text before and after it stands in the same element as it does.
     """
     lines: list[tuple[str, int, bool]] = []
     held: list[str] = []
+    places: list[tuple[int, ...]] = []  # the innermost blocks of each line, by where their tags start
+    gaps: list[tuple[int, int]] = []  # where blank lines start, and the block they are in
+    within: tuple[int, ...] = ()
     state = {"free": 0, "article": 0, "link": 0}
     stack: list[tuple[str, int]] = []  # open elements and where their tags start
     count: Counter[str] = Counter()  # of each name in it
@@ -109,11 +114,24 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
         text = " ".join("".join(held).split())
         if text:
             lines.append((text, min(state["free"], len(text)), state["article"] > 0))
+            places.append(within)
         held.clear()
         state["free"] = 0
 
+    def blocks(most: int) -> tuple[int, ...]:
+        found = []
+        for name, at in reversed(stack):
+            if name not in INLINE:
+                found.append(at)
+                if len(found) == most:
+                    break
+        return (*found, -1)[:most]
+
     def add(raw: str) -> None:
+        nonlocal within
         text = html.unescape(raw)
+        if not text.isspace():
+            within = blocks(2)
         held.append(text)
         if not state["link"]:
             state["free"] += len(text.strip())
@@ -202,7 +220,9 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
                 continue
         if not m[2] and m.start() not in unclosed and outside(name, m[4]):
             close()
+            gaps.append((len(lines), blocks(1)[0]))
             lines.extend([("", 0, False)] * window)
+            places.extend([()] * window)
             skip, start = len(stack), m.start()
             push(name, m.start())
             continue
@@ -219,18 +239,27 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
     if skip < 0:
         add(page[at:])
         close()
-    return lines
+    inner = set()
+    full = [i for i, (text, _, _) in enumerate(lines) if text]
+    for i, block in gaps:
+        n = bisect_left(full, i)
+        if 0 < n < len(full) and block in places[full[n - 1]] and block in places[full[n]]:
+            inner.update(range(i, i + window))
+    return [x for i, x in enumerate(lines) if i not in inner]
 
 
 def extract(page: str | None, settings: Settings = Settings()) -> str:
-    """The main text of one whole page, blocks joined by one space; empty if there is none or the page is null."""
+    """The main text of one whole page, blocks joined by one space; empty if there is none or the page is null.
+
+    An article element is the whole of it if it holds most of the text outside links; else its text is kept with the rest's.
+    """
     lines = lines_of(page or "", settings.window)
-    marked = any(article for _, _, article in lines)
-    # the text that counts: all of an article element, else what isn't linked
-    weight = [(len(t) if article else 0) if marked else free for t, free, article in lines]
+    marked = any(article for _, _, article in lines) and 2 * sum(free for _, free, article in lines if article) >= sum(free for _, free, _ in lines)
+    # the text that counts: all of an article element, and what isn't linked where there is no such or more outside
+    weight = [len(t) if article else 0 if marked else free for t, free, article in lines]
     k = settings.window
     sums = [sum(weight[i : i + k]) for i in range(len(lines))]
-    kept: list[str] = []
+    kept: list[tuple[int, int]] = []
     best: tuple[int, int, int] | None = None
     i = 0
     while i < len(lines):
@@ -241,14 +270,16 @@ def extract(page: str | None, settings: Settings = Settings()) -> str:
         while dive < len(lines) and sums[dive]:
             dive += 1
         peak = max(sums[i:dive])
-        if marked or peak >= settings.surge:
-            kept += [t for (t, _, _), w in zip(lines[i:dive], weight[i:dive]) if w]
+        if marked or peak >= settings.surge or any(article for _, _, article in lines[i:dive]):
+            kept.append((i, dive))
         elif best is None or peak > best[0]:
             best = (peak, i, dive)
         i = dive
     if not kept and best:
-        kept = [t for (t, _, _), w in zip(lines[best[1] : best[2]], weight[best[1] : best[2]]) if w]
-    return " ".join(kept)
+        kept = [best[1:]]
+    # short and linked lines between the first surge and the last dive belong to the text
+    span = range(kept[0][0], kept[-1][1]) if kept else range(0)
+    return " ".join(lines[i][0] for i in span if lines[i][0] and (weight[i] or not marked))
 
 
 def extract_table(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:

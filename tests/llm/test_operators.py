@@ -445,6 +445,16 @@ def test_html_unclosed():
     assert html_text.extract("<div class=ad>" * 20_000 + body) == want
 
 
+def test_html_keeps_short_and_linked_lines():
+    long, share = prose(60), "<div class=share>tweet</div>"
+    assert html_text.extract(f"<div><h1>Title</h1>{share}<p>{long}</p></div>") == f"Title {long}"
+    assert html_text.extract(f"<div><p>{long}</p><div class=ad>buy</div><p>The end.</p></div>") == f"{long} The end."
+    assert html_text.extract(f"<p>{long}</p><p><a href=x>A linked line</a></p><p>{long}</p>") == f"{long} A linked line {long}"
+    assert html_text.extract(f"<div><p>Home</p><nav>m</nav><div><p>{long}</p></div></div>") == long
+    card = "<article class=card><h2>Other story</h2></article>"
+    assert html_text.extract(f"<div><h1>Title</h1><p>{long}</p></div>{card}").startswith(f"Title {long}")
+
+
 # ---- 9 bpe -------------------------------------------------------------------------------
 
 
