@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -109,13 +110,37 @@ def dbscan(rows: DataFrame, radius: float, min_neighbors: int = 5, min_size: int
     return rows.select("id").join(found, "id", "left").select("id", F.coalesce("mode", F.lit(0)).alias("mode"))
 
 
-def nearest_distance(rows: DataFrame, radius: float) -> DataFrame:
-    """median and q90 of the distance to the nearest neighbour, of rows that have one within radius."""
-    p = near_pairs(rows, radius)
-    z = rows.select("id", "z")
-    d = p.join(z.withColumnsRenamed({"id": "a", "z": "za"}), "a").join(z.withColumnsRenamed({"id": "b", "z": "zb"}), "b").select("a", "b", F.sqrt(distance2(F.col("za"), F.col("zb"))).alias("d"))
-    near = d.select("a", "d").unionByName(d.select(F.col("b").alias("a"), "d")).groupBy("a").agg(F.min("d").alias("d"))
-    return near.agg(F.count("*").alias("n"), F.median("d").alias("median"), F.percentile("d", F.lit(0.9)).alias("q90"))
+def nearest(rows: DataFrame, radius: float, widen: bool = True, dims: int = 2) -> DataFrame:
+    """id, d: the distance to the nearest other row of rows(id, z).
+
+    Rows meet in grid cells of the first dims coordinates, one radius wide; the radius doubles for
+    rows without a neighbour that near, until none is left. Without widen those rows are left out.
+    """
+    rows = _cut(rows.select("id", "z"))
+    norm = rows.agg(F.max(F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 0.0
+    left, found = rows, []
+    while True:
+        cell = lambda k, r=radius: F.coalesce(F.floor(F.get("z", F.lit(k)) / r), F.lit(0))
+        here = left.select(F.col("id").alias("a"), F.col("z").alias("za"), *[cell(k).alias(f"c{k}") for k in range(dims)])
+        for k in range(dims):
+            here = here.withColumn(f"c{k}", F.explode(F.sequence(F.col(f"c{k}") - 1, F.col(f"c{k}") + 1)))
+        every = rows.select(F.col("id").alias("b"), F.col("z").alias("zb"), *[cell(k).alias(f"c{k}") for k in range(dims)])
+        d2 = distance2(F.col("za"), F.col("zb"))
+        met = here.join(every, [f"c{k}" for k in range(dims)]).where((F.col("a") != F.col("b")) & (d2 <= radius * radius))
+        found.append(_cut(met.groupBy(F.col("a").alias("id")).agg(F.min(F.sqrt(d2)).alias("d"))))
+        if not widen or radius >= 2 * norm:
+            break
+        left = _cut(left.join(found[-1], "id", "left_anti"))
+        if not left.limit(1).count():
+            break
+        radius *= 2
+    return reduce(DataFrame.unionByName, found)
+
+
+def nearest_distance(rows: DataFrame, radius: float, widen: bool = True) -> DataFrame:
+    """median and q90 of the distance to the nearest neighbour, whatever it is; radius is that of the first grid.
+    Without widen, of rows that have a neighbour within radius."""
+    return nearest(rows, radius, widen).agg(F.count("*").alias("n"), F.median("d").alias("median"), F.percentile("d", F.lit(0.9)).alias("q90"))
 
 
 def modes(samples: DataFrame, labels: DataFrame, fmin: float | None = None) -> DataFrame:

@@ -509,7 +509,7 @@ def single_linkage(spark, sf):
 
 @query(f"WITH b AS (SELECT a, d FROM {NEAR} UNION ALL SELECT b, d FROM {NEAR}), m AS (SELECT a, min(d) AS d FROM b GROUP BY a) SELECT count(*) AS n, {sig_sql('median(d)', 6)} AS median, {sig_sql('quantile_cont(d, 0.9)', 6)} AS q90 FROM m")
 def nn_distance(spark, sf):
-    return _round(modes.nearest_distance(_cloud(spark, sf).withColumnRenamed("p", "z").select("id", "z"), RADIUS))
+    return _round(modes.nearest_distance(_cloud(spark, sf).withColumnRenamed("p", "z").select("id", "z"), RADIUS, widen=False))  # as its SQL counts
 
 
 @query(f"SELECT CAST(label + 1 AS INT) AS mode, {sig_sql('min(p[1] * p[1] + p[2] * p[2])', 6)} AS fval, {sig_sql('min(p[1])', 6)} AS lo0, {sig_sql('max(p[2])', 6)} AS hi1, count(*) AS n_points, {sig_sql('count(*) / (SELECT count(*) FROM embeddings)', 6)} AS fraction FROM {EMB} WHERE label IS NOT NULL GROUP BY label")

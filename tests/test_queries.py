@@ -1,7 +1,9 @@
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from lodefit.operators import modes
 from lodefit.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +41,13 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["dbscan_modes", "effective_sample_size"])
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_nearest_distance_counts_every_row(spark):
+    z = np.random.default_rng(5).normal(size=(120, 3))
+    z[0] += 50
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(z)], "id long, z array<double>")
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)) + np.diag([np.inf] * 120)
+    got = modes.nearest_distance(df, 0.3).first()
+    assert got["n"] == 120 and np.allclose([got["median"], got["q90"]], [np.median(d.min(1)), np.quantile(d.min(1), 0.9)])
+    assert modes.nearest_distance(df.limit(1), 0.3).first()["n"] == 0
