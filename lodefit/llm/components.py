@@ -1,7 +1,8 @@
 """Connected components of an edge table, by the smallest node that can be reached.
 
 Each round takes the smallest label among a node's neighbours, then the label of
-that label, so chains shorten by halves. Nothing is collected but a count.
+that label, so chains shorten by halves. Nothing is collected but a count and the
+hot nodes, whose edges are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodefit.functions.skew import hot_keys, split_join
 from lodefit.llm.common import cut
 
 
@@ -18,14 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     label is the smallest node of the component. No edges give no rows.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.lit(0).alias("one")).select("a", "b"))
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumnRenamed("a", "node"))
+    hubs = hot_keys(both, "node")
+    labels = cut(both.groupBy("node").agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
     while True:
-        near = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
-        least = cut(near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
-        to = least.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        jumped = cut(least.join(to, least.label == to.via).select("node", F.least("label", "far").alias("label")))
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = jumped
-        if not changed:
+        near = split_join(both, labels, "node", ["b"], hot=hubs).select(F.col("b").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        least = cut(near.unionByName(labels.withColumn("old", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old")))
+        to = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        jumped = cut(split_join(least, to, "label", ["node"]).select("node", F.least("label", "far").alias("label"), "old"))
+        labels = jumped.select("node", "label")
+        if not jumped.where("label <> old").limit(1).count():
             return labels

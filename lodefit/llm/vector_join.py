@@ -1,9 +1,10 @@
 """Embedding near-dedup by epsilon grid order.
 
-Unit vectors are sorted by grid cells, one radius wide, on their leading
-principal dimensions and cut into blocks. Blocks whose boxes are within the
-radius are joined; a join halves its sequence intervals as long as that lets it
-skip parts that are provably too far apart, and compares the rest exactly.
+Equal vectors are taken together. Unit vectors are turned to their principal
+dimensions, sorted by grid cells, one radius wide, on the leading ones, and cut
+into blocks of so many rows. Blocks whose boxes, over all dimensions, are within
+the radius are joined; a join halves its sequence intervals as long as that lets
+it skip parts that are provably too far apart, and compares the rest exactly.
 """
 
 from __future__ import annotations
@@ -13,22 +14,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodefit.llm.common import cut, small_batches, table
+from lodefit.functions.skew import split_join
+from lodefit.llm.common import batch_of, cut, small_batches, table
 from lodefit.llm.components import components
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Slack keeps rounding from skipping a block that is exactly at the radius."""
+    """Slack keeps rounding from skipping a block that is exactly at the radius. block_rows
+    vectors are what a task holds of either side of a join; blocks don't depend on partitions."""
 
     cosine: float = 0.93
     grid_dimensions: int = 8
-    block_rows: int = 1024
-    leaf_rows: int = 128
+    block_rows: int = 2048
+    leaf_rows: int = 64
     slack: float = 1e-6
 
     @property
@@ -42,29 +46,29 @@ def linkable() -> Column:
     return F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def _rows(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    """Vectors of a list column in double precision; their lengths may differ."""
-    column = batch.column(batch.schema.get_field_index(name))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.split(flat, np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else []
-
-
 def units(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def principal_axes(rows: DataFrame, settings: Settings) -> dict[int, np.ndarray]:
-    """For each length of vector, the leading principal dimensions of all unit vectors of that length."""
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors in double precision) for each length of vector in a list column."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = column.value_lengths().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, flat[starts[at][:, None] + np.arange(d)]
+
+
+def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vector, the principal dimensions of all unit vectors of that length, leading ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for b in batches:
-            by: dict[int, list] = {}
-            for v in _rows(b, "embedding"):
-                by.setdefault(len(v), []).append(v)
-            for d, vs in by.items():
-                u = units(np.stack(vs))
+            for d, _, vectors in _by_length(b.column(0)):
+                u = units(vectors)
                 s = sums.setdefault(d, [0, np.zeros(d), np.zeros((d, d))])
                 s[0], s[1], s[2] = s[0] + len(u), s[1] + u.sum(0), s[2] + u.T @ u
         for d, (n, one, two) in sums.items():
@@ -79,59 +83,82 @@ def principal_axes(rows: DataFrame, settings: Settings) -> dict[int, np.ndarray]
         s = np.array([found[k] for k in range(1 + d + d * d)])
         n, one, two = s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)
         _, vectors = np.linalg.eigh(two / n - np.outer(one, one) / n**2)
-        axes[d] = np.ascontiguousarray(vectors[:, ::-1][:, : settings.grid_dimensions])
+        axes[d] = np.ascontiguousarray(vectors[:, ::-1])
     return axes
 
 
-def blocks(rows: DataFrame, settings: Settings) -> DataFrame:
-    """rows(vec_id, label, embedding) -> blocks in epsilon grid order, with their boxes."""
-    spark = rows.sparkSession
-    axes = spark.sparkContext.broadcast(principal_axes(rows, settings))
-    kind = "float" if rows.schema["embedding"].dataType.elementType == T.FloatType() else "double"
-    dtype = np.dtype("<f4" if kind == "float" else "<f8")
+_BLOCK = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("d", pa.int64()), ("rows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("v", pa.binary())])
+
+
+def in_order(distinct: DataFrame, settings: Settings, axes) -> DataFrame:
+    """distinct(label, embedding, first, n) -> the same in epsilon grid order, with row, which tells them apart, and within, the block of the label.
+
+    Of each label and length of vector, every block but the last has block_rows
+    vectors: a vector's place is the rows of its label in the partitions before its
+    own and the rows before it there.
+    """
+    spark = distinct.sparkSession
+    kind = distinct.schema["embedding"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = _rows(b, "embedding")
-            at = [units(v[None])[0] @ axes.value[len(v)] for v in vectors]
-            cells = [np.floor(p / settings.radius).astype(np.int32) if settings.radius else np.zeros(len(p), np.int32) for p in at]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1).cast(pa.int64()), pa.array([len(v) for v in vectors], pa.int64()), pa.array([c.tolist() for c in cells], pa.list_(pa.int32())), pa.array([p.tolist() for p in at], pa.list_(pa.float64())), pa.array([v.astype(dtype).tobytes() for v in vectors], pa.binary())],
-                ["vec_id", "label", "d", "cells", "at", "v"],
-            )
-
-    placed = rows.select("vec_id", "label", "embedding").mapInArrow(place, "vec_id long, label long, d long, cells array<int>, at array<double>, v binary")
-    order = [F.col("label"), F.col("d"), F.col("cells"), F.col("at"), F.col("vec_id")]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-
-    def pack(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def made() -> pa.RecordBatch:
-            at = np.stack([np.array(r[3]) for r in held])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([held[0][1]], pa.int64()), pa.array([held[0][2]], pa.int64()), pa.array([[r[0] for r in held]], pa.list_(pa.int64())), pa.array([at.min(0).tolist()], pa.list_(pa.float64())), pa.array([at.max(0).tolist()], pa.list_(pa.float64())), pa.array([at.astype("<f8").tobytes()], pa.binary()), pa.array([b"".join(r[4] for r in held)], pa.binary())],
-                ["label", "d", "ids", "lo", "hi", "at", "v"],
-            )
-
+            lengths, cells = np.zeros(len(b), np.int64), [None] * len(b)
+            for d, at, vectors in _by_length(b.column(1)):
+                lead = units(vectors) @ axes.value[d][:, : settings.grid_dimensions]
+                cell = np.floor(lead / settings.radius).astype(np.int32) if settings.radius else np.zeros(lead.shape, np.int32)
+                lengths[at] = d
+                for i, c in zip(at, cell.tolist(), strict=True):
+                    cells[i] = c
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lengths), pa.array(cells, pa.list_(pa.int32()))], ["label", "embedding", "first", "n", "d", "cells"])
+
+    columns = f"label long, embedding {kind}, first long, n long, d long"
+    placed = distinct.select("label", "embedding", "first", "n").mapInArrow(place, f"{columns}, cells array<int>")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // settings.block_rows)))
+    order = ["label", "d", "cells", "embedding"]
+    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("cells")
+
+    def number(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, seen = TaskContext.get().partitionId(), 0, {}
         for b in part:
-            for r in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4, 5)), strict=True):
-                if held and (r[1:3] != held[0][1:3] or len(held) == settings.block_rows):
-                    yield made()
-                    held.clear()
-                held.append(r)
-        if held:
-            yield made()
+            k = []
+            for key in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
+                seen[key] = seen.get(key, -1) + 1
+                k.append(seen[key])
+            row = (own << 40) + np.arange(n, n + len(b))
+            n += len(b)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), own)), pa.array(k, pa.int64()), pa.array(row)], ["label", "embedding", "first", "n", "d", "part", "k", "row"])
 
-    packed = ordered.mapInArrow(pack, "label long, d long, ids array<long>, lo array<double>, hi array<double>, at binary, v binary")
-    return cut(packed.withColumn("block", F.monotonically_increasing_id()).withColumn("kind", F.lit(kind)))
+    numbered = cut(ordered.mapInArrow(number, f"{columns}, part long, k long, row long"))
+    held = numbered.groupBy("label", "d", "part").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("label", "d").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("label", "d", "part", "before")
+    # a row for each label of a partition: at most a window's worth of partitions for a label
+    return numbered.join(held, ["label", "d", "part"]).withColumn("within", F.floor((F.col("before") + F.col("k")) / settings.block_rows))
+
+
+def blocks(ordered: DataFrame, axes) -> DataFrame:
+    """in_order's vectors, block by block, with their boxes over all principal dimensions."""
+    dtype = _dtype(ordered)
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        d = key[1].as_py()
+        vectors = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        turned = units(vectors.astype(np.float64)) @ axes.value[d]
+        box = [turned.min(0).tolist()], [turned.max(0).tolist()]
+        return pa.Table.from_batches([batch_of([[0], [key[0].as_py()], [d], [rows.column("row").to_pylist()], [rows.column("n").to_pylist()], *box, [vectors.astype(dtype).tobytes()]], _BLOCK)])
+
+    packed = ordered.select("label", "d", "within", "embedding", "row", "n").groupBy("label", "d", "within").applyInArrow(pack, "block long, label long, d long, rows array<long>, counts array<long>, lo array<double>, hi array<double>, v binary")
+    return cut(packed.withColumn("block", F.monotonically_increasing_id()))
+
+
+def _dtype(rows: DataFrame) -> np.dtype:
+    return np.dtype("<f4" if rows.schema["embedding"].dataType.elementType == T.FloatType() else "<f8")
 
 
 def near_blocks(made: DataFrame, settings: Settings) -> DataFrame:
     """a, b: pairs of blocks, a = b among them, whose boxes are within the radius.
 
-    Blocks meet in the cells of the first two grid dimensions that both may reach.
+    Blocks meet in the cells of the first two dimensions that both may reach.
     """
     size = settings.radius + settings.slack
 
@@ -155,7 +182,10 @@ def near_blocks(made: DataFrame, settings: Settings) -> DataFrame:
 
 
 def join_intervals(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, settings: Settings, same: bool) -> np.ndarray:
-    """The matrix of links between two blocks of unit vectors; same: between a block and itself."""
+    """The matrix of links between two blocks of unit vectors; same: between a block and itself.
+
+    at_a and at_b are their principal dimensions, all of them, so boxes are as tight as may be.
+    """
     links = np.zeros((len(a), len(b)), bool)
     size = (settings.radius + settings.slack) ** 2
     todo = [(0, len(a), 0, len(b))]
@@ -181,66 +211,74 @@ def join_intervals(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndar
 def smallest_reached(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The smallest id that each row and column reaches through links."""
     la, lb, none = ids_a.copy(), ids_b.copy(), np.iinfo(np.int64).max
+    step = max(1, (1 << 20) // max(1, len(lb)))  # rows whose ids are held at a time
+
+    def least(m: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.minimum(own[i : i + step], np.where(m[i : i + step], other[None, :], none).min(1, initial=none)) for i in range(0, len(own), step)])
+
     while True:
-        na = np.minimum(la, np.where(links, lb[None, :], none).min(1, initial=none))
-        nb = np.minimum(lb, np.where(links, na[:, None], none).min(0, initial=none))
+        na = least(links, la, lb)
+        nb = least(links.T, lb, na)
         if (na == la).all() and (nb == lb).all():
             return la, lb
         la, lb = na, nb
 
 
-def compare(pairs: DataFrame, settings: Settings) -> DataFrame:
-    """Block pairs with their vectors -> row, n, near: links found, and the smallest row they lead to."""
+def compare(pairs: DataFrame, axes, dtype: np.dtype, settings: Settings) -> DataFrame:
+    """Block pairs with their vectors -> row, n, near: rows linked, copies counted, and the smallest row they lead to."""
     form = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("near", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, d, kind, va, vb, pa_, pb_ in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                dtype = "<f4" if kind == "float" else "<f8"
-                ua, ub = (units(np.frombuffer(v, dtype).astype(np.float64).reshape(-1, d)) for v in (va, vb))
-                pa2, pb2 = (np.frombuffer(p, "<f8").reshape(len(u), -1) for p, u in ((pa_, ua), (pb_, ub)))
-                links = join_intervals(ua, ub, pa2, pb2, settings, a == b)
-                ra, rb = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
-                if not len(ra):
+            for i in range(len(batch)):  # one pair of blocks at a time
+                a, b, d, va, vb, ra, rb, ca, cb = (batch.column(k)[i] for k in range(9))
+                same, d = a.as_py() == b.as_py(), d.as_py()
+                ua, ub = (units(np.frombuffer(v.as_buffer(), dtype).astype(np.float64).reshape(-1, d)) for v in (va, vb))
+                links = join_intervals(ua, ub, ua @ axes.value[d], ub @ axes.value[d], settings, same)
+                ia, ib = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
+                if not len(ia):
                     continue
-                small = links[np.ix_(ra, rb)]
-                ida, idb = (a << 20) + ra, (b << 20) + rb
-                la, lb = smallest_reached(small, ida, idb)
-                parts = [(ida, small.sum(1), la)] if a == b else [(ida, small.sum(1), la), (idb, small.sum(0), lb)]
-                yield batch_of_columns([np.concatenate(x) for x in zip(*parts, strict=True)], form)
-
-    return pairs.select("a", "b", "d", "kind", "va", "vb", "at_a", "at_b").mapInArrow(run, "row long, n long, near long")
-
+                links = links[np.ix_(ia, ib)]
+                (rows_a, n_a), (rows_b, n_b) = ((r.values.to_numpy()[at], c.values.to_numpy()[at]) for r, c, at in ((ra, ca, ia), (rb, cb, ib)))
+                la, lb = smallest_reached(links, rows_a, rows_b)
+                parts = [(rows_a, links @ n_b, la)] if same else [(rows_a, links @ n_b, la), (rows_b, links.T @ n_a, lb)]
+                yield batch_of([np.concatenate(x) for x in zip(*parts, strict=True)], form)
 
-def batch_of_columns(columns: list, form: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, form, strict=True)], schema=form)
+    return pairs.select("a", "b", "d", "va", "vb", "ra", "rb", "ca", "cb").mapInArrow(run, "row long, n long, near long")
 
 
 def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """rows(vec_id, embedding, label) -> vec_id, n_links, component_id, kept; one row for each row.
 
-    Rows of equal label link at a cosine of at least settings.cosine. Rows without
-    a label, and vectors that are null, empty, zero or hold a null or a number that
-    isn't finite, link with nothing, as do vectors of different length. Rows of
-    equal vec_id are different vectors. component_id is the smallest vec_id of the
-    component, null only if it has none; kept is true for that row.
+    Rows of equal label link at a cosine of at least settings.cosine; equal vectors
+    always do. Rows without a label, and vectors that are null, empty, zero or hold
+    a null or a number that isn't finite, link with nothing, as do vectors of
+    different length. Rows of equal vec_id are different vectors. component_id is
+    the smallest vec_id of the component, null only if it has none; kept is true
+    for that row. Other columns are ignored.
     """
     spark = rows.sparkSession
     small_batches(spark)
     rows = rows.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     alone = rows.where(~linkable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    made = blocks(rows.where(linkable()), settings)
-    pairs = near_blocks(made, settings)
+    full = rows.where(linkable()).select("vec_id", F.struct("label", "embedding").alias("key"))
+    # equal vectors are one from here on: a crowd of copies weighs as much as one vector
+    distinct = cut(full.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).select("key.label", "key.embedding", "first", "n"))
+    axes = spark.sparkContext.broadcast(principal_axes(distinct))
+    ordered = in_order(distinct, settings, axes)
+    made = blocks(ordered, axes)
     # few pairs at a time go to a worker: each holds two blocks
-    left = made.select(F.col("block").alias("a"), "d", "kind", F.col("v").alias("va"), F.col("at").alias("at_a"))
-    right = made.select(F.col("block").alias("b"), F.col("v").alias("vb"), F.col("at").alias("at_b"))
-    found = cut(compare(pairs.join(left, "a").join(right, "b"), settings))
-    counts = found.groupBy("row").agg(F.sum("n").alias("n"))
-    labels = components(found.select(F.col("row").alias("a"), F.col("near").alias("b")))
-    members = made.select("block", F.posexplode("ids").alias("k", "vec_id")).select((F.shiftleft("block", 20) + F.col("k")).alias("row"), "vec_id")
-    members = cut(members.join(counts, "row", "left").join(labels, F.col("row") == F.col("node"), "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("label", "row").alias("label")))
-    least = cut(members.groupBy("label").agg(F.min("vec_id").alias("component_id")))
-    linked = members.join(least, "label").select("vec_id", "n_links", "component_id")
+    left = made.select(F.col("block").alias("a"), "d", F.col("v").alias("va"), F.col("rows").alias("ra"), F.col("counts").alias("ca"))
+    right = made.select(F.col("block").alias("b"), F.col("v").alias("vb"), F.col("rows").alias("rb"), F.col("counts").alias("cb"))
+    pairs = near_blocks(made, settings).join(left, "a").join(right, "b")
+    found = cut(compare(pairs, axes, _dtype(rows), settings))
+    counts = found.groupBy("row").agg(F.sum("n").alias("links"))
+    labels = components(found.select(F.col("row").alias("a"), F.col("near").alias("b"))).withColumnsRenamed({"node": "row", "label": "component"})
+    nodes = ordered.select("label", "embedding", "first", "n", "row").join(counts, "row", "left").join(labels, "row", "left")
+    nodes = cut(nodes.select(F.struct("label", "embedding").alias("key"), "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "row").alias("component")))
+    least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+    nodes = cut(split_join(nodes, least, "component", ["first"]).select("key", "n_links", "component_id"))
+    linked = split_join(full, nodes, "key", ["vec_id"]).select("vec_id", "n_links", "component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

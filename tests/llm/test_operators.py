@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from lodefit.functions.skew import hot_keys, split_join
 from lodefit.llm import bpe, catalogue, common, components, html_text, langid, pfair, quality_knn, quality_rules, secret_ledger, simhash, substring, vector_join
 
 SF = "/root/testdata/sf0.001"
@@ -549,6 +550,44 @@ def test_vector_join(spark, settings):
     assert vector_join.near_duplicates(df.limit(0), settings).count() == 0
 
 
+def test_vector_join_skips_what_is_far(spark):
+    """Tight clusters: most pairs of blocks are provably distant, and what is left gives every link."""
+    rng = np.random.default_rng(8)
+    rows = [(40 * c + k, (centre + 0.01 * rng.normal(size=6)).tolist(), 0) for c, centre in enumerate(rng.normal(size=(20, 6))) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    s = vector_join.Settings(block_rows=40, leaf_rows=8)
+    distinct = df.selectExpr("label", "embedding", "vec_id AS first", "1L AS n")
+    axes = spark.sparkContext.broadcast(vector_join.principal_axes(distinct))
+    made = vector_join.blocks(vector_join.in_order(distinct, s, axes), axes)
+    n = made.count()
+    assert n == 20 and {len(r["rows"]) for r in made.collect()} == {40}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert vector_join.blocks(vector_join.in_order(distinct, s, axes), axes).count() == n  # by rows, not by partitions
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert n <= vector_join.near_blocks(made, s).count() < n * (n + 1) / 2 / 3
+    assert sorted(map(tuple, vector_join.near_duplicates(df, s).collect()), key=str) == brute_vectors(rows)
+
+
+def test_vector_join_ties_copies_and_clashes(spark):
+    """A cosine of exactly the threshold links; a crowd of copies counts each of its members; clashing columns are ignored."""
+    tie, below = [3.0, 4.0], [3.0 - 1e-9, 4.0]
+    rows = [(1, [1.0, 0.0], 1), (2, tie, 1), (3, below, 1), (2, tie, 1), (None, tie, 2), (5, [-0.0, 1.0], 3), (6, [0.0, 1.0], 3)] + [(100 + k, [0.0, -1.0], 1) for k in range(300)]
+    df = spark.createDataFrame([(*r, 7, 8, 9, 10) for r in rows], "vec_id long, embedding array<double>, label int, row long, key long, n long, block long")
+    got = sorted(map(tuple, vector_join.near_duplicates(df, vector_join.Settings(cosine=0.6)).collect()), key=str)
+    assert got == brute_vectors(rows, 0.6)
+
+
+def test_split_join_keeps_every_row(spark):
+    rows = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN null ELSE id END AS k")
+    by_key = spark.range(1500).selectExpr("id AS k", "id * 2 AS v")
+    assert [k for k, _ in hot_keys(rows, "k")] == [7]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert sorted(map(tuple, split_join(rows, by_key, "k", ["id"], how).collect()), key=str) == sorted(map(tuple, rows.join(by_key, "k", how).collect()), key=str)
+    assert split_join(rows.limit(0), by_key, "k", ["id"]).count() == 0
+
+
 def test_draw(spark):
     rows = spark.range(5000).withColumnRenamed("id", "doc_id")
     one = {r["doc_id"] for r in common.draw(rows, 100, "doc_id").collect()}
