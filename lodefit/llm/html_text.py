@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from lodefit.llm.common import batch_of, small_batches, table, texts
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_START = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9-]*))", re.I)
+_ATTRIBUTES = {q: re.compile("(?:[^>" + q + "]+" + "".join(f"|{c}[^{c}]*{c}" for c in q) + ")*+") for q in ("\"'", '"', "'", "")}
+#: Elements whose inside isn't markup, and where it ends.
+RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style noscript template textarea svg iframe title".split()}
+#: Decimal character references that are too long for any character, but for leading zeros.
+_LONG_REFERENCE = re.compile(r"&#(0*)([0-9]{8,})")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,6 +43,8 @@ IMPLIED = {
     )
     for start in starts.split()
 }
+#: Open elements that are told apart; what is nested deeper belongs to the deepest of them, as in browsers.
+DEPTH = 512
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 #: Parts of class, id and role names that mark what isn't the article.
 MARKS = frozenset(
@@ -53,10 +55,12 @@ MARKS = frozenset(
 
 @dataclass(frozen=True)
 class Settings:
-    """window: lines of a sliding window; surge: characters of a window at which text of no article element begins."""
+    """window: lines of a sliding window; surge: characters outside links that a window must reach for text of no
+    article element; dive: characters of a window below which such text has not begun or is over."""
 
     window: int = 3
     surge: int = 86
+    dive: int = 30
 
 
 #: Beginnings that mark as well, and first parts of a name that only say something of another element.
@@ -66,6 +70,70 @@ MODIFIERS = frozenset("has hide is no show with without".split())
 OTHER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo related replies reply sponsored teaser".split())
 
 
+@dataclass(frozen=True)
+class Tag:
+    """A piece of markup: a comment or declaration has no name; raw: an element whose inside isn't read, up to its end."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    raw: bool = False
+    attributes: str = ""
+
+
+class Tags:
+    """The markup of a page from any place on, in time linear in the page, whatever is left unclosed.
+
+    A tag with no > after it is text. A quote that nothing closes is a letter like
+    any other; and once all of the rest would be one tag, quotes hold nothing any more.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.plain = len(page)  # tags that start from here on have no quotes
+
+    def next(self, pos: int) -> Tag | None:
+        page = self.page
+        while (m := _START.search(page, pos)) is not None:
+            start, pos = m.start(), m.end()
+            if m[1] or m[2]:
+                end = page.find("-->" if m[1] else "]]>", pos)
+                return Tag(start, len(page) if end < 0 else end + 3)
+            if pos > self.last:
+                continue
+            if m[3]:
+                return Tag(start, page.index(">", start) + 1)
+            end = self._end_of_attributes(start, pos)
+            name, attributes = m[5].lower(), page[pos:end]
+            if not m[4] and name in RAW and not (name == "svg" and attributes.endswith("/")):
+                close = RAW[name].search(page, end + 1)
+                return Tag(start, close.end() if close else len(page), raw=True)
+            return Tag(start, end + 1, name, bool(m[4]), False, attributes)
+        return None
+
+    def _end_of_attributes(self, start: int, pos: int) -> int:
+        """Where the > is that ends a tag; there is one after pos."""
+        page, at = self.page, pos
+        quotes = "\"'" if start < self.plain else ""
+        while True:
+            at = _ATTRIBUTES[quotes].match(page, at).end()
+            if at >= len(page):
+                self.plain = start
+                return page.index(">", pos)
+            if page[at] == ">":
+                return at
+            quotes = quotes.replace(page[at], "")
+            at += 1
+
+
+def _unescape(text: str) -> str:
+    if "&#" in text:
+        text = _LONG_REFERENCE.sub(lambda m: f"&#{m[2][:8]}", text)
+    return html.unescape(text)
+
+
 def _names(attributes: str) -> Iterator[list[str]]:
     """The words of each class, id and role name, but for names that only modify."""
     if attributes:
@@ -98,6 +166,7 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
     within: tuple[int, ...] = ()
     state = {"free": 0, "article": 0, "link": 0}
     stack: list[tuple[str, int]] = []  # open elements and where their tags start
+    outer: list[tuple[int, int]] = []  # the two innermost blocks at each of them
     count: Counter[str] = Counter()  # of each name in it
     skip, at = -1, 0  # the place in the stack of the element that is skipped
     start, unclosed = 0, set()
@@ -119,17 +188,11 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
         state["free"] = 0
 
     def blocks(most: int) -> tuple[int, ...]:
-        found = []
-        for name, at in reversed(stack):
-            if name not in INLINE:
-                found.append(at)
-                if len(found) == most:
-                    break
-        return (*found, -1)[:most]
+        return outer[-1][:most] if outer else (-1, -1)[:most]
 
     def add(raw: str) -> None:
         nonlocal within
-        text = html.unescape(raw)
+        text = _unescape(raw)
         if not text.isspace():
             within = blocks(2)
         held.append(text)
@@ -137,12 +200,16 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
             state["free"] += len(text.strip())
 
     def push(name: str, start: int) -> None:
+        if len(stack) >= DEPTH and skip < 0:
+            return
+        inner = outer[-1] if outer else (-1, -1)
+        outer.append(inner if name in INLINE else (start, inner[0]))
         stack.append((name, start))
         count[name] += 1
 
     def pop(i: int, to: int | None = None) -> None:
         count.subtract([n for n, _ in stack[i:to]])
-        del stack[i:to]
+        del stack[i:to], outer[i:to]
 
     def implied(name: str) -> None:
         """Close what a start of name closes."""
@@ -180,9 +247,9 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
         unclosed.update(at for _, at in stack[skip:])
         return True
 
-    pos = 0
+    pos, tags = 0, Tags(page)
     while True:
-        m = _TOKEN.search(page, pos)
+        m = tags.next(pos)
         if m is None:
             if skip >= 0 and again():
                 pos = at = start
@@ -190,21 +257,21 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
                 skip = -1
                 continue
             break
-        pos = m.end()
-        if skip < 0 and m.start() > at:
-            add(page[at : m.start()])
+        pos = m.end
+        if skip < 0 and m.start > at:
+            add(page[at : m.start])
         at = pos
-        name = (m[3] or "").lower()
+        name = m.name
         if not name:
-            if skip < 0 and m[1]:
+            if skip < 0 and m.raw:
                 close()
             continue
-        if skip >= 0 and m[2] and name in ("body", "html") and again():
+        if skip >= 0 and m.closing and name in ("body", "html") and again():
             pos = at = start
             pop(skip)
             skip = -1
             continue
-        if m[2]:
+        if m.closing:
             own_end = skip >= 0 and name == stack[skip][0]
             end(name)
         else:
@@ -212,27 +279,27 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, bool]]:
             implied(name)
         if skip >= 0:
             if len(stack) > skip:
-                if not m[2] and name not in VOID and not m[4].endswith("/"):
-                    push(name, m.start())
+                if not m.closing and name not in VOID and not m.attributes.endswith("/"):
+                    push(name, m.start)
                 continue
             skip = -1
             if own_end:
                 continue
-        if not m[2] and m.start() not in unclosed and outside(name, m[4]):
+        if not m.closing and m.start not in unclosed and outside(name, m.attributes):
             close()
             gaps.append((len(lines), blocks(1)[0]))
             lines.extend([("", 0, False)] * window)
             places.extend([()] * window)
-            skip, start = len(stack), m.start()
-            push(name, m.start())
+            skip, start = len(stack), m.start
+            push(name, m.start)
             continue
-        if not m[2] and name not in VOID and not m[4].endswith("/"):
-            push(name, m.start())
+        if not m.closing and name not in VOID and not m.attributes.endswith("/"):
+            push(name, m.start)
         if name == own:
             close()
-            state["article"] = max(0, state["article"] + (-1 if m[2] else 1))
+            state["article"] = max(0, state["article"] + (-1 if m.closing else 1))
         if name == "a":
-            state["link"] = 0 if m[2] else 1
+            state["link"] = 0 if m.closing else 1
         elif name not in INLINE:
             close()
             state["link"] = 0
@@ -270,8 +337,15 @@ def extract(page: str | None, settings: Settings = Settings()) -> str:
         while dive < len(lines) and sums[dive]:
             dive += 1
         peak = max(sums[i:dive])
-        if marked or peak >= settings.surge or any(article for _, _, article in lines[i:dive]):
+        if marked or any(article for _, _, article in lines[i:dive]):
             kept.append((i, dive))
+        elif peak >= settings.surge:
+            first, last = i, dive - 1
+            while sums[first] < min(peak, settings.dive):
+                first += 1
+            while sum(weight[max(first, last - k + 1) : last + 1]) < min(peak, settings.dive) and last > first:
+                last -= 1
+            kept.append((first, last + 1))
         elif best is None or peak > best[0]:
             best = (peak, i, dive)
         i = dive

@@ -5,6 +5,7 @@ import html
 import random
 import re
 import struct
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -456,6 +457,30 @@ def test_html_keeps_short_and_linked_lines():
     assert html_text.extract(f"<div><h1>Title</h1><p>{long}</p></div>{card}").startswith(f"Title {long}")
 
 
+def test_html_density_decides_where_no_element_does():
+    """No article, class or header tags: windows of text outside links, surges and dives."""
+    long, menu = prose(60), "".join(f"<div>{w}</div>" for w in ("Home", "News", "Shop", "Jobs", "Help"))
+    page = f"<body><div><a href=a>One</a> <a href=b>Two</a></div>{menu}<div>A heading of the text</div><p>{long}</p><p>The end.</p>{menu}</body>"
+    want = f"News Shop Jobs Help A heading of the text {long} The end."
+    found = html_text.extract(page)
+    assert f"A heading of the text {long} The end." in found and "One" not in found and not found.startswith("Home") and not found.endswith("Help")
+    assert len({html_text.extract(page, html_text.Settings(window=w)) for w in (1, 2, 3, 5)}) > 2 and want != found
+    two = f"<p>A short remark.</p><select><option>x</select><p>{long}</p>"
+    parts = f"<table><tr><td>A short remark.</td></tr></table><form>f</form><table><tr><td>{long}</td></tr></table>"
+    assert html_text.extract(parts) == long and html_text.extract(parts, html_text.Settings(surge=10)) == f"A short remark. {long}"
+    assert html_text.extract(two).endswith(long)
+
+
+def test_html_is_linear():
+    n = 1 << 20
+    for unit in ("<a ", '<a "', "<a \"'", '<a ">"', "<b>a", "<div>a", "<nav>", "<div class=ad>x", "</script ", "<!--", "<b><div>x</b>", "<p><td><div>", "<a x='"):
+        began = time.process_time()
+        html_text.extract(unit * (n // len(unit)))
+        assert time.process_time() - began < 4, unit  # far from the hour of a quadratic reading
+    assert html_text.extract("x<a " * 3) == "x<a x<a x<a" and html_text.extract('<p title="open>one</p><p>two</p>') == "one two"
+    assert html_text.extract("&#" + "9" * 6000 + ";&#0000000065;") == "\ufffdA"
+
+
 # ---- 9 bpe -------------------------------------------------------------------------------
 
 
