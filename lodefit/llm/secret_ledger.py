@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefit.llm.common import cut, table
+from lodefit.functions.skew import split_join
+from lodefit.llm.common import shared_dir, table
 
 _SPANS = "array<struct<start:int,ord:int,end:int,kind:string,rule:string>>"
 REDACTED = "[SECRET]"
+#: Spans are walked in runs of this many, so that a list is never copied whole at each span.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -44,7 +49,13 @@ RULES = (
     # a run is maximal, so the least length can stand in the pattern
     Rule("access", "AKIA[A-Z0-9]{12,}"),
     Rule("hex", "[0-9a-f]{32,}"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # the whole key where its end is there, else its header; a body has no dash, so no text is read twice
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+        r"(?:(?:[\x20\t\r\n]{0,9}Proc-Type:[^\n]{0,80}\n[\x20\t]{0,9}DEK-Info:[^\n]{0,80}\n)?[A-Za-z0-9+/=\x20\t\r\n\\]*-----END [A-Z ]{0,32}PRIVATE KEY-----)?",
+        version=2,
+    ),
     Rule("forge", "gh[oprsu]_[A-Za-z0-9]{36,}"),
 )
 BASE_KINDS = ("assign", "access", "hex")
@@ -65,27 +76,47 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
 
     def walk(s: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(s["p"][i])
-            end = start + F.length(s["m"][i])
+        steps = F.transform(s["m"], lambda m, i: F.struct(F.length(s["p"][i]).alias("gap"), F.length(m).alias("n"), F.length(s["g"][i]).alias("g")))
+        return let(steps, lambda x: let(runs_of(x), places))
+
+    def places(runs: Column) -> Column:
+        sizes = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + x["gap"] + x["n"]))
+        return F.flatten(F.zip_with(runs, before_each(sizes, lambda a, b: a + b), run))
+
+    def run(steps: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + x["n"]
             span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"))
             more = F.concat(acc["spans"], F.array(span).cast(_SPANS))
-            return F.struct(end.alias("at"), F.when(F.length(s["g"][i]) >= rule.least, more).otherwise(acc["spans"]).alias("spans"))
+            return F.struct(end.alias("at"), F.when(x["g"] >= rule.least, more).otherwise(acc["spans"]).alias("spans"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(s["m"]) - 1), F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+        return F.aggregate(steps, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
     found = let(F.struct(matches.alias("m"), F.split(text, rule.pattern, -1).alias("p"), groups.alias("g")), walk)
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
-def addressed(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with blob, the SHA-256 of its text; a null text is the empty blob."""
-    return rows.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+def runs_of(items: Column) -> Column:
+    """An array in pieces of RUN elements; at least one piece."""
+    return F.transform(F.sequence(F.lit(0), (F.greatest(F.size(items) - 1, F.lit(0)) / RUN).cast("int")), lambda k: F.slice(items, k * RUN + 1, RUN))
+
+
+def before_each(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """What the values before each one merge to, from 0."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(values, start, lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+
+def address(text: Column) -> Column:
+    """The blob of a text, its SHA-256; a null text is the empty blob."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def unseen(rows: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """rows(blob, text) -> blob, text, todo: each blob once, with the rule versions the ledger lacks for it."""
     names = F.array(*[F.lit(r.name) for r in rules])
+    # copies meet map-side first, so a blob that many rows hold is sent once by each task
     blobs = rows.groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
     if ledger is None:
         return blobs.withColumn("todo", names)
@@ -100,37 +131,46 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob", F.col("todo").alias("rules"), F.flatten(F.array(*every)).alias("spans"))
 
 
-def findings(rows: DataFrame, rules: tuple[Rule, ...] = RULES, ledger_path: str | None = None) -> DataFrame:
-    """rows(text, blob, ...) -> blob, spans, for the blobs with findings of the current rule versions.
-
-    With ledger_path the table there is read, what it lacks is scanned and appended,
-    and a run that broke off is made good by the next. Without it the ledger lasts for this call.
-    """
-    spark = rows.sparkSession
-    if ledger_path is None:
-        return cut(scan(unseen(rows, None, rules), rules).where(F.size("spans") > 0).select("blob", F.sort_array("spans").alias("spans")))
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger table at path; None where there is none yet."""
     try:
-        before = spark.read.parquet(ledger_path)
-        before = before if {"blob", "rules", "spans"} <= set(before.columns) else None
-    except Exception as e:  # no ledger yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        before = None
+        return None
+    return found if {"blob", "rules", "spans"} <= set(found.columns) else None
+
+
+def record(rows: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> None:
+    """Scan what the ledger lacks of rows(blob, text) and append it; a run that broke off is made good by the next."""
+    before = read_ledger(rows.sparkSession, ledger_path)
     scan(unseen(rows, before, rules), rules).write.mode("append").parquet(ledger_path)
+
+
+def findings(spark: SparkSession, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, spans: the ledger's findings of the current rule versions, for the blobs that have any."""
     names = [r.name for r in rules]
     now = spark.read.parquet(ledger_path).select("blob", F.explode("spans").alias("s")).where(F.col("s.rule").isin(names))
     return now.groupBy("blob").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
 
-def scan_versions(rows: DataFrame, rules: tuple[Rule, ...] = RULES, ledger_path: str | None = None) -> DataFrame:
-    """rows(text, ...) -> the same rows with blob and spans; no findings are an empty array.
+def scan_versions(rows: DataFrame, rules: tuple[Rule, ...] = RULES, ledger_path: str | None = None, text: str = "text", path: str | None = None) -> DataFrame:
+    """rows -> the same rows with blob and spans; no findings are an empty array.
 
-    Null and empty texts hold nothing; copies of a text are scanned once. A column
-    named blob or spans in rows is replaced.
+    The ledger is the table at ledger_path, or one in the shared folder that
+    nothing else knows. text and path name the columns of the text and of what tells
+    rows of equal text apart; either may be a field of a struct. Null and empty texts
+    hold nothing; copies of a text are scanned once. A column named blob or spans in
+    rows is replaced, and none may be named _spot or _pieces.
     """
-    rows = addressed(rows.drop("blob", "spans"))
-    found = findings(rows.select("text", "blob"), rules, ledger_path)
-    return rows.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    spark = rows.sparkSession
+    ledger_path = ledger_path or f"{shared_dir(spark)}/secret-ledger-{uuid4().hex}"
+    rows = rows.drop("blob", "spans").withColumn("blob", address(F.col(text)))
+    record(rows.select("blob", F.col(text).alias("text")), ledger_path, rules)
+    found = findings(spark, ledger_path, rules)
+    apart = [path] if path else [c for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+    return split_join(rows, found, "blob", apart, "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 
 
 def written(spans: Column) -> Column:
@@ -139,21 +179,41 @@ def written(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """text with each run of overlapping spans replaced by REDACTED; spans sorted by start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each run of overlapping spans replaced by REDACTED; spans sorted by start.
+
+    Each run of spans works on its own part of the text, from the end of what the runs before it cover.
+    """
+    runs = runs_of(spans)
+    ends = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, s: F.greatest(n, s["end"])))
+
+    def step(base: Column, part: Column) -> Callable[[Column, Column], Column]:
+        def one(acc: Column, s: Column) -> Column:
+            fresh = s["start"] >= acc["at"]
+            out = F.when(fresh, F.concat(acc["out"], F.substring(part, acc["at"] - base + 1, s["start"] - acc["at"]), F.lit(REDACTED))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+        return one
+
+    def run(r: Column, at: Column, end: Column) -> Column:
+        part = F.substring(text, at + 1, F.greatest(end - at, F.lit(0)))
+        return let(part, lambda p: F.aggregate(r, F.struct(at.alias("at"), F.lit("").alias("out")), step(at, p), lambda acc: acc["out"]))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(REDACTED))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def whole(x: Column) -> Column:
+        parts = F.transform(x["runs"], lambda r, k: run(r, x["at"][k], F.greatest(x["at"][k], x["ends"][k])))
+        last = F.array_max(x["ends"])
+        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    placed = let(F.struct(runs.alias("runs"), ends.alias("ends")), lambda x: let(F.struct(x["runs"].alias("runs"), x["ends"].alias("ends"), before_each(x["ends"], F.greatest).alias("at")), whole))
+    return F.when(F.size(spans) > 0, placed).otherwise(text)
 
 
 def op3_secret_ledger(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_versions(docs)
+    ledger = f"{shared_dir(spark)}/secret-ledger-{uuid4().hex}"
+    # half of the blobs are there from before, so the scan of all finds them seen
+    blobs = docs.select(address(F.col("text")).alias("blob"), "text")
+    record(blobs.where(F.col("blob") < "8"), ledger)
+    found = scan_versions(docs, ledger_path=ledger, path="doc_id")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select("doc_id", *[_count(k) for k in BASE_KINDS], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
