@@ -31,9 +31,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_ledger_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text, and n_chars follows."""
-    found = secret_ledger.scan_versions(docs.select(F.struct("*").alias("_row"), "text"))
+    found = secret_ledger.scan_versions(docs.select(F.struct("*").alias("_row")), text="_row.text", path="_row.doc_id")
     hit = F.size("spans") > 0
-    row = F.col("_row").withField("text", secret_ledger.redact(F.col("text"), F.col("spans")))
+    row = F.col("_row").withField("text", secret_ledger.redact(F.col("_row.text"), F.col("spans")))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(hit, F.length(row["text"]).cast("long")).otherwise(F.col("_row.n_chars")))
     return found.select(F.when(hit, row).otherwise(F.col("_row")).alias("_row")).select("_row.*")
