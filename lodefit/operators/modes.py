@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -11,16 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodefit.functions.shared import cut
 from lodefit.functions.shipping import ship
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodefit-"))
-    return df.checkpoint(eager=True)
-
-
 def mad_scale(rows: DataFrame, value: Column, key: Sequence[str] = ()) -> DataFrame:
     """n, median and 1.4826 times the median absolute deviation, for each key."""
     v = rows.select(*key, value.cast("double").alias("_v"))
@@ -74,13 +67,13 @@ def near_pairs(rows: DataFrame, radius: float, dims: int = 2) -> DataFrame:
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, label: the smallest id that edges(a, b) lead to; labels are hooked and shortened until they hold."""
-    both = _cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _cut(nodes.select("id", F.col("id").alias("label")))
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(nodes.select("id", F.col("id").alias("label")))
     while True:
         seen = both.join(labels, both.a == labels.id).select(F.col("b").alias("id"), "label").unionByName(labels)
-        least = _cut(seen.groupBy("id").agg(F.min("label").alias("label")))
+        least = cut(seen.groupBy("id").agg(F.min("label").alias("label")))
         up = least.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        new = _cut(least.join(up, least.label == up.via).select("id", F.least("label", "far").alias("label")))
+        new = cut(least.join(up, least.label == up.via).select("id", F.least("label", "far").alias("label")))
         moved = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
         labels = new
         if not moved:
@@ -100,9 +93,9 @@ def single_linkage(rows: DataFrame, radius: float, min_size: int = 1) -> DataFra
 
 def dbscan(rows: DataFrame, radius: float, min_neighbors: int = 5, min_size: int = 1) -> DataFrame:
     """Components of core rows; a border row joins the smallest core neighbour's, the rest are noise."""
-    pairs = _cut(near_pairs(rows, radius))
+    pairs = cut(near_pairs(rows, radius))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    core = _cut(both.groupBy("a").count().where(F.col("count") + 1 >= min_neighbors).select(F.col("a").alias("id")))
+    core = cut(both.groupBy("a").count().where(F.col("count") + 1 >= min_neighbors).select(F.col("a").alias("id")))
     inner = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
     labels = connected(core, inner)
     border = both.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("label")).select(F.col("a").alias("id"), "label")
@@ -116,7 +109,7 @@ def nearest(rows: DataFrame, radius: float, widen: bool = True, dims: int = 2) -
     Rows meet in grid cells of the first dims coordinates, one radius wide; the radius doubles for
     rows without a neighbour that near, until none is left. Without widen those rows are left out.
     """
-    rows = _cut(rows.select("id", "z"))
+    rows = cut(rows.select("id", "z"))
     norm = rows.agg(F.max(F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 0.0
     left, found = rows, []
     while True:
@@ -127,10 +120,10 @@ def nearest(rows: DataFrame, radius: float, widen: bool = True, dims: int = 2) -
         every = rows.select(F.col("id").alias("b"), F.col("z").alias("zb"), *[cell(k).alias(f"c{k}") for k in range(dims)])
         d2 = distance2(F.col("za"), F.col("zb"))
         met = here.join(every, [f"c{k}" for k in range(dims)]).where((F.col("a") != F.col("b")) & (d2 <= radius * radius))
-        found.append(_cut(met.groupBy(F.col("a").alias("id")).agg(F.min(F.sqrt(d2)).alias("d"))))
+        found.append(cut(met.groupBy(F.col("a").alias("id")).agg(F.min(F.sqrt(d2)).alias("d"))))
         if not widen or radius >= 2 * norm:
             break
-        left = _cut(left.join(found[-1], "id", "left_anti"))
+        left = cut(left.join(found[-1], "id", "left_anti"))
         if not left.limit(1).count():
             break
         radius *= 2
@@ -159,7 +152,7 @@ def modes(samples: DataFrame, labels: DataFrame, fmin: float | None = None) -> D
 
 def find_solution_modes(samples: DataFrame, errors, covariance=None, radius: float = 1.0, min_size: int = 5, how: str = "auto", fmin: float | None = None, method: str = "linkage", refit: Callable | None = None) -> DataFrame:
     """From samples(id, p, fval) to modes; refit(p) -> (p, fval) polishes each representative, one task each."""
-    z = _cut(whiten(samples, whitener(samples, how, covariance, errors)).select("id", "z"))
+    z = cut(whiten(samples, whitener(samples, how, covariance, errors)).select("id", "z"))
     labels = dbscan(z, radius, min_size, min_size) if method == "dbscan" else single_linkage(z, radius, min_size)
     found = modes(samples, labels, fmin)
     if refit is None:
@@ -178,7 +171,7 @@ def find_deeper_by_resampling(fit, replicates: DataFrame, radius: float = 3.0, m
     """Starts the fit anew from each distinct solution among replicates(rep, p, valid) of its free parameters, and keeps the deepest."""
     fit._need()
     free = fit.parameters.free
-    good = _cut(replicates.where("valid").select(F.col("rep").cast("long").alias("id"), "p").withColumn("fval", F.lit(0.0)))
+    good = cut(replicates.where("valid").select(F.col("rep").cast("long").alias("id"), "p").withColumn("fval", F.lit(0.0)))
     z = whiten(good, whitener(good, "errors", errors=fit.errors[free])).select("id", "z")
     found = modes(good, single_linkage(z, radius, min_size)).collect()
     best = (fit.fval, fit.parameters)
