@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodefit.functions.shared import cut, shared_dir
 from lodefit.functions.shipping import ship
 
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "FEW", "batch_of", "cut", "draw", "held_out", "shared_dir", "small_batches", "table", "texts"]
+
 #: Rows of one Arrow batch handed to a Python worker; bounds its memory.
 BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
+#: A table of counted size is broadcast up to so many rows of a few numbers; a larger one is joined by exchange.
+FEW = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,23 +29,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found is None:
-        found = tempfile.mkdtemp(prefix="lodefit-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def draw(rows: DataFrame, most: int, key: str) -> DataFrame:
     """At most so many rows, those of the smallest hashes of key; all of them if there are fewer.
 

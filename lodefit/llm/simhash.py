@@ -9,9 +9,9 @@ or nearly equal values and candidates verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodefit.llm.common import batch_of, cut, small_batches, table, texts
+from lodefit.functions.skew import split_join
+from lodefit.llm.common import FEW, batch_of, cut, small_batches, table, texts
 from lodefit.llm.components import components
 
 BITS = 64
@@ -30,8 +31,7 @@ _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 @dataclass(frozen=True)
 class Settings:
-    """full_bucket: a value shared by more fingerprints than this isn't paired but
-    linked through the one-bit neighbours of its members, which is as exact."""
+    """full_bucket: a bucket of more fingerprints than this is split by further groups."""
 
     shingle_words: int = 3
     radius: int = 2
@@ -147,46 +147,71 @@ def plan(n: int, both: np.ndarray, settings: Settings) -> list[tuple[list[int],
     return min(plans, key=lambda x: x[0])[1]
 
 
-def _mask(bits) -> int:
+def mask_of(bits) -> int:
     value = sum(1 << i for i in bits)
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _flipped(flips: Column, k: int, mask: int) -> Column:
-    return F.transform(flips, lambda x: F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(x).alias("v")))
+@dataclass(frozen=True)
+class Path:
+    """The bits that a bucket's members have in common, and the further groups that a full bucket is split by."""
+
+    bits: tuple[int, ...]
+
+    def split(self, radius: int) -> list[Path]:
+        """Two fingerprints of a bucket, within the radius, agree in one of radius + 1 groups of the other bits."""
+        left = [i for i in range(BITS) if i not in self.bits]
+        return [Path(tuple(sorted((*self.bits, *left[k :: radius + 1])))) for k in range(radius + 1)] if len(left) > 2 * (radius + 1) else []
+
+
+def _viewed(k: int, mask: Column) -> Callable[[Column], Column]:
+    def flipped(x: Column) -> Column:
+        view = F.col("fp").bitwiseXOR(x)
+        return F.struct(F.lit(k).alias("path"), view.alias("view"), view.bitwiseAND(mask).alias("v"))
+
+    return flipped
 
 
 def links(fps: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """fps(fp, rep), distinct -> a, b: links that join the same fingerprints as all pairs within the radius do."""
+    """fps(fp, rep), distinct -> a, b: all pairs within the radius.
+
+    A bucket of more than full_bucket fingerprints isn't paired: its members go to
+    buckets of further groups, as often as needed. What is left when too few bits
+    are to split has few members, as fingerprints are distinct.
+    """
+    spark = fps.sparkSession
     n, both = bit_statistics(fps)
     chosen = plan(n, both, settings) if n else [([0], 0)]
+    paths = [Path(tuple(group)) for group, _ in chosen]
     own, probes = [], []
     for k, (group, t) in enumerate(chosen):
-        mask = _mask(group)
-        flips = F.array(*[F.lit(_mask(c)) for size in range(t + 1) for c in combinations(group, size)])
-        own.append(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")))
-        probes.append(_flipped(flips, k, mask))
-    index = fps.select("fp", "rep", F.explode(F.array(*own)).alias("e")).select("e.k", "e.v", "fp", "rep")
-    probe = fps.select("fp", "rep", F.explode(F.flatten(F.array(*probes))).alias("e")).select("e.k", "e.v", "fp", "rep")
-    full = cut(index.groupBy("k", "v").count().where(F.col("count") > settings.full_bucket).select("k", "v"))
-    few = index.join(full, ["k", "v"], "left_anti").select("k", "v", F.col("fp").alias("fp_a"), F.col("rep").alias("a"))
-    ask = probe.join(full, ["k", "v"], "left_anti").select("k", "v", F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
+        mask = F.lit(mask_of(group))
+        flips = F.array(*[F.lit(mask_of(c)) for size in range(t + 1) for c in combinations(group, size)])
+        own.append(F.struct(F.lit(k).alias("path"), F.col("fp").alias("view"), F.col("fp").bitwiseAND(mask).alias("v")))
+        probes.append(F.transform(flips, _viewed(k, mask)))
+    index = fps.select("fp", "rep", F.explode(F.array(*own)).alias("e")).select("e.*", "fp", "rep")
+    probe = fps.select("fp", "rep", F.explode(F.flatten(F.array(*probes))).alias("e")).select("e.*", "fp", "rep")
     near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= settings.radius
-    pairs = few.join(ask, ["k", "v"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowd = probe.join(full, ["k", "v"], "left_semi").select("fp", "rep").dropDuplicates(["fp"])
-    return pairs.unionByName(neighbour_links(crowd, settings.radius))
-
-
-def neighbour_links(crowd: DataFrame, radius: int) -> DataFrame:
-    """Links among fps(fp, rep) through shared one-bit neighbours: two fingerprints differ in at
-    most two bits exactly if flipping at most one bit of each can make them equal. At most 65
-    fingerprints have a neighbour in common, so no group is large."""
-    if radius != 2:
-        raise ValueError("one-bit neighbours decide a radius of 2")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_mask([i])) for i in range(BITS)])
-    near = crowd.select("rep", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("v"))
-    met = near.groupBy("v").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
-    return met.select("a", F.explode("all").alias("b")).where("a <> b")
+    found = []
+    while True:
+        children = {k: p.split(settings.radius) for k, p in enumerate(paths)}
+        most = F.when(F.col("path").isin([k for k, c in children.items() if c]), settings.full_bucket).otherwise(1 << 62)
+        full = cut(index.groupBy("path", "v").count().where(F.col("count") > most).select("path", "v"))
+        crowded = full.count()
+        full = F.broadcast(full) if crowded <= FEW else full
+        few = index.join(full, ["path", "v"], "left_anti").select("path", "v", F.col("fp").alias("fp_a"), F.col("rep").alias("a"))
+        ask = probe.join(full, ["path", "v"], "left_anti").select("path", "v", F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
+        met = few.join(ask, ["path", "v"]).where((F.col("a") != F.col("b")) & near)
+        found.append(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not crowded:
+            return reduce(DataFrame.unionByName, found)
+        paths, rows = [], []
+        for k, split in children.items():
+            for p in split:
+                rows.append((k, len(paths), mask_of(p.bits)))
+                paths.append(p)
+        further = F.broadcast(spark.createDataFrame(rows, "path int, next int, mask long"))  # radius + 1 rows for each path
+        index, probe = (cut(x.join(full, ["path", "v"], "left_semi").join(further, "path").select(F.col("next").alias("path"), "view", F.col("view").bitwiseAND(F.col("mask")).alias("v"), "fp", "rep")) for x in (index, probe))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -202,10 +227,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     nodes = fps.select("fp", F.col("fp").alias("rep"))
     found = components(links(nodes, settings))
-    joined = fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = cut(joined.groupBy("label").agg(F.min("first").alias("component_id")))
-    by_fp = cut(joined.join(least, "label").select("fp", "component_id"))
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    joined = cut(fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
+    least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
+    by_fp = cut(split_join(joined, least, "label", ["fp"]).select("fp", "component_id"))
+    return split_join(marked, by_fp, "fp", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lodefit.functions.skew import hot_keys, split_join
-from lodefit.llm import bpe, catalogue, common, components, html_text, langid, pfair, quality_knn, quality_rules, secret_ledger, simhash, substring, vector_join
+from lodefit.llm import bpe, catalogue, common, components, html_text, langid, near_copies, pfair, quality_knn, quality_rules, secret_ledger, simhash, substring, vector_join
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -418,6 +418,93 @@ def test_links_lose_none(spark, settings):
     assert {f: got.get(f, f) for f in fps} == {f: least[r] for f, r in zip(fps, roots)}
 
 
+def test_full_buckets_are_split_for_any_radius(spark):
+    base = rnd.getrandbits(64)
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in (base ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(150))})
+    df = spark.createDataFrame([(f, f) for f in fps], "fp long, rep long")
+    for radius in (0, 1, 3):
+        pairs = {(r["a"], r["b"]) for r in simhash.links(df, simhash.Settings(radius=radius, full_bucket=5)).collect()}
+        assert pairs == {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
+
+
+def test_simhash_whole_table(spark):
+    texts = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.op7_simhash(spark, "/root/testdata/sf0.01").collect()}
+    fps = [brute_fingerprint(t) for _, t in texts]
+    roots = brute_components(fps)
+    least = {r: min(i for (i, _), q in zip(texts, roots) if q == r) for r in roots}
+    assert got == {i: (f, least[r]) for (i, _), f, r in zip(texts, fps, roots)}
+
+
+def brute_near_copies(rows, least=0.8, n=5):
+    """The component of each row by all pairs of shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((tuple(w), {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for i, (_, s) in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    for i, (w, s) in enumerate(sets):
+        for j, common in Counter(j for x in s for j in holders[x] if j < i).items():
+            if common >= least * (len(s) + len(sets[j][1]) - common):
+                parent[find(i)] = find(j)
+        if not w:
+            parent[find(i)] = find(next(j for j in range(i + 1) if not sets[j][0]))
+    return [find(i) for i in range(len(rows))]
+
+
+def edited(text, share):
+    return " ".join(rnd.choice("abcdefgh") * 5 + str(rnd.random()) if rnd.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("settings", [near_copies.Settings(), near_copies.Settings(crowd=8, leaders=2, block_rows=16)])
+def test_near_copies_are_found(spark, settings):
+    """Texts with copies of every likeness, a crowd of copies, equal texts, and texts that are like nothing."""
+    rows = [(i, t) for i, t, *_ in AWKWARD if len(t or "") < 5000]
+    for _ in range(60):
+        t = " ".join(str(rnd.random()) for _ in range(rnd.randint(20, 300)))
+        rows += [(len(rows) + 100, x) for x in (t, t.upper(), edited(t, 0.005), edited(t, 0.02), edited(t, 0.1))]
+    t = " ".join(str(rnd.random()) for _ in range(120))
+    rows += [(len(rows) + 100, edited(t, 0.01)) for _ in range(80)] + [(None, t), (None, "alone in the world of texts")]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, component_id string, rep int, key int")
+    got = near_copies.near_duplicates(df, settings).collect()
+    roots = brute_near_copies(rows)
+    least = {r: min((i for (i, _), q in zip(rows, roots) if q == r and i is not None), default=None) for r in roots}
+    want = Counter((i, least[r]) for (i, _), r in zip(rows, roots))
+    assert len(got) == len(rows) and sum((want - Counter(map(tuple, got))).values()) <= 3  # the chance of a pair at just the least similarity
+    assert near_copies.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_copies_of_the_corpus(spark):
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    roots = brute_near_copies(rows)
+    least = {r: min(i for (i, _), q in zip(rows, roots) if q == r) for r in roots}
+    got = dict(map(tuple, near_copies.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()))
+    assert got == {i: least[r] for (i, _), r in zip(rows, roots)}
+
+
+def test_recall_of_the_groups():
+    """Groups meet at the wanted chance at least, at the cheapest that the program finds."""
+    assert near_copies.allocate([[(0, 5.0, 1.0), (2, 9.0, 3.0)], [(0, 1.0, 1.0), (2, 20.0, 3.0)]], 2.0) == [0, 0]
+    assert near_copies.allocate([[(0, 5.0, 1.0), (2, 5.5, 3.0)], [(0, 1.0, 1.0)]], 2.5) == [2, -1]
+    both = np.full((16, 64, 64), 250.0)
+    both[:, np.arange(64), np.arange(64)] = 500.0
+    s = near_copies.Settings()
+    for n in (1000, 200_000, 10**8):
+        chosen = near_copies.plan(n, both * n / 1000, s)
+        miss = np.prod([1 - near_copies.meets(len(g), t, s.bit_rate) for _, g, t in chosen])
+        assert miss < 0.01
+
+
 def test_thresholds():
     assert simhash.allocate([{-1: 0, 0: 5, 1: 9}, {-1: 0, 0: 1, 1: 2}], 0)[1] == [-1, 1]
     both = np.full((64, 64), 250.0)

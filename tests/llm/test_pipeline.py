@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodefit.llm import bpe, pfair, quality_rules, secret_ledger
-from tests.llm.test_operators import AWKWARD, DOCS, brute_components, brute_fingerprint, brute_spans, brute_statistics
+from tests.llm.test_operators import AWKWARD, DOCS, brute_near_copies, brute_spans, brute_statistics
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,7 +42,7 @@ def test_stages(spark, staged):
     assert len(kept) > 0.8 * len(before) and all(k["text"] == before[i][1] for i, k in kept.items())
     assert isinstance(rules, list)
     ids = sorted(kept)
-    roots = brute_components([brute_fingerprint(kept[i]["text"]) for i in ids])
+    roots = brute_near_copies([(i, kept[i]["text"]) for i in ids])
     single = as_rows(staged[1])
     assert set(single) == {min(i for i, q in zip(ids, roots) if q == r) for r in roots} and staged[1].count() == len(single)
     clean = as_rows(staged[2])
