@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefit.llm import bpe, pfair, quality_rules, secret_ledger, simhash
+from lodefit.llm import bpe, near_copies, pfair, quality_rules, secret_ledger
 from lodefit.llm.common import shared_dir
 
 
@@ -23,8 +23,11 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of smallest doc_id stays, once. Rows without a doc_id stay, but for exact repeats."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of texts that share 0.8 of their five-word shingles the document of smallest doc_id stays, once.
+
+    Of rows of one doc_id and text one stays, whichever comes first. Rows without a doc_id stay, but for exact repeats.
+    """
+    found = near_copies.near_duplicates(docs)
     losers = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(losers, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
