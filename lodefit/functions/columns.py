@@ -55,12 +55,13 @@ def normal(*keys: Column) -> Column:
 
 def poisson1(u: Column, most: int = 10) -> Column:
     """A Poisson number of mean 1 from a uniform one; weights of a bootstrap replicate."""
-    total, term, out = 0.0, 0.36787944117144233, F.lit(0)
+    total, term, steps = 0.0, 0.36787944117144233, []
     for k in range(1, most + 1):
         total += term
-        out = out + F.when(u >= total, 1).otherwise(0)
+        steps.append(total)
         term /= k
-    return out
+    # u is bound once: a hash in it isn't computed anew for each step
+    return F.transform(F.array(u), lambda x: sum((F.when(x >= t, 1).otherwise(0) for t in steps), F.lit(0)))[0]
 
 
 def poisson1_sql(u: str, most: int = 10) -> str:

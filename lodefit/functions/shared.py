@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table of files, which may go when the application has ended.
+
+    For loops: a checkpoint's size counts as the product of all that was ever joined
+    to make it, so that planning takes ever longer; a table's is that of its files.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

@@ -22,6 +22,10 @@ FUSED = 24
 LOCAL_ROWS = 1_000_000
 
 
+class TooManyRows(ValueError):
+    """A cost whose rows don't fit the driver."""
+
+
 class Cost:
     """rows with named columns; sums gives the columns to sum, combine the value from the sums."""
 
@@ -52,19 +56,22 @@ class Cost:
             out = self.rows.agg(*[F.sum(c.cast("double")).alias(f"s{i}_{j}") for i, cs in enumerate(every) for j, c in enumerate(cs)]).collect()[0]
             found = np.array([[np.nan if out[f"s{i}_{j}"] is None else out[f"s{i}_{j}"] for j in range(len(cs))] for i, cs in enumerate(every)], float)
         else:
-            sets = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(v)) for v in t]).alias("p")) for i, t in enumerate(thetas)])
+            # tiles of fused sets: a row is copied once for each tile, not for each set; the last tile is filled up
+            tiles = [[thetas[min(k, len(thetas) - 1)] for k in range(i, i + FUSED)] for i in range(0, len(thetas), FUSED)]
+            sets = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.array(*[F.lit(float(v)) for v in t]) for t in tile]).alias("p")) for i, tile in enumerate(tiles)])
             long = self.rows.select(*self.columns, F.explode(sets).alias("t"))
-            cs = self.sums(row, [F.col("t.p")[j] for j in range(thetas.shape[1])], SparkMath)
-            found = np.full((len(thetas), len(cs)), np.nan)
-            for r in long.groupBy(F.col("t.i").alias("i")).agg(*[F.sum(c.cast("double")).alias(f"s{j}") for j, c in enumerate(cs)]).collect():
-                found[r["i"]] = [np.nan if r[f"s{j}"] is None else r[f"s{j}"] for j in range(len(cs))]
+            every = [self.sums(row, [F.col("t.p")[k][j] for j in range(thetas.shape[1])], SparkMath) for k in range(FUSED)]
+            found = np.full((len(tiles) * FUSED, len(every[0])), np.nan)
+            for r in long.groupBy(F.col("t.i").alias("i")).agg(*[F.sum(c.cast("double")).alias(f"s{k}_{j}") for k, cs in enumerate(every) for j, c in enumerate(cs)]).collect():
+                found[r["i"] * FUSED : (r["i"] + 1) * FUSED] = [[np.nan if r[f"s{k}_{j}"] is None else r[f"s{k}_{j}"] for j in range(len(cs))] for k, cs in enumerate(every)]
+            found = found[: len(thetas)]
         return self.combine(thetas, found)
 
     def local(self) -> Callable[[np.ndarray], np.ndarray]:
         """The same objective over collected rows, for small data: NumPy, without jobs."""
         rows = self.rows.select(*self.columns).limit(LOCAL_ROWS + 1).collect()
         if len(rows) > LOCAL_ROWS:
-            raise ValueError(f"more than {LOCAL_ROWS} rows: use evaluate")
+            raise TooManyRows(f"more than {LOCAL_ROWS} rows: use evaluate")
         return self.on_arrays({c: np.array([r[c] for r in rows], float) for c in self.columns})
 
     def on_arrays(self, row: dict[str, np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
@@ -92,6 +99,49 @@ class LeastSquares(Cost):
         return [d * d]
 
 
+class LinearLeastSquares(LeastSquares):
+    """The same of a model that is linear in its parameters: p[0] basis[0](x, m) + p[1] basis[1](x, m) + ...
+
+    Two aggregates give the normal equations and the sum at their solution, from
+    which any parameter set is a small quadratic form: profiles, contours and
+    extremes then cost no job, however many rows there are.
+    """
+
+    def __init__(self, rows, basis: Sequence[Callable], names, mask=None):
+        super().__init__(rows, lambda x, p, m: sum(a * b(x, m) for a, b in zip(p, basis, strict=True)), names, mask)
+        self.basis = tuple(basis)
+        self._form: tuple[np.ndarray, np.ndarray, float, int] | None = None
+
+    def form(self) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """(normal matrix, solution, sum at the solution, rows)."""
+        if self._form is None:
+            n, w = len(self.basis), 1 / (F.col("err") * F.col("err"))
+            columns = [F.lit(1.0) * b(F.col("x"), SparkMath) for b in self.basis]
+            sums = {f"g{i}_{j}": columns[i] * columns[j] * w for i in range(n) for j in range(i + 1)} | {f"r{i}": columns[i] * F.col("y") * w for i in range(n)}
+            r = self.rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]).collect()[0]
+            if not r["n"]:
+                raise ValueError("no rows")
+            normal = np.array([[r[f"g{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)])
+            best = np.linalg.solve(normal, np.array([r[f"r{i}"] for i in range(n)]))
+            # the rest gives what rounding has left, and a sum in which nothing cancels
+            d = F.col("y") - self.model(F.col("x"), [F.lit(float(v)) for v in best], SparkMath)
+            rest = self.rows.agg(F.sum(d * d * w).alias("f"), *[F.sum(c * d * w).alias(f"r{i}") for i, c in enumerate(columns)]).collect()[0]
+            step = np.linalg.solve(normal, np.array([rest[f"r{i}"] for i in range(n)]))
+            self._form = normal, best + step, float(rest["f"] - step @ normal @ step), r["n"]
+        return self._form
+
+    def evaluate(self, thetas: np.ndarray) -> np.ndarray:
+        normal, best, least, _ = self.form()
+        d = np.atleast_2d(np.asarray(thetas, float)) - best
+        return least + np.einsum("ij,jk,ik->i", d, normal, d)
+
+    def local(self) -> Callable[[np.ndarray], np.ndarray]:
+        self.form()
+        plain = copy(self)
+        plain.rows = None
+        return plain.evaluate
+
+
 class UnbinnedNLL(Cost):
     """Minus the sum of log pdf(x), floored at the smallest normal number; log: the model is the log density, as it is."""
 

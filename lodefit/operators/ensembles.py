@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodefit.functions.shipping import ship
+from lodefit.operators.costs import TooManyRows
 from lodefit.operators.fit import Fit
 
 ENSEMBLE = "chain int, iter long, p array<double>, fval double, logpost double"
@@ -85,6 +86,7 @@ class Target:
 
     def __init__(self, batch: Callable[[np.ndarray], np.ndarray], up: float, names: Sequence[str], limits: Sequence[tuple], priors: Sequence[Prior] = ()):
         self.batch, self.up, self.names = batch, up, list(names)
+        self.in_spark = False
         self.lo = np.array([-math.inf if a is None else a for a, _ in limits])
         self.hi = np.array([math.inf if b is None else b for _, b in limits])
         self.priors = [(self.names.index(p.name), p) for p in priors]
@@ -93,6 +95,15 @@ class Target:
         if (self.lo >= self.hi).any():
             raise ValueError("limits and priors leave no support")
 
+    def many(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """logpost and f of many parameter sets, whose objective is one batch."""
+        lp = np.array([-math.inf if (x < self.lo).any() or (x > self.hi).any() else sum(p.log(float(x[i])) for i, p in self.priors) for x in rows], float)
+        f = np.full(len(rows), math.nan)
+        ok = np.isfinite(lp)
+        if ok.any():
+            f[ok] = self.batch(rows[ok])
+        return np.where(np.isfinite(f), lp - f / (2 * self.up), -math.inf), f
+
     def __call__(self, x: np.ndarray) -> tuple[float, float]:
         if (x < self.lo).any() or (x > self.hi).any():
             return -math.inf, math.nan
@@ -171,6 +182,55 @@ def hamiltonian(target: Target, x0: np.ndarray, root: np.ndarray, rng: np.random
     return out
 
 
+def lockstep(spark: SparkSession, target: Target, centre: Sequence[float], covariance, chains: int = 4, sampler: str = "metropolis", steps: int = 1000, burn: int = 200, thin: int = 1, seed: int = 0, walkers: int | None = None, scale: float = 0.3) -> DataFrame:
+    """The same ensembles of an objective that is summed in Spark: all chains take a step, and it is one batch of parameter sets.
+
+    stretch moves half of every chain's walkers at a time. The other samplers need data that the workers can hold.
+    """
+    if sampler not in ("metropolis", "stretch"):
+        raise ValueError(f"{sampler} needs rows that fit the workers; metropolis and stretch don't")
+    centre, root, d = np.asarray(centre, float), np.linalg.cholesky(np.asarray(covariance, float)), len(centre)
+    rng = np.random.default_rng(seed)
+    per = 1 if sampler == "metropolis" else walkers or max(2 * d + 2, 8)
+    if sampler == "stretch" and (per % 2 or per < 4 or per <= d):
+        raise ValueError("walkers must be even, at least 4 and more than the parameters")
+    x = centre + 2 * rng.standard_normal((chains * per, d)) @ root.T
+    lp, f = target.many(x)
+    for _ in range(200):
+        bad = np.flatnonzero(~np.isfinite(lp))
+        if not len(bad):
+            break
+        x[bad] = centre + 2 * rng.standard_normal((len(bad), d)) @ root.T
+        lp[bad], f[bad] = target.many(x[bad])
+    bad = ~np.isfinite(lp)
+    x[bad] = centre
+    lp[bad], f[bad] = target.many(x[bad]) if bad.any() else (lp[bad], f[bad])
+    if not np.isfinite(lp).all():
+        raise ValueError("the start is outside the support")
+    scales, taken, out = np.full(chains, scale), np.zeros(chains), []
+    places = np.arange(chains * per)
+    halves = [places] if per == 1 else [places[places % per % 2 == h] for h in (0, 1)]
+    for k in range(steps):
+        for mine in halves:
+            if per == 1:
+                new, extra = x + scales[:, None] * rng.standard_normal(x.shape) @ root.T, 0.0
+            else:
+                z = (1 + rng.random(len(mine))) ** 2 / 2
+                anchor = x[mine // per * per + 2 * rng.integers(0, per // 2, len(mine)) + 1 - mine % per % 2]
+                new, extra = anchor + z[:, None] * (x[mine] - anchor), (d - 1) * np.log(z)
+            nlp, nf = target.many(new)
+            go = np.log(1 - rng.random(len(mine))) < extra + nlp - lp[mine]
+            x[mine[go]], lp[mine[go]], f[mine[go]] = new[go], nlp[go], nf[go]
+            if per == 1:
+                taken += go
+        if per == 1 and k < burn and (k + 1) % 100 == 0:
+            scales *= np.clip(taken / 100 / 0.3, 0.5, 2.0)
+            taken[:] = 0
+        if k >= burn and (k - burn) % thin == 0:
+            out += [(i // per, k * per + i % per, x[i].tolist(), float(f[i]), float(lp[i])) for i in map(int, places)]
+    return spark.createDataFrame(out, ENSEMBLE)
+
+
 def sample(spark: SparkSession, target: Target, centre: Sequence[float], covariance, chains: int = 4, sampler: str = "stretch", steps: int | None = None, burn: int | None = None, thin: int | None = None, seed: int = 0, walkers: int | None = None) -> DataFrame:
     """An ensemble of over-dispersed chains, one task each, each with a random stream of its own number."""
     default = {"stretch": (6000, 1000, 10), "metropolis": (52_000, 2_000, 25), "hmc": (3000, 500, 2)}
@@ -205,10 +265,15 @@ def sample(spark: SparkSession, target: Target, centre: Sequence[float], covaria
 def target_of(fit: Fit, priors: Sequence[Prior] = ()) -> tuple[Target, list[str]]:
     """A fit's likelihood and limits with priors, over its free parameters, as it is now.
 
-    Rows of a cost are collected, up to its bound, since each chain needs them all.
+    Rows of a cost are collected, up to its bound, since each chain needs them all;
+    beyond it the target's batches are jobs, and in_spark is true of it.
     """
     parameters, free = fit.parameters, fit.parameters.free
-    whole = fit.cost.local() if hasattr(fit.cost, "local") else fit.objective.batch
+    in_spark = False
+    try:
+        whole = fit.cost.local() if hasattr(fit.cost, "local") else fit.objective.batch
+    except TooManyRows:
+        whole, in_spark = fit.cost.evaluate, True
     names = [parameters[i].name for i in free]
     if unknown := {p.name for p in priors} - set(names):
         raise ValueError(f"priors of parameters that aren't free: {sorted(unknown)}")
@@ -219,7 +284,15 @@ def target_of(fit: Fit, priors: Sequence[Prior] = ()) -> tuple[Target, list[str]
         every[:, free] = rows
         return whole(every)
 
-    return Target(batch, fit.errordef, names, [(parameters[i].lower, parameters[i].upper) for i in free], combine_priors(*priors)), names
+    target = Target(batch, fit.errordef, names, [(parameters[i].lower, parameters[i].upper) for i in free], combine_priors(*priors))
+    target.in_spark = in_spark
+    return target, names
+
+
+def chains_of(spark: SparkSession, target: Target, fit: Fit, **options) -> DataFrame:
+    """Chains about the fit, one task each; in lockstep if the objective is summed in Spark."""
+    centre, covariance = fit.values[fit.parameters.free], fit.free_covariance
+    return (lockstep if target.in_spark else sample)(spark, target, centre, covariance, **options)
 
 
 def is_consistent(fit: Fit, target: Target) -> bool:
@@ -231,13 +304,13 @@ def is_consistent(fit: Fit, target: Target) -> bool:
 def mcmc_sample(spark: SparkSession, fit: Fit, sampler: str = "metropolis", **options) -> DataFrame:
     """An ensemble of the likelihood itself."""
     target, _ = target_of(fit)
-    return sample(spark, target, fit.values[fit.parameters.free], fit.free_covariance, sampler=sampler, **options)
+    return chains_of(spark, target, fit, sampler=sampler, **options)
 
 
 def bayesian(spark: SparkSession, fit: Fit, priors: Sequence[Prior] = (), level: float = 0.68, **options) -> tuple[DataFrame, DataFrame]:
     """The posterior's ensemble and its summary."""
     target, names = target_of(fit, priors)
-    found = sample(spark, target, fit.values[fit.parameters.free], fit.free_covariance, **options)
+    found = chains_of(spark, target, fit, **options)
     return found, posterior_summary(found, names, level)
 
 

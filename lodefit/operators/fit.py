@@ -28,19 +28,28 @@ class MinosError:
     upper_valid: bool = True
     lower_limit: bool = False
     upper_limit: bool = False
-    new_min: bool = False
+    lower_new_min: bool = False
+    upper_new_min: bool = False
     nfcn: int = 0
+    lower_state: tuple[float, ...] | None = None  # all parameters at the crossing
+    upper_state: tuple[float, ...] | None = None
 
     @property
     def is_valid(self) -> bool:
         return self.lower_valid and self.upper_valid
 
+    @property
+    def new_min(self) -> bool:
+        """Whether the profile went below the minimum on the way: minimize again from Fit.deeper."""
+        return self.lower_new_min or self.upper_new_min
+
     def to_dict(self) -> dict:
         return dict(self.__dict__)
 
 
 def minos_error_from_dict(d: dict) -> MinosError:
-    return MinosError(**{k: d[k] for k in MinosError.__dataclass_fields__ if k in d})
+    found = {k: d[k] for k in MinosError.__dataclass_fields__ if k in d}
+    return MinosError(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
 
 
 class Fit:
@@ -76,11 +85,12 @@ class Fit:
         self._internal: Minimum | None = None
         self.merrors: dict[str, MinosError] = {}
         self.ndata: int | None = None
+        self.deeper: np.ndarray | None = None  # parameters below the minimum that a profile came upon
 
     # ---- setters and views
     def _changed(self, parameters: Parameters) -> Fit:
         self.parameters, self.minimum, self._internal = parameters, None, None
-        self.merrors = {}
+        self.merrors, self.deeper = {}, None
         return self
 
     def fix(self, key) -> Fit:
@@ -302,9 +312,11 @@ class Fit:
         hi = f_hi = None
         for _ in range(40):
             value, near, ok = at(t)
+            if value < self.fval - 0.02 * self.errordef and (self.deeper is None or value < self._deeper_value):
+                self.deeper, self._deeper_value = near.copy(), value
             if not math.isfinite(value):
                 hi, f_hi = t, None
-            elif abs(value - aim) < 1e-3 * self.errordef * (1 if len(along) else 1):
+            elif abs(value - aim) < 1e-3 * self.errordef:
                 return t, ok, False, near
             elif value < aim:
                 lo, f_lo = t, value
@@ -334,10 +346,12 @@ class Fit:
             most = math.inf if limit is None else abs(limit - value)
             shift = cov[:, i] / cov[i, i] * sign * sigma * math.sqrt(cov[i, i]) if cov[i, i] > 0 else 0
             near = np.array([x if p.inside(x) else v for x, v, p in zip(self.values + shift, self.values, self.parameters, strict=True)])
-            t, ok, at_limit, _ = self._cross({i: float(sign)}, {i: value}, self.fval + self.errordef * sigma**2, sigma * q.error, most, near)
-            sides[sign] = (sign * t if ok else sign * q.error, ok, at_limit)
-        (lo, lo_ok, lo_lim), (hi, hi_ok, hi_lim) = sides[-1], sides[1]
-        return MinosError(q.name, value, lo, hi, lo_ok, hi_ok, lo_lim, hi_lim, False, self.nfcn - before)
+            known = None if self.deeper is None else self._deeper_value
+            t, ok, at_limit, there = self._cross({i: float(sign)}, {i: value}, self.fval + self.errordef * sigma**2, sigma * q.error, most, near)
+            below = self.deeper is not None and (known is None or self._deeper_value < known)
+            sides[sign] = (sign * t if ok else sign * q.error, ok, at_limit, below, tuple(map(float, there)) if ok else None)
+        (lo, lo_ok, lo_lim, lo_new, lo_at), (hi, hi_ok, hi_lim, hi_new, hi_at) = sides[-1], sides[1]
+        return MinosError(q.name, value, lo, hi, lo_ok, hi_ok, lo_lim, hi_lim, lo_new, hi_new, self.nfcn - before, lo_at, hi_at)
 
     def minos(self, *keys, sigma: float = 1.0) -> Fit:
         for k in keys or [self.names[i] for i in self.parameters.free]:
@@ -374,19 +388,25 @@ class Fit:
 
     def mnprofile(self, key, bins: int = 30, bound=2.0, subtract_min: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The profile: at each point the other parameters are fitted anew, each from its neighbour."""
+        xs, f, ok, _ = self.profile_states(key, bins, bound)
+        return xs, f - np.nanmin(f) if subtract_min else f, ok
+
+    def profile_states(self, key, bins: int = 30, bound=2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with all parameters at each point."""
         i, xs = self.parameters.index(key), self._range(key, bound, bins)
-        near, f, ok = self.values, [], []
+        near, f, ok, states = self.values, [], [], []
         for x in xs:
             v, near, good = self.conditional({i: float(x)}, near)
             f.append(v)
             ok.append(good)
-        f = np.array(f)
-        return xs, f - np.nanmin(f) if subtract_min else f, np.array(ok)
+            states.append(near)
+        return xs, np.array(f), np.array(ok), np.array(states)
 
-    def contour_grid(self, a, b, size: int = 50, bound=2.0, subtract_min: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A slice of the objective, one batch."""
+    def contour_grid(self, a, b, size: int = 50, bound=2.0, subtract_min: bool = False, bounds: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A slice of the objective, one batch. bounds: a range for each of the two."""
         i, j = self.parameters.index(a), self.parameters.index(b)
-        xs, ys = self._range(a, bound, size), self._range(b, bound, size)
+        bound_a, bound_b = bounds or (bound, bound)
+        xs, ys = self._range(a, bound_a, size), self._range(b, bound_b, size)
         rows = np.tile(self.values, (size * size, 1))
         rows[:, i], rows[:, j] = np.repeat(xs, size), np.tile(ys, size)
         z = self.objective(rows).reshape(size, size)
@@ -409,25 +429,83 @@ class Fit:
         return np.stack([self.values[i] + s * side(i, u) * u, self.values[j] + s * side(j, v) * v], 1)
 
     def contour_exact(self, a, b, points: int = 20, sigma: float = 1.0, full: bool = False) -> np.ndarray:
-        """Points where the profile over two parameters rises by up sigma squared, on rays of even angle in the fit's own scale."""
+        """Points where the profile over two parameters rises by up sigma squared, in order around the contour.
+
+        It begins with the profile errors of both; then the longest gap between two
+        neighbours, in units of the errors, is halved: from its middle the contour is
+        sought outwards, or inwards where the middle lies outside of it, as it does on
+        a contour that isn't convex. A gap where neither finds it is left.
+        """
         self._need()
         i, j = self.parameters.index(a), self.parameters.index(b)
-        c = self.covariance[np.ix_([i, j], [i, j])]
-        root, out, near = np.linalg.cholesky(c), [], None
-        for t in 2 * math.pi * np.arange(points) / points:
-            d = root @ np.array([math.cos(t), math.sin(t)])
-            most = math.inf
-            for k, w in ((i, d[0]), (j, d[1])):
-                q = self.parameters[k]
-                limit = q.upper if w > 0 else q.lower
-                if limit is not None and w:
-                    most = min(most, abs((limit - self.values[k]) / w))
-            r, ok, _, near = self._cross({i: d[0], j: d[1]}, {i: float(self.values[i]), j: float(self.values[j])}, self.fval + self.errordef * sigma**2, sigma, most, near)
+        c, aim = self.covariance, self.fval + self.errordef * sigma**2
+        scale = np.sqrt([c[i, i], c[j, j]])
+        ring: list[np.ndarray] = []
+        for k, sign in ((i, 1), (j, 1), (i, -1), (j, -1)):
+            q, limit = self.parameters[k], self.parameters[k].upper if sign > 0 else self.parameters[k].lower
+            most = math.inf if limit is None else abs(limit - self.values[k])
+            t, ok, _, state = self._cross({k: float(sign)}, {k: float(self.values[k])}, aim, sigma * q.error, most)
             if ok:
-                x = near.copy()
-                x[[i, j]] = self.values[[i, j]] + r * d
-                out.append(x if full else x[[i, j]])
-        return np.array(out)
+                ring.append(state.copy())
+        dead: set[tuple[int, int]] = set()
+        while 2 <= len(ring) < points:
+            at = np.array([x[[i, j]] for x in ring]) / scale
+            gaps = np.linalg.norm(np.roll(at, -1, 0) - at, axis=1)
+            k = next((int(k) for k in np.argsort(-gaps, kind="stable") if (id(ring[k]), id(ring[(k + 1) % len(ring)])) not in dead), None)
+            if k is None:
+                break
+            m = (k + 1) % len(ring)
+            along = at[m] - at[k]
+            out = np.array([along[1], -along[0]]) / max(np.linalg.norm(along), 1e-300)  # the ring runs counterclockwise
+            found = self._contour_point(i, j, (ring[k] + ring[m]) / 2, out * scale, gaps[k] / 2, aim)
+            if found is None:
+                dead.add((id(ring[k]), id(ring[m])))
+            else:
+                ring.insert(k + 1, found)
+        return np.array([x if full else x[[i, j]] for x in ring[:points]])
+
+    def _contour_point(self, i: int, j: int, middle: np.ndarray, out: np.ndarray, step: float, aim: float) -> np.ndarray | None:
+        """All parameters where the profile along middle + t out reaches aim, t the least that is found; None if none is."""
+
+        def most(sign: float) -> float:
+            room = math.inf
+            for k, w in ((i, sign * out[0]), (j, sign * out[1])):
+                limit = self.parameters[k].upper if w > 0 else self.parameters[k].lower
+                if limit is not None and w:
+                    room = min(room, max(0.0, (limit - middle[k]) / w))
+            return room
+
+        def at(t: float, near: np.ndarray) -> tuple[float, np.ndarray]:
+            v, x, _ = self.conditional({i: float(middle[i] + t * out[0]), j: float(middle[j] + t * out[1])}, near)
+            return v, x
+
+        near, tolerance = middle, 1e-3 * self.errordef
+        value, near = at(0.0, near)
+        if abs(value - aim) < tolerance:
+            return near
+        inside = value < aim
+        sign = 1.0 if inside else -1.0
+        room, t, lo, f_lo, hi, f_hi = most(sign), min(step, most(sign)), 0.0, value, None, None
+        for _ in range(50):
+            value, near = at(sign * t, near)
+            if abs(value - aim) < tolerance:
+                return near
+            beyond = not math.isfinite(value) or (value < aim) != inside
+            if beyond:
+                hi, f_hi = t, value
+            else:
+                if t >= room:
+                    return near if inside else None  # the limit cuts the contour
+                lo, f_lo = t, value
+            if hi is None:
+                t = min(room, 2 * t)
+            elif hi - lo < 1e-9 * max(1.0, hi):
+                return None
+            elif f_hi is not None and math.isfinite(f_hi) and math.isfinite(f_lo):
+                t = lo + (hi - lo) * min(0.9, max(0.1, (aim - f_lo) / (f_hi - f_lo)))
+            else:
+                t = (lo + hi) / 2
+        return None
 
     def cross(self, along: dict[str, float], sigma: float = 1.0) -> tuple[float, bool, bool]:
         """(t, valid, at a limit): how far along a direction in some parameters the profile rises by up sigma squared."""

@@ -22,16 +22,23 @@ def correlation_of(matrix) -> np.ndarray:
 
 
 def global_cc(matrix) -> np.ndarray:
-    """Global correlation coefficients: sqrt(1 - 1 / (V_ii inverse(V)_ii)), 0 where that isn't real."""
+    """Global correlation coefficients: sqrt(1 - 1 / (V_ii inverse(V)_ii)), 0 where that isn't real or the matrix is singular."""
     m = np.asarray(matrix, float)
-    with np.errstate(all="ignore"):
-        d = 1 - 1 / (np.diag(m) * np.diag(np.linalg.inv(m)))
-    return np.sqrt(np.clip(np.nan_to_num(d), 0, None))
+    try:
+        d = np.diag(m) * np.diag(np.linalg.inv(m))
+    except np.linalg.LinAlgError:
+        return np.zeros(len(m))
+    return np.sqrt(1 - 1 / np.where(d > 1, d, 1.0))
 
 
 def is_posdef_enough(matrix, precision: MachinePrecision = MachinePrecision()) -> bool:
     m = np.asarray(matrix, float)
-    return bool(np.isfinite(m).all() and (np.diag(m) > 0).all() and eigenvalues(correlation_of(m))[0] > max(precision.eps, 1e-12))
+    return bool(np.isfinite(m).all() and (np.diag(m) > 0).all() and eigenvalues(correlation_of(m))[0] > least_eigenvalue(precision))
+
+
+def least_eigenvalue(precision: MachinePrecision) -> float:
+    """Of the scaled matrix, as a part of its largest one: what is below counts as none."""
+    return max(1e-6, precision.eps2)  # a fixed value
 
 
 def make_posdef(matrix, precision: MachinePrecision = MachinePrecision()) -> tuple[np.ndarray, bool]:
@@ -49,8 +56,9 @@ def make_posdef(matrix, precision: MachinePrecision = MachinePrecision()) -> tup
         changed = True
     s = np.sqrt(np.diag(m))
     values = eigenvalues(m / np.outer(s, s))
-    if values[0] <= precision.eps * max(1.0, abs(values[-1])):
-        m[np.diag_indices_from(m)] *= 1 + 0.001 * abs(values[-1]) - values[0]
+    most = max(1.0, abs(values[-1]))
+    if values[0] <= least_eigenvalue(precision) * most:
+        m[np.diag_indices_from(m)] *= 1 + 0.001 * most - values[0]
         changed = True
     return m, changed
 

@@ -182,6 +182,40 @@ def line_search(f: Objective, x: np.ndarray, fx: float, step: np.ndarray, slope:
     return s, value
 
 
+def hessian_gradient(f: Objective, x: np.ndarray, fx: float, g: np.ndarray, g2: np.ndarray, step: np.ndarray, strategy: Strategy, precision: MachinePrecision = MachinePrecision()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gradient, steps, uncertainty): the gradient by central differences of ever smaller steps, until it settles.
+
+    A coordinate whose change grows again keeps what it had; all open coordinates of a cycle are one batch.
+    """
+    n = len(x)
+    g, step = np.array(g, float), np.array(step, float)
+    least = 4 * precision.eps2 * (np.abs(x) + precision.eps2)
+    best = np.sqrt(4 * precision.eps2 * (abs(fx) + f.up) / (np.abs(g2) + precision.eps2 * (1 + np.abs(g))))
+    d = np.maximum(np.minimum(0.2 * np.abs(step), best), least)
+    unsure, last = np.zeros(n), np.full(n, np.inf)
+    open_ = np.arange(n)
+    for cycle in range(strategy.hessian_gradient_cycles):
+        shift = np.zeros((len(open_), n))
+        shift[np.arange(len(open_)), open_] = d[open_]
+        values = f(np.vstack([x + shift, x - shift]))
+        hi, lo = values[: len(open_)], values[len(open_) :]
+        new = (hi - lo) / (2 * d[open_])
+        noise = precision.eps * (np.abs(hi) + np.abs(lo)) / d[open_]
+        moved = np.abs(new - g[open_])
+        unsure[open_] = np.maximum(noise, moved)
+        with np.errstate(all="ignore"):
+            change = moved / np.abs(new)
+        worse = ~np.isfinite(new) | (new == 0) | ((change > last[open_]) & (cycle > 1))
+        taken = open_[~worse]
+        g[taken], step[taken], last[taken] = new[~worse], d[taken], change[~worse]
+        done = worse | (change < 0.05) | (moved < noise) | (d[open_] < least[open_])
+        open_ = open_[~done]
+        if not len(open_):
+            break
+        d[open_] *= 0.2
+    return g, step, unsure
+
+
 def hesse(f: Objective, x, up: float | None = None, errors=None, strategy: Strategy = Strategy(), precision: MachinePrecision = MachinePrecision(), fx: float | None = None) -> tuple[np.ndarray, str, np.ndarray]:
     """(inverse Hessian, status, gradient) at x. Each diagonal cycle is one batch, and so are all pairs."""
     x, n = np.asarray(x, float), len(x)
@@ -211,6 +245,8 @@ def hesse(f: Objective, x, up: float | None = None, errors=None, strategy: Strat
     if not np.isfinite(g2).all() or (g2 == 0).any():
         d = np.where(np.isfinite(g2) & (g2 > 0), g2, 1.0)
         return np.diag(1 / d), HESSE_FAILED, g
+    if strategy.level:
+        g = hessian_gradient(f, x, fx, g, g2, step, strategy, precision)[0]
     pairs = [(i, j) for i in range(n) for j in range(i)]
     h = np.diag(g2)
     if pairs:

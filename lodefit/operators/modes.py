@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodefit.functions.shared import cut
+from lodefit.functions.shared import cut, written
 from lodefit.functions.shipping import ship
+from lodefit.functions.skew import hot_keys, split_join
 
 
 def mad_scale(rows: DataFrame, value: Column, key: Sequence[str] = ()) -> DataFrame:
@@ -66,17 +67,20 @@ def near_pairs(rows: DataFrame, radius: float, dims: int = 2) -> DataFrame:
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, label: the smallest id that edges(a, b) lead to; labels are hooked and shortened until they hold."""
-    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
+    """id, label: the smallest id that edges(a, b) lead to; labels are hooked and shortened until they hold.
+
+    Rows with many neighbours and labels of many rows are dealt to several tasks.
+    """
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("a", "id"))
+    hubs = hot_keys(both, "id")
+    labels = written(nodes.select("id", F.col("id").alias("label")))
     while True:
-        seen = both.join(labels, both.a == labels.id).select(F.col("b").alias("id"), "label").unionByName(labels)
-        least = cut(seen.groupBy("id").agg(F.min("label").alias("label")))
-        up = least.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        new = cut(least.join(up, least.label == up.via).select("id", F.least("label", "far").alias("label")))
-        moved = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        labels = new
-        if not moved:
+        seen = split_join(both, labels, "id", ["b"], hot=hubs).select(F.col("b").alias("id"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        least = written(seen.unionByName(labels.withColumn("old", F.col("label"))).groupBy("id").agg(F.min("label").alias("label"), F.min("old").alias("old")))
+        up = least.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        new = written(split_join(least, up, "label", ["id"]).select("id", F.least("label", "far").alias("label"), "old"))
+        labels = new.select("id", "label")
+        if not new.where("label <> old").limit(1).count():
             return labels
 
 

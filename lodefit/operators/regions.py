@@ -14,9 +14,9 @@ from lodefit.operators.fit import Fit
 BATCH = 2000
 
 
-def region_samples(fit: Fit, cl: float = 0.68, n: int = 10_000, proposal: str = "mvnormal", inflate: float = 1.5, rounds: int = 5, seed: int = 0, box: Sequence[tuple[float, float]] | None = None) -> dict:
+def region_samples(fit: Fit, cl: float = 0.68, n: int = 10_000, proposal: str = "mvnormal", inflate: float = 1.5, rounds: int = 5, seed: int = 0, box: Sequence[tuple[float, float]] | None = None, draws: np.ndarray | None = None) -> dict:
     """Accepted parameter sets with a rise of at most up delta_chisq(cl, free), their rise, squared
-    Mahalanobis distance and the extents. The proposal widens while extents touch it; under_coverage
+    Mahalanobis distance and the extents. draws: the proposals themselves, of the free parameters. The proposal widens while extents touch it; under_coverage
     says that it still did at the end."""
     fit._need()
     free = fit.parameters.free
@@ -24,17 +24,20 @@ def region_samples(fit: Fit, cl: float = 0.68, n: int = 10_000, proposal: str =
     centre, cov = fit.values, fit.free_covariance
     root, inverse = np.linalg.cholesky(cov), np.linalg.inv(cov)
     rng = np.random.default_rng(seed)
+    given = draws
     kept, rises, clipped = [], [], False
     wide = inflate
     extent = np.zeros(len(free))
     for _ in range(rounds):
-        if proposal == "uniform":
+        if given is not None:
+            draws = np.asarray(given, float)
+        elif proposal == "uniform":
             half = wide * np.sqrt(np.diag(cov)) * math.sqrt(delta_chisq(cl, len(free)))
             lo, hi = (np.array(box, float).T if box is not None else (centre[free] - half, centre[free] + half))
             draws = rng.uniform(lo, hi, (n, len(free)))
         else:
             draws = centre[free] + wide * rng.standard_normal((n, len(free))) @ root.T
-        rows = np.tile(centre, (n, 1))
+        rows = np.tile(centre, (len(draws), 1))
         rows[:, free] = draws
         inside = np.array([all(p.inside(x) for p, x in zip(fit.parameters, r, strict=True)) for r in rows])
         rows = rows[inside]
@@ -43,6 +46,8 @@ def region_samples(fit: Fit, cl: float = 0.68, n: int = 10_000, proposal: str =
         kept.append(rows[ok])
         rises.append(f[ok])
         every = np.vstack(kept)
+        if given is not None:
+            break
         if not len(every):
             wide /= 1.6
             continue
@@ -102,7 +107,7 @@ def extremize(fit: Fit, f: Callable[[np.ndarray], float], cl: float = 0.68, mode
         try:
             v = float(f(x))
             return v if math.isfinite(v) else best
-        except Exception:
+        except (ArithmeticError, RuntimeError, ValueError):
             return best  # a failing f can only narrow the interval
 
     def surface(d: np.ndarray) -> tuple[np.ndarray, bool]:

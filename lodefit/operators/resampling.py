@@ -21,21 +21,26 @@ from lodefit.operators.costs import Cost, LeastSquares, UnbinnedNLL
 from lodefit.operators.fit import Fit
 
 
-def replicates(df: DataFrame, obs_id: str, n: int, seed: int = 0) -> DataFrame:
-    """df with rep from 0 to n - 1 and the Poisson weight w of each row in it; rows of weight 0 are left out."""
+def weighted(df: DataFrame, obs_id: str, n: int, seed: int = 0) -> DataFrame:
+    """df with rep from 0 to n - 1 and the Poisson weight w, 0 included, of each row in it."""
     each = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return each.withColumn("w", poisson1(uniform(F.lit(seed), F.col(obs_id), F.col("rep")))).where("w > 0")
+    return each.withColumn("w", poisson1(uniform(F.lit(seed), F.col(obs_id), F.col("rep"))))
+
+
+def replicates(df: DataFrame, obs_id: str, n: int, seed: int = 0) -> DataFrame:
+    """The same without the rows of weight 0."""
+    return weighted(df, obs_id, n, seed).where("w > 0")
 
 
 def bootstrap_mean(df: DataFrame, obs_id: str, value: Column, n: int = 200, seed: int = 0) -> DataFrame:
     """rep, value: the mean of each replicate; sums are fused by replicate before any shuffle."""
-    r = replicates(df.select(obs_id, value.cast("double").alias("_v")), obs_id, n, seed)
+    r = weighted(df.select(obs_id, value.cast("double").alias("_v")), obs_id, n, seed)
     return r.groupBy("rep").agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias("value"))
 
 
 def bootstrap_line(df: DataFrame, obs_id: str, x: Column, y: Column, n: int = 200, seed: int = 0) -> DataFrame:
     """rep, slope, intercept of weighted least squares in each replicate."""
-    r = replicates(df.select(obs_id, x.cast("double").alias("_x"), y.cast("double").alias("_y")), obs_id, n, seed)
+    r = weighted(df.select(obs_id, x.cast("double").alias("_x"), y.cast("double").alias("_y")), obs_id, n, seed)
     w = F.col("w")
     s = r.groupBy("rep").agg(F.sum(w).alias("sw"), F.sum(w * F.col("_x")).alias("sx"), F.sum(w * F.col("_y")).alias("sy"), F.sum(w * F.col("_x") * F.col("_x")).alias("sxx"), F.sum(w * F.col("_x") * F.col("_y")).alias("sxy"))
     slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
@@ -62,7 +67,7 @@ def _refits(each: DataFrame, refit: Callable[[pd.DataFrame], Sequence[float]]) -
         try:
             p = [float(v) for v in refit(pdf)]
             ok = bool(np.isfinite(p).all())
-        except Exception:
+        except (ArithmeticError, RuntimeError, ValueError):  # a fit that fails, not a fault in refit's code
             p, ok = [], False
         return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "p": [p], "valid": [ok]})
 

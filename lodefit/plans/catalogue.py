@@ -9,12 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodefit.functions.columns import normal, poisson1_sql, sig, sig_sql, uniform, uniform_sql
 from lodefit.functions.special import delta_chisq
-from lodefit.operators import costs, ensembles, linear, minimize, modes, regions, resampling
+from lodefit.operators import costs, ensembles, linalg, linear, minimize, modes, regions, resampling
 from lodefit.operators.fit import Fit
 from lodefit.operators.groups import fit_groups
 from lodefit.sources import tables
@@ -165,10 +165,25 @@ def line_fit_by_flag(spark, sf):
     return _round(linear.line_fit(_line(spark, sf), F.col("x"), F.col("y"), ERR, ["l_returnflag"]))
 
 
-@query(f"SELECT {sig_sql('n * (vy - slope * cxy) / 1e6 / (n - 2)', 6)} AS reduced_chi2 FROM {FITTED}")
-def line_fit_pvalue(spark, sf):
-    f = linear.line_fit(_line(spark, sf), F.col("x"), F.col("y"), ERR)
-    return _round(f.select((F.col("chi2") / F.col("ndf")).alias("reduced_chi2")))
+@query(f"SELECT {sig_sql('n * (vy - slope * cxy) / 1e6 / (n - 2)', 6)} AS reduced_chi2, n - 2 AS ndf FROM {FITTED}")
+def line_fit_goodness(spark, sf):
+    f = _linear_fit(spark, sf)
+    chi2, ndf, _ = f.goodness(f.cost.form()[3])
+    return _round(spark.createDataFrame([(float(chi2 / ndf), int(ndf))], "reduced_chi2 double, ndf long"))
+
+
+SEGMENTS = "(SELECT c_nationkey AS k, count(*)::DOUBLE AS n FROM customer GROUP BY 1)"
+
+
+@query(f"""WITH s AS (SELECT avg(n) AS mu, count(*) AS bins FROM {SEGMENTS}), c AS (SELECT sum(pow(n - mu, 2) / mu) AS chi2, any_value(bins) - 1 AS ndf FROM {SEGMENTS}, s)
+ SELECT {sig_sql('chi2', 6)} AS chi2, ndf, {sig_sql('(SELECT sum(exp(-chi2 / 2 + k * ln(chi2 / 2) - lgamma(k + 1))) FROM (SELECT unnest(range(0, 12)) AS k))', 6)} AS p FROM c""")
+def uniform_pvalue(spark, sf):
+    """Whether customers are spread evenly over 25 nations: for an even number of degrees of freedom the p-value is a sum of Poisson terms."""
+    h = _table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").cast("double").alias("y"))
+    mu = h.agg(F.avg("y")).collect()[0][0]
+    cost = costs.LinearLeastSquares(h.select(F.lit(0.0).alias("x"), "y", F.lit(math.sqrt(mu)).alias("err")), [lambda x, m: 1.0], ["mu"])
+    chi2, ndf, p = Fit(cost, [mu], errors=[1.0]).migrad().goodness(cost.form()[3])
+    return _round(spark.createDataFrame([(float(chi2), int(ndf), float(p))], "chi2 double, ndf long, p double"))
 
 
 @query(f"SELECT event_type, n, {sig_sql('1 / m', 6)} AS rate, {sig_sql('1 / m / sqrt(n)', 6)} AS rate_err, {sig_sql('n * (1 + ln(m))', 6)} AS nll FROM (SELECT event_type, count(*) AS n, avg(x) AS m FROM {VALUES} GROUP BY 1)")
@@ -225,25 +240,23 @@ GRID = "(SELECT CAST(unnest(range(0, 21)) AS INT) AS i), (SELECT CAST(unnest(ran
 
 
 @query(f"""WITH g AS (SELECT i, j, n * (pow((i - 10) * 20.0 + (j - 10) * 2.0 * mx, 2) + pow((j - 10) * 2.0, 2) * vx) / 1e6 AS f FROM {FITTED}, {GRID})
- SELECT i, j, {sig_sql('f - min(f) OVER ()', 6)} AS rise FROM g""")
+ SELECT i, j, round(sqrt(f - min(f) OVER ()), 2) AS pull FROM g""")
 def contour_grid_line(spark, sf):
-    """A slice on a 21 by 21 grid about the minimum, from the moments of one aggregate, as the rise that they give without cancelling."""
-    m = _line(spark, sf).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.var_pop("x").alias("vx"))
-    grid = m.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    a, b = (F.col("i") - 10) * 20.0, (F.col("j") - 10) * 2.0
-    f = F.col("n") * (F.pow(a + b * F.col("mx"), F.lit(2.0)) + b * b * F.col("vx")) / (ERR * ERR)
-    w = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return grid.select("i", "j", f.alias("f")).select("i", "j", sig(F.col("f") - F.min("f").over(w), 6).alias("rise"))
+    """A slice on a 21 by 21 grid about the minimum."""
+    f = _linear_fit(spark, sf)
+    a, b = f.values
+    z = f.contour_grid("b", "a", 21, subtract_min=True, bounds=((b - 200.0, b + 200.0), (a - 20.0, a + 20.0)))[2]
+    return spark.createDataFrame([(i, j, round(math.sqrt(float(z[i, j])), 2)) for i in range(21) for j in range(21)], "i int, j int, pull double")
 
 
-@query(f"SELECT k, {sig_sql('slope + (k - 15) * 0.5', 6)} AS slope, {sig_sql('intercept - (k - 15) * 0.5 * mx', 6)} AS intercept, {sig_sql('n * pow((k - 15) * 0.5, 2) * vx / 1e6', 5)} AS rise FROM {FITTED}, (SELECT CAST(unnest(range(0, 31)) AS INT) AS k)")
+@query(f"SELECT k, {sig_sql('slope + (k - 15) * 0.5', 5)} AS slope, {sig_sql('intercept - (k - 15) * 0.5 * mx', 5)} AS intercept, {sig_sql('round(n * pow((k - 15) * 0.5, 2) * vx / 1e6, 4)', 4)} AS rise FROM {FITTED}, (SELECT CAST(unnest(range(0, 31)) AS INT) AS k)")
 def mnprofile_line(spark, sf):
-    """The intercept is fitted anew at each slope: a closed form of the moments."""
-    m = _line(spark, sf).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("cxy"))
-    k = m.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(30))))
-    d = (F.col("k") - 15) * 0.5
-    slope = F.col("cxy") / F.col("vx") + d
-    return k.select("k", sig(slope, 6).alias("slope"), sig(F.col("my") - slope * F.col("mx"), 6).alias("intercept"), sig(F.col("n") * d * d * F.col("vx") / (ERR * ERR), 5).alias("rise"))
+    """The intercept is fitted anew at each slope."""
+    f = _linear_fit(spark, sf)
+    xs, v, _, states = f.profile_states("a", 31, (float(f.values[0]) - 7.5, float(f.values[0]) + 7.5))
+    rows = [(k, float(x), float(s[1]), float(r)) for k, (x, s, r) in enumerate(zip(xs, states, v - v.min(), strict=True))]
+    d = spark.createDataFrame(rows, "k int, slope double, intercept double, rise double")
+    return d.select("k", sig(F.col("slope"), 5).alias("slope"), sig(F.col("intercept"), 5).alias("intercept"), sig(F.round("rise", 4), 4).alias("rise"))
 
 
 _C2 = f"(SELECT slope, intercept, 1e6 / (n * vx) AS c00, -1e6 * mx / (n * vx) AS c01, 1e6 / n * (1 + mx * mx / vx) AS c11 FROM {FITTED})"
@@ -256,9 +269,8 @@ def _line_covariance(spark, sf):
 
 @query(f"SELECT k, {sig_sql('slope + sqrt(c00) * cos(2 * pi() * k / 20)', 6)} AS x, {sig_sql('intercept + sqrt(c11) * (c01 / sqrt(c00 * c11) * cos(2 * pi() * k / 20) + sqrt(1 - c01 * c01 / (c00 * c11)) * sin(2 * pi() * k / 20))', 6)} AS y FROM {_C2}, (SELECT CAST(unnest(range(0, 20)) AS INT) AS k)")
 def contour_ellipse_line(spark, sf):
-    e = _line_covariance(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    t, rho = 2 * math.pi * F.col("k") / 20, F.col("c01") / F.sqrt(F.col("c00") * F.col("c11"))
-    return e.select("k", sig(F.col("slope") + F.sqrt("c00") * F.cos(t), 6).alias("x"), sig(F.col("intercept") + F.sqrt("c11") * (rho * F.cos(t) + F.sqrt(1 - rho * rho) * F.sin(t)), 6).alias("y"))
+    points = _linear_fit(spark, sf).contour_ellipse("a", "b", 20)
+    return _round(spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "k int, x double, y double"))
 
 
 def _fit_line(spark, sf, **options) -> Fit:
@@ -267,18 +279,18 @@ def _fit_line(spark, sf, **options) -> Fit:
     return Fit(costs.LeastSquares(_line(spark, sf), MODEL_LINE, ["a", "b"]), [f["slope"], f["intercept"]], errors=[f["slope_err"], f["intercept_err"]], **options).set_precision(1e-13)
 
 
-@query(f"SELECT 'a' AS name, {sig_sql('sqrt(c00)', 3)} AS upper, {sig_sql('-sqrt(c00)', 3)} AS lower FROM {_C2} UNION ALL SELECT 'b', {sig_sql('sqrt(c11)', 3)}, {sig_sql('-sqrt(c11)', 3)} FROM {_C2}")
-def minos_line(spark, sf):
-    """Profile errors of a quadratic objective are its parabolic ones. The objective is the sum of the moments of one job."""
-    m = _line(spark, sf).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("y", "x").alias("cxy")).collect()[0]
+def _linear_fit(spark, sf) -> Fit:
+    """A line whose sums are two aggregates, from a start that is off; every profile after it costs no job."""
+    cost = costs.LinearLeastSquares(_line(spark, sf), [lambda x, m: x, lambda x, m: 1.0], ["a", "b"])
+    normal, best, _, _ = cost.form()
+    errors = np.sqrt(np.diag(np.linalg.inv(normal)))
+    return Fit(cost, best + [errors[0], 0.0], errors=errors, strategy=2, tol=1e-6).migrad().hesse()
 
-    def chi2(p: np.ndarray) -> float:
-        # from the fitted line, so that nothing cancels
-        d = p - np.array([m["cxy"] / m["vx"], m["my"] - m["cxy"] / m["vx"] * m["mx"]])
-        return m["n"] * ((d[1] + d[0] * m["mx"]) ** 2 + d[0] ** 2 * m["vx"]) / ERR**2
 
-    e = ERR / math.sqrt(m["n"] * m["vx"])
-    f = Fit(chi2, {"a": m["cxy"] / m["vx"] + e, "b": m["my"] - m["cxy"] / m["vx"] * m["mx"]}, errors=[e, e * m["mx"]], strategy=2).migrad().minos()
+@query(f"SELECT 'a' AS name, {sig_sql('sqrt(c00)', 3)} AS upper, {sig_sql('-sqrt(c00)', 3)} AS lower FROM {_C2} UNION ALL SELECT 'b', {sig_sql('sqrt(c11)', 3)}, {sig_sql('-sqrt(c11)', 3)} FROM {_C2}")
+def minos_line(spark, sf):
+    """Profile errors of a quadratic objective are its parabolic ones."""
+    f = _linear_fit(spark, sf).minos()
     return spark.createDataFrame([(n, x.upper, x.lower) for n, x in f.merrors.items()], "name string, upper double, lower double").select("name", sig(F.col("upper"), 3).alias("upper"), sig(F.col("lower"), 3).alias("lower"))
 
 
@@ -314,19 +326,27 @@ def simplex_quad(spark, sf):
 
 @query(f"SELECT {sig_sql('(c00 + c11) / 2 - sqrt(pow((c00 - c11) / 2, 2) + c01 * c01)', 5)} AS low, {sig_sql('(c00 + c11) / 2 + sqrt(pow((c00 - c11) / 2, 2) + c01 * c01)', 6)} AS high FROM {_C2}")
 def eigen_2x2(spark, sf):
-    half, root = (F.col("c00") + F.col("c11")) / 2, F.sqrt(((F.col("c00") - F.col("c11")) / 2) ** 2 + F.col("c01") ** 2)
-    return _line_covariance(spark, sf).select(sig(half - root, 5).alias("low"), sig(half + root, 6).alias("high"))
+    low, high = linalg.eigenvalues(_covariance_matrix(spark, sf))
+    return spark.createDataFrame([(float(low), float(high))], "low double, high double").select(sig(F.col("low"), 5).alias("low"), sig(F.col("high"), 6).alias("high"))
+
+
+def _covariance_matrix(spark, sf) -> np.ndarray:
+    c = _line_covariance(spark, sf).collect()[0]
+    return np.array([[c["c00"], c["c01"]], [c["c01"], c["c11"]]])
 
 
 @query(f"SELECT {sig_sql('abs(c01) / sqrt(c00 * c11)', 6)} AS rho FROM {_C2}")
 def global_cc_2x2(spark, sf):
     """Of two parameters the global correlation is the absolute one."""
-    return _line_covariance(spark, sf).select(sig(F.abs("c01") / F.sqrt(F.col("c00") * F.col("c11")), 6).alias("rho"))
+    return _round(spark.createDataFrame([(float(linalg.global_cc(_covariance_matrix(spark, sf))[1]),)], "rho double"))
 
 
 @query(f"SELECT {sig_sql('corr(y, x)', 6)} AS xy, {sig_sql('corr(l_discount, x)', 4)} AS xd FROM (SELECT l_quantity AS x, l_extendedprice AS y, l_discount FROM lineitem)")
 def corr_matrix_line(spark, sf):
-    return _table(spark, sf, "lineitem").agg(sig(F.corr("l_extendedprice", "l_quantity"), 6).alias("xy"), sig(F.corr("l_discount", "l_quantity"), 4).alias("xd"))
+    reps = _table(spark, sf, "lineitem").select(F.array("l_quantity", "l_extendedprice", "l_discount").alias("p"), F.lit(True).alias("valid"))
+    c = resampling.correlation(reps, ["x", "y", "d"]).where("a = 'x'")
+    pick = lambda b, digits: sig(F.max(F.when(F.col("b") == b, F.col("corr"))), digits)
+    return c.agg(pick("y", 6).alias("xy"), pick("d", 4).alias("xd"))
 
 
 # ---- resampling --------------------------------------------------------------------------
@@ -388,15 +408,15 @@ D2 = delta_chisq(0.68, 2)
 
 @query(f"""WITH d AS (SELECT k, 8 * {uniform_sql('11', 'k', "'x'")} - 4 AS u, 8 * {uniform_sql('11', 'k', "'y'")} - 4 AS v FROM (SELECT unnest(range(0, 5000)) AS k)),
  r AS (SELECT u, v, c01 / sqrt(c00 * c11) AS rho FROM d, {_C2}), a AS (SELECT u, v FROM r WHERE (u * u - 2 * rho * u * v + v * v) / (1 - rho * rho) <= {D2!r}::DOUBLE)
- SELECT count(*) AS accepted, {sig_sql('min(u)', 6)} AS lo_u, {sig_sql('max(u)', 6)} AS hi_u, {sig_sql('min(v)', 6)} AS lo_v, {sig_sql('max(v)', 6)} AS hi_v FROM a""")
+ SELECT count(*) AS accepted, {sig_sql('min(u)', 4)} AS lo_u, {sig_sql('max(u)', 4)} AS hi_u, {sig_sql('min(v)', 4)} AS lo_v, {sig_sql('max(v)', 4)} AS hi_v FROM a""")
 def mc_region_line(spark, sf):
     """Hashed uniform proposals in units of the errors, kept where the objective rises by at most the joint quantile."""
-    c = _line_covariance(spark, sf).collect()[0]
-    rho = c["c01"] / math.sqrt(c["c00"] * c["c11"])
+    f = _linear_fit(spark, sf)
+    e = np.sqrt(np.diag(_covariance_matrix(spark, sf)))
     d = spark.range(5000).select((8 * uniform(F.lit(11), F.col("id"), F.lit("x")) - 4).alias("u"), (8 * uniform(F.lit(11), F.col("id"), F.lit("y")) - 4).alias("v"))
-    u, v = F.col("u"), F.col("v")
-    a = d.where((u * u - 2 * rho * u * v + v * v) / (1 - rho * rho) <= D2)
-    return a.agg(F.count("*").alias("accepted"), sig(F.min("u"), 6).alias("lo_u"), sig(F.max("u"), 6).alias("hi_u"), sig(F.min("v"), 6).alias("lo_v"), sig(F.max("v"), 6).alias("hi_v"))
+    found = regions.region_samples(f, 0.68, draws=f.values + np.array([tuple(r) for r in d.collect()]) * e)
+    lo, hi = (found["lower"] - f.values) / e, (found["upper"] - f.values) / e
+    return _round(spark.createDataFrame([(len(found["p"]), *map(float, (lo[0], hi[0], lo[1], hi[1])))], "accepted long, lo_u double, hi_u double, lo_v double, hi_v double"), 4)
 
 
 @query(f"SELECT event_type, count(*) AS n, {sig_sql('quantile_cont(x, 0.16)', 6)} AS q16, {sig_sql('quantile_cont(x, 0.5)', 6)} AS q50, {sig_sql('quantile_cont(x, 0.84)', 6)} AS q84 FROM {VALUES} GROUP BY 1")
@@ -456,7 +476,10 @@ def ess_lag(spark, sf):
     return ensembles.autocorrelation(d, "c", "event_id", "x", [1, 2, 5]).select("c", "lag", sig(F.round("rho", 6), 6).alias("rho"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY o) AS k, x - avg(x) OVER (PARTITION BY c) AS d, count(*) OVER (PARTITION BY c) AS n FROM {CHAINS}),
+ l AS (SELECT a.c, g.lag, sum(a.d * b.d) AS s FROM d a, (SELECT unnest(range(1, 61)) AS lag) g, d b WHERE b.c = a.c AND b.k = a.k + g.lag GROUP BY 1, 2),
+ z AS (SELECT c, any_value(n) AS n, sum(d * d) AS c0 FROM d GROUP BY c), r AS (SELECT c, lag, s / c0 AS rho FROM l JOIN z USING (c)), f AS (SELECT c, min(lag) AS first FROM r WHERE rho <= 0 GROUP BY c)
+ SELECT CAST(z.c AS VARCHAR) AS chain, z.n, {sig_sql('z.n / (1 + 2 * coalesce((SELECT sum(rho) FROM r WHERE r.c = z.c AND r.lag < f.first), 0))', 6)} AS ess FROM z JOIN f USING (c)""")
 def effective_sample_size(spark, sf):
     d = _values(spark, sf).withColumn("c", F.col("event_id") % 4)
     return ensembles.effective_sample_size(d, "c", "event_id", "x").select("chain", "n", sig(F.col("ess"), 6).alias("ess"))
@@ -507,9 +530,9 @@ def single_linkage(spark, sf):
     return modes.single_linkage(_cloud(spark, sf).withColumnRenamed("p", "z").select("id", "z"), RADIUS, 2)
 
 
-@query(f"WITH b AS (SELECT a, d FROM {NEAR} UNION ALL SELECT b, d FROM {NEAR}), m AS (SELECT a, min(d) AS d FROM b GROUP BY a) SELECT count(*) AS n, {sig_sql('median(d)', 6)} AS median, {sig_sql('quantile_cont(d, 0.9)', 6)} AS q90 FROM m")
+@query(f"WITH m AS (SELECT a.id, min(sqrt(pow(a.p[1] - b.p[1], 2) + pow(a.p[2] - b.p[2], 2))) AS d FROM {EMB} a JOIN {EMB} b ON a.id <> b.id GROUP BY a.id) SELECT count(*) AS n, {sig_sql('median(d)', 6)} AS median, {sig_sql('quantile_cont(d, 0.9)', 6)} AS q90 FROM m")
 def nn_distance(spark, sf):
-    return _round(modes.nearest_distance(_cloud(spark, sf).withColumnRenamed("p", "z").select("id", "z"), RADIUS, widen=False))  # as its SQL counts
+    return _round(modes.nearest_distance(_cloud(spark, sf).withColumnRenamed("p", "z").select("id", "z"), RADIUS))
 
 
 @query(f"SELECT CAST(label + 1 AS INT) AS mode, {sig_sql('min(p[1] * p[1] + p[2] * p[2])', 6)} AS fval, {sig_sql('min(p[1])', 6)} AS lo0, {sig_sql('max(p[2])', 6)} AS hi1, count(*) AS n_points, {sig_sql('count(*) / (SELECT count(*) FROM embeddings)', 6)} AS fraction FROM {EMB} WHERE label IS NOT NULL GROUP BY label")
@@ -519,7 +542,14 @@ def mode_representative(spark, sf):
     return m.select("mode", sig(F.col("fval"), 6).alias("fval"), sig(F.col("ranges")[0]["lo"], 6).alias("lo0"), sig(F.col("ranges")[1]["hi"], 6).alias("hi1"), "n_points", sig(F.col("fraction"), 6).alias("fraction"))
 
 
-@query()
+WIDE = NEAR.replace(f"<= {RADIUS * RADIUS!r}", f"<= {(3 * RADIUS) * (3 * RADIUS)!r}").replace(f"<= {RADIUS}", f"<= {3 * RADIUS!r}")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM {WIDE} UNION ALL SELECT b, a FROM {WIDE}), core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) + 1 >= 4),
+ i AS (SELECT e.a, e.b FROM e JOIN core x ON x.id = e.a JOIN core y ON y.id = e.b), r AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, i.b FROM r JOIN i ON r.b = i.a),
+ l AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a), m AS (SELECT id, label FROM l UNION ALL SELECT e.a, min(l.label) FROM e JOIN l ON l.id = e.b WHERE e.a NOT IN (SELECT id FROM core) GROUP BY e.a),
+ s AS (SELECT label, count(*) AS n FROM m GROUP BY label), o AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) AS mode FROM s WHERE n >= 4)
+ SELECT v.id, CAST(coalesce(mode, 0) AS INT) AS mode FROM {EMB} v LEFT JOIN m ON m.id = v.id LEFT JOIN o ON o.label = m.label""")
 def dbscan_modes(spark, sf):
     return modes.dbscan(_cloud(spark, sf).withColumnRenamed("p", "z").select("id", "z"), 3 * RADIUS, 4, 4)
 
@@ -532,18 +562,15 @@ _HALF = f"sqrt({D1!r}::DOUBLE * (t * t * c00 + 2 * t * c01 + c11))"
 
 @query(f"SELECT {sig_sql(f'slope * t + intercept - {_HALF}', 6)} AS lower, {sig_sql('slope * t + intercept', 6)} AS best, {sig_sql(f'slope * t + intercept + {_HALF}', 6)} AS upper FROM {_C2}, (SELECT 30.0::DOUBLE AS t)")
 def extremize_linear(spark, sf):
-    c = _line_covariance(spark, sf).collect()[0]
-    best = c["slope"] * 30 + c["intercept"]
-    lo, hi = regions.linear_interval(best, [30.0, 1.0], [[c["c00"], c["c01"]], [c["c01"], c["c11"]]])
-    return _round(spark.createDataFrame([(lo, best, hi)], "lower double, best double, upper double"))
+    """The extremes of a linear quantity over the region, climbing on its surface, are those of the closed form."""
+    found = regions.extremize(_linear_fit(spark, sf), lambda p: 30.0 * p[0] + p[1])
+    return _round(spark.createDataFrame([(found["lower"], found["best"], found["upper"])], "lower double, best double, upper double"))
 
 
-@query(f"SELECT t AS x, {sig_sql(f'slope * t + intercept - {_HALF}', 6)} AS lower, {sig_sql(f'slope * t + intercept + {_HALF}', 6)} AS upper FROM {_C2}, (SELECT unnest(range(0, 51, 5))::DOUBLE AS t)")
+@query(f"SELECT t AS x, {sig_sql(f'slope * t + intercept - {_HALF}', 5)} AS lower, {sig_sql(f'slope * t + intercept + {_HALF}', 5)} AS upper FROM {_C2}, (SELECT unnest(range(0, 51, 5))::DOUBLE AS t)")
 def profile_band_linear(spark, sf):
-    e = _line_covariance(spark, sf).withColumn("x", F.explode(F.array(*[F.lit(float(t)) for t in range(0, 51, 5)])))
-    x = F.col("x")
-    best, half = F.col("slope") * x + F.col("intercept"), F.sqrt(D1 * (x * x * F.col("c00") + 2 * x * F.col("c01") + F.col("c11")))
-    return e.select("x", sig(best - half, 6).alias("lower"), sig(best + half, 6).alias("upper"))
+    band = regions.profile_band(_linear_fit(spark, sf), lambda p, x: x * p[0] + p[1], [float(t) for t in range(0, 51, 5)])
+    return _round(spark.createDataFrame([(r["x"], r["lower"], r["upper"]) for r in band], "x double, lower double, upper double"), 5, ["x"])
 
 
 @query(f"SELECT count(*) AS n, {sig_sql('avg(z)', 4)} AS mean, {sig_sql('stddev_pop(z)', 6)} AS std FROM (SELECT sqrt(-2 * ln(1 - {uniform_sql('1', 'event_id', chr(39) + 'a' + chr(39))})) * cos(2 * pi() * {uniform_sql('1', 'event_id', chr(39) + 'b' + chr(39))}) AS z FROM events)")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lodefit.functions.special import chisq_cl, delta_chisq, p_value
-from lodefit.operators import linalg, minimize
+from lodefit.operators import costs, linalg, minimize, regions
 from lodefit.operators.costs import BinnedNLL, CostSum, ExtendedUnbinnedNLL, LeastSquares, UnbinnedNLL
 from lodefit.operators.ensembles import Target, combine_priors, half_normal_prior, normal_prior, uniform_prior
 from lodefit.operators.fit import Fit, MinosError, minos_error_from_dict, text_plot
@@ -81,6 +81,68 @@ def test_minos_and_contours():
     assert "*" in text_plot(points)
 
 
+def test_contour_that_is_not_convex():
+    """Points lie on the level set all around, in even gaps, where rays from the middle of a gap lead inwards too."""
+    f = Fit(lambda p: (p[0] ** 2 + p[1] ** 2 + (p[0] ** 2 - p[1] ** 2) ** 2), {"x": 0.05, "y": -0.05}, errordef=4.0).migrad().hesse()
+    c = f.contour_exact("x", "y", 24)
+    assert len(c) == 24
+    for x, y in c:
+        assert x**2 + y**2 + (x**2 - y**2) ** 2 == pytest.approx(4.0, abs=0.02) and 1.0 < math.hypot(x, y) < 2.5
+    turn = np.unwrap(np.arctan2(c[:, 1], c[:, 0]))
+    assert (np.diff(turn) > 0).all() and turn[-1] - turn[0] < 2 * math.pi
+    banana = Fit(rosenbrock, [-1.2, 1.0], errors=[0.1, 0.1]).migrad().hesse()
+    c = banana.contour_exact(0, 1, 20)
+    assert len(c) >= 4 and np.allclose([rosenbrock(x) for x in c], banana.fval + 1, atol=0.02)
+    full = Fit(lambda p: float((p**2).sum()), [0.1, 0.1, 0.1]).migrad().hesse().contour_exact(0, 1, 8, full=True)
+    assert full.shape == (8, 3) and np.allclose((full**2).sum(1), 1, atol=5e-3)
+
+
+def test_minos_tells_of_a_deeper_minimum():
+    f = Fit(lambda p: (p[0] ** 2 - 1) ** 2 + 0.4 * p[0], [0.95], errors=[0.1], errordef=2.0).migrad()
+    assert f.values[0] > 0
+    f.minos()
+    e = f.merrors["x0"]
+    assert e.new_min and e.lower_new_min and not e.upper_new_min and f.deeper[0] < 0
+    assert minos_error_from_dict(e.to_dict()) == e
+    g = Fit(quadratic, {"x": 0.0, "y": 0.0}).migrad().minos()
+    assert not g.merrors["x"].new_min and g.deeper is None and g.merrors["x"].upper_state[0] == pytest.approx(2, abs=5e-3)
+
+
+def test_hessian_gradient():
+    f = minimize.Objective(minimize.scalar(lambda p: math.exp(p[0]) + (p[1] - 3) ** 4 + 1e3), 1.0)
+    x = np.array([0.3, 1.0])
+    want = np.array([math.exp(0.3), -32.0])
+    for level in (0, 1, 2):
+        g, step, unsure = minimize.hessian_gradient(f, x, f.one(x), want * 1.3, np.array([1.3, 48.0]), np.array([0.5, 0.5]), Strategy(level))
+        assert (np.abs(g - want) <= np.maximum(unsure, 1e-3 * np.abs(want))).all() and (step > 0).all()
+
+
+def test_matrices_that_are_singular():
+    assert linalg.global_cc([[1.0, 1.0], [1.0, 1.0]]).tolist() == [0.0, 0.0]
+    near = [[1.0, 1 - 1e-8], [1 - 1e-8, 1.0]]
+    assert linalg.make_posdef(near)[1] and not linalg.is_posdef_enough(near) and not linalg.make_posdef([[1.0, 0.99], [0.99, 1.0]])[1]
+
+
+def test_linear_least_squares(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=50)
+    rows = [(float(a), float(1e6 + 3 * a + e), 0.1) for a, e in zip(x, rng.normal(size=50) * 0.1)]
+    df = spark.createDataFrame(rows, "x double, y double, err double")
+    line = costs.LinearLeastSquares(df, [lambda x, m: x, lambda x, m: 1.0, lambda x, m: m.exp(-x)], ["a", "b", "c"])
+    plain = costs.LeastSquares(df, line.model, ["a", "b", "c"])
+    thetas = line.form()[1] + rng.normal(size=(60, 3)) * 0.1
+    np.testing.assert_allclose(line.evaluate(thetas), plain.evaluate(thetas), rtol=1e-7)
+    np.testing.assert_allclose(line.local()(thetas), plain.local()(thetas), rtol=1e-7)
+    with pytest.raises(ValueError):
+        costs.LinearLeastSquares(df.limit(0), [lambda x, m: x], ["a"]).form()
+
+
+def test_region_of_given_draws():
+    f = Fit(quadratic, {"x": 0.0, "y": 0.0}).migrad().hesse()
+    draws = np.array([[1.0, 2.0], [1.5, 2.5], [9.0, 9.0]])
+    assert len(regions.region_samples(f, 0.68, draws=draws)["p"]) == 2
+
+
 def test_minos_at_a_limit():
     f = Fit(lambda p: (p[0] - 0.1) ** 2, {"x": 0.5}, limits={"x": (0.0, 5.0)}).migrad().minos()
     assert f.merrors["x"].lower_limit and f.merrors["x"].lower_valid and not f.merrors["x"].upper_limit

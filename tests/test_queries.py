@@ -38,11 +38,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["dbscan_modes", "effective_sample_size"])
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
-
-
 def test_nearest_distance_counts_every_row(spark):
     z = np.random.default_rng(5).normal(size=(120, 3))
     z[0] += 50

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodefit.functions.probes import argument_names, gradient_agrees, is_deterministic
-from lodefit.operators import ensembles, linear, modes, resampling
+from lodefit.operators import costs, ensembles, linear, modes, resampling
 from lodefit.operators.costs import LeastSquares
 from lodefit.operators.fit import Fit, minimum_summary_from_dict, minos_to_latex
 from lodefit.sources import tables
@@ -154,3 +154,25 @@ def test_deeper_by_resampling(spark):
     fit = Fit(lambda p: (p[0] ** 2 - 1) ** 2 + 0.2 * p[0], {"x": 0.9}).migrad()
     reps = spark.createDataFrame([(i, [(1.0 if i % 2 else -1.0) + i / 1000], True) for i in range(20)] + [(99, [], False)], "rep int, p array<double>, valid boolean")
     assert modes.find_deeper_by_resampling(fit, reps, radius=1.0).values[0] < 0
+
+
+@pytest.mark.parametrize("sampler", ["metropolis", "stretch"])
+def test_chains_over_rows_that_do_not_fit(spark, monkeypatch, sampler):
+    """Beyond the bound on collected rows the chains take their steps together, over sums in Spark; with a closed-form target over seeds."""
+
+    df = spark.range(40).selectExpr("0.1 * id AS x", "0.2 * id + 1 + 0.1 * (id % 3) AS y", "0.1D AS err")
+    cost = costs.LinearLeastSquares(df, [lambda x, m: x, lambda x, m: 1.0], ["a", "b"])
+    fit = Fit(cost, [1.0, 1.0]).migrad().hesse()
+    monkeypatch.setattr(type(cost), "local", lambda self: (_ for _ in ()).throw(costs.TooManyRows("many")))
+    target, _ = ensembles.target_of(fit)
+    assert target.in_spark
+    got = ensembles.mcmc_sample(spark, fit, sampler, chains=6, steps=1500, burn=300, seed=2).toPandas()
+    p = np.array(got["p"].tolist())
+    sd = np.sqrt(np.diag(fit.covariance))
+    assert np.allclose(p.mean(0), fit.values, atol=0.25 * sd.max()) and np.allclose(p.std(0), sd, rtol=0.15)
+    np.testing.assert_allclose(cost.evaluate(p[:5]), got["fval"][:5])
+    with pytest.raises(ValueError):
+        ensembles.mcmc_sample(spark, fit, "hmc")
+    plain = costs.LeastSquares(df, cost.model, ["a", "b"])
+    monkeypatch.setattr(costs, "LOCAL_ROWS", 10)
+    assert ensembles.target_of(Fit(plain, fit.values))[0].in_spark
