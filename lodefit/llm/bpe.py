@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from lodefit.llm.common import batch_of, small_batches, table, texts
+from lodefit.llm.common import batch_of, kept, small_batches, table, texts
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 #: Texts are cut at white space into pieces of about this many characters, which bounds memory.
@@ -242,14 +242,9 @@ class TrieEncoder:
         return {i: t for t, i in [*self.ids.items(), *self.special.items()]}
 
 
-_ENCODERS: dict[str, TrieEncoder] = {}
-
-
 def encoder(path: str) -> TrieEncoder:
     """A worker's encoder of the vocabulary at path, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TrieEncoder(path)
-    return _ENCODERS[path]
+    return kept(("bpe", path), lambda: TrieEncoder(path))
 
 
 def vocabulary_path(spark: SparkSession) -> str:

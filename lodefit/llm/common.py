@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from lodefit.functions.shared import cut, shared_dir
 from lodefit.functions.shipping import ship
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "FEW", "batch_of", "cut", "draw", "held_out", "shared_dir", "small_batches", "table", "texts"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "FEW", "batch_of", "cut", "draw", "held_out", "kept", "shared_dir", "small_batches", "table", "texts"]
 
 #: Rows of one Arrow batch handed to a Python worker; bounds its memory.
 BATCH_ROWS = 512
@@ -18,6 +20,17 @@ BATCH_BYTES = 32 << 20
 FEW = 500_000
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(name: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one thing, so that one operator's doesn't weigh on the next one's."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodefit.functions.skew import split_join
-from lodefit.llm.common import FEW, batch_of, cut, small_batches, texts
+from lodefit.llm.common import FEW, batch_of, cut, kept, small_batches, texts
 from lodefit.llm.components import components
 from lodefit.llm.simhash import BITS, correlated_groups, mask_of, near_share
 
@@ -87,13 +87,20 @@ def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
 
 
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of unsigned numbers as a column of lists, without a Python object for each number."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.uint64)]).view(np.int64)))
+
+
 def fingerprints(docs: DataFrame, settings: Settings) -> DataFrame:
     """docs(doc_id, text) -> doc_id, th, digest, fps; th is the hash by which the text is found again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("near copies",), lambda: None)
         for b in batches:
-            found = [shingles(t, settings.shingle_words) for t in texts(b, "text")]
-            fps = [fingerprint(h, settings.words).view(np.int64).tolist() for _, h in found]
+            found = [(d, fingerprint(h, settings.words)) for d, h in (shingles(t, settings.shingle_words) for t in texts(b, "text"))]
+            fps = lists([f for _, f in found])
             yield batch_of([b.column(0), b.column(1), [d for d, _ in found], fps], _OUT)
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, digest binary, fps array<long>")
@@ -224,7 +231,7 @@ def crowd_links(inside: DataFrame, reps: DataFrame, docs: DataFrame, settings: S
         x, y = np.nonzero(np.triu(apart <= most, 1))
         order = np.argsort(apart[x, y], kind="stable")
         sets: dict[int, frozenset] = {}
-        lists = rows.column("shingles").combine_chunks()
+        held = rows.column("shingles").combine_chunks()
         root = list(range(len(rep)))
         links = []
 
@@ -235,7 +242,7 @@ def crowd_links(inside: DataFrame, reps: DataFrame, docs: DataFrame, settings: S
 
         def shingles_of(k: int) -> frozenset:
             if k not in sets:
-                sets[k] = frozenset(lists[k].as_py())
+                sets[k] = frozenset(held[k].as_py())
             return sets[k]
 
         for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
@@ -267,7 +274,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [shingles(t, settings.shingle_words) for t in texts(b, "text")]
-            yield batch_of([[d for d, _ in made], [h.view(np.int64).tolist() for _, h in made]], _SETS)
+            yield batch_of([[d for d, _ in made], lists([h for _, h in made])], _SETS)
 
     # another text of equal th would have another digest
     return wanted.select("rep", "digest").join(found.select("text").mapInArrow(run, "digest binary, shingles array<long>"), "digest").select("rep", "shingles")
