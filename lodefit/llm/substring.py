@@ -22,22 +22,38 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodefit.llm.common import batch_of, small_batches, table
+from lodefit.llm.common import batch_of, small_batches, table, texts
 
 #: An odd base: two windows that differ in one word never share a hash.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("windows", pa.binary())])
+_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("windows", pa.list_(pa.binary()))])
 _SEEN = pa.schema([("chunk", pa.int64()), ("hashes", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """chunk_bytes of text and range_windows of hashes are what one group holds at a time."""
+    """chunk_bytes of text and range_windows of hashes are what one group holds at the size of base_bytes.
+
+    Both grow with the square root of the size, so that the messages between them
+    grow with the size alone, up to what a worker can hold: most_growth times as
+    much. Beyond that size, 32 GB by default, messages grow with its square again;
+    with larger workers, raise it. A range is met in blocks of block_windows.
+    """
 
     window: int = 13
     chunk_bytes: int = 8 << 20
     range_windows: int = 2 << 20
+    base_bytes: int = 512 << 20
+    most_growth: float = 8.0
+    block_windows: int = 1 << 20
+
+    def layout(self, size: int, least: int) -> tuple[int, int, int]:
+        """(chunks, hash ranges, blocks of a range) for size bytes of text; least: tasks that are wanted."""
+        growth = min(self.most_growth, max(1.0, math.sqrt(size / self.base_bytes)))
+        chunks = max(2 * least, math.ceil(size / (self.chunk_bytes * growth)))
+        ranges = max(least, math.ceil(size / 6 / (self.range_windows * growth)))
+        return chunks, ranges, max(1, math.ceil(size / 6 / ranges / self.block_windows))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -98,20 +114,31 @@ def _chunk_windows(rows: pa.Table, window: int) -> tuple[list[list[bytes]], list
     return words, hashes, *first_ids(every, ids)
 
 
-def send(rows: pa.Table, parts: int, window: int) -> pa.Table:
-    """A chunk's distinct windows, packed for each hash range."""
+def send(rows: pa.Table, parts: int, blocks: int, window: int) -> pa.Table:
+    """A chunk's distinct windows: a message for each hash range, packed block by block."""
     _, _, hashes, ids = _chunk_windows(rows, window)
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
-    ends = np.append(edges[1:], len(part)) if len(edges) else edges
+    block = ((hashes >> np.uint64(32)) * np.uint64(parts * blocks)) >> np.uint64(32)
+    at = np.searchsorted(block, np.arange(parts * blocks + 1, dtype=np.uint64))
+    used = np.unique(block // np.uint64(blocks)).astype(int).tolist()
+    packed = [[pack(hashes[at[k] : at[k + 1]], ids[at[k] : at[k + 1]]) if at[k] < at[k + 1] else b"" for k in range(p * blocks, (p + 1) * blocks)] for p in used]
     chunk = rows.column("chunk")[0].as_py()
-    return pa.Table.from_batches([batch_of([part[edges].astype(np.int32), [chunk] * len(edges), [pack(hashes[a:b], ids[a:b]) for a, b in zip(edges, ends, strict=True)]], _SENT)])
+    return pa.Table.from_batches([batch_of([used, [chunk] * len(used), packed], _SENT)])
 
 
 def meet(rows: pa.Table) -> pa.Table:
-    """For each chunk, the hashes of one range that start in a smaller document of another chunk."""
-    got = [unpack(x.as_py()) for x in rows.column("windows")]
-    chunks = rows.column("chunk").to_numpy()
+    """For each chunk, the hashes of one range that start in a smaller document of another chunk; one block is unpacked at a time."""
+    messages, chunks = rows.column("windows").combine_chunks(), rows.column("chunk").to_numpy()
+    offsets, packed = messages.offsets.to_numpy(), messages.values
+    found: list[pa.RecordBatch] = []
+    for k in range(int(offsets[1] - offsets[0])):
+        raw = [packed[int(i) + k].as_py() for i in offsets[:-1]]
+        has = [i for i, x in enumerate(raw) if x]
+        if len(has) > 1:
+            found.append(_meet([unpack(raw[i]) for i in has], chunks[has]))
+    return pa.Table.from_batches(found, _SEEN)
+
+
+def _meet(got: list[tuple[np.ndarray, np.ndarray]], chunks: np.ndarray) -> pa.RecordBatch:
     hashes = np.concatenate([h for h, _ in got])
     ids = np.concatenate([i for _, i in got])
     source = np.repeat(np.arange(len(got)), [len(h) for h, _ in got])
@@ -124,7 +151,7 @@ def meet(rows: pa.Table) -> pa.Table:
     order = np.argsort(source, kind="stable")
     hashes, source = hashes[order], source[order]
     at, where = np.unique(source, return_index=True)
-    return pa.Table.from_batches([batch_of([chunks[at], [h.astype("<u8").tobytes() for h in np.split(hashes, where[1:])] if len(at) else []], _SEEN)])
+    return batch_of([chunks[at], [h.astype("<u8").tobytes() for h in np.split(hashes, where[1:])] if len(at) else []], _SEEN)
 
 
 def covered(windows: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -163,26 +190,36 @@ def dedup(docs: DataFrame, settings: Settings = Settings(), texts_out: bool = Fa
     """
     spark = docs.sparkSession
     small_batches(spark)
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(2 * least, math.ceil(size / settings.chunk_bytes))
-    parts = max(least, math.ceil(size / 6 / settings.range_windows))
     window = settings.window
-    key = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).alias("chunk")
-    dealt = docs.select(key, "doc_id", "text").repartition(max(least, chunks // 2), "chunk")
-    sent = dealt.groupBy("chunk").applyInArrow(lambda t: send(t, parts, window), "part int, chunk long, windows binary")
-    seen = sent.groupBy("part").applyInArrow(meet, "chunk long, hashes binary")
+    # a text of window words has as many characters and the space between them, so a shorter one loses and takes nothing
+    windowed = F.coalesce(F.octet_length("text") >= 2 * window - 1, F.lit(False))
+    size = docs.where(windowed).agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
+    chunks, parts, blocks = settings.layout(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, chunks // 2)
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
+    dealt = docs.where(windowed).select(key, "doc_id", "text").repartition(tasks, "chunk")
+    sent = dealt.groupBy("chunk").applyInArrow(lambda t: send(t, parts, blocks, window), "part int, chunk long, windows array<binary>")
+    seen = sent.repartition(parts, "part").groupBy("part").applyInArrow(meet, "chunk long, hashes binary").repartition(tasks, "chunk")
     out = pa.schema([*_OUT, ("kept_text", pa.string())]) if texts_out else _OUT
 
-    def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
+    def rows_of(found: Iterator[tuple[int | None, list[bytes], np.ndarray]]) -> pa.RecordBatch:
         made = []
-        for doc_id, words, mask in remove(rows, found, window) if len(rows) else ():
+        for doc_id, words, mask in found:
             kept = b" ".join(compress(words, ~mask)) if mask.any() else b" ".join(words)
             made.append((doc_id, len(words), int(mask.sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts_out else [])))
-        return pa.Table.from_batches([batch_of([[x[i] for x in made] for i in range(len(out))], out)])
+        return batch_of([[x[i] for x in made] for i in range(len(out))], out)
+
+    def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([rows_of(remove(rows, found, window) if len(rows) else iter(()))])
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = [words_of(t) for t in texts(b, "text")]
+            yield rows_of((i, w, np.zeros(len(w), bool)) for i, w in zip(b.column(0).to_pylist(), whole, strict=True))
 
     form = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_out
-    return dealt.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(finish, form)
+    long = dealt.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(finish, form)
+    return long.unionByName(docs.where(~windowed).select("doc_id", "text").mapInArrow(short, form))
 
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:

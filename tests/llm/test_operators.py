@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import struct
@@ -364,6 +365,22 @@ def test_substring(spark, docs, empty):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in kept)
 
 
+def test_substring_blocks_and_one_id_in_many_rows(spark):
+    rows = [(5, f"{SHARED} {k} {SHARED}") for k in range(40)] + [(3, SHARED), (None, SHARED), (9, prose(20) + " " + SHARED), (9, None), (4, "short")] + [(None, None)] * 30
+    df = spark.createDataFrame([(*r, 1, 2, "c") for r in rows], "doc_id long, text string, chunk int, part int, hashes string")
+    for s in (substring.Settings(), substring.Settings(chunk_bytes=300, range_windows=60, block_windows=7, base_bytes=100)):
+        assert sorted(map(tuple, substring.dedup(df, s).collect()), key=str) == brute_substring(rows)
+
+
+def test_substring_messages_grow_with_the_size():
+    """Chunks times ranges, the rows that are shuffled, in proportion to the size from 0.1 to 30 GB."""
+    s, gb = substring.Settings(), 1 << 30
+    count = {size: math.prod(s.layout(int(size * gb), 12)[:2]) for size in (0.5, 2, 8, 30)}
+    assert all(0.8 < count[size] / count[0.5] / (size / 0.5) < 1.25 for size in count)
+    assert all(s.layout(int(size * gb), 12)[2] * s.block_windows >= size * gb / 6 / s.layout(int(size * gb), 12)[1] for size in count)
+    assert s.layout(0, 4) == (8, 4, 1)
+
+
 def test_pack_round_trip():
     h = np.unique(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
     ids = np.random.default_rng(2).integers(-(2**62), 2**62, len(h))
