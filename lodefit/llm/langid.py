@@ -27,16 +27,13 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred"
 
 @dataclass(frozen=True)
 class Settings:
-    """docs_per_language and piece_chars bound the fit: the model reads at most
-    docs_per_language distinct pieces of piece_chars characters per language and
-    keeps dictionary_bytes of them. margin is the least relative gap between the
-    two smallest encodings that is not rejected."""
-
-    docs_per_language: int = 256
-    piece_chars: int = 512
-    dictionary_bytes: int = 131_072
-    level: int = 12
-    chunk_bytes: int = 2048
+    """docs_per_language bounds the fit: a dictionary is at most so many distinct labelled
+    texts, whole. margin is the least relative gap between the two smallest encodings
+    that is not rejected."""
+
+    docs_per_language: int = 96
+    level: int = 9
+    chunk_bytes: int = 4096
     scale_bytes: float = 4.0
     margin: float = 0.01
 
@@ -51,7 +48,7 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """Dictionaries by language, the one of most rows first, from rows(text, lang); null texts and languages are left out.
 
     The sample is drawn by the hash of the text, at a rate set from the number of
-    rows of each language, and is at most docs_per_language pieces for each.
+    rows of each language, and is at most docs_per_language whole texts for each.
     """
     rows = rows.where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -59,21 +56,19 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
         return {}
     space = 1 << 20
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(space, math.ceil(space * 8 * settings.docs_per_language / n)))])
-    piece = F.substring(F.col("text"), (F.length("text") / 4).cast("int") + 1, F.lit(settings.piece_chars))
-    drawn = rows.select("lang", F.xxhash64("text").alias("h"), piece.alias("piece"))
+    drawn = rows.select("lang", F.xxhash64("text").alias("h"), "text")
     near = drawn.where(F.pmod("h", F.lit(space)) < limit[F.col("lang")]).dropDuplicates(["lang", "h"])
     first = Window.partitionBy("lang").orderBy("h")
     kept = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= settings.docs_per_language)
-    pieces: dict[str, list[str]] = {lang: [] for lang in counts}
+    found: dict[str, list[str]] = {lang: [] for lang in counts}
     for r in kept.orderBy("lang", F.desc("k")).collect():
-        pieces[r["lang"]].append(r["piece"])
-    missing = [lang for lang, found in pieces.items() if not found]
+        found[r["lang"]].append(r["text"])
+    missing = [lang for lang, some in found.items() if not some]
     if missing:  # a language whose few distinct texts all hash beyond its rate
-        for r in drawn.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min("piece").alias("piece")).collect():
-            pieces[r["lang"]].append(r["piece"])
-    # the last bytes of a raw dictionary are the cheapest to refer to
-    order = sorted(pieces, key=lambda lang: (-counts[lang], lang))
-    return {lang: " ".join(map(normalise, pieces[lang])).encode()[-settings.dictionary_bytes :] for lang in order}
+        for r in drawn.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min("text").alias("text")).collect():
+            found[r["lang"]].append(r["text"])
+    order = sorted(found, key=lambda lang: (-counts[lang], lang))
+    return {lang: " ".join(map(normalise, found[lang])).encode() for lang in order}
 
 
 @lru_cache(maxsize=4)

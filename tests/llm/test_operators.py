@@ -8,6 +8,7 @@ import re
 import struct
 import time
 import tracemalloc
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -15,6 +16,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from lodefit.functions.skew import hot_keys, split_join
@@ -103,6 +105,42 @@ def test_langid(spark, docs, empty):
     assert langid.classify("some text", (), langid.Settings())[0] == langid.UNDETERMINED
 
 
+def brute_language(text, model, s):
+    """The smallest sum of encodings of the text's chunks, each by a compressor of its own."""
+    plain = langid.normalise(text)
+    if not any(map(str.isalpha, plain)):
+        return langid.UNDETERMINED
+    raw, best = plain.encode(), None
+    for lang, d in model.items():
+        c = zstandard.ZstdCompressor(level=s.level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        c_size = sum(len(c.compress(raw[i : i + s.chunk_bytes])) for i in range(0, len(raw), s.chunk_bytes))
+        if best is None or c_size < best[0]:
+            best = (c_size, lang)
+    return best[1]
+
+
+def test_langid_whole_table(spark):
+    """Predictions of every document against a plain version, from a model of whole labelled texts that are not held out."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    texts = duckdb.sql(f"SELECT doc_id, text, lang FROM '{path}'").fetchall()
+    df = spark.read.parquet(path)
+    model = langid.fit(df.where(~common.held_out(df.doc_id, 4, 2)))
+    s = langid.Settings()
+    for lang, d in model.items():
+        told = {langid.normalise(t) for i, t, la in texts if la == lang and t and zlib.crc32(str(i).encode()) % 4 != 2}
+        left = d.decode()
+        used = [t for t in sorted(told, key=len, reverse=True) if t and t in left]
+        assert len(used) >= min(s.docs_per_language, len(told)) * 0.9
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.op1_langid(spark, "/root/testdata/sf0.01").collect()}
+    some = texts[::7]
+    assert {i: got[i] for i, _, _ in some} == {i: brute_language(t, model, s) for i, t, _ in some} and len(got) == len(texts)
+
+
+def test_langid_ties_go_to_the_first():
+    d = b"the same bytes for both of them"
+    assert langid.classify("anything at all", (("xx", d), ("aa", d)), langid.Settings())[:1] == ("xx",) and langid.classify("anything at all", (("xx", d), ("aa", d)), langid.Settings())[2]
+
+
 # ---- 2 quality ---------------------------------------------------------------------------
 
 
