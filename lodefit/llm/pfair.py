@@ -9,7 +9,8 @@ fractions and the whole mix is scheduled, so this holds from the first block to
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 from fractions import Fraction
 from math import lcm
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodefit.llm.common import table
 
+ADDED = ("position", "slot", "block", "epoch")
 #: Rows of the table of bucket offsets that is broadcast.
 OFFSET_ROWS = 200_000
 
@@ -25,9 +27,11 @@ OFFSET_ROWS = 200_000
 @dataclass(frozen=True)
 class Settings:
     """block_rows: rows of a block; period: blocks that a source's share is stated for;
-    flatten: default weights are the sources' row counts to this power."""
+    flatten: default weights are the sources' row counts to this power; most_blocks: the mix has at most so many
+    blocks, as all are scheduled on the driver, so blocks of a very large one are larger."""
 
     block_rows: int = 64
+    most_blocks: int = 1 << 20
     period: int = 4096
     flatten: float = 0.8
 
@@ -116,6 +120,22 @@ def mix_end(shares: dict[str, int], least: dict[str, int]) -> int:
     return high
 
 
+def sized(counts: dict[str, int], settings: Settings, weights: dict[str, float] | None = None) -> Settings:
+    """settings with the block_rows that keep the mix within most_blocks."""
+    shares = _shares(counts, settings, weights)
+    total = sum(shares.values())
+    length = max(Fraction(n * total, shares[s]) for s, n in counts.items())
+    return replace(settings, block_rows=max(settings.block_rows, math.ceil(length / settings.most_blocks)))
+
+
+def _shares(counts: dict[str, int], settings: Settings, weights: dict[str, float] | None) -> dict[str, int]:
+    if weights is None:
+        weights = {s: n**settings.flatten for s, n in counts.items()}
+    if missing := sorted(set(counts) - set(weights)):
+        raise ValueError(f"sources without a weight: {missing[:5]}")
+    return exact_shares({s: weights[s] for s in sorted(counts)})
+
+
 def plan(counts: dict[str, int], settings: Settings, weights: dict[str, float] | None = None) -> tuple[list[Source], dict[str, list[int]]]:
     """How many rows each source gives until the slowest has given all of its own, and the slots of each group's blocks.
 
@@ -123,11 +143,7 @@ def plan(counts: dict[str, int], settings: Settings, weights: dict[str, float] |
     Sources that are due less than a block by then fill the blocks of one group, one after
     the other, each with the rows it is due.
     """
-    if weights is None:
-        weights = {s: n**settings.flatten for s, n in counts.items()}
-    if missing := sorted(set(counts) - set(weights)):
-        raise ValueError(f"sources without a weight: {missing[:5]}")
-    shares = exact_shares({s: weights[s] for s in sorted(counts)})
+    shares = _shares(counts, settings, weights)
     size, total = settings.block_rows, sum(shares.values())
     length = max(Fraction(n * total, shares[s]) for s, n in counts.items())  # rows of the mix
     tail = {s: c for s, c in shares.items() if length * c < size * total}
@@ -171,14 +187,16 @@ def mix(rows: DataFrame, settings: Settings = Settings(), weights: dict[str, flo
     repeats from 0. Within a source the order is by hash of doc_id. Rows without a
     source are a source of their own; an empty table stays empty. position grows
     along the mix; a source's short last block leaves numbers out. Sources that are
-    due less than a block in all share blocks, which are numbered through.
+    due less than a block in all share blocks, which are numbered through. Columns
+    of rows that are named like the added ones are replaced; no other name clashes.
     """
     spark = rows.sparkSession
-    keyed = rows.withColumn("_s", source_key(F.col("source")))
+    kept = [F.col(f"_row.`{c}`") for c in rows.columns if c not in ADDED]
+    keyed = rows.select(F.struct("*").alias("_row"), "doc_id", source_key(F.col("source")).alias("_s"))
     counts = {r["_s"]: r["count"] for r in keyed.groupBy("_s").count().collect()}
-    added = [F.lit(0).cast("long").alias(c) for c in ("position", "slot", "block")]
     if not counts:
-        return rows.select("*", *added, F.lit(0).alias("epoch"))
+        return keyed.select(*kept, *[F.lit(0).cast("long").alias(c) for c in ADDED[:3]], F.lit(0).alias(ADDED[3]))
+    settings = sized(counts, settings, weights)
     sources, slots = plan(counts, settings, weights)
     size, period = settings.block_rows, settings.period
     length = sum(map(len, slots.values())) * size
@@ -207,7 +225,7 @@ def mix(rows: DataFrame, settings: Settings = Settings(), weights: dict[str, flo
     ranked = ranked.withColumn("block", F.floor(F.col("_r") / size))
     ranked = ranked.join(F.broadcast(places), "_g").withColumn("slot", F.get("_x", F.col("block").cast("int")).cast("long"))
     ranked = ranked.withColumn("position", F.col("slot") * size + F.col("_r") % size)
-    return ranked.sortWithinPartitions("_b", "position").select(*rows.columns, "position", "slot", "block", "epoch")
+    return ranked.sortWithinPartitions("_b", "position").select(*kept, *ADDED)
 
 
 def op5_pfair(spark, sf_dir: str) -> DataFrame:

@@ -345,6 +345,65 @@ def test_mix(spark, docs, empty):
         pfair.mix(df, s, {"s:big": 1.0})
 
 
+def brute_slots(shares, end, least):
+    """Slot by slot: of all blocks that are released the one whose deadline is next, by looking at every source."""
+    total, placed = sum(shares.values()), {s: [] for s in shares}
+    for at in range(end):
+        best = None
+        for s in sorted(shares):
+            k = len(placed[s])
+            if k * total // shares[s] <= at:
+                deadline = -(-(k + 1) * total // shares[s])
+                deadline = min(deadline, end) if k < least.get(s, 0) else deadline
+                if best is None or deadline < best[0]:
+                    best = (deadline, s)
+        placed[best[1]].append(at)
+    return placed
+
+
+@pytest.mark.parametrize("rows_of_a_block", [1, 7, 64])
+def test_mix_is_brute_force(spark, rows_of_a_block):
+    """Every row of the mix of sf0.01 from a second version: slots by brute force, ranks by sorting."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
+    s = pfair.Settings(block_rows=rows_of_a_block)
+    counts = Counter(f"s:{r['source']}" if r["source"] is not None else "n:" for r in df.collect())
+    sources, slots = pfair.plan(counts, s)
+    shares = pfair.exact_shares({k: n**s.flatten for k, n in sorted(counts.items())})
+    tail = [x.name for x in sources if x.group == pfair.TAIL]
+    groups = {k: c for k, c in shares.items() if k not in tail} | ({pfair.TAIL: sum(shares[k] for k in tail)} if tail else {})
+    least = {k: -(-counts[k] // rows_of_a_block) for k in groups if k != pfair.TAIL}
+    if tail:
+        least[pfair.TAIL] = -(-max(n * sum(shares.values()) / shares[k] for k, n in counts.items()) * groups[pfair.TAIL] // (rows_of_a_block * sum(shares.values())))
+    end = sum(map(len, slots.values()))
+    assert slots == brute_slots(groups, end, least)
+    most = max(-(-x.wanted // x.rows) for x in sources)
+    hashed = df.select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("e")).withColumn("u", F.pmod(F.xxhash64("doc_id", "e"), F.lit(1 << 40)))
+    by = defaultdict(list)
+    for r in hashed.collect():
+        by[f"s:{r['source']}" if r["source"] is not None else "n:"].append((r["e"], r["u"], r["doc_id"]))
+    want = set()
+    for x in sources:
+        for k, (e, _, i) in enumerate(sorted(by[x.name])[: x.wanted]):
+            r = x.at + k
+            slot = slots[x.group][r // rows_of_a_block]
+            want.add((i, slot * rows_of_a_block + r % rows_of_a_block, slot, e))
+    got = [(r["doc_id"], r["position"], r["slot"], r["epoch"]) for r in pfair.mix(df, s).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_mix_takes_clashing_names_and_bounds_its_blocks(spark):
+    rows = [(i, f"s{i % 3}", i, i, i, i, i, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, position int, _s int, _n int, epoch string, block long, `a.b` int")
+    got = pfair.mix(df).collect()
+    assert {r["_n"] for r in got} == set(range(500)) and {(r["doc_id"], r["a.b"]) for r in got} == {(i, i) for i in range(500)}
+    assert len({r["position"] for r in got}) == len(got) and set(got[0].asDict()) == {*df.columns, "slot"}
+    counts = {"s:a": 10**9, "s:b": 10**6}
+    s = pfair.sized(counts, pfair.Settings())
+    assert s.block_rows > 64 and pfair.sized({"s:a": 1000}, pfair.Settings()).block_rows == 64
+    few = pfair.sized({"s:a": 9000, "s:b": 1000}, pfair.Settings(block_rows=1, most_blocks=50))
+    assert sum(map(len, pfair.plan({"s:a": 9000, "s:b": 1000}, few)[1].values())) <= 52
+
+
 def test_plan_keeps_exact_weights():
     weights = {"s:a": 0.7, "s:b": 0.2, "s:c": 0.1}
     n, size = 15_000_000, 64
