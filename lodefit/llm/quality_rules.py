@@ -58,7 +58,11 @@ def chars_of(text: Column, characters: str) -> Column:
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words covered by windows of that many words that the text has twice or more, the first included."""
+    """Words covered by windows of that many words that the text has twice or more, the first included.
+
+    Windows of one text are equal if their 64-bit hashes are: two different ones of
+    n words share one with a chance of n squared by 2 to the 65th.
+    """
     at = F.sequence(F.lit(1), F.size(words) - (window - 1))
     hashes = F.transform(at, lambda i: F.xxhash64(F.slice(words, i, window)))
 

@@ -8,6 +8,7 @@ import re
 import struct
 import time
 import tracemalloc
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -174,6 +175,28 @@ def test_vote_is_brute_force():
         assert row == pytest.approx(sum(a * m.labels[i] for a, i in zip(w, at)) / sum(w), abs=1e-5)
 
 
+def test_quality_whole_table(spark):
+    """Scores of documents of sf0.01 from a second version: trigrams one by one, all cosines, a sorted vote."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    m, s = quality_knn.fit(docs, labels.where(~common.held_out(labels.doc_id, 3, 1))), quality_knn.Settings()
+    got = {r["doc_id"]: r["score"] for r in quality_knn.op2_quality_knn(spark, path).collect()}
+    for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{path}/documents.parquet' WHERE doc_id % 5 = 0").fetchall():
+        raw = (t or "").encode()
+        terms = Counter((((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435761) % 2**32) >> (32 - s.buckets_log2) for k in range(len(raw) - 2))
+        body = np.zeros(s.terms - 1)
+        for k, n in terms.items():
+            body[k] = math.sqrt(n / max(1, sum(terms.values()))) * m.weights[k]
+        body /= max(np.linalg.norm(body), 1e-12)
+        w = raw.split()
+        v = np.append(body, s.repeat_weight * math.sqrt(sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w)))) @ m.axes
+        cos = m.vectors @ (v / max(np.linalg.norm(v), 1e-12))
+        near = sorted(range(len(cos)), key=lambda k: -cos[k])[: s.neighbours]
+        weight = [max(0.0, min(1.0, cos[k])) ** s.sharpness for k in near]
+        assert got[i] == pytest.approx(sum(a * m.labels[k] for a, k in zip(weight, near)) / max(sum(weight), 1e-12), abs=2e-3)
+
+
 # ---- 3 secrets ---------------------------------------------------------------------------
 
 
@@ -296,6 +319,26 @@ def test_rules_learn_and_apply(spark, docs, empty):
     assert sorted(one, key=str) == sorted(two, key=str)
 
 
+def test_rules_whole_table(spark):
+    """kept of every document of sf0.01: base rules and the learnt list, in order, on statistics by brute force."""
+    path = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rules = quality_rules.fit_texts(docs, labels)
+    assert rules
+    got = {r["doc_id"]: r for r in quality_rules.op4_quality_rules(spark, path).collect()}
+    for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{path}/documents.parquet'").fetchall():
+        t = t or ""
+        lines = [x for x in t.split("\n") if words(x)]
+        base = brute_statistics(t)
+        more = [sum(c.isupper() and unicodedata.category(c) == "Lu" for c in t), len(re.findall("[!?]", t)), len(re.findall("[0-9]", t)), len(lines), len(set(words(t)))]
+        s = dict(zip(quality_rules.STATISTICS, [*base, *more], strict=True))
+        f = {k: s[a] / s[b] if s[b] else 0.0 for k, (a, b) in quality_rules.SHARES.items()} | {"n_words": s["n_words"]}
+        failed = s["n_words"] < 20 or 100 * s["n_repeat_words"] > 30 * s["n_words"]
+        rule = next((k for k, r in enumerate(rules, 1) if all(f[c.feature] > c.threshold if c.above else f[c.feature] <= c.threshold for c in r)), 0)
+        assert [got[i][k] for k in quality_rules.STATISTICS[:5]] == list(base)
+        assert (got[i]["base_failed"], got[i]["rule"], got[i]["kept"]) == (failed, rule, not failed and rule == 0)
+
+
 def test_grow_and_prune():
     rows = [{f: 0.0 for f in quality_rules.FEATURES} | {"symbol_share": k / 100, "upper_share": (k * 37 % 100) / 100, "bad": int(k > 60 and (k * 37 % 100) > 20), "held": k % 3 == 0} for k in range(100)]
     rules = quality_rules.learn(rows)
@@ -640,7 +683,7 @@ def test_chain_of_components(spark):
 
 
 def test_html_article():
-    for (h,) in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall():
+    for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.1/pages.parquet'").fetchall():
         a = re.search(r"<article>(.*)</article>", h, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", a)]
         assert html_text.extract(h) == " ".join(b for b in blocks if b)
@@ -729,6 +772,19 @@ def test_bpe_is_the_library(spark, docs, empty, real):
     assert bpe.encode_ids(docs.where("doc_id = 5"), path).first()["ids"] == lib.encode("one two", add_special_tokens=False).ids
 
 
+def test_bpe_whole_table(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{path}' ORDER BY doc_id").fetchall()
+    lib = bpe.encoder(bpe.vocabulary_path(spark)).tokenizer
+    encoded = lib.encode_batch([t for _, t in rows], add_special_tokens=False)
+    want = {}
+    for (i, _), e in zip(rows, encoded, strict=True):
+        text = lib.decode(e.ids, skip_special_tokens=False)
+        want[i] = (len(e.ids), hashlib.sha256(struct.pack(f"<{len(e.ids)}I", *e.ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op9_bpe(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+
+
 def test_bpe_long_word_takes_linear_memory(spark):
     e = bpe.TrieEncoder(bpe.vocabulary_path(spark))
     word = "".join(rnd.choice("acgtzqx") for _ in range(20_000))
