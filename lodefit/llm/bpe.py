@@ -257,8 +257,8 @@ def vocabulary_path(spark: SparkSession) -> str:
     return found
 
 
-def encode_table(docs: DataFrame, path: str) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256; one row for each row.
+def encode_table(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns keep; one row for each row.
 
     Null texts count as empty: no tokens. Other columns are ignored.
     """
@@ -268,9 +268,11 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
         e = encoder(path)
         for b in batches:
             found = list(e.digests(texts(b, "text")))
-            yield batch_of([b.column(0), *([x[i] for x in found] for i in range(3))], _OUT)
+            made = batch_of([b.column(0), *([x[i] for x in found] for i in range(3))], _OUT)
+            yield pa.RecordBatch.from_arrays([*made.columns, *b.columns[2:]], [*_OUT.names, *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{kinds}")
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
