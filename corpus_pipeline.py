@@ -48,9 +48,13 @@ def pfair_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair.mix(whole).select("_row.*")
 
 
+#: Where a row of the mix stands: the number of its file among those of the mixing stage, and the row in it.
+PLACE = ("mix_file", "mix_row")
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of the mix."""
-    return bpe.encode_table(docs, bpe.vocabulary_path(spark))
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of the mix, and its place if docs has it."""
+    return bpe.encode_table(docs, bpe.vocabulary_path(spark), tuple(c for c in PLACE if c in docs.columns))
 
 
 STAGES = [
@@ -64,11 +68,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again."""
+def _is_written(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def run(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """All stages over documents, each but the last written to the shared folder and read again.
+
+    at: the folder of the stages; one that a run before wrote whole is not run again.
+    The mix keeps its order as mix_file and mix_row: files are numbered along it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/corpus-pipeline-{uuid4().hex}"
+    at = at or f"{shared_dir(spark)}/corpus-pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        if not _is_written(spark, f"{at}/{k}"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+    file = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("int")
+    docs = docs.select("*", file.alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
     return STAGES[-1][1](spark, docs, sf_dir)
