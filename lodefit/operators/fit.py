@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodefit.functions.special import delta_chisq, p_value
 from lodefit.operators import linalg, minimize
+from lodefit.operators.costs import LeastSquares
 from lodefit.operators.minimize import Minimum, Objective
 from lodefit.operators.parameters import MachinePrecision, Parameter, Parameters, Strategy
 
@@ -52,6 +53,39 @@ def minos_error_from_dict(d: dict) -> MinosError:
     return MinosError(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
 
 
+@dataclass(frozen=True)
+class Contour:
+    """A contour of two parameters with their profile errors; invalid if fewer than four points were found."""
+
+    a: str
+    b: str
+    points: tuple[tuple[float, float], ...]
+    minos_a: MinosError
+    minos_b: MinosError
+    nfcn: int = 0
+
+    @property
+    def is_valid(self) -> bool:
+        return len(self.points) >= 4
+
+    def to_dict(self) -> dict:
+        return {"a": self.a, "b": self.b, "points": [list(p) for p in self.points], "minos_a": self.minos_a.to_dict(), "minos_b": self.minos_b.to_dict(), "nfcn": self.nfcn, "valid": self.is_valid}
+
+
+def contour_from_dict(d: dict) -> Contour:
+    return Contour(d["a"], d["b"], tuple(map(tuple, d["points"])), minos_error_from_dict(d["minos_a"]), minos_error_from_dict(d["minos_b"]), d["nfcn"])
+
+
+def model_fit(points: DataFrame, model: Callable, start, names: Sequence[str] | None = None, mask=None, **options) -> Fit:
+    """A least-squares fit of points(x, y, err); start may be a fit, whose parameters it goes on from. goodness needs no row count."""
+    pars = start.parameters if isinstance(start, Fit) else start
+    known = list(pars.names) if isinstance(pars, Parameters) else list(pars) if isinstance(pars, dict) else list(names or [f"x{i}" for i in range(len(pars))])
+    cost = LeastSquares(points, model, known, mask)
+    fit = Fit(cost, pars, None if isinstance(pars, (dict, Parameters)) else known, **options)
+    fit.ndata = cost.rows.count()
+    return fit
+
+
 class Fit:
     """An objective with parameters. Minimizers replace the result; parameters change by their setters.
 
@@ -125,11 +159,22 @@ class Fit:
         self.objective.reset()
         return self._changed(self.start)
 
+    def _set_all(self, **columns) -> None:
+        pars = self.parameters
+        for name, column in columns.items():
+            column = list(column)
+            if len(column) != self.npar:
+                raise ValueError(f"{len(column)} values for {self.npar} parameters")
+            for k, v in enumerate(column):
+                pars = pars.set(k, **{name: v})
+        self._changed(pars)
+
     names = property(lambda self: self.parameters.names)
-    values = property(lambda self: self.parameters.values())
-    errors = property(lambda self: np.array([p.error for p in self.parameters]))
-    limits = property(lambda self: [(p.lower, p.upper) for p in self.parameters])
-    fixed = property(lambda self: [p.fixed for p in self.parameters])
+    # assigning to one of these sets it for all parameters, and the result goes
+    values = property(lambda self: self.parameters.values(), lambda self, v: self._set_all(value=map(float, v)))
+    errors = property(lambda self: np.array([p.error for p in self.parameters]), lambda self, v: self._set_all(error=map(float, v)))
+    limits = property(lambda self: [(p.lower, p.upper) for p in self.parameters], lambda self, v: self._set_all(lower=[lo for lo, _ in v], upper=[hi for _, hi in v]))
+    fixed = property(lambda self: [p.fixed for p in self.parameters], lambda self, v: self._set_all(fixed=map(bool, v)))
     npar = property(lambda self: self.parameters.n_pars)
     nfit = property(lambda self: self.parameters.n_free)
     nfcn = property(lambda self: self.objective.nfcn)
@@ -164,8 +209,11 @@ class Fit:
     def global_cc(self) -> np.ndarray:
         return linalg.global_cc(self.free_covariance)
 
-    def goodness(self, ndata: int) -> tuple[float, int, float]:
-        """chi-square, degrees of freedom and p-value; for an errordef of 1."""
+    def goodness(self, ndata: int | None = None) -> tuple[float, int, float]:
+        """chi-square, degrees of freedom and p-value; for an errordef of 1. ndata: the rows, if the fit doesn't know them."""
+        ndata = self.ndata if ndata is None else ndata
+        if ndata is None:
+            raise ValueError("the number of rows isn't known")
         ndf = ndata - self.nfit
         return self.fval, ndf, p_value(self.fval, ndf)
 
@@ -195,11 +243,15 @@ class Fit:
         self.minimum = minimize.replace(m, x=external, inverse=inverse)
         return self.minimum
 
-    def migrad(self, maxfcn: int | None = None, iterate: int = 5, warm: bool = False) -> Fit:
-        """Passes until the fit is valid, iterate at most; the deepest one is kept. warm: begin with the last inverse Hessian."""
+    def migrad(self, maxfcn: int | None = None, iterate: int = 5, warm: bool = False, prior_covariance=None) -> Fit:
+        """Passes until the fit is valid, iterate at most; the deepest one is kept. warm: begin with the last
+        inverse Hessian; prior_covariance: with that of a covariance of the free parameters that is known before."""
         best = None
         pars = self.parameters
         prior = self._internal.inverse if warm and self._internal is not None else None
+        if prior_covariance is not None:
+            slopes = pars.slopes(pars.initial_internal(self.precision))
+            prior = np.asarray(prior_covariance, float) / np.outer(slopes, slopes) / (2 * self.errordef)
         for _ in range(max(1, iterate)):
             inner = self._inner(pars)
             m = minimize.migrad(inner, pars.initial_internal(self.precision), pars.initial_internal_errors(self.precision), self.strategy, self.tol, maxfcn, self.precision, prior)
@@ -286,6 +338,8 @@ class Fit:
             self.migrad()
         return self
 
+    find_global_minimum = find_deeper_minimum  # a former name
+
     # ---- profiles
     def _need(self) -> None:
         if self.minimum is None or self.minimum.inverse is None:
@@ -529,6 +583,13 @@ class Fit:
         """The joint confidence contour of two parameters."""
         return self.contour_exact(a, b, points, math.sqrt(delta_chisq(cl, 2)))
 
+    def contour(self, a, b, points: int = 20, sigma: float = 1.0) -> Contour:
+        """contour_exact with the profile errors of both parameters."""
+        before = self.nfcn
+        errors = [self.minos_error(k, sigma) for k in (a, b)]
+        found = self.contour_exact(a, b, points, sigma)
+        return Contour(errors[0].name, errors[1].name, tuple((float(x), float(y)) for x, y in found), *errors, self.nfcn - before)
+
     # ---- output
     def to_dict(self) -> dict:
         m = self.minimum

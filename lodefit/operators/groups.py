@@ -6,21 +6,26 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodefit.functions.shipping import ship
-from lodefit.operators.costs import Cost
+from lodefit.operators.costs import LOCAL_ROWS, Cost
 from lodefit.operators.fit import Fit
 
 RESULT = "values array<double>, errors array<double>, fval double, edm double, nfcn long, valid boolean, cov_status string"
 
 
-def fit_groups(df: DataFrame, key: str, make: Callable[[DataFrame], Cost], start: Sequence[float], limits: dict | None = None, strategy: int = 1) -> DataFrame:
-    """key and a fit of each group's rows, which must fit a worker; make builds the cost from rows, whose columns df has.
+def fit_groups(df: DataFrame, key: str, make: Callable[[DataFrame], Cost], start: Sequence[float], limits: dict | None = None, strategy: int = 1, most_rows: int = LOCAL_ROWS) -> DataFrame:
+    """key and a fit of each group's rows; make builds the cost from rows, whose columns df has.
 
-    A group that can't be fitted is a row that isn't valid.
+    Groups of up to most_rows rows are fitted by a worker each; the rows of a larger one
+    stay where they are, and its fit sums them by Spark. A group that can't be fitted
+    is a row that isn't valid.
     """
     cost = make(df)
+    # at most one key for each most_rows rows
+    large = [r[key] for r in df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > most_rows).collect()]
     names, errordef, form = cost.names, cost.errordef, df.schema[key].dataType.simpleString()
     ship(df.sparkSession)
     cost.rows = None  # only the terms go to the workers
@@ -31,14 +36,25 @@ def fit_groups(df: DataFrame, key: str, make: Callable[[DataFrame], Cost], start
         m = f.minimum
         return pd.DataFrame({key: [pdf[key].iloc[0]], "values": [f.values.tolist()], "errors": [f.errors.tolist()], "fval": [f.fval], "edm": [f.edm], "nfcn": [f.nfcn], "valid": [bool(f.valid)], "cov_status": [m.status]})
 
-    return df.select(key, *cost.columns).groupBy(key).applyInPandas(run, f"{key} {form}, {RESULT}")
+    small = df.where(~F.col(key).isin(large) | F.col(key).isNull()) if large else df
+    found = small.select(key, *cost.columns).groupBy(key).applyInPandas(run, f"{key} {form}, {RESULT}")
+    rows = []
+    for k in large:
+        f = Fit(make(df.where(F.col(key) == F.lit(k))), dict(zip(names, start, strict=True)), errordef=errordef, limits=limits, strategy=strategy).migrad()
+        m = f.minimum
+        rows.append((k, f.values.tolist(), f.errors.tolist(), float(f.fval), float(f.edm), int(f.nfcn), bool(f.valid), m.status))
+    return found.unionByName(df.sparkSession.createDataFrame(rows, found.schema)) if rows else found
+
 
+def fit_restarts(spark: SparkSession, cost: Cost, starts: Sequence[Sequence[float]], limits: dict | None = None) -> list[tuple[float, np.ndarray, bool]]:
+    """(value, parameters, valid) of the fits of one local objective from several starts, a task each, best first."""
+    batch, names, errordef = cost.local(), cost.names, cost.errordef
+    ship(spark)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = Fit(batch, dict(zip(names, pdf["p"].iloc[0], strict=True)), errordef=errordef, limits=limits, batched=True).migrad()
+        return pd.DataFrame({"f": [f.fval], "p": [f.values.tolist()], "valid": [bool(f.valid)]})
 
-def fit_restarts(df: DataFrame, cost: Cost, starts: Sequence[Sequence[float]], limits: dict | None = None) -> list[tuple[float, np.ndarray, bool]]:
-    """The fits of one local objective from several starts, best first."""
-    batch = cost.local()
-    found = []
-    for s in starts:
-        f = Fit(batch, dict(zip(cost.names, s, strict=True)), errordef=cost.errordef, limits=limits, batched=True).migrad()
-        found.append((f.fval, f.values, f.valid))
-    return sorted(found, key=lambda t: (not np.isfinite(t[0]), t[0]))
+    rows = spark.createDataFrame([(k, [float(v) for v in s]) for k, s in enumerate(starts)], "k int, p array<double>")
+    done = rows.groupBy("k").applyInPandas(run, "f double, p array<double>, valid boolean").collect()
+    return sorted(((r["f"], np.array(r["p"]), r["valid"]) for r in done), key=lambda t: (not np.isfinite(t[0]), t[0]))

@@ -15,6 +15,10 @@ from lodefit.functions.shipping import ship
 from lodefit.functions.skew import hot_keys, split_join
 
 
+#: Rows of a mode that meet as many others in one join bucket.
+MEDOID_ROWS = 1024
+
+
 def mad_scale(rows: DataFrame, value: Column, key: Sequence[str] = ()) -> DataFrame:
     """n, median and 1.4826 times the median absolute deviation, for each key."""
     v = rows.select(*key, value.cast("double").alias("_v"))
@@ -154,6 +158,21 @@ def modes(samples: DataFrame, labels: DataFrame, fmin: float | None = None) -> D
     return best.join(ranges, "mode").select("mode", "representative", "fval", (F.col("fval") - base).alias("delta_fval"), "ranges", "n_points", (F.col("n_points") / F.lit(float(max(total, 1)))).alias("fraction")).orderBy("fval")
 
 
+def medoids(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """mode, id: of each mode the row(id, z) whose distances to the others add up to least; ties go to the smallest id.
+
+    Rows meet in blocks of pairs, so a mode's rows never lie in one task, but the work grows with their square.
+    """
+    own = rows.select("id", "z").join(labels.where("mode > 0"), "id")
+    sizes = own.groupBy("mode").agg(F.ceil(F.count("*") / MEDOID_ROWS).alias("blocks"))  # a row for each mode
+    own = cut(split_join(own, sizes, "mode", ["id"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    sent = own.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    a = sent.select("mode", "i", "j", "id", "z")
+    b = sent.select("mode", F.col("j").alias("i"), F.col("i").alias("j"), F.col("z").alias("other"))
+    sums = a.join(b, ["mode", "i", "j"]).groupBy("mode", "id").agg(F.sum(F.sqrt(distance2(F.col("z"), F.col("other")))).alias("s"))
+    return sums.groupBy("mode").agg(F.min(F.struct("s", "id")).alias("m")).select("mode", F.col("m.id").alias("id"))
+
+
 def find_solution_modes(samples: DataFrame, errors, covariance=None, radius: float = 1.0, min_size: int = 5, how: str = "auto", fmin: float | None = None, method: str = "linkage", refit: Callable | None = None) -> DataFrame:
     """From samples(id, p, fval) to modes; refit(p) -> (p, fval) polishes each representative, one task each."""
     z = cut(whiten(samples, whitener(samples, how, covariance, errors)).select("id", "z"))

@@ -7,7 +7,8 @@ from lodefit.functions.special import chisq_cl, delta_chisq, p_value
 from lodefit.operators import costs, linalg, minimize, regions
 from lodefit.operators.costs import BinnedNLL, CostSum, ExtendedUnbinnedNLL, LeastSquares, UnbinnedNLL
 from lodefit.operators.ensembles import Target, combine_priors, half_normal_prior, normal_prior, uniform_prior
-from lodefit.operators.fit import Fit, MinosError, minos_error_from_dict, text_plot
+from lodefit.operators.fit import Fit, MinosError, contour_from_dict, minos_error_from_dict, model_fit, text_plot
+from lodefit.operators.groups import fit_groups, fit_restarts
 from lodefit.operators.parameters import Parameter, Parameters, Strategy
 from lodefit.operators.regions import extremize, linear_interval, profile_band, region_samples
 
@@ -264,3 +265,46 @@ def test_priors():
 def test_hesse_of_a_flat_direction():
     _, status, _ = minimize.hesse(minimize.Objective(minimize.scalar(lambda p: p[0] ** 2)), [0.0, 0.0], errors=[0.1, 0.1])
     assert status != minimize.VALID
+
+
+def test_views_are_writable():
+    f = Fit(quadratic, {"x": 0.0, "y": 0.0}).migrad()
+    f.values, f.errors = [3.0, 4.0], [0.5, 0.5]
+    assert f.minimum is None and f.values.tolist() == [3.0, 4.0] and f.errors.tolist() == [0.5, 0.5]
+    f.limits, f.fixed = [(0.0, 5.0), (None, None)], [False, True]
+    assert f.migrad().values == pytest.approx([1, 4], abs=1e-2) and f.limits[0] == (0.0, 5.0)
+    with pytest.raises(ValueError):
+        f.values = [1.0]
+
+
+def test_prior_covariance_and_contour_record():
+    plain = Fit(quadratic, {"x": 0.0, "y": 0.0}).migrad()
+    prior = Fit(quadratic, {"x": 0.0, "y": 0.0}).migrad(prior_covariance=np.eye(2))
+    assert prior.valid and prior.values == pytest.approx([1, 2], abs=1e-3) and prior.nfcn <= plain.nfcn
+    c = plain.hesse().contour("x", "y", 8)
+    assert c.is_valid and contour_from_dict(c.to_dict()) == c and len(c.points) == 8 and plain.find_global_minimum(jitters=2).valid
+
+
+def test_model_fit(spark):
+    rows = spark.range(30).selectExpr("0.1D * id AS x", "0.2D * id + 1 + 0.1D * (id % 3 - 1) AS y", "0.1D AS err")
+    f = model_fit(rows, lambda x, p, m: p[0] * x + p[1], {"a": 1.0, "b": 0.0}, local=True).migrad()
+    chi2, ndf, p = f.goodness()
+    assert f.values == pytest.approx([2, 1], abs=0.1) and ndf == 28 and 0 < p < 1 and chi2 == pytest.approx(20, abs=1)
+    again = model_fit(rows, lambda x, p, m: p[0] * x + p[1], f, local=True).migrad()
+    assert again.values == pytest.approx(f.values, abs=1e-3)
+
+
+def test_groups_too_large_for_a_worker(spark):
+    rows = spark.range(600).selectExpr("CASE WHEN id < 500 THEN 'hot' WHEN id < 590 THEN 'b' END AS k", "0.05D * (id % 50) + 0.1D AS x")
+    make = lambda d: UnbinnedNLL(d, lambda x, p, m: p[0] * m.exp(-p[0] * x), ["rate"])
+    a = {r["k"]: r for r in fit_groups(rows, "k", make, [0.5], {"rate": (1e-6, None)}).collect()}
+    b = {r["k"]: r for r in fit_groups(rows, "k", make, [0.5], {"rate": (1e-6, None)}, most_rows=100).collect()}
+    assert set(a) == set(b) == {"hot", "b", None}
+    assert all(b[k]["values"][0] == pytest.approx(a[k]["values"][0], rel=1e-4) and b[k]["valid"] for k in a)
+
+
+def test_restarts(spark):
+    rows = spark.range(40).selectExpr("0.1D * id AS x", "sin(0.3D * id) AS y", "0.1D AS err")
+    wave = LeastSquares(rows, lambda x, p, m: m.sin(p[0] * x), ["w"])
+    found = fit_restarts(spark, wave, [[9.0], [2.8], [5.0]])
+    assert found[0][1][0] == pytest.approx(3.0, abs=1e-2) and found[0][0] <= found[1][0] <= found[2][0]

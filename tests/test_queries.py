@@ -46,3 +46,17 @@ def test_nearest_distance_counts_every_row(spark):
     got = modes.nearest_distance(df, 0.3).first()
     assert got["n"] == 120 and np.allclose([got["median"], got["q90"]], [np.median(d.min(1)), np.quantile(d.min(1), 0.9)])
     assert modes.nearest_distance(df.limit(1), 0.3).first()["n"] == 0
+
+
+def test_medoids(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(90, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(z)], "id long, z array<double>")
+    labels = spark.createDataFrame([(i, 1 + i % 2 if i < 80 else 0) for i in range(90)], "id long, mode int")
+    monkeypatch.setattr(modes, "MEDOID_ROWS", 7)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    want = {}
+    for m in (1, 2):
+        own = [i for i in range(80) if 1 + i % 2 == m]
+        want[m] = min(own, key=lambda i: d[i, own].sum())
+    assert {r["mode"]: r["id"] for r in modes.medoids(df, labels).collect()} == want
