@@ -261,7 +261,8 @@ def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFra
     small_batches(spark)
     rows = rows.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     alone = rows.where(~linkable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    full = rows.where(linkable()).select("vec_id", F.struct("label", "embedding").alias("key"))
+    zero = F.lit(0.0).cast(rows.schema["embedding"].dataType.elementType)
+    full = rows.where(linkable()).select("vec_id", F.struct("label", F.transform("embedding", lambda x: x + zero).alias("embedding")).alias("key"))  # -0.0 is 0.0
     # equal vectors are one from here on: a crowd of copies weighs as much as one vector
     distinct = cut(full.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).select("key.label", "key.embedding", "first", "n"))
     axes = spark.sparkContext.broadcast(principal_axes(distinct))
@@ -278,7 +279,10 @@ def near_duplicates(rows: DataFrame, settings: Settings = Settings()) -> DataFra
     nodes = cut(nodes.select(F.struct("label", "embedding").alias("key"), "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "row").alias("component")))
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     nodes = cut(split_join(nodes, least, "component", ["first"]).select("key", "n_links", "component_id"))
-    linked = split_join(full, nodes, "key", ["vec_id"]).select("vec_id", "n_links", "component_id")
+    # rows meet their vector by its hash, which sorts fast, and by itself
+    own = full.withColumn("h", F.xxhash64("key"))
+    met = split_join(own, nodes.withColumnRenamed("key", "same").withColumn("h", F.xxhash64("same")), "h", ["vec_id"])
+    linked = met.where(F.col("key") == F.col("same")).select("vec_id", "n_links", "component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
