@@ -182,6 +182,76 @@ def hamiltonian(target: Target, x0: np.ndarray, root: np.ndarray, rng: np.random
     return out
 
 
+def nuts(target: Target, x0: np.ndarray, root: np.ndarray, rng: np.random.Generator, steps: int, burn: int, thin: int, accept: float = 0.8, most_doublings: int = 8) -> list[tuple]:
+    """The no-U-turn rule: a path is doubled, backwards or forwards, until its ends draw nearer to each other,
+    and the next state is drawn from it by weight. The step size is averaged towards the wanted acceptance
+    in the burn-in alone; coordinates are scaled by the covariance, gradients are central differences."""
+    h, d = 1e-5, len(x0)
+    to = lambda q: x0 + root @ q
+
+    def state(q: np.ndarray) -> tuple:
+        lp, f = target(to(q))
+        if not math.isfinite(lp):
+            return q, lp, f, np.zeros(d)
+        ends = np.vstack([q + h * np.eye(d), q - h * np.eye(d)])
+        v = target.many(x0 + ends @ root.T)[0]
+        g = (v[:d] - v[d:]) / (2 * h)
+        return q, lp, f, np.where(np.isfinite(g), g, 0.0)
+
+    def leap(s: tuple, p: np.ndarray, eps: float) -> tuple[tuple, np.ndarray]:
+        p = p + eps / 2 * s[3]
+        new = state(s[0] + eps * p)
+        return new, p + eps / 2 * new[3]
+
+    def turns(a: tuple, b: tuple) -> bool:
+        """Whether the ends (state, momentum), earlier and later, draw nearer."""
+        span = b[0][0] - a[0][0]
+        return span @ a[1] < 0 or span @ b[1] < 0
+
+    def path(s: tuple, p: np.ndarray, way: int, doublings: int, eps: float, level: float) -> tuple:
+        """(first end, last end, drawn state, log weight, goes on, acceptance, states) of 2^doublings leaps."""
+        if doublings == 0:
+            new, q = leap(s, p, way * eps)
+            rise = new[1] - q @ q / 2 - level if math.isfinite(new[1]) else -math.inf
+            return (new, q), (new, q), new, rise, rise > -1000, math.exp(min(0.0, rise)), 1
+        near = path(s, p, way, doublings - 1, eps, level)
+        if not near[4]:
+            return near
+        last = near[1] if way > 0 else near[0]
+        far = path(*last, way, doublings - 1, eps, level)
+        first, end = (near[0], far[1]) if way > 0 else (far[0], near[1])
+        weight = np.logaddexp(near[3], far[3])
+        drawn = far[2] if far[4] and math.log(1 - rng.random()) < far[3] - weight else near[2]
+        return first, end, drawn, weight, far[4] and not turns(first, end), near[5] + far[5], near[6] + far[6]
+
+    s, out = state(np.zeros(d)), []
+    eps, mean, slow, centre = 0.5, 0.0, 0.0, math.log(5.0)
+    for k in range(steps):
+        p = rng.standard_normal(d)
+        level = s[1] - p @ p / 2
+        first = end = (s, p)
+        weight, took, seen = 0.0, 0.0, 0
+        for j in range(most_doublings):
+            way = 1 if rng.random() < 0.5 else -1
+            a, b, drawn, more, goes_on, acceptance, n = path(*(end if way > 0 else first), way, j, eps, level)
+            first, end = (first, b) if way > 0 else (a, end)
+            took, seen = took + acceptance, seen + n
+            if goes_on and math.log(1 - rng.random()) < more - weight:
+                s = drawn
+            weight = np.logaddexp(weight, more)
+            if not goes_on or turns(first, end):
+                break
+        if k < burn:  # dual averaging with the usual constants
+            mean += (accept - took / seen - mean) / (k + 11)
+            log_eps = centre - math.sqrt(k + 1) / 0.05 * mean
+            part = (k + 1) ** -0.75
+            slow = part * log_eps + (1 - part) * slow
+            eps = math.exp(log_eps if k < burn - 1 else slow)
+        if k >= burn and (k - burn) % thin == 0:
+            out.append((k, to(s[0]).tolist(), s[2], s[1]))
+    return out
+
+
 def lockstep(spark: SparkSession, target: Target, centre: Sequence[float], covariance, chains: int = 4, sampler: str = "metropolis", steps: int = 1000, burn: int = 200, thin: int = 1, seed: int = 0, walkers: int | None = None, scale: float = 0.3) -> DataFrame:
     """The same ensembles of an objective that is summed in Spark: all chains take a step, and it is one batch of parameter sets.
 
@@ -233,7 +303,7 @@ def lockstep(spark: SparkSession, target: Target, centre: Sequence[float], covar
 
 def sample(spark: SparkSession, target: Target, centre: Sequence[float], covariance, chains: int = 4, sampler: str = "stretch", steps: int | None = None, burn: int | None = None, thin: int | None = None, seed: int = 0, walkers: int | None = None) -> DataFrame:
     """An ensemble of over-dispersed chains, one task each, each with a random stream of its own number."""
-    default = {"stretch": (6000, 1000, 10), "metropolis": (52_000, 2_000, 25), "hmc": (3000, 500, 2)}
+    default = {"stretch": (6000, 1000, 10), "metropolis": (52_000, 2_000, 25), "hmc": (3000, 500, 2), "nuts": (2000, 500, 1)}
     if sampler not in default:
         raise ValueError(f"unknown sampler {sampler!r}")
     steps, burn, thin = (a if b is None else b for a, b in zip(default[sampler], (steps, burn, thin), strict=True))
@@ -256,7 +326,7 @@ def sample(spark: SparkSession, target: Target, centre: Sequence[float], covaria
         if sampler == "stretch":
             got = stretch(target, np.array([start() for _ in range(walkers or max(2 * len(centre) + 2, 8))]), rng, steps, burn, thin)
         else:
-            got = (metropolis if sampler == "metropolis" else hamiltonian)(target, start(), root, rng, steps, burn, thin)
+            got = {"metropolis": metropolis, "hmc": hamiltonian, "nuts": nuts}[sampler](target, start(), root, rng, steps, burn, thin)
         return pd.DataFrame([(chain, *r) for r in got], columns=["chain", "iter", "p", "fval", "logpost"])
 
     return spark.range(chains).select(F.col("id").cast("int").alias("chain")).repartition(chains, "chain").groupBy("chain").applyInPandas(run, ENSEMBLE)

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodefit.functions.shared import cut, written
@@ -88,11 +88,24 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with number, from 1 in that order, without a task that sees them all."""
+    part = F.shiftright("_place", 33)
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    before, n = {}, 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
+        before[r["part"]], n = n, n + r["count"]
+    if not before:
+        return placed.drop("_place").withColumn("number", F.lit(0).cast("int"))
+    offset = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])[part]
+    return placed.withColumn("number", (offset + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_place")
+
+
 def dense(labels: DataFrame, min_size: int = 1) -> DataFrame:
     """id, mode: components of at least min_size, numbered by size; the others are noise and get 0."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    order = sizes.where(F.col("size") >= min_size).withColumn("mode", F.row_number().over(Window.orderBy(F.desc("size"), "label")))
-    return labels.join(order.select("label", "mode"), "label", "left").select("id", F.coalesce("mode", F.lit(0)).alias("mode"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
+    order = numbered(sizes, F.desc("size"), F.col("label")).select("label", F.col("number").alias("mode"))
+    return split_join(labels, order, "label", ["id"], "left").select("id", F.coalesce("mode", F.lit(0)).alias("mode"))
 
 
 def single_linkage(rows: DataFrame, radius: float, min_size: int = 1) -> DataFrame:
@@ -154,7 +167,7 @@ def modes(samples: DataFrame, labels: DataFrame, fmin: float | None = None) -> D
     best = joined.groupBy("mode").agg(F.min_by("p", "fval").alias("representative"), F.min("fval").alias("fval"), F.count("*").alias("n_points"))
     spread = joined.select("mode", F.posexplode("p").alias("k", "v")).groupBy("mode", "k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     ranges = spread.groupBy("mode").agg(F.sort_array(F.collect_list(F.struct("k", "lo", "hi"))).alias("r")).select("mode", F.transform("r", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("ranges"))
-    base = F.lit(fmin) if fmin is not None else F.min("fval").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    base = F.lit(fmin if fmin is not None else best.agg(F.min("fval")).collect()[0][0])
     return best.join(ranges, "mode").select("mode", "representative", "fval", (F.col("fval") - base).alias("delta_fval"), "ranges", "n_points", (F.col("n_points") / F.lit(float(max(total, 1)))).alias("fraction")).orderBy("fval")
 
 

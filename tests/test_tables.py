@@ -176,3 +176,22 @@ def test_chains_over_rows_that_do_not_fit(spark, monkeypatch, sampler):
     plain = costs.LeastSquares(df, cost.model, ["a", "b"])
     monkeypatch.setattr(costs, "LOCAL_ROWS", 10)
     assert ensembles.target_of(Fit(plain, fit.values))[0].in_spark
+
+
+def test_no_u_turns(spark):
+    """Means, deviations and the correlation of a Gaussian, and a bounded one, over seeds."""
+    cov = np.array([[0.04, 0.03], [0.03, 0.09]])
+    inverse, mean = np.linalg.inv(cov), np.array([1.0, -2.0])
+    target = ensembles.Target(lambda t: np.einsum("ij,jk,ik->i", t - mean, inverse, t - mean), 1.0, ["a", "b"], [(None, None)] * 2)
+    p = np.array(ensembles.sample(spark, target, mean, np.diag([0.02, 0.2]), 4, "nuts", 1200, 300, 1, 3).toPandas()["p"].tolist())
+    assert np.allclose(p.mean(0), mean, atol=0.03) and np.allclose(np.cov(p.T), cov, atol=0.01)
+    half = ensembles.Target(lambda t: t[:, 0] ** 2, 1.0, ["a"], [(0.0, None)])
+    q = np.array(ensembles.sample(spark, half, [0.5], [[1.0]], 4, "nuts", 1500, 400, 1, 5).toPandas()["p"].tolist())
+    assert (q >= 0).all() and q.mean() == pytest.approx(np.sqrt(2 / np.pi), abs=0.06)
+
+
+def test_numbers_in_order(spark):
+    df = spark.range(500).selectExpr("id AS label", "id % 7 AS size").repartition(9)
+    got = {r["label"]: r["number"] for r in modes.numbered(df, F.desc("size"), F.col("label")).collect()}
+    assert got == {i: k for k, i in enumerate(sorted(range(500), key=lambda i: (-(i % 7), i)), 1)}
+    assert modes.numbered(df.limit(0), F.col("label")).count() == 0
