@@ -197,9 +197,11 @@ def dedup(docs: DataFrame, settings: Settings = Settings(), texts_out: bool = Fa
     chunks, parts, blocks = settings.layout(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tasks = max(1, chunks // 2)
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    dealt = docs.where(windowed).select(key, "doc_id", "text").repartition(tasks, "chunk")
-    sent = dealt.groupBy("chunk").applyInArrow(lambda t: send(t, parts, blocks, window), "part int, chunk long, windows array<binary>")
-    seen = sent.repartition(parts, "part").groupBy("part").applyInArrow(meet, "chunk long, hashes binary").repartition(tasks, "chunk")
+    task = F.pmod("chunk", F.lit(tasks)).cast("int")  # dealt in turn, as a hash would give some tasks several times the mean
+    dealt = docs.where(windowed).select(key, "doc_id", "text").withColumn("task", task).repartitionById(tasks, "task")
+    sent = dealt.groupBy("task", "chunk").applyInArrow(lambda t: send(t, parts, blocks, window), "part int, chunk long, windows array<binary>")
+    met = sent.repartitionById(parts, "part").groupBy("part").applyInArrow(meet, "chunk long, hashes binary")
+    seen = met.withColumn("task", task).repartitionById(tasks, "task")
     out = pa.schema([*_OUT, ("kept_text", pa.string())]) if texts_out else _OUT
 
     def rows_of(found: Iterator[tuple[int | None, list[bytes], np.ndarray]]) -> pa.RecordBatch:
@@ -218,7 +220,7 @@ def dedup(docs: DataFrame, settings: Settings = Settings(), texts_out: bool = Fa
             yield rows_of((i, w, np.zeros(len(w), bool)) for i, w in zip(b.column(0).to_pylist(), whole, strict=True))
 
     form = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_out
-    long = dealt.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(finish, form)
+    long = dealt.groupBy("task", "chunk").cogroup(seen.groupBy("task", "chunk")).applyInArrow(finish, form)
     return long.unionByName(docs.where(~windowed).select("doc_id", "text").mapInArrow(short, form))
 
 
