@@ -243,9 +243,10 @@ class Fit:
         self.minimum = minimize.replace(m, x=external, inverse=inverse)
         return self.minimum
 
-    def migrad(self, maxfcn: int | None = None, iterate: int = 5, warm: bool = False, prior_covariance=None) -> Fit:
+    def migrad(self, maxfcn: int | None = None, iterate: int = 5, warm: bool = False, prior_covariance=None, hops: bool = True) -> Fit:
         """Passes until the fit is valid, iterate at most; the deepest one is kept. warm: begin with the last
-        inverse Hessian; prior_covariance: with that of a covariance of the free parameters that is known before."""
+        inverse Hessian; prior_covariance: with that of a covariance of the free parameters that is known before.
+        hops: between passes a simplex looks for a better place to begin."""
         best = None
         pars = self.parameters
         prior = self._internal.inverse if warm and self._internal is not None else None
@@ -267,6 +268,11 @@ class Fit:
                 break
             for k, x in enumerate(pars.external(m.x)[0]):
                 pars = pars.set(k, value=float(x))
+            if hops and not m.reached_call_limit:
+                hop = minimize.simplex(self._inner(pars), pars.initial_internal(self.precision), pars.initial_internal_errors(self.precision), self.tol, maxfcn)
+                if hop.fval < m.fval:
+                    for k, x in enumerate(pars.external(hop.x)[0]):
+                        pars = pars.set(k, value=float(x))
         self._accept(*best)
         return self
 

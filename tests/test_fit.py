@@ -308,3 +308,10 @@ def test_restarts(spark):
     wave = LeastSquares(rows, lambda x, p, m: m.sin(p[0] * x), ["w"])
     found = fit_restarts(spark, wave, [[9.0], [2.8], [5.0]])
     assert found[0][1][0] == pytest.approx(3.0, abs=1e-2) and found[0][0] <= found[1][0] <= found[2][0]
+
+
+def test_simplex_hops_between_passes():
+    """Where no gradient settles, a hop between the passes finds a valid fit, which the passes alone do not."""
+    f = lambda p: abs(p[0] - 1) + 3 * abs(p[1] - 2) + abs(p[0] * p[1] - 2)
+    plain, hopped = (Fit(f, [6.0, -3.0], errors=[0.5, 0.5]).migrad(hops=h) for h in (False, True))
+    assert hopped.valid and not plain.valid and hopped.fval < 1e-3
