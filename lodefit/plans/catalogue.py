@@ -305,20 +305,20 @@ def hesse_line(spark, sf):
 
 @query("SELECT 'x1' AS name, 1.0::DOUBLE AS value UNION ALL SELECT 'x2', 1.0::DOUBLE")
 def migrad_rosenbrock(spark, sf):
-    f = Fit(lambda p: (1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2, {"x1": -1.2, "x2": 1.0}, errors=[0.1, 0.1], strategy=2, tol=1e-5).migrad()
-    return spark.createDataFrame([(n, float(round(v, 2))) for n, v in zip(f.names, f.values, strict=True)], "name string, value double")
+    f = Fit(lambda p: (1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2, {"x1": -1.2, "x2": 1.0}, errors=[0.1, 0.1], strategy=2, tol=1e-9).migrad()
+    return spark.createDataFrame([(n, float(round(v, 5))) for n, v in zip(f.names, f.values, strict=True)], "name string, value double")
 
 
 @query("SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j)")
 def hesse_quad(spark, sf):
     c = Fit(lambda p: float((p**2).sum()), [1.0] * 4, errors=[0.1] * 4).migrad().hesse().covariance
-    return spark.createDataFrame([(i, j, abs(float(round(c[i, j], 3)))) for i in range(4) for j in range(4)], "i int, j int, v double")
+    return spark.createDataFrame([(i, j, abs(float(round(c[i, j], 8)))) for i in range(4) for j in range(4)], "i int, j int, v double")
 
 
 @query("SELECT 'x' AS name, 1.0::DOUBLE AS value UNION ALL SELECT 'y', 2.0::DOUBLE")
 def simplex_quad(spark, sf):
-    f = Fit(lambda p: (p[0] - 1) ** 2 + (p[1] - 2) ** 2, {"x": 0.0, "y": 0.0}, tol=1e-4).simplex()
-    return spark.createDataFrame([(n, float(round(v, 2))) for n, v in zip(f.names, f.values, strict=True)], "name string, value double")
+    f = Fit(lambda p: (p[0] - 1) ** 2 + (p[1] - 2) ** 2, {"x": 0.0, "y": 0.0}, tol=1e-8).simplex()
+    return spark.createDataFrame([(n, float(round(v, 4))) for n, v in zip(f.names, f.values, strict=True)], "name string, value double")
 
 
 # ---- matrices ----------------------------------------------------------------------------
@@ -588,5 +588,5 @@ def optim_rosenbrock(spark, sf):
     rows = []
     for m in _MINIMIZERS:
         found = minimize.minimize_with(minimize.Objective(f), [-1.2, 1.0], m)
-        rows.append((m, float(round(found.x[0], 2)), float(round(found.x[1], 2))))
+        rows.append((m, float(round(found.x[0], 4)), float(round(found.x[1], 4))))
     return spark.createDataFrame(rows, "method string, x1 double, x2 double")
