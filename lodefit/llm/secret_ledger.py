@@ -169,7 +169,7 @@ def scan_versions(rows: DataFrame, rules: tuple[Rule, ...] = RULES, ledger_path:
     rows = rows.drop("blob", "spans").withColumn("blob", address(F.col(text)))
     record(rows.select("blob", F.col(text).alias("text")), ledger_path, rules)
     found = findings(spark, ledger_path, rules)
-    apart = [path] if path else [c for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+    apart = [path] if path else [c for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct", "variant"))] or [text]
     return split_join(rows, found, "blob", apart, "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
 
 
