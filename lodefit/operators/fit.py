@@ -635,7 +635,17 @@ class Fit:
 
     def _repr_html_(self) -> str:
         rows = "".join(f"<tr><td>{p.name}</td><td>{p.value:.6g}</td><td>{p.error:.3g}</td><td>{'fixed' if p.fixed else ''}</td></tr>" for p in self.parameters)
-        return f"<table><tr><th>name</th><th>value</th><th>error</th><th></th></tr>{rows}</table>"
+        parts = [f"<table><tr><th>name</th><th>value</th><th>error</th><th></th></tr>{rows}</table>"]
+        if self.minimum is not None:
+            parts.append("<ul>" + "".join(f"<li>{'&#10003;' if ok else '&#10007;'} {what}</li>" for what, ok in self.checks().items()) + "</ul>")
+        c = self.matrix(correlation=True)
+        if c is not None and len(c):
+            names = [self.names[i] for i in self.parameters.free]
+            head = "<tr><th></th>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>"
+            # red for a positive correlation, blue for a negative one, white for none
+            cell = lambda v: f'<td style="background:rgb({round(255 * min(1, 1 + v))},{round(255 * (1 - abs(v)))},{round(255 * min(1, 1 - v))})">{v:.2f}</td>'
+            parts.append("<table>" + head + "".join(f"<tr><th>{n}</th>{''.join(cell(float(np.clip(v, -1, 1))) for v in row)}</tr>" for n, row in zip(names, c, strict=True)) + "</table>")
+        return "".join(parts)
 
 
 def rounded(value: float, error: float) -> str:

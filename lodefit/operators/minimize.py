@@ -72,6 +72,9 @@ class Minimum:
     def errors(self) -> np.ndarray:
         return np.full(len(self.x), np.nan) if self.inverse is None else np.sqrt(np.clip(np.diag(self.covariance), 0, None))
 
+    def to_dict(self) -> dict:
+        return {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items() if k != "trace"} | {"valid": self.is_valid, "covariance": None if self.covariance is None else self.covariance.tolist()}
+
     made_pos_def = property(lambda self: self.status == MADE_POSDEF)
     hesse_failed = property(lambda self: self.status == HESSE_FAILED)
     invert_failed = property(lambda self: self.status == INVERT_FAILED)

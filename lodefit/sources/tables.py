@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,11 @@ def concat(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def in_order(df: DataFrame) -> Iterator[Row]:
+    """The rows by obs_id, one after another, a partition at a time on the driver."""
+    return df.orderBy("obs_id").toLocalIterator()
+
+
 def gather(df: DataFrame, indices: DataFrame) -> DataFrame:
     """Rows by obs_id in indices(obs_id), each as often as it is listed."""
     return indices.select("obs_id").join(df, "obs_id")

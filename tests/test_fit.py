@@ -315,3 +315,11 @@ def test_simplex_hops_between_passes():
     f = lambda p: abs(p[0] - 1) + 3 * abs(p[1] - 2) + abs(p[0] * p[1] - 2)
     plain, hopped = (Fit(f, [6.0, -3.0], errors=[0.5, 0.5]).migrad(hops=h) for h in (False, True))
     assert hopped.valid and not plain.valid and hopped.fval < 1e-3
+
+
+def test_html_and_records():
+    f = Fit(lambda p: (p[0] - 1) ** 2 + (p[1] - 2) ** 2 + 0.5 * p[0] * p[1], {"x": 0.0, "y": 0.0}).migrad().hesse()
+    page = f._repr_html_()
+    assert "&#10003; valid" in page and "rgb(" in page and page.count("<table>") == 2
+    d = f.minimum.to_dict()
+    assert d["valid"] and d["fval"] == f.fval and np.allclose(d["covariance"], f.covariance)

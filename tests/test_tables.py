@@ -195,3 +195,8 @@ def test_numbers_in_order(spark):
     got = {r["label"]: r["number"] for r in modes.numbered(df, F.desc("size"), F.col("label")).collect()}
     assert got == {i: k for k, i in enumerate(sorted(range(500), key=lambda i: (-(i % 7), i)), 1)}
     assert modes.numbered(df.limit(0), F.col("label")).count() == 0
+
+
+def test_rows_in_order(spark):
+    df = spark.range(20).selectExpr("19 - id AS obs_id", "id AS x").repartition(3)
+    assert [r["x"] for r in tables.in_order(df)] == list(range(19, -1, -1))
