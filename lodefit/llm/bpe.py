@@ -31,6 +31,8 @@ PIECE_CHARS = 1 << 20
 KEPT_WORDS = 300_000
 #: Bytes of words, ids and names, without their objects' own, that a worker keeps; likewise.
 KEPT_BYTES = 64 << 20
+#: Longer words have their states made from the first on, so that none asks for many others.
+RECURSION = 200
 #: Pairs of tokens whose order a worker remembers.
 FOLLOWS = 500_000
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -114,8 +116,25 @@ class TrieEncoder:
         A state is the last token of a prefix and where it starts; the state there is the token before.
         """
         inner, final, longest, end = self.inner, self.final, self.longest, self.end
-        follows, follows_last = self.follows[False].get, self.follows[True].get
-        tokens, starts = [""], array("q", [0])
+        follows, follows_last, may_follow = self.follows[False].get, self.follows[True].get, self.may_follow
+        tokens: list[str | None] = [""]
+        starts = array("q", [0])
+
+        def state(word: str, n: int) -> str:
+            """The last token of word[:n]; states before it are made as they are asked for."""
+            for i in range(n - longest if n > longest else 0, n):
+                t = word[i:n]
+                if t in inner:
+                    if i:
+                        last = tokens[i] or state(word, i)
+                        ok = follows((last, t))
+                        if not (may_follow(last, t, False) if ok is None else ok):
+                            continue
+                    tokens[n] = t
+                    starts[n] = i
+                    return t
+            raise ValueError("a letter that isn't in the vocabulary")
+
         before = ""
         for word in sorted(set(words)):
             size = len(word)
@@ -126,23 +145,21 @@ class TrieEncoder:
                 shared += 1
             # tokens[n] and starts[n] are those of word[:n]; the state of a whole word as a prefix is made when it's needed
             del tokens[shared + 1 :], starts[shared + 1 :]
-            for n in range(len(tokens), size):
-                for i in range(n - longest if n > longest else 0, n):
-                    t = word[i:n]
-                    if t in inner:
-                        ok = i == 0 or follows((tokens[i], t))
-                        if ok or ok is None and self.may_follow(tokens[i], t, False):
-                            tokens.append(t)
-                            starts.append(i)
-                            break
+            more = size - len(tokens)
+            tokens.extend([None] * more)
+            starts.extend([0] * more)
+            if size > RECURSION:
+                for n in range(shared + 1, size):
+                    state(word, n)
             for i in range(size - longest if size > longest else 0, size):
                 t = word[i:]
                 if t in final:
-                    ok = i == 0 or follows_last((tokens[i], t))
-                    if ok or ok is None and self.may_follow(tokens[i], t, True):
-                        if i == 0:
-                            yield word, final[t], t + end
-                            break
+                    if i == 0:
+                        yield word, final[t], t + end
+                        break
+                    last = tokens[i] or state(word, i)
+                    ok = follows_last((last, t))
+                    if may_follow(last, t, True) if ok is None else ok:
                         found = []
                         while i:
                             found.append(tokens[i])
