@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from lodefit.llm.common import batch_of, kept, small_batches, table, texts
+from lodefit.llm.common import batch_of, give_back, kept, small_batches, table, texts
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 #: Texts are cut at white space into pieces of about this many characters, which bounds memory.
@@ -174,6 +174,16 @@ class TrieEncoder:
             return word
         return "".join([self.letters[b] for b in word.encode("utf-8")])
 
+    def forget(self) -> None:
+        """Drop the encodings of words, and give their memory back."""
+        self.encoded.clear()
+        self.decoded.clear()
+        self.kept_bytes = 0
+        for known in self.follows:
+            if len(known) > FOLLOWS // 4:
+                known.clear()
+        give_back()
+
     def learn(self, words: set[str]) -> None:
         """Have the encodings of all these words."""
         new = words.difference(self.encoded)
@@ -287,6 +297,7 @@ def encode_table(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> Data
             found = list(e.digests(texts(b, "text")))
             made = batch_of([b.column(0), *([x[i] for x in found] for i in range(3))], _OUT)
             yield pa.RecordBatch.from_arrays([*made.columns, *b.columns[2:]], [*_OUT.names, *keep])
+        e.forget()
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select("doc_id", "text", *keep).mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{kinds}")

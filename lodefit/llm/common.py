@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from lodefit.functions.shared import cut, shared_dir
 from lodefit.functions.shipping import ship
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "FEW", "batch_of", "cut", "draw", "held_out", "kept", "shared_dir", "small_batches", "table", "texts"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "FEW", "batch_of", "cut", "draw", "give_back", "held_out", "kept", "shared_dir", "small_batches", "table", "texts"]
 
 #: Rows of one Arrow batch handed to a Python worker; bounds its memory.
 BATCH_ROWS = 512
@@ -26,11 +29,20 @@ _KEPT: dict[tuple, object] = {}
 def kept(name: tuple, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: one thing, so that one operator's doesn't weigh on the next one's."""
     if name not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            give_back()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task is small; does nothing where the C library can't."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

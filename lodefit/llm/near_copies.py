@@ -47,7 +47,7 @@ class Settings:
     star_groups: int = 8
     leaders: int = 4
     crowd: int = 32
-    block_rows: int = 256
+    block_rows: int = 128
     row_cost: float = 10.0
 
     @property
@@ -230,8 +230,8 @@ def crowd_links(inside: DataFrame, reps: DataFrame, docs: DataFrame, settings: S
         apart = (bits.shape[1] - bits @ bits.T) / 2
         x, y = np.nonzero(np.triu(apart <= most, 1))
         order = np.argsort(apart[x, y], kind="stable")
-        sets: dict[int, frozenset] = {}
-        held = rows.column("shingles").combine_chunks()
+        lists = rows.column("shingles").combine_chunks()
+        every, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         root = list(range(len(rep)))
         links = []
 
@@ -240,15 +240,10 @@ def crowd_links(inside: DataFrame, reps: DataFrame, docs: DataFrame, settings: S
                 root[k] = k = root[root[k]]
             return k
 
-        def shingles_of(k: int) -> frozenset:
-            if k not in sets:
-                sets[k] = frozenset(held[k].as_py())
-            return sets[k]
-
         for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
             if find(a) != find(b):
-                one, two = shingles_of(a), shingles_of(b)
-                if (n := len(one & two)) >= least * (len(one) + len(two) - n):
+                one, two = every[ends[a] : ends[a + 1]], every[ends[b] : ends[b + 1]]
+                if (n := len(np.intersect1d(one, two, assume_unique=True))) >= least * (len(one) + len(two) - n):
                     root[find(a)] = find(b)
                     links.append((rep[a], rep[b]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
