@@ -171,15 +171,15 @@ def plan(n: int, both: np.ndarray, settings: Settings) -> list[tuple[int, list[i
 CHECKS = ("c0", "c1", "c2", "c3")
 
 
-def members(reps: DataFrame, groups: list[tuple[int, list[int], int]], settings: Settings, *more: str) -> DataFrame:
+def members(reps: DataFrame, groups: list[tuple[int, list[int], int]], settings: Settings, names: tuple[str, ...] = CHECKS, *more: str) -> DataFrame:
     """A row (key, rep, checks) for each bucket that a text is in; the checks are words that its bucket mates are held against."""
     spots = []
     for k, (w, bits, t) in enumerate(groups):
         own = F.get("fps", F.lit(w)).bitwiseAND(F.lit(mask_of(bits)))
-        checks = [F.get("fps", F.lit((w + 1 + i) % settings.words)).alias(c) for i, c in enumerate(CHECKS)]
+        checks = [F.get("fps", F.lit((w + 1 + i) % settings.words)).alias(c) for i, c in enumerate(names)]
         flips = [F.lit(0).cast("long"), *[F.lit(mask_of([i])) for i in bits]] if t else [F.lit(0).cast("long")]
         spots += [F.struct(F.xxhash64(F.lit(k), own.bitwiseXOR(x)).alias("key"), *checks) for x in flips]
-    return reps.select("rep", *more, F.explode(F.array(*spots)).alias("e")).select("e.key", "rep", *(f"e.{c}" for c in CHECKS), *more)
+    return reps.select("rep", *more, F.explode(F.array(*spots)).alias("e")).select("e.key", "rep", *(f"e.{c}" for c in names), *more)
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -252,11 +252,10 @@ def crowd_links(inside: DataFrame, reps: DataFrame, docs: DataFrame, settings: S
 
 
 def other_pairs(rows: DataFrame, settings: Settings) -> DataFrame:
-    """a, b: members of a bucket that aren't of one crowd, where their checks are near enough; two that link are in most of the buckets that they share."""
-    rows = rows.select("key", "rep", "crowd", F.struct(*CHECKS).alias("own"))
+    """a, b: members of a bucket that aren't of one crowd, where their first checks are near enough; two that link are in most of the buckets that they share."""
     x, y = rows.alias("x"), rows.alias("y")
     apart = F.col("x.crowd").isNull() | F.col("y.crowd").isNull() | (F.col("x.crowd") != F.col("y.crowd"))
-    near = _distance(F.col("x.own"), F.col("y.own")) <= settings.radius(BITS * len(CHECKS), 1.5)
+    near = _apart(F.col("x.c0"), F.col("y.c0")) <= settings.radius(BITS, 1.5)
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & apart & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
@@ -314,7 +313,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     inside = crowds(members(reps, few, settings), settings)
     links = crowd_links(inside, reps, docs, settings)
     labelled = cut(reps.join(inside.drop("size"), "rep", "left"))
-    others = verified(cut(other_pairs(members(labelled, groups, settings, "crowd"), settings)), reps, docs, settings)
+    others = verified(cut(other_pairs(members(labelled, groups, settings, CHECKS[:1], "crowd"), settings)), reps, docs, settings)
     found = components(links.unionByName(others)).withColumnsRenamed({"node": "rep"})
     joined = cut(reps.select("digest", "first", "rep").join(found, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
