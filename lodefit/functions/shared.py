@@ -27,13 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same as a table of files, which may go when the application has ended.
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """The same as a table of files, which goes when the application ends; codec: how its pages are compressed.
 
     For loops: a checkpoint's size counts as the product of all that was ever joined
     to make it, so that planning takes ever longer; a table's is that of its files.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid4().hex}"
-    df.write.parquet(at)
+    top = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    at = f"{top}/{uuid4().hex}"
+    (df.write.option("compression", codec) if codec else df.write).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
