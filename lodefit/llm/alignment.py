@@ -2,9 +2,10 @@
 
 Python makes the tokens of a text; all that follows is Spark's functions of
 arrays. The byte offsets where tokens of both sides end cut a text into groups.
-A token is one number, its end above its id, so sorting the tokens of a side
-together with marks at the shared ends puts a mark behind the last token of
-each group, and the groups can be read off.
+A token is one number, its end above its id, and an end is the number of a token
+there with the largest id. So sorting the tokens of a side together with the ends
+that both sides share puts a mark behind the last token of each group, and the
+groups can be read off.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ KEPT_CHUNKS = 400_000
 KEPT_CHARS = 48
 #: Tokens of one batch that a worker hands on.
 OUT_TOKENS = 1 << 20
+#: Characters of a group from which on its ids are made distinct before they are paired.
+LONG_KIND = 200
 #: Bytes of the groups that are broadcast with what is known of them, at most.
 FEW_BYTES = 32 << 20
 _BROKEN = array("i", [-1]).tobytes()
@@ -46,7 +49,8 @@ _WHITE = "\t\n\x0b\x0c\r\x85\xa0  -     　"
 #: A space, white space, and words up to a space that follows a word.
 _CHUNK = re.compile(f" [ {_WHITE}]*(?:[^ {_WHITE}]++[{_WHITE}][ {_WHITE}]*)*[^ {_WHITE}]*")
 #: Characters that every Unicode version takes for the same kind.
-_PLAIN = re.compile(f"[\x00-ɏ‐-‧‰-›€]*(?<![ {_WHITE}])")
+_PLAIN = re.compile("[\x00-ɏ‐-‧‰-›€]*")
+_WHITE_SPACE = frozenset(f" {_WHITE}")
 #: The pieces of byte-level texts: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -106,46 +110,53 @@ class Sides:
             raise ValueError("too many ids")
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
-    def encode_a(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks one after another, and how many each has.
+    def encode_a(self, chunks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, of so many bytes, one after another, and how many each has.
 
         Chunks of characters that no library reads otherwise, and that don't end in white space, are encoded in one go.
         """
-        plain = np.array([bool(self.ranked and _PLAIN.fullmatch(c)) for c in chunks])
-        together = [c for c, p in zip(chunks, plain, strict=True) if p]
+        if self.ranked is None:
+            plain = np.zeros(len(chunks), bool)
+        elif _PLAIN.fullmatch("".join(chunks)):
+            plain = np.array([c[-1] not in _WHITE_SPACE for c in chunks])
+        else:
+            plain = np.array([c[-1] not in _WHITE_SPACE and _PLAIN.fullmatch(c) is not None for c in chunks])
+        together = list(compress(chunks, plain))
         ids = np.array(self.ranked.encode_ordinary("".join(together)) if together else [], np.int32)
-        stops = np.searchsorted(np.cumsum(self.a_bytes[ids]), np.cumsum([len(c.encode()) for c in together]), "right")
+        stops = np.searchsorted(np.cumsum(self.a_bytes[ids]), np.cumsum(sizes[plain]), "right")
         counts = np.zeros(len(chunks), np.int64)
         counts[plain] = np.diff(stops, prepend=0)
         if len(together) == len(chunks):
             return ids, counts
-        rest = [np.array(e.ids, np.int32) for e in self.exact.encode_batch([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False)]
+        rest = [np.array(e.ids, np.int32) for e in self.exact.encode_batch(list(compress(chunks, ~plain)), add_special_tokens=False)]
         counts[~plain] = [len(r) for r in rest]
-        parts, own, other = np.split(ids, stops[:-1]) if together else [], 0, 0
-        found = []
-        for p in plain:
-            found.append(parts[own] if p else rest[other])
-            own, other = own + p, other + (not p)
-        return np.concatenate(found), counts
+        parts, other = iter(np.split(ids, stops[:-1]) if together else []), iter(rest)
+        return np.concatenate([next(parts) if p else next(other) for p in plain]), counts
 
     def learn(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """The ids of both sides of chunks, as bytes; of one whose bytes come out otherwise, -1 on side A."""
         b_lists = self.pieces.encode([c[1:] for c in chunks], num_threads=1)  # the library puts a space before
         b_lists = [x or self.space for x in b_lists]  # but not before nothing
-        a, n_a = self.encode_a(chunks)
+        encoded = [c.encode() for c in chunks]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(chunks))
+        a, n_a = self.encode_a(chunks, sizes)
         b, n_b = np.fromiter(chain.from_iterable(b_lists), np.int32), np.fromiter(map(len, b_lists), np.int64, len(chunks))
         a_raw, b_raw = (b"".join(map(raw.__getitem__, ids.tolist())) for raw, ids in ((self.a_raw, a), (self.b_raw, b)))
         # where each chunk's ids and bytes stop
-        stops = [np.concatenate([[0], x])[np.cumsum(n)].tolist() for ids, size, n in ((a, self.a_bytes, n_a), (b, self.b_bytes, n_b)) for x in (np.arange(4, 4 * len(ids) + 4, 4), np.cumsum(size[ids]))]
-        a_ids, b_ids = a.tobytes(), b.tobytes()
+        (a_at, a_to), (b_at, b_to) = ([np.concatenate([[0], x])[np.cumsum(n)] for x in (np.arange(4, 4 * len(ids) + 4, 4), np.cumsum(size[ids]))] for ids, size, n in ((a, self.a_bytes, n_a), (b, self.b_bytes, n_b)))
+        stops, a_ids, b_ids = np.cumsum(sizes), a.tobytes(), b.tobytes()
         i = j = x = y = 0
-        for c, i_to, x_to, j_to, y_to in zip(chunks, *stops, strict=True):
-            whole = a_raw[x:x_to] == c.encode() == b_raw[y:y_to]
-            yield (a_ids[i:i_to], b_ids[j:j_to]) if whole else (_BROKEN, b"")
+        if a_raw == b_raw == b"".join(encoded) and (a_to == stops).all() and (b_to == stops).all():
+            for i_to, j_to in zip(a_at.tolist(), b_at.tolist(), strict=True):
+                yield a_ids[i:i_to], b_ids[j:j_to]
+                i, j = i_to, j_to
+            return
+        for raw, i_to, x_to, j_to, y_to in zip(encoded, a_at.tolist(), a_to.tolist(), b_at.tolist(), b_to.tolist(), strict=True):
+            yield (a_ids[i:i_to], b_ids[j:j_to]) if a_raw[x:x_to] == raw == b_raw[y:y_to] else (_BROKEN, b"")
             i, j, x, y = i_to, j_to, x_to, y_to
 
     def tokens(self, rows: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(ends, packed tokens) of A and of B of each text; empty if it is null, empty or doesn't come out the same."""
+        """(ends, tokens) of A and of B of each text, packed; empty if it is null, empty or doesn't come out the same."""
         cut = [_CHUNK.findall(" " + t) if t else [] for t in rows]
         used = set().union(*cut)
         new = [c for c in used if c not in self.known]
@@ -159,28 +170,27 @@ class Sides:
             a, b = (np.frombuffer(b"".join([f[k] for f in found]), np.int32) for k in (0, 1))
             if len(a) and a.min() < 0:
                 a = b = a[:0]
-            a_ends, b_ends = np.cumsum(self.a_bytes[a]), np.cumsum(self.b_bytes[b])
-            yield a_ends, (a_ends << ID_BITS) | a, b_ends, (b_ends << ID_BITS) | b
+            a_ends, b_ends = np.cumsum(self.a_bytes[a]) << ID_BITS, np.cumsum(self.b_bytes[b]) << ID_BITS
+            yield a_ends | MARK, a_ends | a, b_ends | MARK, b_ends | b
         for c in new:
             if len(c) > KEPT_CHARS:
                 del self.known[c]
 
 
 _NUMBERS = T.ArrayType(T.LongType(), False)
-_ENDS = T.ArrayType(T.IntegerType(), False)
-_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, k, False) for n, k in (("a_ends", _ENDS), ("a", _NUMBERS), ("b_ends", _ENDS), ("b", _NUMBERS))]])
+_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, k, False) for n, k in (("a_ends", _NUMBERS), ("a", _NUMBERS), ("b_ends", _NUMBERS), ("b", _NUMBERS))]])
 
 
 def tokenise(docs: DataFrame, files: Files) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, a_ends, a, b_ends, b: where the tokens of a text end in bytes, and the tokens themselves, each its end above its id."""
+    """docs(doc_id, text) -> doc_id, a_ends, a, b_ends, b: where the tokens of a text end, in bytes above a mark, and the tokens themselves, each its end above its id."""
     small_batches(docs.sparkSession)
 
-    def lists(rows: list[np.ndarray], kind: type) -> pa.Array:
-        flat = np.concatenate(rows).astype(kind)
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate(rows)
         return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(flat))
 
     def batch(ids: pa.Array, found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, *(lists([f[k] for f in found], np.int64 if k % 2 else np.int32) for k in range(4))], ["doc_id", "a_ends", "a", "b_ends", "b"])
+        return pa.RecordBatch.from_arrays([ids, *(lists([f[k] for f in found]) for k in range(4))], ["doc_id", "a_ends", "a", "b_ends", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = kept(("alignment", files), lambda: Sides(files))
@@ -201,25 +211,24 @@ def tokenise(docs: DataFrame, files: Files) -> DataFrame:
 
 
 def _lists(tokens: str) -> Column:
-    """A side's ids by group, each group's joined by commas: tokens and marks sorted, the last mark left out, cut at the other marks."""
-    sorted_ = F.sort_array(F.concat(tokens, "marks"))
-    ids = F.transform(F.slice(sorted_, 1, F.size(tokens) + F.size("marks") - 1), lambda x: x.bitwiseAND(F.lit(MARK)))
-    return F.split(F.array_join(ids.cast("array<string>"), ","), f",{MARK},")
+    """A side's ids by group, each group's joined by commas: tokens and shared ends sorted, the last end left out, cut at the others."""
+    sorted_ = F.sort_array(F.concat(tokens, "ends"))
+    ids = F.transform(F.slice(sorted_, 1, F.size(tokens) + F.size("ends") - 1), lambda x: x.bitwiseAND(F.lit(MARK)))
+    return F.split(F.replace(F.array_join(ids.cast("array<string>"), ","), F.lit(f",{MARK},"), F.lit(";")), ";")
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """tokenise's rows -> doc_id, n_a, n_b, n_groups, groups, kinds.
+    """tokenise's rows -> doc_id, n_a, n_b, n_groups, groups, groups_sha256, kinds.
 
-    groups has `ids of A|ids of B` of each group in order, kinds the distinct ones.
+    groups has `ids of A|ids of B` of each group in order, kinds the distinct ones;
+    the digest is that of all groups joined by semicolons, and empty without any.
     """
-    none = F.array().cast("array<string>")
     some = F.size("ends") > 0
-    return (
-        tokens.withColumn("ends", F.array_intersect("a_ends", "b_ends"))
-        .withColumn("marks", F.transform("ends", lambda e: F.shiftleft(e.cast("long"), ID_BITS).bitwiseOR(F.lit(MARK))))
-        .withColumn("groups", F.when(some, F.zip_with(_lists("a"), _lists("b"), lambda x, y: F.concat(x, F.lit("|"), y))).otherwise(none))
-        .select("doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("ends").cast("long").alias("n_groups"), "groups", F.array_distinct("groups").alias("kinds"))
-    )
+    groups = F.when(some, F.zip_with(_lists("a"), _lists("b"), lambda x, y: F.concat(x, F.lit("|"), y))).otherwise(F.array().cast("array<string>"))
+    counts = [F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("ends", "n_groups"))]
+    found = tokens.withColumn("ends", F.array_intersect("a_ends", "b_ends")).select("doc_id", *counts, groups.alias("groups"))
+    digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "groups", digest.alias("groups_sha256"), F.array_distinct("groups").alias("kinds"))
 
 
 def _ids(kind: Column, side: int) -> Column:
@@ -227,19 +236,30 @@ def _ids(kind: Column, side: int) -> Column:
 
 
 def _pairs(kind: Column) -> Column:
-    """The distinct `a|b` of a group."""
-    b = F.array_distinct(_ids(kind, 1))
-    return F.aggregate(F.array_distinct(_ids(kind, 0)), F.array().cast("array<string>"), lambda found, x: F.concat(found, F.transform(b, lambda y: F.concat(x, F.lit("|"), y))))
+    """All `a|b` of a group, joined by commas: for each a, the text of the b with `a|` before each."""
+    b = F.substring_index(kind, "|", -1)
+    return F.array_join(F.transform(_ids(kind, 0), lambda x: F.concat(x, F.lit("|"), F.replace(b, F.lit(","), F.concat(F.lit(","), x, F.lit("|"))))), ",")
+
+
+def _distinct(kind: Column) -> Column:
+    """A group with each of its ids once."""
+    return F.concat(F.array_join(F.array_distinct(_ids(kind, 0)), ","), F.lit("|"), F.array_join(F.array_distinct(_ids(kind, 1)), ","))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """aligned(kinds) -> pair (`a|b`), n: the rows that hold it linked, best: the largest n of its A id.
 
-    A row's pairs are distinct before they are counted, and counts combine before they are exchanged.
+    A group of one token on either side is its own pair. A row's pairs are distinct
+    before they are counted, and counts combine before they are exchanged.
     """
-    single = lambda k: ~F.contains(k, F.lit(","))  # noqa: E731  one token on either side: the group is its pair
-    pairs = F.concat(F.filter("kinds", single), F.flatten(F.transform(F.filter("kinds", lambda k: ~single(k)), _pairs)))
-    counts = written(aligned.select(F.explode(F.array_distinct(pairs)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("a", F.substring_index("pair", "|", 1)))
+    several = lambda k: F.contains(k, F.lit(","))
+    # the text of what has several tokens becomes pairs, and the rest are pairs as they are; one cut serves both
+    made = F.transform(F.filter("kinds", several), lambda k: _pairs(F.when(F.length(k) > LONG_KIND, _distinct(k)).otherwise(k)))
+    pairs = F.array_except(F.split(F.array_join(made, ","), ","), F.col("kinds"))
+    single = aligned.select(F.explode("kinds").alias("pair")).where(~several(F.col("pair")))
+    other = aligned.select(F.explode(pairs).alias("pair")).where("pair <> ''")
+    counted = single.groupBy("pair").agg(F.count("*").alias("n")).unionByName(other.groupBy("pair").agg(F.count("*").alias("n")))
+    counts = written(counted.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.substring_index("pair", "|", 1)))
     return counts.join(counts.groupBy("a").agg(F.max("n").alias("best")), "a").select("pair", "n", "best")
 
 
@@ -270,22 +290,20 @@ def link_sums(aligned: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def alignment(docs: DataFrame, files: Files) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_a, n_b, n_groups, groups, n_links, n_best, count_sum; one row for each row.
+    """docs(doc_id, text) -> doc_id, n_a, n_b, n_groups, groups_sha256, n_links, n_best, count_sum; one row for each row.
 
     Null and empty texts, and those whose tokens don't come out as a space and the
-    text, have no tokens: counts of 0 and no groups. Rows of one doc_id are
+    text, have no tokens: counts of 0 and an empty digest. Rows of one doc_id are
     documents of their own. Other columns are ignored; an empty table gives no rows.
     Aligned texts are written once; links are counted by kind of group, of which a
-    corpus has few, and not by occurrence.
+    corpus has few, and not by occurrence. The groups themselves are those of align.
     """
     aligned = written(align(tokenise(docs, files)).withColumn("row", F.monotonically_increasing_id()), "zstd")
     counts = pair_counts(aligned)
     kinds = written(kind_links(aligned, counts))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return aligned.join(link_sums(aligned, kinds), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "groups", zero("n_links"), zero("n_best"), zero("count_sum"))
+    return aligned.drop("groups", "kinds").join(link_sums(aligned, kinds), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = alignment(table(spark, sf_dir, "documents"), Files.of(spark))
-    digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    return alignment(table(spark, sf_dir, "documents"), Files.of(spark))
