@@ -7,8 +7,9 @@ chance at the least estimated number of rows and candidates. Candidates are held
 against a whole word, then the whole fingerprint, then the exact similarity.
 
 Crowds of copies are not written out as pairs: they are found by holding the members
-of big buckets against a few of them, and looked at block by block, which gives
-only the links that join them. Buckets then pair what isn't of one crowd.
+of big buckets against a few of them, then each member is verified against a few
+of its crowd, and only what that leaves apart from the crowd's core is looked at
+block by block, for the links that join it. Buckets then pair what isn't of one crowd.
 """
 
 from __future__ import annotations
@@ -173,13 +174,15 @@ CHECKS = ("c0", "c1", "c2", "c3")
 
 def members(reps: DataFrame, groups: list[tuple[int, list[int], int]], settings: Settings, names: tuple[str, ...] = CHECKS, *more: str) -> DataFrame:
     """A row (key, rep, checks) for each bucket that a text is in; the checks are words that its bucket mates are held against."""
-    spots = []
-    for k, (w, bits, t) in enumerate(groups):
-        own = F.get("fps", F.lit(w)).bitwiseAND(F.lit(mask_of(bits)))
-        checks = [F.get("fps", F.lit((w + 1 + i) % settings.words)).alias(c) for i, c in enumerate(names)]
-        flips = [F.lit(0).cast("long"), *[F.lit(mask_of([i])) for i in bits]] if t else [F.lit(0).cast("long")]
-        spots += [F.struct(F.xxhash64(F.lit(k), own.bitwiseXOR(x)).alias("key"), *checks) for x in flips]
-    return reps.select("rep", *more, F.explode(F.array(*spots)).alias("e")).select("e.key", "rep", *(f"e.{c}" for c in names), *more)
+    # one short expression for all groups, whose numbers are data: generated code doesn't grow with them
+    spots = [(k, w, mask_of(bits), flip) for k, (w, bits, t) in enumerate(groups) for flip in ([0, *(mask_of([i]) for i in bits)] if t else [0])]
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), F.lit(m).alias("m"), F.lit(x).cast("long").alias("x")) for k, w, m, x in spots])
+
+    def spot(g: Column) -> Column:
+        key = F.xxhash64(g["k"], F.get("fps", g["w"]).bitwiseAND(g["m"]).bitwiseXOR(g["x"]))
+        return F.struct(key.alias("key"), *[F.get("fps", (g["w"] + 1 + i) % settings.words).alias(c) for i, c in enumerate(names)])
+
+    return reps.select("rep", *more, F.explode(F.transform(table, spot)).alias("e")).select("e.key", "rep", *(f"e.{c}" for c in names), *more)
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -210,25 +213,64 @@ def crowds(rows: DataFrame, settings: Settings) -> DataFrame:
     return cut(split_join(found, size, "crowd", ["rep"]))
 
 
+def star_links(held: DataFrame, settings: Settings) -> DataFrame:
+    """a, b: links between the members of each crowd and a few of them, chosen by hash: one row for each member.
+
+    held(rep, crowd, fps, shingles); every link is verified on the shingles.
+    """
+    chosen = [F.struct(F.xxhash64("rep", "crowd", F.lit(i)).alias("h"), F.col("rep").alias("lead")) for i in range(settings.leaders)]
+    first = held.groupBy("crowd").agg(F.array(*[F.min(c) for c in chosen]).alias("all"))
+    first = cut(first.select("crowd", F.explode(F.array_distinct(F.transform("all", lambda f: f["lead"]))).alias("rep")))
+    lead = first.join(held.drop("crowd"), "rep").groupBy("crowd").agg(F.collect_list(F.struct("rep", "fps", "shingles")).alias("leads"))  # settings.leaders at most
+    bits = lambda f: F.aggregate(F.zip_with("fps", f["fps"], _apart), F.lit(0), lambda n, x: n + x)
+    common = lambda f: F.size(F.array_intersect("shingles", f["shingles"]))
+    near = lambda f: bits(f) <= settings.radius(BITS * settings.words, 3.0)
+    alike = lambda f: F.when((f["rep"] != F.col("rep")) & near(f), common(f) >= F.lit(settings.similarity) * (F.size("shingles") + F.size(f["shingles"]) - common(f))).otherwise(F.lit(False))
+    met = split_join(held, cut(lead), "crowd", ["rep"])
+    return cut(met.select(F.col("rep").alias("a"), F.explode(F.transform(F.filter("leads", alike), lambda f: f["rep"])).alias("b")))
+
+
+def dealt(inside: DataFrame, linked: DataFrame, settings: Settings) -> DataFrame:
+    """rep, crowd, i, j, rest: to which pairs of blocks the members of each crowd go, given what hangs together already (rep, label).
+
+    The largest part of a crowd that hangs together is its core, which needs no
+    look at itself. Blocks of the rest meet all blocks of the crowd: members go to
+    as many tasks as the rest has blocks, so a crowd about one text is dealt
+    about once. rest is 0 for a core's members.
+    """
+    own = split_join(inside, linked, "rep", ["crowd"], "left").withColumn("label", F.coalesce("label", "rep"))
+    parts = cut(own.groupBy("crowd", "label").agg(F.count("*").alias("n")))
+    core = parts.groupBy("crowd").agg(F.max(F.struct("n", "label")).alias("c"), F.sum("n").alias("size")).select("crowd", F.col("c.label").alias("core"), (F.col("size") - F.col("c.n")).alias("apart"))
+    own = split_join(own, core.where("apart > 0"), "crowd", ["rep"])
+    rest = (F.col("label") != F.col("core")).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / settings.block_rows)
+    spots = own.select("rep", "crowd", rest.alias("rest"), blocks("size").alias("all"), blocks("apart").alias("few"), F.xxhash64("rep").alias("h"))
+    # i: a block of the rest, j: of all; members of the rest are on both sides, and a task takes each once
+    side_i = spots.where("rest = 1").select("rep", "crowd", "rest", F.expr("pmod(h, few)").alias("i"), F.explode(F.expr("sequence(0L, all - 1)")).alias("j"))
+    side_j = spots.select("rep", "crowd", "rest", F.explode(F.expr("sequence(0L, few - 1)")).alias("i"), F.expr("pmod(shiftrightunsigned(h, 17), all)").alias("j"))
+    return side_i.unionByName(side_j).distinct()
+
+
 def crowd_links(inside: DataFrame, reps: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """a, b: links that join the members of each crowd as all links between them do.
 
-    A crowd is dealt to blocks, and a task holds two of them: it looks at all pairs,
-    and gives only those that join what wasn't joined there.
+    Members are first held against a few of their crowd. What that leaves apart is
+    dealt to blocks, and a task holds two of them: it looks at all pairs but
+    those within the core, and gives only those that join what wasn't joined there.
     """
     least, most = settings.similarity, settings.radius(BITS * settings.words, 3.0)
-    blocks = F.ceil(F.col("size") / settings.block_rows)
-    own = inside.withColumn("i", F.pmod(F.xxhash64("rep"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     known = reps.join(inside.select("rep"), "rep").select("rep", "digest", "th", "fps")
     sets = shingle_sets(docs, cut(known.drop("fps")), settings)
     held = cut(known.select("rep", "fps").join(sets, "rep"))
-    dealt = own.select("rep", "crowd", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).join(held, "rep")
+    stars = star_links(held.join(inside.select("rep", "crowd"), "rep"), settings)
+    linked = components(stars).withColumnRenamed("node", "rep")
+    rows = cut(dealt(inside, linked, settings)).join(held, "rep")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rep = rows.column("rep").to_pylist()
+        rep, rest = rows.column("rep").to_pylist(), rows.column("rest").to_numpy().astype(bool)
         bits = np.unpackbits(rows.column("fps").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(rep), -1), axis=1).astype(np.float32) * 2 - 1
         apart = (bits.shape[1] - bits @ bits.T) / 2
-        x, y = np.nonzero(np.triu(apart <= most, 1))
+        x, y = np.nonzero(np.triu((apart <= most) & (rest[:, None] | rest), 1))
         order = np.argsort(apart[x, y], kind="stable")
         lists = rows.column("shingles").combine_chunks()
         every, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -240,6 +282,9 @@ def crowd_links(inside: DataFrame, reps: DataFrame, docs: DataFrame, settings: S
                 root[k] = k = root[root[k]]
             return k
 
+        core = np.flatnonzero(~rest).tolist()
+        for k in core:  # a core hangs together as it is
+            root[k] = core[0]
         for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
             if find(a) != find(b):
                 one, two = every[ends[a] : ends[a + 1]], every[ends[b] : ends[b + 1]]
@@ -248,7 +293,7 @@ def crowd_links(inside: DataFrame, reps: DataFrame, docs: DataFrame, settings: S
                     links.append((rep[a], rep[b]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return cut(dealt.groupBy("crowd", "i", "j").applyInArrow(run, "a long, b long"))
+    return cut(stars.unionByName(rows.groupBy("crowd", "i", "j").applyInArrow(run, "a long, b long")))
 
 
 def other_pairs(rows: DataFrame, settings: Settings) -> DataFrame:

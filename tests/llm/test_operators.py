@@ -641,6 +641,23 @@ def test_near_copies_are_found(spark, settings):
     assert near_copies.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_crowd_is_dealt_about_once(spark, monkeypatch):
+    """Near copies of one text: the rows that go to blocks grow with the crowd, not with its square, and nothing falls apart."""
+    r = random.Random(8)
+    base = [f"{r.choice('abcdefgh')}{r.randrange(10_000)}" for _ in range(300)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for _ in range(5 if i % 25 == 0 else 1 + i % 3):
+            words[r.randrange(300)] = f"x{r.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    dealt, whole = [], near_copies.dealt
+    monkeypatch.setattr(near_copies, "dealt", lambda *a: dealt.append(whole(*a).count()) or whole(*a))
+    got = near_copies.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_copies.Settings(block_rows=64)).collect()
+    assert len(set(brute_near_copies(rows))) == 1 and {tuple(g) for g in got} == {(i, 0) for i, _ in rows}
+    assert len(dealt) == 1 and dealt[0] <= 2 * len(rows)
+
+
 def test_near_copies_of_the_corpus(spark):
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
     roots = brute_near_copies(rows)
