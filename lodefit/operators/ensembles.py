@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodefit.functions.shipping import ship
+from lodefit.operators import order_stats
 from lodefit.operators.costs import TooManyRows
 from lodefit.operators.fit import Fit
 
@@ -390,7 +391,7 @@ def bayesian(spark: SparkSession, fit: Fit, priors: Sequence[Prior] = (), level:
 def quantiles(rows: DataFrame, value: Column, p: Sequence[float], key: Sequence[str] = ()) -> DataFrame:
     """The linear quantiles of a value over finite rows, for each key."""
     v = rows.select(*key, value.cast("double").alias("_v")).where(~F.isnan("_v") & (F.abs("_v") != float("inf")))
-    return v.groupBy(*key).agg(F.count("*").alias("n"), F.percentile("_v", F.array(*[F.lit(float(x)) for x in p])).alias("q"))
+    return order_stats.quantiles(v, F.col("_v"), p, key)
 
 
 def quantile_band(ensemble: DataFrame, f: Callable[[Column], Column], xs: Sequence[float], p: Sequence[float] = (0.16, 0.5, 0.84)) -> DataFrame:
@@ -416,10 +417,10 @@ def lower_limit(rows: DataFrame, value: Column, level: float = 0.95) -> DataFram
 
 
 def posterior_summary(ensemble: DataFrame, names: Sequence[str], level: float = 0.68) -> DataFrame:
-    """name, mean, median, std, lower, upper of each parameter, in one aggregate."""
+    """name, mean, median, std, lower, upper of each parameter."""
     long = ensemble.select(F.posexplode("p").alias("k", "v"))
-    pct = F.percentile("v", F.array(F.lit((1 - level) / 2), F.lit(0.5), F.lit((1 + level) / 2)))
-    s = long.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), pct.alias("q"))
+    q = order_stats.quantiles(long, F.col("v"), [(1 - level) / 2, 0.5, (1 + level) / 2], ["k"]).select("k", "q")
+    s = long.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")).join(q, "k")
     return s.select(F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("name"), "mean", F.col("q")[1].alias("median"), "std", F.col("q")[0].alias("lower"), F.col("q")[2].alias("upper"))
 
 
@@ -465,9 +466,14 @@ def autocorrelation(draws: DataFrame, chain: str, order: str, value: str, lags:
 
 
 def boundary_flag(rows: DataFrame, value: Column, lower: float | None, upper: float | None, share: float = 0.12, key: Sequence[str] = ()) -> DataFrame:
-    """near: the share of draws within half a deviation of a limit; flagged above the given share."""
+    """near: the share of draws within half a deviation of a limit; flagged above the given share. A null key is a key."""
     v = rows.select(*key, value.cast("double").alias("_v"))
-    m = v.withColumn("_s", F.stddev_samp("_v").over(Window.partitionBy(*key)))
+    if key:
+        spread = v.groupBy(*key).agg(F.stddev_samp("_v").alias("_s"))
+        spread = spread.select("_s", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
+        m = v.join(spread, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    else:
+        m = v.withColumn("_s", F.lit(v.agg(F.stddev_samp("_v")).first()[0]).cast("double"))
     close = F.lit(False)
     if lower is not None:
         close = close | (F.col("_v") - lower < 0.5 * F.col("_s"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Generator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from lodefit.functions.special import delta_chisq, p_value
-from lodefit.operators import linalg, minimize
+from lodefit.operators import linalg, lockstep, minimize
 from lodefit.operators.costs import LeastSquares
 from lodefit.operators.minimize import Minimum, Objective
 from lodefit.operators.parameters import MachinePrecision, Parameter, Parameters, Strategy
@@ -120,6 +120,7 @@ class Fit:
         self.merrors: dict[str, MinosError] = {}
         self.ndata: int | None = None
         self.deeper: np.ndarray | None = None  # parameters below the minimum that a profile came upon
+        self._together = is_cost and not local and gradient is None and lockstep.has_derivatives(objective)
 
     # ---- setters and views
     def _changed(self, parameters: Parameters) -> Fit:
@@ -246,7 +247,8 @@ class Fit:
     def migrad(self, maxfcn: int | None = None, iterate: int = 5, warm: bool = False, prior_covariance=None, hops: bool = True) -> Fit:
         """Passes until the fit is valid, iterate at most; the deepest one is kept. warm: begin with the last
         inverse Hessian; prior_covariance: with that of a covariance of the free parameters that is known before.
-        hops: between passes a simplex looks for a better place to begin."""
+        hops: between passes a simplex looks for a better place to begin; if no pass is valid and a last simplex,
+        which needs no gradient, closes in on a place that is no worse, that is the result, with its extent for errors."""
         best = None
         pars = self.parameters
         prior = self._internal.inverse if warm and self._internal is not None else None
@@ -273,6 +275,13 @@ class Fit:
                 if hop.fval < m.fval:
                     for k, x in enumerate(pars.external(hop.x)[0]):
                         pars = pars.set(k, value=float(x))
+        if hops and not best[0].is_valid and not best[0].nonfinite_fval and not best[0].reached_call_limit:
+            pars = best[1]
+            for k, x in enumerate(pars.external(best[0].x)[0]):
+                pars = pars.set(k, value=float(x))
+            last = minimize.simplex(self._inner(pars), pars.initial_internal(self.precision), pars.initial_internal_errors(self.precision), self.tol, maxfcn)
+            if last.is_valid and last.fval <= best[0].fval:
+                best = (last, pars)
         self._accept(*best)
         return self
 
@@ -321,12 +330,13 @@ class Fit:
         return self
 
     def find_deeper_minimum(self, jitters: int = 24, rounds: int = 50, gain: float = 1e-3, spread: float = 3.0, seed: int = 0) -> Fit:
-        """Jittered restarts, round after round, until none goes deeper."""
+        """Jittered restarts, round after round, until none goes deeper. Of a cost in Spark the restarts of a round go in step:
+        they take as many jobs as the longest of them."""
         if self.minimum is None:
             self.migrad()
         rng = np.random.default_rng(seed)
         for _ in range(rounds):
-            before, found = self.fval, []
+            before, starts = self.fval, []
             for _ in range(jitters):
                 pars = self.parameters
                 for i in pars.free:
@@ -334,14 +344,18 @@ class Fit:
                     x = q.value + spread * q.error * rng.standard_normal()
                     x = max(x, q.lower) if q.lower is not None else x
                     pars = pars.set(i, value=float(min(x, q.upper) if q.upper is not None else x))
-                m = minimize.migrad(self._inner(pars), pars.initial_internal(), pars.initial_internal_errors(), Strategy(0), self.tol, None, self.precision)
-                if m.is_valid:
-                    found.append((m.fval, m, pars))
+                starts.append(pars)
+            found = [(v, x) for v, x, ok in self._minima(starts) if ok]
             best = min(found, key=lambda t: t[0], default=None)
-            if best is None or best[0] >= before - gain:
+            if best is None or not best[0] < before - gain:
+                return self
+            pars, kept = self.parameters, (self.parameters, self.minimum, self._internal)
+            for k, x in enumerate(best[1]):
+                pars = pars.set(k, value=float(x))
+            self._changed(pars).migrad()
+            if not self.fval < before:  # never left for something worse
+                self.parameters, self.minimum, self._internal = kept
                 return self
-            self._accept(best[1], best[2])
-            self.migrad()
         return self
 
     find_global_minimum = find_deeper_minimum  # a former name
@@ -351,37 +365,69 @@ class Fit:
         if self.minimum is None or self.minimum.inverse is None:
             raise ValueError("a fit with a covariance comes first")
 
-    def conditional(self, fixed: dict[int, float], near=None) -> tuple[float, np.ndarray, bool]:
-        """The minimum over the other free parameters with some held: (value, all parameters, valid)."""
+    def _held(self, fixed: dict[int, float], near=None) -> Parameters:
+        """The parameters with some held at values, the others at those of near."""
         p = self.parameters
         for k, x in enumerate(self.values if near is None else near):
             p = p.set(k, value=float(x))
         for i, x in fixed.items():
             p = p.set(i, value=float(x), fixed=True)
-        if not p.n_free:
-            v = self.objective.one(p.values())
-            return v, p.values(), math.isfinite(v)
-        m = minimize.migrad(self._inner(p), p.initial_internal(), p.initial_internal_errors(), Strategy(0), self.tol, None, self.precision)
-        return m.fval, p.external(m.x)[0], m.is_valid or (m.edm < 0.1 * self.errordef)
-
-    def _cross(self, along: dict[int, float], start: dict[int, float], aim: float, guess: float, most: float = math.inf, other=None) -> tuple[float, bool, bool, np.ndarray]:
-        """(t, valid, at a limit, parameters) where the profile along start + t along reaches aim."""
-        at = lambda t: self.conditional({i: start[i] + t * d for i, d in along.items()}, near)
+        return p
+
+    def _minima(self, starts: Sequence[Parameters]) -> list[tuple[float, np.ndarray, bool]]:
+        """(value, all parameters, valid) of the minimum from each start: of a cost in Spark all go in step, else one after another."""
+        if self._together and len(starts):
+            fits = lockstep.descend(lockstep.plain_evaluate(self.cost), starts, self.errordef)
+            self.objective.nfcn += fits.evaluations
+            self.objective.n_nonfinite += fits.nonfinite
+            return [(float(f), x, bool(ok)) for f, x, ok in zip(fits.fval, fits.x, fits.valid, strict=True)]
+        found = []
+        for p in starts:
+            if not p.n_free:
+                v = self.objective.one(p.values())
+                found.append((v, p.values(), math.isfinite(v)))
+                continue
+            m = minimize.migrad(self._inner(p), p.initial_internal(), p.initial_internal_errors(), Strategy(0), self.tol, None, self.precision)
+            found.append((m.fval, p.external(m.x)[0], m.is_valid or (m.edm < 0.1 * self.errordef)))
+        return found
+
+    def conditional(self, fixed: dict[int, float], near=None) -> tuple[float, np.ndarray, bool]:
+        """The minimum over the other free parameters with some held: (value, all parameters, valid)."""
+        return self._minima([self._held(fixed, near)])[0]
+
+    def _walk(self, walks: Sequence[Generator]) -> list:
+        """The results of walks, each of which asks for the minimum at (held, near) again and again; they go in step."""
+        results: list = [None] * len(walks)
+        asked = {k: next(w) for k, w in enumerate(walks)}
+        while asked:
+            found = self._minima([self._held(*a) for a in asked.values()])
+            going, asked = list(asked), {}
+            for k, answer in zip(going, found, strict=True):
+                try:
+                    asked[k] = walks[k].send(answer)
+                except StopIteration as end:
+                    results[k] = end.value
+        return results
+
+    def _cross(self, along: dict[int, float], start: dict[int, float], aim: float, guess: float, most: float = math.inf, other=None) -> Generator:
+        """A walk to where the profile along start + t along reaches aim: (t, valid, at a limit, parameters, whether it came upon less)."""
         near = self.values if other is None else other
-        lo, f_lo, t = 0.0, self.fval, min(guess, most)
+        lo, f_lo, t, below = 0.0, self.fval, min(guess, most), False
         hi = f_hi = None
         for _ in range(40):
-            value, near, ok = at(t)
-            if value < self.fval - 0.02 * self.errordef and (self.deeper is None or value < self._deeper_value):
-                self.deeper, self._deeper_value = near.copy(), value
+            value, near, ok = yield {i: start[i] + t * d for i, d in along.items()}, near
+            if value < self.fval - 0.02 * self.errordef:
+                below = True
+                if self.deeper is None or value < self._deeper_value:
+                    self.deeper, self._deeper_value = near.copy(), value
             if not math.isfinite(value):
                 hi, f_hi = t, None
             elif abs(value - aim) < 1e-3 * self.errordef:
-                return t, ok, False, near
+                return t, ok, False, near, below
             elif value < aim:
                 lo, f_lo = t, value
                 if t >= most:
-                    return t, True, True, near
+                    return t, True, True, near, below
             else:
                 hi, f_hi = t, value
             if hi is None:
@@ -394,28 +440,40 @@ class Fit:
                 t = lo + (hi - lo) * min(0.95, max(0.05, (c - a) / (b - a) if b > a else 0.5))
             if hi is not None and hi - lo < 1e-9 * max(1.0, abs(hi)):
                 break
-        return t, False, False, near
+        return t, False, False, near, below
+
+    def _side(self, i: int, sign: int, sigma: float) -> Generator:
+        """The walk along one side of a parameter's error."""
+        q, value, cov = self.parameters[i], float(self.values[i]), self.covariance
+        limit = q.lower if sign < 0 else q.upper
+        most = math.inf if limit is None else abs(limit - value)
+        shift = cov[:, i] / cov[i, i] * sign * sigma * math.sqrt(cov[i, i]) if cov[i, i] > 0 else 0
+        near = np.array([x if p.inside(x) else v for x, v, p in zip(self.values + shift, self.values, self.parameters, strict=True)])
+        return self._cross({i: float(sign)}, {i: value}, self.fval + self.errordef * sigma**2, sigma * q.error, most, near)
+
+    def minos_errors(self, keys: Sequence, sigma: float = 1.0) -> list[MinosError]:
+        """The errors of several parameters; all their sides go in step. nfcn counts the calls of all of them."""
+        self._need()
+        before = self.nfcn
+        at = [self.parameters.index(k) for k in keys]
+        found = self._walk([self._side(i, sign, sigma) for i in at for sign in (-1, 1)])
+        errors = []
+        for i, low, high in zip(at, found[::2], found[1::2], strict=True):
+            q = self.parameters[i]
+            (lo, lo_ok, lo_lim, lo_at, lo_new), (hi, hi_ok, hi_lim, hi_at, hi_new) = low, high
+            errors.append(
+                MinosError(
+                    q.name, float(self.values[i]), -lo if lo_ok else -q.error, hi if hi_ok else q.error, lo_ok, hi_ok, lo_lim, hi_lim, lo_new, hi_new,
+                    self.nfcn - before, tuple(map(float, lo_at)) if lo_ok else None, tuple(map(float, hi_at)) if hi_ok else None,
+                )
+            )
+        return errors
 
     def minos_error(self, key, sigma: float = 1.0) -> MinosError:
-        self._need()
-        i, before = self.parameters.index(key), self.nfcn
-        q, value = self.parameters[i], float(self.values[i])
-        cov = self.covariance
-        sides = {}
-        for sign, limit in ((-1, q.lower), (1, q.upper)):
-            most = math.inf if limit is None else abs(limit - value)
-            shift = cov[:, i] / cov[i, i] * sign * sigma * math.sqrt(cov[i, i]) if cov[i, i] > 0 else 0
-            near = np.array([x if p.inside(x) else v for x, v, p in zip(self.values + shift, self.values, self.parameters, strict=True)])
-            known = None if self.deeper is None else self._deeper_value
-            t, ok, at_limit, there = self._cross({i: float(sign)}, {i: value}, self.fval + self.errordef * sigma**2, sigma * q.error, most, near)
-            below = self.deeper is not None and (known is None or self._deeper_value < known)
-            sides[sign] = (sign * t if ok else sign * q.error, ok, at_limit, below, tuple(map(float, there)) if ok else None)
-        (lo, lo_ok, lo_lim, lo_new, lo_at), (hi, hi_ok, hi_lim, hi_new, hi_at) = sides[-1], sides[1]
-        return MinosError(q.name, value, lo, hi, lo_ok, hi_ok, lo_lim, hi_lim, lo_new, hi_new, self.nfcn - before, lo_at, hi_at)
+        return self.minos_errors([key], sigma)[0]
 
     def minos(self, *keys, sigma: float = 1.0) -> Fit:
-        for k in keys or [self.names[i] for i in self.parameters.free]:
-            e = self.minos_error(k, sigma)
+        for e in self.minos_errors(keys or [self.names[i] for i in self.parameters.free], sigma):
             self.merrors[e.name] = e
         return self
 
@@ -447,20 +505,25 @@ class Fit:
         return xs, f - np.nanmin(f) if subtract_min else f
 
     def mnprofile(self, key, bins: int = 30, bound=2.0, subtract_min: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The profile: at each point the other parameters are fitted anew, each from its neighbour."""
+        """The profile: at each point the other parameters are fitted anew."""
         xs, f, ok, _ = self.profile_states(key, bins, bound)
         return xs, f - np.nanmin(f) if subtract_min else f, ok
 
     def profile_states(self, key, bins: int = 30, bound=2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same with all parameters at each point."""
+        """The same with all parameters at each point. In step, points begin on the line of the covariance; else each begins at its neighbour."""
         i, xs = self.parameters.index(key), self._range(key, bound, bins)
-        near, f, ok, states = self.values, [], [], []
-        for x in xs:
-            v, near, good = self.conditional({i: float(x)}, near)
-            f.append(v)
-            ok.append(good)
-            states.append(near)
-        return xs, np.array(f), np.array(ok), np.array(states)
+        if self._together:
+            cov = self.covariance
+            lean = cov[:, i] / cov[i, i] if cov is not None and cov[i, i] > 0 else np.zeros(self.npar)
+            starts = self.values + np.outer(xs - self.values[i], lean)
+            inside = np.array([[p.inside(v) for p, v in zip(self.parameters, r, strict=True)] for r in starts]).reshape(starts.shape)
+            found = self._minima([self._held({i: float(x)}, near) for x, near in zip(xs, np.where(inside, starts, self.values), strict=True)])
+        else:
+            near, found = self.values, []
+            for x in xs:
+                found.append(self.conditional({i: float(x)}, near))
+                near = found[-1][1]
+        return xs, np.array([v for v, _, _ in found]), np.array([ok for _, _, ok in found]), np.array([x for _, x, _ in found])
 
     def contour_grid(self, a, b, size: int = 50, bound=2.0, subtract_min: bool = False, bounds: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A slice of the objective, one batch. bounds: a range for each of the two."""
@@ -501,10 +564,7 @@ class Fit:
         c, aim = self.covariance, self.fval + self.errordef * sigma**2
         scale = np.sqrt([c[i, i], c[j, j]])
         ring: list[np.ndarray] = []
-        for k, sign in ((i, 1), (j, 1), (i, -1), (j, -1)):
-            q, limit = self.parameters[k], self.parameters[k].upper if sign > 0 else self.parameters[k].lower
-            most = math.inf if limit is None else abs(limit - self.values[k])
-            t, ok, _, state = self._cross({k: float(sign)}, {k: float(self.values[k])}, aim, sigma * q.error, most)
+        for _, ok, _, state, _ in self._walk([self._side(k, sign, sigma) for k, sign in ((i, 1), (j, 1), (i, -1), (j, -1))]):
             if ok:
                 ring.append(state.copy())
         dead: set[tuple[int, int]] = set()
@@ -577,8 +637,8 @@ class Fit:
             if limit is not None and w:
                 most = min(most, abs((limit - self.values[i]) / w))
         scale = math.sqrt(sum((w / self.parameters[i].error) ** 2 for i, w in d.items()))
-        t, ok, at_limit, _ = self._cross(d, {i: float(self.values[i]) for i in d}, self.fval + self.errordef * sigma**2, sigma / scale, most)
-        return t, ok, at_limit
+        walk = self._cross(d, {i: float(self.values[i]) for i in d}, self.fval + self.errordef * sigma**2, sigma / scale, most)
+        return self._walk([walk])[0][:3]
 
     def mnmatrix(self, bins: int = 20, points: int = 12, cl: float = 0.68) -> dict:
         """What a matrix plot shows: a profile of each free parameter, a contour of each pair."""
@@ -592,7 +652,7 @@ class Fit:
     def contour(self, a, b, points: int = 20, sigma: float = 1.0) -> Contour:
         """contour_exact with the profile errors of both parameters."""
         before = self.nfcn
-        errors = [self.minos_error(k, sigma) for k in (a, b)]
+        errors = self.minos_errors([a, b], sigma)
         found = self.contour_exact(a, b, points, sigma)
         return Contour(errors[0].name, errors[1].name, tuple((float(x), float(y)) for x, y in found), *errors, self.nfcn - before)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodefit.functions.shared import cut, written
 from lodefit.functions.shipping import ship
 from lodefit.functions.skew import hot_keys, split_join
+from lodefit.operators import order_stats
 
 
 #: Rows of a mode that meet as many others in one join bucket.
@@ -20,11 +21,18 @@ MEDOID_ROWS = 1024
 
 
 def mad_scale(rows: DataFrame, value: Column, key: Sequence[str] = ()) -> DataFrame:
-    """n, median and 1.4826 times the median absolute deviation, for each key."""
+    """n, median and 1.4826 times the median absolute deviation, for each key; a null key is a key."""
     v = rows.select(*key, value.cast("double").alias("_v"))
-    m = v.groupBy(*key).agg(F.median("_v").alias("median"))
-    d = v.join(m, list(key)) if key else v.withColumn("median", F.lit(m.collect()[0]["median"]))
-    return d.groupBy(*key).agg(F.count("_v").alias("n"), F.first("median").alias("median"), (1.4826 * F.median(F.abs(F.col("_v") - F.col("median")))).alias("scale"))
+    m = order_stats.quantiles(v, F.col("_v"), [0.5], key).select("n", F.col("q")[0].alias("median"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)])
+    if not key:
+        middle = m.first()["median"]
+        d = order_stats.quantiles(v.select(F.abs(F.col("_v") - F.lit(middle).cast("double")).alias("_d")), F.col("_d"), [0.5])
+        return d.select("n", F.lit(middle).cast("double").alias("median"), (1.4826 * F.col("q")[0]).alias("scale"))
+    m = cut(m)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    away = v.join(m, same).select(*key, F.abs(F.col("_v") - F.col("median")).alias("_d"))
+    d = order_stats.quantiles(away, F.col("_d"), [0.5], key).select(*key, F.col("q")[0].alias("_q"))
+    return d.join(m, same).select(*key, "n", "median", (1.4826 * F.col("_q")).alias("scale"))
 
 
 def whitener(samples: DataFrame, how: str, covariance=None, errors=None) -> np.ndarray:

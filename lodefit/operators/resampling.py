@@ -1,8 +1,8 @@
 """Bootstrap and jackknife errors.
 
 Replicates differ by hashed weights of (seed, replicate, obs_id), so results don't
-depend on how rows are dealt. Closed forms are one aggregate for all replicates;
-other fits run in groups, one replicate each.
+depend on how rows are dealt. Closed forms are one aggregate for all replicates, fits
+of costs go in step over weighted sums; any other refit runs in groups, one replicate each.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodefit.functions.columns import SparkMath, normal, poisson1, uniform
 from lodefit.functions.shipping import ship
+from lodefit.operators import lockstep, order_stats
 from lodefit.operators.costs import Cost, LeastSquares, UnbinnedNLL
 from lodefit.operators.fit import Fit
 
@@ -75,32 +76,42 @@ def _refits(each: DataFrame, refit: Callable[[pd.DataFrame], Sequence[float]]) -
     return each.groupBy("rep").applyInPandas(run, "rep int, p array<double>, valid boolean")
 
 
+def _resampled(cost: Cost, vary: dict[str, Callable], keep: Sequence[str], start: Sequence[float], n: int, limits: dict | None) -> DataFrame:
+    """replicates(rep, p, valid) of fits in step, each with columns of its own: no replicate is gathered anywhere."""
+    pars = Fit(lambda p: 0.0, dict(zip(cost.names, map(float, start), strict=True)), limits=limits).parameters
+    fits = lockstep.descend(lockstep.varied_evaluate(cost, vary, keep), [pars] * n, cost.errordef)
+    rows = [(k, x.tolist() if ok else [], bool(ok)) for k, (x, ok) in enumerate(zip(fits.x, fits.valid, strict=True))]
+    return cost.rows.sparkSession.createDataFrame(rows, "rep int, p array<double>, valid boolean")
+
+
+def _points(cost: Cost) -> None:
+    if not isinstance(cost, (LeastSquares, UnbinnedNLL)) or not lockstep.has_derivatives(cost):
+        raise ValueError("only costs over points whose model stays in its math namespace can be resampled; bootstrap and jackknife take any refit")
+
+
 def bootstrap_cost(cost: Cost, obs_id: str, start: Sequence[float], n: int = 200, seed: int = 0, limits: dict | None = None, noise: bool = False) -> DataFrame:
-    """Replicates of a cost over rows that have obs_id. noise: y is drawn anew about the model at start.
+    """replicates(rep, p, valid) of a cost over rows that have obs_id. noise: y is drawn anew about the model at start.
 
-    Only sums over points can be resampled, and only least squares has errors to draw by.
+    A replicate is a set of parameters and of hashed weights: a step of all fits is
+    one aggregate of weights times terms, combined before any exchange, however many
+    rows there are. Only sums over points can be resampled, and only least squares
+    has errors to draw by. A fit that ends nowhere has no values, valid false.
     """
-    if not isinstance(cost, (LeastSquares, UnbinnedNLL)):
-        raise ValueError("binned costs and sums of costs have no points to resample")
+    _points(cost)
     if noise and not isinstance(cost, LeastSquares):
         raise ValueError("only least squares can be drawn from its model")
-    rows, names, errordef = cost.rows, cost.names, cost.errordef
-    plain = copy(cost)
-    plain.rows = None
-
-    def refit(pdf: pd.DataFrame) -> list[float]:
-        times = np.ones(len(pdf), int) if noise else pdf["w"].to_numpy(int)
-        batch = plain.on_arrays({c: np.repeat(pdf[c].to_numpy(float), times) for c in plain.columns})
-        f = Fit(batch, dict(zip(names, start, strict=True)), errordef=errordef, limits=limits, batched=True).migrad()
-        if not f.valid:
-            raise ValueError("no minimum")
-        return f.values.tolist()
-
     if not noise:
-        return bootstrap(rows.select(obs_id, *cost.columns), obs_id, refit, n, seed)
+        return _resampled(cost, {"weight": lambda k: poisson1(uniform(F.lit(seed), F.col(obs_id), k)).cast("double")}, [obs_id], start, n, limits)
     fitted = cost.model(F.col("x"), [F.lit(float(t)) for t in start], SparkMath)
-    drawn = parametric(rows.select(obs_id, *cost.columns), obs_id, fitted, F.col("err"), n, seed)
-    return _refits(drawn, refit)
+    return _resampled(cost, {"y": lambda k: fitted + F.col("err") * normal(F.lit(seed), F.col(obs_id), k)}, [obs_id, "x", "err"], start, n, limits)
+
+
+def jackknife_cost(cost: Cost, block: Column, blocks: int, start: Sequence[float], limits: dict | None = None) -> DataFrame:
+    """replicates(rep, p, valid) of a cost with each block of rows, numbered from 0, left out in turn; the fits go in step."""
+    _points(cost)
+    left = copy(cost)
+    left.rows = cost.rows.withColumn("_block", block.cast("int"))
+    return _resampled(left, {"weight": lambda k: (F.col("_block") != k).cast("double")}, ["_block"], start, blocks, limits)
 
 
 def jackknife(df: DataFrame, block: Column, blocks: int, refit: Callable[[pd.DataFrame], Sequence[float]]) -> DataFrame:
@@ -120,7 +131,8 @@ def summary(reps: DataFrame, names: Sequence[str], cl: float = 0.68, filter_inva
     """name, mean, std, lower, upper and n of each parameter over replicates(p, valid)."""
     rows = reps.where("valid") if filter_invalid else reps
     long = rows.select(F.posexplode("p").alias("k", "v")).where(~F.isnan("v") & (F.abs("v") != float("inf")))
-    out = long.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile("v", F.lit((1 - cl) / 2)).alias("lower"), F.percentile("v", F.lit((1 + cl) / 2)).alias("upper"), F.count("*").alias("n"))
+    q = order_stats.quantiles(long, F.col("v"), [(1 - cl) / 2, (1 + cl) / 2], ["k"]).select("k", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    out = long.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.count("*").alias("n")).join(q, "k")
     return out.select(F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("name"), "mean", "std", "lower", "upper", "n")
 
 

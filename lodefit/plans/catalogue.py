@@ -383,6 +383,82 @@ def bootstrap_mean(spark, sf):
     return r.agg(sig(F.avg("value"), 6).alias("mean"), sig(F.stddev_samp("value"), 5).alias("std"), sig(F.percentile("value", F.lit(0.16)), 6).alias("lower"), sig(F.percentile("value", F.lit(0.84)), 6).alias("upper"))
 
 
+# ---- exact derivatives and fits in step --------------------------------------------------
+
+#: A curve that isn't linear in its parameters: y = a exp(-b x), and where its derivatives are taken.
+MODEL_CURVE = lambda x, p, m: p[0] * m.exp(-p[1] * x)
+CURVE_A, CURVE_B = 20000.0, -0.02
+
+
+@query(f"""WITH d AS (SELECT (y - {CURVE_A} * e) / err AS d, -e / err AS da, {CURVE_A} * x * e / err AS db FROM (SELECT *, exp(-({CURVE_B}) * x) AS e FROM {LINE}))
+ SELECT {sig_sql('sum(d * d)')} AS chisq, {sig_sql('2 * sum(d * da)')} AS g_a, {sig_sql('2 * sum(d * db)')} AS g_b,
+ {sig_sql('2 * sum(da * da)')} AS c_aa, {sig_sql('2 * sum(da * db)')} AS c_ab, {sig_sql('2 * sum(db * db)')} AS c_bb FROM d""")
+def gradient_curve(spark, sf):
+    """Value, gradient and Gauss-Newton curvature of a non-linear least squares, from dual numbers, in one aggregate."""
+    f, g, c = costs.LeastSquares(_line(spark, sf), MODEL_CURVE, ["a", "b"]).derivatives([[CURVE_A, CURVE_B]])
+    row = (float(f[0]), float(g[0, 0]), float(g[0, 1]), float(c[0, 0, 0]), float(c[0, 0, 1]), float(c[0, 1, 1]))
+    return _round(spark.createDataFrame([row], "chisq double, g_a double, g_b double, c_aa double, c_ab double, c_bb double"), 9)
+
+
+_BIN_SLOPES = f"""{BINS}, s AS (SELECT n, p, hi * exp(-{RATE} * hi) - lo * exp(-{RATE} * lo) AS dp FROM (SELECT n, lo, hi, greatest((1 - exp(-{RATE} * hi)) - (1 - exp(-{RATE} * lo)), {TINY}) AS p FROM b)),
+ u AS (SELECT sum(1 / {RATE} - x) AS score, sum(pow(1 / {RATE} - x, 2)) AS square FROM {VALUES})"""
+
+
+@query(f"""WITH {_BIN_SLOPES}
+ SELECT 'binned' AS cost, {sig_sql('sum(n) * sum(dp) / sum(p) - sum(n * dp / p)', 7)} AS slope, {sig_sql('sum(n * pow(dp / p, 2)) - pow(sum(n * dp / p), 2) / sum(n)', 7)} AS curvature FROM s
+ UNION ALL SELECT 'extended binned', {sig_sql(f'sum({N0} * dp - n * dp / p)', 7)}, {sig_sql(f'sum({N0} * dp * dp / p)', 7)} FROM s
+ UNION ALL SELECT 'extended unbinned', {sig_sql('-score', 7)}, {sig_sql('square', 7)} FROM u
+ UNION ALL SELECT 'unbinned', {sig_sql('-score', 7)}, {sig_sql('square', 7)} FROM u""")
+def gradient_likelihoods(spark, sf):
+    """The derivative by the rate, and the curvature, of each kind of likelihood."""
+    v, h = _values(spark, sf), tables.histogram(_values(spark, sf), "x", 10.0)
+    kinds = {
+        "binned": (costs.BinnedNLL(h, CDF_EXP, ["rate"]), [RATE]),
+        "extended binned": (costs.ExtendedBinnedNLL(h, CDF_SCALED, ["rate", "n"]), [RATE, N0]),
+        "extended unbinned": (costs.ExtendedUnbinnedNLL(v, MODEL_DENSITY, lambda t: t[1], ["rate", "n"]), [RATE, N0]),
+        "unbinned": (costs.UnbinnedNLL(v, MODEL_EXP, ["rate"]), [RATE]),
+    }
+    found = {k: cost.derivatives([t]) for k, (cost, t) in kinds.items()}
+    rows = [(k, float(g[0, 0]), float(c[0, 0, 0])) for k, (_, g, c) in found.items()]
+    return _round(spark.createDataFrame(rows, "cost string, slope double, curvature double"), 7)
+
+
+@query(f"""WITH k AS (SELECT CAST(unnest(range(0, 9)) AS INT) AS k), e AS (SELECT k, y, err, exp(-(-0.024 + 0.002 * k) * x) AS e FROM {LINE}, k),
+ a AS (SELECT k, sum(y * e / err / err) / sum(e * e / err / err) AS a FROM e GROUP BY k)
+ SELECT k, {sig_sql('any_value(a)', 6)} AS a, {sig_sql('sum(pow((y - a * e) / err, 2))', 8)} AS chisq, true AS valid FROM e JOIN a USING (k) GROUP BY k""")
+def mnprofile_curve(spark, sf):
+    """A profile of a model that isn't linear: at nine decay rates the amplitude is fitted anew, all in step."""
+    fit = Fit(costs.LeastSquares(_line(spark, sf), MODEL_CURVE, ["a", "b"]), [CURVE_A, CURVE_B])
+    _, f, ok, states = fit.profile_states("b", 9, (-0.024, -0.008))
+    rows = [(k, float(x[0]), float(v), bool(o)) for k, (x, v, o) in enumerate(zip(states, f, ok, strict=True))]
+    d = spark.createDataFrame(rows, "k int, a double, chisq double, valid boolean")
+    return d.select("k", sig(F.col("a"), 6).alias("a"), sig(F.col("chisq"), 8).alias("chisq"), "valid")
+
+
+@query(f"WITH w AS (SELECT rep, x, ({poisson1_sql('u')})::DOUBLE AS w FROM {REPS}) SELECT CAST(rep AS INT) AS rep, {sig_sql('sum(w) / sum(w * x)', 6)} AS rate, true AS valid FROM w GROUP BY rep")
+def bootstrap_cost_exp(spark, sf):
+    """Twenty replicates of a likelihood, fitted in step over weighted sums."""
+    cost = costs.UnbinnedNLL(_values(spark, sf), MODEL_EXP, ["rate"])
+    found = resampling.bootstrap_cost(cost, "event_id", [0.015], 20, 7, limits={"rate": (1e-6, None)})
+    return found.select("rep", sig(F.col("p")[0], 6).alias("rate"), "valid")
+
+
+@query(f"""WITH b AS (SELECT CAST(event_id % 10 AS INT) AS rep, count(*) AS n, sum(x) AS s FROM {VALUES} GROUP BY 1)
+ SELECT rep, {sig_sql('(sum(n) OVER () - n) / (sum(s) OVER () - s)', 6)} AS rate, true AS valid FROM b""")
+def jackknife_cost_exp(spark, sf):
+    """The same likelihood with each of ten blocks left out, in step."""
+    cost = costs.UnbinnedNLL(_values(spark, sf), MODEL_EXP, ["rate"])
+    found = resampling.jackknife_cost(cost, F.col("event_id") % 10, 10, [0.015], {"rate": (1e-6, None)})
+    return found.select("rep", sig(F.col("p")[0], 6).alias("rate"), "valid")
+
+
+@query(f"SELECT event_type, {sig_sql('1 / avg(x)', 6)} AS rate, {sig_sql('1 / avg(x) / sqrt(count(*))', 4)} AS rate_err, true AS valid FROM {VALUES} GROUP BY 1")
+def lockstep_exp_by_type(spark, sf):
+    """Groups beyond a worker, here all of them: one aggregate by key for each step of all fits."""
+    found = fit_groups(_values(spark, sf), "event_type", lambda d: costs.UnbinnedNLL(d, MODEL_EXP, ["rate"]), [0.015], {"rate": (1e-6, None)}, most_rows=0)
+    return found.select("event_type", sig(F.col("values")[0], 6).alias("rate"), sig(F.col("errors")[0], 4).alias("rate_err"), "valid")
+
+
 CUST = "(SELECT c_custkey, c_nationkey::DOUBLE AS x, c_acctbal AS y FROM customer)"
 
 

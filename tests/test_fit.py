@@ -310,11 +310,13 @@ def test_restarts(spark):
     assert found[0][1][0] == pytest.approx(3.0, abs=1e-2) and found[0][0] <= found[1][0] <= found[2][0]
 
 
-def test_simplex_hops_between_passes():
-    """Where no gradient settles, a hop between the passes finds a valid fit, which the passes alone do not."""
+@pytest.mark.parametrize("start", [(6, -3), (6, -2.999999999), (5, -2), (4, 4), (-3, -3), (0, 8), (-5, 2)])
+def test_simplex_hops_between_passes(start):
+    """Where no gradient settles, as at a crease, a simplex closes in on the minimum from wherever it begins."""
     f = lambda p: abs(p[0] - 1) + 3 * abs(p[1] - 2) + abs(p[0] * p[1] - 2)
-    plain, hopped = (Fit(f, [6.0, -3.0], errors=[0.5, 0.5]).migrad(hops=h) for h in (False, True))
-    assert hopped.valid and not plain.valid and hopped.fval < 1e-3
+    plain, hopped = (Fit(f, list(map(float, start)), errors=[0.5, 0.5]).migrad(hops=h) for h in (False, True))
+    assert hopped.valid and hopped.fval < 1e-3 and hopped.values == pytest.approx([1, 2], abs=1e-3)
+    assert plain.valid or hopped.fval <= plain.fval
 
 
 def test_html_and_records():
