@@ -246,26 +246,29 @@ def _distinct(kind: Column) -> Column:
     return F.concat(F.array_join(F.array_distinct(_ids(kind, 0)), ","), F.lit("|"), F.array_join(F.array_distinct(_ids(kind, 1)), ","))
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """aligned(kinds) -> pair (`a|b`), n: the rows that hold it linked, best: the largest n of its A id.
+def kind_counts(aligned: DataFrame) -> DataFrame:
+    """aligned(kinds) -> kind, n: the rows that hold it; counts combine before they are exchanged."""
+    return written(aligned.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n")))
 
-    A group of one token on either side is its own pair. A row's pairs are distinct
-    before they are counted, and counts combine before they are exchanged.
+
+def pair_counts(aligned: DataFrame, kinds: DataFrame) -> DataFrame:
+    """aligned(kinds), kinds from kind_counts -> pair (`a|b`), n: the rows that hold it linked, best: the largest n of its A id.
+
+    A group of one token on either side is its own pair. Pairs from larger groups
+    count where the row doesn't hold them so, each once; counts combine before they are exchanged.
     """
     several = lambda k: F.contains(k, F.lit(","))
-    # the text of what has several tokens becomes pairs, and the rest are pairs as they are; one cut serves both
+    # the text of what has several tokens becomes pairs, and one cut serves all of a row
     made = F.transform(F.filter("kinds", several), lambda k: _pairs(F.when(F.length(k) > LONG_KIND, _distinct(k)).otherwise(k)))
     pairs = F.array_except(F.split(F.array_join(made, ","), ","), F.col("kinds"))
-    single = aligned.select(F.explode("kinds").alias("pair")).where(~several(F.col("pair")))
-    other = aligned.select(F.explode(pairs).alias("pair")).where("pair <> ''")
-    counted = single.groupBy("pair").agg(F.count("*").alias("n")).unionByName(other.groupBy("pair").agg(F.count("*").alias("n")))
-    counts = written(counted.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.substring_index("pair", "|", 1)))
+    other = aligned.select(F.explode(pairs).alias("pair")).where("pair <> ''").groupBy("pair").agg(F.count("*").alias("n"))
+    single = kinds.where(~several(F.col("kind"))).select(F.col("kind").alias("pair"), "n")
+    counts = written(single.unionByName(other).groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.substring_index("pair", "|", 1)))
     return counts.join(counts.groupBy("a").agg(F.max("n").alias("best")), "a").select("pair", "n", "best")
 
 
-def kind_links(aligned: DataFrame, counts: DataFrame) -> DataFrame:
-    """aligned(kinds), counts -> kind, links, best_links, links_sum: of all pairs of occurrences in one group of this kind."""
-    kinds = aligned.select(F.explode("kinds").alias("kind")).distinct()
+def kind_links(kinds: DataFrame, counts: DataFrame) -> DataFrame:
+    """kinds from kind_counts, counts from pair_counts -> kind, links, best_links, links_sum: of all pairs of occurrences in one group of this kind."""
     times = lambda ids, x: F.aggregate(ids, F.lit(0).cast("long"), lambda n, y: n + (y == x).cast("long"))
     sides = kinds.select("kind", _ids(F.col("kind"), 0).alias("a"), _ids(F.col("kind"), 1).alias("b")).withColumns({"da": F.array_distinct("a"), "db": F.array_distinct("b")})
     spots = sides.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("da")))).withColumn("x", F.element_at("da", F.col("i")))
@@ -299,8 +302,8 @@ def alignment(docs: DataFrame, files: Files) -> DataFrame:
     corpus has few, and not by occurrence. The groups themselves are those of align.
     """
     aligned = written(align(tokenise(docs, files)).withColumn("row", F.monotonically_increasing_id()), "zstd")
-    counts = pair_counts(aligned)
-    kinds = written(kind_links(aligned, counts))
+    kinds = kind_counts(aligned)
+    kinds = written(kind_links(kinds, pair_counts(aligned, kinds)))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return aligned.drop("groups", "kinds").join(link_sums(aligned, kinds), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
 
