@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Callable, Generator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from lodefit.functions.special import delta_chisq, p_value
@@ -93,7 +95,7 @@ class Fit:
     collected rows), or a function of one parameter set.
     """
 
-    def __init__(self, objective, start: Sequence[float] | dict[str, float] | Parameters, names: Sequence[str] | None = None, errordef: float | None = None, errors=None, limits=None, fixed=(), strategy: int = 1, tol: float = 0.1, local: bool = False, gradient: Callable | None = None, batched: bool = False):
+    def __init__(self, objective, start: Sequence[float] | dict[str, float] | Parameters, names: Sequence[str] | None = None, errordef: float | None = None, errors=None, limits=None, fixed=(), strategy: int = 1, tol: float = 0.1, local: bool = False, gradient: Callable | None = None, batched: bool = False, check_gradient: bool = True):
         is_cost = hasattr(objective, "evaluate")
         names = names or (objective.names if is_cost else None)
         if isinstance(start, Parameters):
@@ -112,7 +114,7 @@ class Fit:
         self.cost = objective
         self.errordef = errordef if errordef is not None else getattr(objective, "errordef", 1.0)
         self.objective = Objective(batch, self.errordef)
-        self.user_gradient = gradient
+        self.user_gradient, self.check_gradient = gradient, check_gradient
         self.start, self.parameters = pars, pars
         self.strategy, self.tol, self.precision = Strategy(strategy), tol, MachinePrecision()
         self.minimum: Minimum | None = None
@@ -251,6 +253,8 @@ class Fit:
         which needs no gradient, closes in on a place that is no worse, that is the result, with its extent for errors."""
         best = None
         pars = self.parameters
+        if self.user_gradient is not None and self.check_gradient:
+            self._check_gradient()
         prior = self._internal.inverse if warm and self._internal is not None else None
         if prior_covariance is not None:
             slopes = pars.slopes(pars.initial_internal(self.precision))
@@ -285,6 +289,31 @@ class Fit:
         self._accept(*best)
         return self
 
+    def _check_gradient(self) -> None:
+        """Warn if the user's gradient isn't that of the objective at the start, by central differences of a hundredth of the errors."""
+        x, free = self.values, self.parameters.free
+        h = np.array([0.01 * self.parameters[i].error for i in free])
+        rows = np.repeat(x[None], 2 * len(free), 0)
+        rows[np.arange(len(free)), free] += h
+        rows[len(free) + np.arange(len(free)), free] -= h
+        f = self.objective(np.vstack([rows, x[None]]))
+        up, down, here = f[: len(free)], f[len(free) : -1], f[-1]
+        want, bend = (up - down) / (2 * h), np.abs(up + down - 2 * here) / h
+        got = np.asarray(self.user_gradient(x), float)[free]
+        off = np.abs(got - want) > 0.05 * (np.abs(want) + bend)
+        if off.any():
+            said = ", ".join(f"{self.names[i]}: {g:.4g}, differences {w:.4g}" for i, g, w, o in zip(free, got, want, off, strict=True) if o)
+            warnings.warn(f"the gradient given disagrees with the objective at the start ({said})", stacklevel=3)
+
+    def trace(self, level: int = 1) -> pd.DataFrame:
+        """The steps of the last minimization as a table. Level 0 has none; 1: step, fval, edm, dcovar, nfcn;
+        2: what each step was, too; 3: the inner coordinates and the gradient there, too."""
+        if level not in (0, 1, 2, 3):
+            raise ValueError("a level is 0, 1, 2 or 3")
+        names = ["step", "fval", "edm", "dcovar", "nfcn", *(["event"] if level > 1 else []), *(["x", "gradient"] if level > 2 else [])]
+        steps = self._internal.trace if level and self._internal is not None else []
+        return pd.DataFrame([[k if n == "step" else getattr(s, n) for n in names] for k, s in enumerate(steps)], columns=names)
+
     def simplex(self, maxfcn: int | None = None) -> Fit:
         p = self.parameters
         self._accept(minimize.simplex(self._inner(p), p.initial_internal(), p.initial_internal_errors(), self.tol, maxfcn), p)

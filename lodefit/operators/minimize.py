@@ -85,6 +85,19 @@ class Minimum:
         return not (self.reached_call_limit or self.above_max_edm or self.nonfinite_fval or self.hesse_failed or self.invert_failed)
 
 
+@dataclass(frozen=True)
+class Step:
+    """What a minimizer saw at one place: what it did to get there, and the state after it."""
+
+    event: str
+    fval: float
+    edm: float
+    dcovar: float
+    nfcn: int
+    x: np.ndarray
+    gradient: np.ndarray
+
+
 #: Batches hold sets that a step-by-step search wouldn't try; they count towards the budget.
 SPECULATION = 4
 
@@ -299,7 +312,11 @@ def migrad(f: Objective, x0, steps, strategy: Strategy = Strategy(), tol: float
         dcovar = 0.0
     goal = max(0.002 * tol * up, precision.eps2 * up * 0.002)
     edm, stuck, known = 0.5 * float(g @ v @ g), 0, strategy.level == 2
-    out.trace.append((fx, edm))
+
+    def note(event: str) -> None:
+        out.trace.append(Step(event, fx, edm, dcovar, f.nfcn - start, x.copy(), g.copy()))
+
+    note("seed")
     while f.nfcn < budget:
         if edm * (1 + 3 * dcovar) <= goal and edm >= 0:
             if known or strategy.level == 0 or (strategy.level == 1 and dcovar <= 0.05):
@@ -307,6 +324,7 @@ def migrad(f: Objective, x0, steps, strategy: Strategy = Strategy(), tol: float
             v, status, g_h = hesse(f, x, errors=np.sqrt(2 * up * np.clip(np.diag(v), 1e-300, None)), strategy=strategy, precision=precision, fx=fx)
             known, dcovar = True, 0.0
             edm = 0.5 * float(g @ v @ g)
+            note("hessian")
             if edm <= goal or status == HESSE_FAILED:
                 break
         step = -v @ g
@@ -326,6 +344,7 @@ def migrad(f: Objective, x0, steps, strategy: Strategy = Strategy(), tol: float
             v, status, g = hesse(f, x, errors=np.sqrt(2 * up * np.clip(np.diag(v), 1e-300, None)), strategy=strategy, precision=precision, fx=fx)
             g, g2, _ = gradient(f, x, fx, np.maximum(np.diag(np.linalg.pinv(v)), 1e-300), strategy, precision)
             known, dcovar, edm = True, 0.0, 0.5 * float(g @ v @ g)
+            note("hessian, no step helped")
             continue
         known, stuck = False, 0
         new = x + s * step
@@ -341,10 +360,11 @@ def migrad(f: Objective, x0, steps, strategy: Strategy = Strategy(), tol: float
             v = v + change
             dcovar = 0.5 * (dcovar + np.abs(change).sum() / max(np.abs(v).sum(), 1e-300))
         x, fx, g = new, value, g_new
-        if not is_posdef_enough(v, precision):
+        sound = is_posdef_enough(v, precision)
+        if not sound:
             v, _ = make_posdef(v, precision)
         edm = 0.5 * float(g @ v @ g)
-        out.trace.append((fx, edm))
+        note("step" if sound else "step, made positive definite")
     limit = f.nfcn >= budget and edm > goal
     return replace(out, x=x, fval=fx, edm=edm, inverse=v, gradient=g, dcovar=dcovar, status=status, nfcn=f.nfcn - start, reached_call_limit=limit, above_max_edm=bool(edm > 10 * goal), n_nonfinite=f.n_nonfinite - start_bad)
 

@@ -162,7 +162,9 @@ def nearest(rows: DataFrame, radius: float, widen: bool = True, dims: int = 2) -
 def nearest_distance(rows: DataFrame, radius: float, widen: bool = True) -> DataFrame:
     """median and q90 of the distance to the nearest neighbour, whatever it is; radius is that of the first grid.
     Without widen, of rows that have a neighbour within radius."""
-    return nearest(rows, radius, widen).agg(F.count("*").alias("n"), F.median("d").alias("median"), F.percentile("d", F.lit(0.9)).alias("q90"))
+    d = cut(nearest(rows, radius, widen))
+    q = order_stats.quantiles(d, F.col("d"), [0.5, 0.9]).first()["q"] or [None, None]
+    return d.agg(F.count("*").alias("n"), F.lit(q[0]).cast("double").alias("median"), F.lit(q[1]).cast("double").alias("q90"))
 
 
 def modes(samples: DataFrame, labels: DataFrame, fmin: float | None = None) -> DataFrame:
@@ -195,10 +197,22 @@ def medoids(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def find_solution_modes(samples: DataFrame, errors, covariance=None, radius: float = 1.0, min_size: int = 5, how: str = "auto", fmin: float | None = None, method: str = "linkage", refit: Callable | None = None) -> DataFrame:
-    """From samples(id, p, fval) to modes; refit(p) -> (p, fval) polishes each representative, one task each."""
+    """From samples(id, p, fval) to modes; refit(p) -> (p, fval) polishes each representative, one task each.
+
+    Without fval a mode is represented by its medoid in whitened coordinates, modes
+    come by size, and fval and delta_fval are null.
+    """
+    valued = "fval" in samples.columns
     z = cut(whiten(samples, whitener(samples, how, covariance, errors)).select("id", "z"))
     labels = dbscan(z, radius, min_size, min_size) if method == "dbscan" else single_linkage(z, radius, min_size)
-    found = modes(samples, labels, fmin)
+    if valued:
+        found = modes(samples, labels, fmin)
+    else:
+        labels = cut(labels)
+        middle = medoids(z, labels).join(samples.select("id", "p"), "id").select("mode", F.col("p").alias("_medoid"))
+        none = F.lit(None).cast("double")
+        found = modes(samples.withColumn("fval", none), labels, 0.0).drop("representative").join(middle, "mode").withColumnRenamed("_medoid", "representative")
+        found = found.select("mode", "representative", "fval", none.alias("delta_fval"), "ranges", "n_points", "fraction").orderBy(F.desc("n_points"), "mode")
     if refit is None:
         return found
 

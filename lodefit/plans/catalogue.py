@@ -221,9 +221,8 @@ SCAN = f"SELECT CAST(k AS INT) AS k, 0.005 + k * 0.001 AS rate, count(*) * -ln(0
 
 def _scan(spark, sf):
     cost = costs.UnbinnedNLL(_values(spark, sf), MODEL_EXP, ["rate"])
-    rates = [0.005 + k * 0.001 for k in range(41)]
-    found = cost.evaluate(np.array(rates)[:, None])
-    return spark.createDataFrame([(k, r, float(v)) for k, (r, v) in enumerate(zip(rates, found, strict=True))], "k int, rate double, nll double")
+    found = Fit(cost, {"rate": RATE}).scan("rate", 41, 0.005, 0.045)[1:]  # the centre comes first
+    return spark.createDataFrame([(k, float(r), float(v)) for k, (r, v) in enumerate(found)], "k int, rate double, nll double")
 
 
 @query(f"SELECT k, {sig_sql('rate', 9)} AS rate, {sig_sql('nll', 9)} AS nll FROM ({SCAN})")

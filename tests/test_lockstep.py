@@ -1,6 +1,7 @@
 """Dual numbers, derivatives of costs, and many fits in step."""
 
 import math
+import warnings
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodefit.functions.columns import SparkMath
 from lodefit.functions.dual import Dual, DualMath, plain
-from lodefit.operators import lockstep, resampling
+from lodefit.operators import lockstep, modes, resampling
 from lodefit.operators.costs import BinnedNLL, Cost, ExtendedBinnedNLL, ExtendedUnbinnedNLL, LeastSquares, LinearLeastSquares, UnbinnedNLL
 from lodefit.operators.fit import Fit
 from lodefit.operators.groups import fit_groups
@@ -201,3 +202,28 @@ def test_models_beyond_their_namespace(spark):
     odd = LeastSquares(rows, lambda x, p, m: F.exp(x) * p[0], ["a"])
     assert not lockstep.has_derivatives(odd) and not lockstep.has_derivatives(object()) and issubclass(Counting, Cost)
     assert Fit(odd, [1.0]).mnprofile("a", 3)[2].all()  # one after another
+
+
+def test_gradients_are_checked_at_the_start():
+    f = lambda p: (p[0] - 1) ** 2 + 3 * (p[1] + 2) ** 2
+    right, wrong = lambda p: [2 * (p[0] - 1), 6 * (p[1] + 2)], lambda p: [2 * (p[0] - 1), -6 * (p[1] + 2)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        fit = Fit(f, {"a": 0.0, "b": 0.0}, gradient=right).migrad()
+        Fit(f, {"a": 0.0, "b": 0.0}, gradient=wrong, check_gradient=False).migrad()
+    with pytest.warns(UserWarning, match="b: -12, differences 12"):
+        Fit(f, {"a": 0.0, "b": 0.0}, gradient=wrong).migrad()
+    table = fit.trace(3)
+    assert list(table.columns) == ["step", "fval", "edm", "dcovar", "nfcn", "event", "x", "gradient"] and table["event"][0] == "seed"
+    assert table["fval"].is_monotonic_decreasing and table["nfcn"].is_monotonic_increasing and table["fval"].iloc[-1] == pytest.approx(fit.fval)
+    assert list(fit.trace().columns) == ["step", "fval", "edm", "dcovar", "nfcn"] and len(fit.trace(0)) == 0
+
+
+def test_modes_without_values(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=2) * 0.1 + (5 if i < 40 else 0)]) for i in range(60)]
+    found = modes.find_solution_modes(spark.createDataFrame(rows, "id long, p array<double>"), [1.0, 1.0], radius=1.0).collect()
+    assert [r["n_points"] for r in found] == [40, 20] and all(r["fval"] is None for r in found)
+    for r, own in zip(found, (range(40), range(40, 60)), strict=True):
+        z = np.array([rows[i][1] for i in own])
+        assert r["representative"] == rows[own[0] + int(np.sqrt(((z[:, None] - z) ** 2).sum(2)).sum(1).argmin())][1]
