@@ -214,9 +214,11 @@ def crowds(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def star_links(held: DataFrame, settings: Settings) -> DataFrame:
-    """a, b: links between the members of each crowd and a few of them, chosen by hash: one row for each member.
+    """a, b: what joins the members of each crowd to a few of them, chosen by hash: about one row for each member.
 
-    held(rep, crowd, fps, shingles); every link is verified on the shingles.
+    held(rep, crowd, fps, shingles); every link is verified on the shingles. A member
+    that links to several of the few goes to one of them, and those are joined
+    once for all members that link to the same.
     """
     chosen = [F.struct(F.xxhash64("rep", "crowd", F.lit(i)).alias("h"), F.col("rep").alias("lead")) for i in range(settings.leaders)]
     first = held.groupBy("crowd").agg(F.array(*[F.min(c) for c in chosen]).alias("all"))
@@ -227,7 +229,9 @@ def star_links(held: DataFrame, settings: Settings) -> DataFrame:
     near = lambda f: bits(f) <= settings.radius(BITS * settings.words, 3.0)
     alike = lambda f: F.when((f["rep"] != F.col("rep")) & near(f), common(f) >= F.lit(settings.similarity) * (F.size("shingles") + F.size(f["shingles"]) - common(f))).otherwise(F.lit(False))
     met = split_join(held, cut(lead), "crowd", ["rep"])
-    return cut(met.select(F.col("rep").alias("a"), F.explode(F.transform(F.filter("leads", alike), lambda f: f["rep"])).alias("b")))
+    found = cut(met.select("rep", F.array_sort(F.transform(F.filter("leads", alike), lambda f: f["rep"])).alias("to")).where(F.size("to") > 0))
+    joined = found.where(F.size("to") > 1).select("to").distinct().select(F.col("to")[0].alias("a"), F.explode(F.expr("slice(to, 2, size(to) - 1)")).alias("b"))
+    return found.select(F.col("rep").alias("a"), F.col("to")[0].alias("b")).unionByName(joined)
 
 
 def dealt(inside: DataFrame, linked: DataFrame, settings: Settings) -> DataFrame:
