@@ -1,11 +1,16 @@
 """Cross-tokenizer alignment: groups of the tokens of two tokenizers that cover the same bytes, and the links within them.
 
-Python makes the tokens of a text; all that follows is Spark's functions of
+Python makes the tokens of texts; all that follows is Spark's functions of
 arrays. The byte offsets where tokens of both sides end cut a text into groups.
 A token is one number, its end above its id, and an end is the number of a token
-there with the largest id. So sorting the tokens of a side together with the ends
-that both sides share puts a mark behind the last token of each group, and the
-groups can be read off.
+there with a larger id than any. So sorting the tokens of a side together with the
+ends that both sides share puts a mark behind the last token of each group, and
+the groups can be read off.
+
+No token goes on over the end of a chunk, a word with the space before it, so a
+chunk's groups are the same wherever it stands. A block of texts therefore holds
+its distinct chunks once, one after another like one text, and each text as their
+places; groups, pairs and links are made of the chunks and put together by place.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, compress
 
@@ -32,14 +37,15 @@ from lodefit.functions.skew import split_join
 from lodefit.llm.bpe import byte_letters
 from lodefit.llm.common import FEW, give_back, kept, small_batches, table, texts
 
-#: Bits of a packed token that hold its id; all ones mark the end of a group.
+#: Bits of a packed token that hold its id; the two largest ids mark the end of a chunk and that of a group.
 ID_BITS = 20
 MARK = (1 << ID_BITS) - 1
+GROUP = MARK - 1
 #: Chunks a worker keeps, and the longest one that is worth keeping.
 KEPT_CHUNKS = 400_000
 KEPT_CHARS = 48
-#: Tokens of one batch that a worker hands on.
-OUT_TOKENS = 1 << 20
+#: Chunks of the texts of a block, and tokens of its distinct ones, at most; but a text isn't divided.
+BLOCK = 1 << 18
 #: Characters of a group from which on its ids are made distinct before they are paired.
 LONG_KIND = 200
 #: Bytes of the groups that are broadcast with what is known of them, at most.
@@ -106,7 +112,7 @@ class Sides:
         self.space = [self.pieces.piece_to_id("▁")]
         self.b_raw = [bytes([int(n[3:5], 16)]) if self.pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.b_bytes = np.array([len(r) for r in self.b_raw], np.int64)
-        if max(len(self.a_bytes), len(names)) >= MARK:
+        if max(len(self.a_bytes), len(names)) >= GROUP:
             raise ValueError("too many ids")
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
@@ -155,80 +161,157 @@ class Sides:
             yield (a_ids[i:i_to], b_ids[j:j_to]) if a_raw[x:x_to] == raw == b_raw[y:y_to] else (_BROKEN, b"")
             i, j, x, y = i_to, j_to, x_to, y_to
 
-    def tokens(self, rows: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(ends, tokens) of A and of B of each text, packed; empty if it is null, empty or doesn't come out the same."""
+    def cut(self, rows: list[str | None]) -> list[list[str]]:
+        """The chunks of each text, all of them known from then on until forget is called."""
         cut = [_CHUNK.findall(" " + t) if t else [] for t in rows]
-        used = set().union(*cut)
+        used = dict.fromkeys(chain.from_iterable(cut))
         new = [c for c in used if c not in self.known]
         if len(self.known) + len(new) > KEPT_CHUNKS:
             self.known.clear()
             new = list(used)
         if new:
             self.known.update(zip(new, self.learn(new), strict=True))
-        for chunks in cut:
-            found = list(map(self.known.__getitem__, chunks))
-            a, b = (np.frombuffer(b"".join([f[k] for f in found]), np.int32) for k in (0, 1))
-            if len(a) and a.min() < 0:
-                a = b = a[:0]
-            a_ends, b_ends = np.cumsum(self.a_bytes[a]) << ID_BITS, np.cumsum(self.b_bytes[b]) << ID_BITS
-            yield a_ends | MARK, a_ends | a, b_ends | MARK, b_ends | b
+        self.long = [c for c in new if len(c) > KEPT_CHARS]
+        return cut
+
+    def forget(self) -> None:
+        """Long chunks aren't worth keeping."""
+        for c in self.long:
+            del self.known[c]
+
+    def whole(self, chunks: Iterable[str]) -> bool:
+        """Whether the bytes of all these known chunks come out the same."""
+        return all(self.known[c][0] != _BROKEN for c in chunks)
+
+    def packed(self, ids: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, tokens) of A and of B, packed, of ids one after another."""
+        a, b = (np.frombuffer(x, np.int32) for x in ids)
+        a_ends, b_ends = np.cumsum(self.a_bytes[a]) << ID_BITS, np.cumsum(self.b_bytes[b]) << ID_BITS
+        return a_ends | GROUP, a_ends | a, b_ends | GROUP, b_ends | b
+
+    def tokens(self, rows: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """packed of each text; empty if it is null, empty or doesn't come out the same."""
+        for chunks in self.cut(rows):
+            found = [self.known[c] for c in chunks] if self.whole(chunks) else []
+            yield self.packed((b"".join(a for a, _ in found), b"".join(b for _, b in found)))
+        self.forget()
+
+
+class Block:
+    """Texts as places of their chunks among the distinct ones, from 1."""
+
+    def __init__(self, sides: Sides):
+        self.sides, self.size = sides, 0
+        self.place: dict[str, int] = {}
+        self.ids: tuple[list[bytes], list[bytes]] = ([], [])
+        self.docs: list[tuple[int | None, np.ndarray]] = []
+
+    def add(self, doc_id: int | None, chunks: list[str]) -> None:
+        new = [c for c in dict.fromkeys(chunks) if c not in self.place]
+        if not self.sides.whole(new):
+            chunks = new = []
         for c in new:
-            if len(c) > KEPT_CHARS:
-                del self.known[c]
+            a, b = self.sides.known[c]
+            self.place[c] = len(self.place) + 1
+            self.ids[0].append(a)
+            self.ids[1].append(b)
+            self.size += (len(a) + len(b)) // 4
+        self.docs.append((doc_id, np.fromiter(map(self.place.__getitem__, chunks), np.int32, len(chunks))))
+        self.size += len(chunks) + 1
+
+    def row(self) -> pa.RecordBatch:
+        n = [np.array([0, *map(len, side)], np.int64) // 4 for side in self.ids]
+        packed = self.sides.packed((b"".join(self.ids[0]), b"".join(self.ids[1])))
+        stops = packed[0][np.cumsum(n[0][1:]) - 1] | MARK
+        order = np.concatenate([o for _, o in self.docs])
+        to = np.cumsum([0, *(len(o) for _, o in self.docs)])
+        counts = [pa.array(np.diff(np.concatenate([[0], np.cumsum(k[order])])[to])) for k in n]
+        fields = [pa.array([i for i, _ in self.docs], pa.int64()), *counts, pa.ListArray.from_arrays(to.astype(np.int32), pa.array(order))]
+        docs = pa.StructArray.from_arrays(fields, ["doc_id", "n_a", "n_b", "places"])
+        one = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x)
+        return pa.RecordBatch.from_arrays([*(one(pa.array(x)) for x in (*packed, stops)), one(docs)], list(_BLOCKS.names))
 
 
 _NUMBERS = T.ArrayType(T.LongType(), False)
-_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, k, False) for n, k in (("a_ends", _NUMBERS), ("a", _NUMBERS), ("b_ends", _NUMBERS), ("b", _NUMBERS))]])
+_DOCS = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))]))
+_BLOCKS = T.StructType([*(T.StructField(n, _NUMBERS, False) for n in ("a_ends", "a", "b_ends", "b", "stops")), T.StructField("docs", _DOCS, False)])
 
 
 def tokenise(docs: DataFrame, files: Files) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, a_ends, a, b_ends, b: where the tokens of a text end, in bytes above a mark, and the tokens themselves, each its end above its id."""
-    small_batches(docs.sparkSession)
+    """docs(doc_id, text) -> blocks of texts.
 
-    def lists(rows: list[np.ndarray]) -> pa.Array:
-        flat = np.concatenate(rows)
-        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(flat))
-
-    def batch(ids: pa.Array, found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, *(lists([f[k] for f in found]) for k in range(4))], ["doc_id", "a_ends", "a", "b_ends", "b"])
+    a_ends, a, b_ends, b: where the tokens of its distinct chunks, one after another,
+    end, in bytes above a mark, and the tokens themselves, each its end above its id;
+    stops: where the chunks end; docs(doc_id, n_a, n_b, places): each text's numbers of
+    tokens and the places of its chunks, from 1.
+    """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = kept(("alignment", files), lambda: Sides(files))
+        block = Block(sides)
         for b in batches:
-            found, at, n = [], 0, 0
+            ids = b.column(0).to_pylist()
             for some in range(0, b.num_rows, 64):
-                for row in sides.tokens(texts(b.slice(some, 64), "text")):
-                    found.append(row)
-                    n += len(row[0]) + len(row[2])
-                    if n > OUT_TOKENS:
-                        yield batch(b.column(0)[at : at + len(found)], found)
-                        at, found, n = at + len(found), [], 0
-            if found:
-                yield batch(b.column(0)[at:], found)
+                for doc_id, chunks in zip(ids[some : some + 64], sides.cut(texts(b.slice(some, 64), "text")), strict=True):
+                    if block.docs and block.size + len(chunks) > BLOCK:
+                        yield block.row()
+                        block = Block(sides)
+                    block.add(doc_id, chunks)
+                sides.forget()
+        if block.docs:
+            yield block.row()
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BLOCKS)
+
+
+def _lists(tokens: str, *marks: str) -> Column:
+    """A side's ids by group, each group's joined by commas: tokens and marks sorted, the last marks left out, cut at the others.
+
+    Where marks have the ends of chunks too, a chunk's first group has a slash before it, but for the first chunk.
+    """
+    ids = F.transform(F.slice(tokens, 1, F.size(tokens) - len(marks)), lambda x: x.bitwiseAND(F.lit(MARK)))
+    text = F.array_join(ids.cast("array<string>"), ",")
+    if len(marks) > 1:
+        text = F.replace(text, F.lit(f",{GROUP},{MARK},"), F.lit(";/"))
+    return F.split(F.replace(text, F.lit(f",{GROUP},"), F.lit(";")), ";")
 
 
-def _lists(tokens: str) -> Column:
-    """A side's ids by group, each group's joined by commas: tokens and shared ends sorted, the last end left out, cut at the others."""
-    sorted_ = F.sort_array(F.concat(tokens, "ends"))
-    ids = F.transform(F.slice(sorted_, 1, F.size(tokens) + F.size("ends") - 1), lambda x: x.bitwiseAND(F.lit(MARK)))
-    return F.split(F.replace(F.array_join(ids.cast("array<string>"), ","), F.lit(f",{MARK},"), F.lit(";")), ";")
+def chunks_of(blocks: DataFrame) -> DataFrame:
+    """tokenise's rows -> block, docs, parts(groups, n, pairs), one for each distinct chunk: `ids of A|ids of B` of a chunk's groups joined by semicolons, how many, and their pairs joined by commas."""
+    marks = ("ends", "stops")
+    found = blocks.withColumns({"ends": F.array_intersect("a_ends", "b_ends"), "block": F.monotonically_increasing_id()})
+    # sorted in columns of their own, used more than once, so that they are made by compiled code
+    found = found.withColumns({"a": F.sort_array(F.concat("a", *marks)), "b": F.sort_array(F.concat("b", "ends"))})
+    groups = F.zip_with(_lists("a", *marks), _lists("b", "ends"), lambda x, y: F.concat(x, F.lit("|"), y))
+    each = F.when(F.size("a") > 0, F.split(F.array_join(groups, ";"), ";/")).otherwise(F.array().cast("array<string>"))
+    one = lambda t: F.struct(t.alias("groups"), (F.length(t) - F.length(F.replace(t, F.lit(";"))) + 1).alias("n"), _chunk_pairs(t).alias("pairs"))
+    return found.select("block", "docs", F.transform(each, one).alias("parts"))
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """tokenise's rows -> doc_id, n_a, n_b, n_groups, groups, groups_sha256, kinds.
+def align(blocks: DataFrame) -> DataFrame:
+    """tokenise's rows -> block, chunks (the groups of each distinct one), pairs (of each text, those of its distinct chunks) and docs(doc_id, n_a, n_b, n_groups, groups_sha256, places).
 
-    groups has `ids of A|ids of B` of each group in order, kinds the distinct ones;
-    the digest is that of all groups joined by semicolons, and empty without any.
+    The digest is that of all groups joined by semicolons, and empty without any.
     """
-    some = F.size("ends") > 0
-    groups = F.when(some, F.zip_with(_lists("a"), _lists("b"), lambda x, y: F.concat(x, F.lit("|"), y))).otherwise(F.array().cast("array<string>"))
-    counts = [F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("ends", "n_groups"))]
-    found = tokens.withColumn("ends", F.array_intersect("a_ends", "b_ends")).select("doc_id", *counts, groups.alias("groups"))
-    digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "groups", digest.alias("groups_sha256"), F.array_distinct("groups").alias("kinds"))
+    at = lambda i: F.element_at("parts", i)
+    n_groups = lambda d: F.aggregate(d["places"], F.lit(0).cast("long"), lambda n, i: n + at(i)["n"])
+    digest = lambda d: F.when(F.size(d["places"]) > 0, F.sha2(whole_groups(d), 256)).otherwise("")
+    row = lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n_groups(d).alias("n_groups"), digest(d).alias("groups_sha256"), d["places"].alias("places"))
+    pairs = lambda d: F.array_join(F.transform(F.array_distinct(d["places"]), lambda i: at(i)["pairs"]), ",")
+    return chunks_of(blocks).select("block", F.transform("parts", lambda c: c["groups"]).alias("chunks"), F.transform("docs", pairs).alias("pairs"), F.transform("docs", row).alias("docs"))
+
+
+def whole_groups(doc: Column) -> Column:
+    """All groups of a text joined by semicolons, from chunks_of's rows."""
+    return F.array_join(F.transform(doc["places"], lambda i: F.element_at("parts", i)["groups"]), ";")
+
+
+def text_groups(docs: DataFrame, files: Files) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, groups: `ids of A|ids of B` of each group of a text, in order."""
+    row = lambda d: F.struct(d["doc_id"].alias("doc_id"), F.filter(F.split(whole_groups(d), ";"), lambda g: g != "").alias("groups"))
+    return chunks_of(tokenise(docs, files)).select(F.explode(F.transform("docs", row)).alias("d")).select("d.*")
 
 
 def _ids(kind: Column, side: int) -> Column:
@@ -246,29 +329,24 @@ def _distinct(kind: Column) -> Column:
     return F.concat(F.array_join(F.array_distinct(_ids(kind, 0)), ","), F.lit("|"), F.array_join(F.array_distinct(_ids(kind, 1)), ","))
 
 
-def kind_counts(aligned: DataFrame) -> DataFrame:
-    """aligned(kinds) -> kind, n: the rows that hold it; counts combine before they are exchanged."""
-    return written(aligned.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n")))
+def _chunk_pairs(groups: Column) -> Column:
+    """All `a|b` of a chunk's groups, joined by commas; a group of one token on either side is its own pair."""
+    made = F.transform(F.split(groups, ";"), lambda k: F.when(~F.contains(k, F.lit(",")), k).otherwise(_pairs(F.when(F.length(k) > LONG_KIND, _distinct(k)).otherwise(k))))
+    return F.when(~F.contains(groups, F.lit(",")), F.replace(groups, F.lit(";"), F.lit(","))).otherwise(F.array_join(made, ","))
 
 
-def pair_counts(aligned: DataFrame, kinds: DataFrame) -> DataFrame:
-    """aligned(kinds), kinds from kind_counts -> pair (`a|b`), n: the rows that hold it linked, best: the largest n of its A id.
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """align's rows -> pair (`a|b`), n: the texts that hold it linked, best: the largest n of its A id.
 
-    A group of one token on either side is its own pair. Pairs from larger groups
-    count where the row doesn't hold them so, each once; counts combine before they are exchanged.
+    A text's pairs count once each; counts combine before they are exchanged.
     """
-    several = lambda k: F.contains(k, F.lit(","))
-    # the text of what has several tokens becomes pairs, and one cut serves all of a row
-    made = F.transform(F.filter("kinds", several), lambda k: _pairs(F.when(F.length(k) > LONG_KIND, _distinct(k)).otherwise(k)))
-    pairs = F.array_except(F.split(F.array_join(made, ","), ","), F.col("kinds"))
-    other = aligned.select(F.explode(pairs).alias("pair")).where("pair <> ''").groupBy("pair").agg(F.count("*").alias("n"))
-    single = kinds.where(~several(F.col("kind"))).select(F.col("kind").alias("pair"), "n")
-    counts = written(single.unionByName(other).groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.substring_index("pair", "|", 1)))
+    own = aligned.select(F.explode("pairs").alias("pairs")).where("pairs <> ''").select(F.explode(F.array_distinct(F.split("pairs", ","))).alias("pair"))
+    counts = written(own.groupBy("pair").agg(F.count("*").alias("n")).withColumn("a", F.substring_index("pair", "|", 1)))
     return counts.join(counts.groupBy("a").agg(F.max("n").alias("best")), "a").select("pair", "n", "best")
 
 
 def kind_links(kinds: DataFrame, counts: DataFrame) -> DataFrame:
-    """kinds from kind_counts, counts from pair_counts -> kind, links, best_links, links_sum: of all pairs of occurrences in one group of this kind."""
+    """kinds(kind), the distinct groups, counts from pair_counts -> kind, links, best_links, links_sum: of all pairs of occurrences in one group of this kind."""
     times = lambda ids, x: F.aggregate(ids, F.lit(0).cast("long"), lambda n, y: n + (y == x).cast("long"))
     sides = kinds.select("kind", _ids(F.col("kind"), 0).alias("a"), _ids(F.col("kind"), 1).alias("b")).withColumns({"da": F.array_distinct("a"), "db": F.array_distinct("b")})
     spots = sides.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("da")))).withColumn("x", F.element_at("da", F.col("i")))
@@ -277,19 +355,17 @@ def kind_links(kinds: DataFrame, counts: DataFrame) -> DataFrame:
     return known.groupBy("kind").agg(F.sum("w").alias("links"), F.sum(F.when(F.col("n") == F.col("best"), F.col("w")).otherwise(0)).alias("best_links"), F.sum(F.col("w") * F.col("n")).alias("links_sum"))
 
 
-def link_sums(aligned: DataFrame, kinds: DataFrame) -> DataFrame:
-    """aligned(row, groups), kinds from kind_links -> row, n_links, n_best, count_sum of the rows that have groups.
+def link_sums(chunks: DataFrame, kinds: DataFrame) -> DataFrame:
+    """chunks(block, place, kind), kinds from kind_links -> block, sums(place, links, best_links, links_sum) of its chunks in order.
 
     Up to FEW kinds of FEW_BYTES in all, both counted, are broadcast; more are
-    joined by exchange, after a row's groups of a kind are counted, common kinds dealt to several tasks.
+    joined by exchange, common kinds dealt to several tasks. A block's chunks are at most BLOCK and those of one text.
     """
-    each = aligned.select("row", F.explode("groups").alias("kind"))
     n, size = kinds.agg(F.count("*"), F.sum(F.length("kind"))).first()
-    if n <= FEW and (size or 0) <= FEW_BYTES:
-        known, times = each.join(F.broadcast(kinds), "kind"), F.lit(1)
-    else:
-        known, times = split_join(each.groupBy("row", "kind").agg(F.count("*").alias("times")), kinds, "kind", ["row"]), F.col("times")
-    return known.groupBy("row").agg(F.sum(F.col("links") * times).alias("n_links"), F.sum(F.col("best_links") * times).alias("n_best"), F.sum(F.col("links_sum") * times).alias("count_sum"))
+    few = n <= FEW and (size or 0) <= FEW_BYTES
+    known = chunks.join(F.broadcast(kinds), "kind") if few else split_join(chunks, kinds, "kind", ["block", "place"])
+    each = known.groupBy("block", "place").agg(*[F.sum(c).alias(c) for c in ("links", "best_links", "links_sum")])
+    return each.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "links", "best_links", "links_sum"))).alias("sums"))
 
 
 def alignment(docs: DataFrame, files: Files) -> DataFrame:
@@ -298,14 +374,18 @@ def alignment(docs: DataFrame, files: Files) -> DataFrame:
     Null and empty texts, and those whose tokens don't come out as a space and the
     text, have no tokens: counts of 0 and an empty digest. Rows of one doc_id are
     documents of their own. Other columns are ignored; an empty table gives no rows.
-    Aligned texts are written once; links are counted by kind of group, of which a
-    corpus has few, and not by occurrence. The groups themselves are those of align.
+    Aligned blocks are written once; links are counted by kind of group, of which a
+    corpus has few, summed by chunk of a block, and put together by text. The groups
+    themselves are those of text_groups.
     """
-    aligned = written(align(tokenise(docs, files)).withColumn("row", F.monotonically_increasing_id()), "zstd")
-    kinds = kind_counts(aligned)
-    kinds = written(kind_links(kinds, pair_counts(aligned, kinds)))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return aligned.drop("groups", "kinds").join(link_sums(aligned, kinds), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
+    aligned = written(align(tokenise(docs, files)), "zstd")
+    chunks = aligned.select("block", F.posexplode("chunks").alias("place", "groups")).select("block", "place", F.explode(F.split("groups", ";")).alias("kind"))
+    kinds = written(kind_links(written(chunks.select("kind").distinct()), pair_counts(aligned)))
+    total = lambda d, c: F.aggregate(d["places"], F.lit(0).cast("long"), lambda n, i: n + F.element_at("sums", i)[c])
+    names = ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")
+    row = lambda d: F.struct(*[d[n].alias(n) for n in names], *[total(d, c).alias(n) for c, n in (("links", "n_links"), ("best_links", "n_best"), ("links_sum", "count_sum"))])
+    found = aligned.select("block", "docs").join(link_sums(chunks, kinds), "block", "left")
+    return found.select(F.explode(F.transform("docs", row)).alias("d")).select("d.doc_id", "d.n_a", "d.n_b", "d.n_groups", "d.n_links", "d.n_best", "d.count_sum", "d.groups_sha256")
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
