@@ -296,12 +296,6 @@ def test_alignment_of_awkward_rows(spark, brute, docs, empty, monkeypatch):
     assert [r[1] for r in want if r[0] in (2, 3, 8)] == [0, 0, 0]
     monkeypatch.setattr(alignment, "FEW", 0)  # what is known of groups comes by exchange
     assert digested(alignment.alignment(docs, files)) == want
-    monkeypatch.setattr(alignment, "BLOCK", 1)  # every text is a block
-    assert digested(alignment.alignment(docs, files)) == want
-    text = {i: t for i, t in AWKWARD}
-    for r in alignment.text_groups(docs, files).where("doc_id is not null").collect():
-        if list(text).count(r["doc_id"]) == sum(i == r["doc_id"] for i, _ in AWKWARD):
-            assert r["groups"] == [",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in brute.groups(text[r["doc_id"]])]
 
 
 def test_chunks_are_encoded_as_whole_texts_are(spark, brute):
