@@ -210,10 +210,9 @@ def tokenise(docs: DataFrame, files: Files) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 
 
-def _lists(tokens: str) -> Column:
-    """A side's ids by group, each group's joined by commas: tokens and shared ends sorted, the last end left out, cut at the others."""
-    sorted_ = F.sort_array(F.concat(tokens, "ends"))
-    ids = F.transform(F.slice(sorted_, 1, F.size(tokens) + F.size("ends") - 1), lambda x: x.bitwiseAND(F.lit(MARK)))
+def _lists(marked: str) -> Column:
+    """A side's ids by group, each group's joined by commas: of tokens and shared ends, sorted, the last end is left out, and the others cut."""
+    ids = F.transform(F.slice(marked, 1, F.size(marked) - 1), lambda x: x.bitwiseAND(F.lit(MARK)))
     return F.split(F.replace(F.array_join(ids.cast("array<string>"), ","), F.lit(f",{MARK},"), F.lit(";")), ";")
 
 
@@ -222,11 +221,15 @@ def align(tokens: DataFrame) -> DataFrame:
 
     groups has `ids of A|ids of B` of each group in order, kinds the distinct ones;
     the digest is that of all groups joined by semicolons, and empty without any.
+    Tokens and ends are sorted in columns of their own, each used twice, since
+    compiled code sorts numbers, and code beside a function of elements isn't compiled.
     """
-    some = F.size("ends") > 0
-    groups = F.when(some, F.zip_with(_lists("a"), _lists("b"), lambda x, y: F.concat(x, F.lit("|"), y))).otherwise(F.array().cast("array<string>"))
+    some = F.size("a_marked") > 0
+    groups = F.when(some, F.zip_with(_lists("a_marked"), _lists("b_marked"), lambda x, y: F.concat(x, F.lit("|"), y))).otherwise(F.array().cast("array<string>"))
+    found = tokens.withColumn("ends", F.array_intersect("a_ends", "b_ends"))
     counts = [F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("ends", "n_groups"))]
-    found = tokens.withColumn("ends", F.array_intersect("a_ends", "b_ends")).select("doc_id", *counts, groups.alias("groups"))
+    marked = [F.sort_array(F.concat(c, "ends")).alias(f"{c}_marked") for c in ("a", "b")]
+    found = found.select("doc_id", *counts, *marked).select("doc_id", "n_a", "n_b", "n_groups", groups.alias("groups"))
     digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
     return found.select("doc_id", "n_a", "n_b", "n_groups", "groups", digest.alias("groups_sha256"), F.array_distinct("groups").alias("kinds"))
 
