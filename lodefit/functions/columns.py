@@ -53,15 +53,20 @@ def normal(*keys: Column) -> Column:
     return F.sqrt(-2 * F.ln(1 - a)) * F.cos(2 * SparkMath.pi * b)
 
 
-def poisson1(u: Column, most: int = 10) -> Column:
-    """A Poisson number of mean 1 from a uniform one; weights of a bootstrap replicate."""
+def poisson_steps(x: Column, most: int = 10) -> Column:
+    """A Poisson number of mean 1 from a uniform one that is at hand: x is read once for each step."""
     total, term, steps = 0.0, 0.36787944117144233, []
     for k in range(1, most + 1):
         total += term
         steps.append(total)
         term /= k
+    return sum((F.when(x >= t, 1).otherwise(0) for t in steps), F.lit(0))
+
+
+def poisson1(u: Column, most: int = 10) -> Column:
+    """The same from any expression; weights of a bootstrap replicate."""
     # u is bound once: a hash in it isn't computed anew for each step
-    return F.transform(F.array(u), lambda x: sum((F.when(x >= t, 1).otherwise(0) for t in steps), F.lit(0)))[0]
+    return F.transform(F.array(u), lambda x: poisson_steps(x, most))[0]
 
 
 def poisson1_sql(u: str, most: int = 10) -> str:

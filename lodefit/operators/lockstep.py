@@ -13,13 +13,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodefit.functions.columns import SparkMath
 from lodefit.functions.dual import Dual
-from lodefit.operators.costs import Cost, CostSum
+from lodefit.operators.costs import COLUMNS, MOST_SETS, Cost, CostSum
 from lodefit.operators.linalg import make_posdef
 from lodefit.operators.parameters import Parameter, Parameters
 
@@ -53,10 +53,47 @@ def plain_evaluate(cost) -> Evaluate:
     return lambda _, x: cost.derivatives(x, memo=memo)
 
 
-def varied_evaluate(cost: Cost, vary: dict[str, Callable], keep: Sequence[str] = ()) -> Evaluate:
-    """Fit k sees columns of its own, each a function of k and of the columns keep; "weight" is what a row counts."""
-    memo: dict = {}
-    return lambda k, x: cost.derivatives(x, vary, keep, k, memo)
+def replicate_evaluate(cost: Cost, each: DataFrame) -> Evaluate:
+    """Fit k is that of the rows of each whose _k is k, of which each counts _w times if there is such a column.
+
+    A row meets all tries of its fit at once, so what makes a replicate's rows is made
+    once a step. Parameters are data: the steps share their compiled code. A fit
+    none of whose rows counts has sums of 0; without any row there are none.
+    """
+    n, memo = len(cost.names), {}
+    row, counts = {c: F.col(c) for c in cost.columns}, F.col("_w") if "_w" in each.columns else F.lit(1.0)
+    width = (n + 1) * (n + 2) // 2
+
+    def sums(tries: int) -> list[Column]:
+        if tries not in memo:
+            found = [cost.expanded(row, [F.col("_t.p")[i][j] for j in range(n)], SparkMath) for i in range(tries)]
+            memo[tries] = [F.sum((counts * c).cast("double")).alias(f"s{i}_{j}") for i, cs in enumerate(found) for j, c in enumerate(cs)]
+        return memo[tries]
+
+    def evaluate(k: np.ndarray, x: np.ndarray):
+        if len(k) > MOST_SETS:
+            parts = [evaluate(k[i : i + MOST_SETS], x[i : i + MOST_SETS]) for i in range(0, len(k), MOST_SETS)]
+            return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+        places: dict[int, list[int]] = {}
+        for i, v in enumerate(k):
+            places.setdefault(int(v), []).append(i)
+        tries = min(max(1, COLUMNS // width), max(map(len, places.values())))
+        # a fit's tries in tiles of so many, the last one filled up
+        tiles = {v: [[at[min(j, len(at) - 1)] for j in range(i, i + tries)] for i in range(0, len(at), tries)] for v, at in places.items()}
+        tile = lambda i, at: F.struct(F.lit(i).alias("i"), F.array(*[F.array(*[F.lit(float(a)) for a in x[j]]) for j in at]).alias("p"))
+        sets = F.array(*[F.array(*[tile(i, at) for i, at in enumerate(tiles[v])]) if v in tiles else F.lit(None) for v in range(max(tiles) + 1)])
+        found, seen = np.full((len(k), width), np.nan), set()
+        met = each.withColumn("_t", F.explode(F.get(sets, F.col("_k"))))  # fits that are closed meet nothing
+        for r in met.groupBy("_k", F.col("_t.i").alias("_i")).agg(*sums(tries)).collect():
+            seen.add(r["_k"])
+            for i, at in enumerate(tiles[r["_k"]][r["_i"]]):
+                found[at] = [np.nan if r[f"s{i}_{j}"] is None else r[f"s{i}_{j}"] for j in range(width)]
+        none = [i for v, at in places.items() if v not in seen for i in at]
+        if none and (seen or each.limit(1).count()):
+            found[none] = 0.0
+        return cost.gathered(x, found)
+
+    return evaluate
 
 
 def keyed_evaluate(cost: Cost, key: str, keys: list) -> Evaluate:

@@ -8,14 +8,14 @@ of costs go in step over weighted sums; any other refit runs in groups, one repl
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from copy import copy
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodefit.functions.columns import SparkMath, normal, poisson1, uniform
+from lodefit.functions.columns import SparkMath, normal, poisson1, poisson_steps, uniform
+from lodefit.functions.shared import written
 from lodefit.functions.shipping import ship
 from lodefit.operators import lockstep, order_stats
 from lodefit.operators.costs import Cost, LeastSquares, UnbinnedNLL
@@ -76,10 +76,21 @@ def _refits(each: DataFrame, refit: Callable[[pd.DataFrame], Sequence[float]]) -
     return each.groupBy("rep").applyInPandas(run, "rep int, p array<double>, valid boolean")
 
 
-def _resampled(cost: Cost, vary: dict[str, Callable], keep: Sequence[str], start: Sequence[float], n: int, limits: dict | None) -> DataFrame:
-    """replicates(rep, p, valid) of fits in step, each with columns of its own: no replicate is gathered anywhere."""
+def _dealt(cost: Cost, *more: str | Column) -> DataFrame:
+    """The cost's columns and more, once each, dealt evenly: rows of one file would be one task of every step."""
+    own = [c for c in more if isinstance(c, Column) or c not in cost.columns]
+    return cost.rows.select(*cost.columns, *own).repartition(int(cost.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _each(rows: DataFrame, n: int) -> DataFrame:
+    """rows with _k from 0 to n - 1."""
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def _resampled(cost: Cost, each: DataFrame, start: Sequence[float], n: int, limits: dict | None) -> DataFrame:
+    """replicates(rep, p, valid) of fits in step, each of the rows of its _k: no replicate is gathered anywhere."""
     pars = Fit(lambda p: 0.0, dict(zip(cost.names, map(float, start), strict=True)), limits=limits).parameters
-    fits = lockstep.descend(lockstep.varied_evaluate(cost, vary, keep), [pars] * n, cost.errordef)
+    fits = lockstep.descend(lockstep.replicate_evaluate(cost, each), [pars] * n, cost.errordef)
     rows = [(k, x.tolist() if ok else [], bool(ok)) for k, (x, ok) in enumerate(zip(fits.x, fits.valid, strict=True))]
     return cost.rows.sparkSession.createDataFrame(rows, "rep int, p array<double>, valid boolean")
 
@@ -92,26 +103,35 @@ def _points(cost: Cost) -> None:
 def bootstrap_cost(cost: Cost, obs_id: str, start: Sequence[float], n: int = 200, seed: int = 0, limits: dict | None = None, noise: bool = False) -> DataFrame:
     """replicates(rep, p, valid) of a cost over rows that have obs_id. noise: y is drawn anew about the model at start.
 
-    A replicate is a set of parameters and of hashed weights: a step of all fits is
-    one aggregate of weights times terms, combined before any exchange, however many
-    rows there are. Only sums over points can be resampled, and only least squares
+    A replicate is a set of parameters and of hashed weights. The weights are written
+    once, a row for each row and replicate, and a step of all fits is one
+    aggregate of weights times terms over them, combined before any exchange, however
+    many rows there are. Only sums over points can be resampled, and only least squares
     has errors to draw by. A fit that ends nowhere has no values, valid false.
     """
     _points(cost)
     if noise and not isinstance(cost, LeastSquares):
         raise ValueError("only least squares can be drawn from its model")
-    if not noise:
-        return _resampled(cost, {"weight": lambda k: poisson1(uniform(F.lit(seed), F.col(obs_id), k)).cast("double")}, [obs_id], start, n, limits)
-    fitted = cost.model(F.col("x"), [F.lit(float(t)) for t in start], SparkMath)
-    return _resampled(cost, {"y": lambda k: fitted + F.col("err") * normal(F.lit(seed), F.col(obs_id), k)}, [obs_id, "x", "err"], start, n, limits)
+    if n < 1:
+        return _resampled(cost, cost.rows, start, 0, limits)
+    rows = _dealt(cost, obs_id)
+    if noise:
+        fitted = cost.model(F.col("x"), [F.lit(float(t)) for t in start], SparkMath)
+        drawn = fitted + F.col("err") * normal(F.lit(seed), F.col(obs_id), F.col("_k"))
+        return _resampled(cost, _each(written(rows), n).withColumn("y", drawn), start, n, limits)
+    # hashes are columns before weights are: compiled code, and a filter beside them would make them twice
+    hashed = _each(rows, n).select(*cost.columns, "_k", uniform(F.lit(seed), F.col(obs_id), F.col("_k")).alias("_u"))
+    weights = written(hashed.select(*cost.columns, "_k", poisson_steps(F.col("_u")).cast("byte").alias("_w")))
+    return _resampled(cost, weights.where("_w > 0"), start, n, limits)
 
 
 def jackknife_cost(cost: Cost, block: Column, blocks: int, start: Sequence[float], limits: dict | None = None) -> DataFrame:
     """replicates(rep, p, valid) of a cost with each block of rows, numbered from 0, left out in turn; the fits go in step."""
     _points(cost)
-    left = copy(cost)
-    left.rows = cost.rows.withColumn("_block", block.cast("int"))
-    return _resampled(left, {"weight": lambda k: (F.col("_block") != k).cast("double")}, ["_block"], start, blocks, limits)
+    if blocks < 1:
+        return _resampled(cost, cost.rows, start, 0, limits)
+    rows = written(_dealt(cost, block.cast("int").alias("_block")))
+    return _resampled(cost, _each(rows, blocks).where("_block <> _k"), start, blocks, limits)
 
 
 def jackknife(df: DataFrame, block: Column, blocks: int, refit: Callable[[pd.DataFrame], Sequence[float]]) -> DataFrame:

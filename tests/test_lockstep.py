@@ -177,6 +177,31 @@ def test_resampling_in_step(spark, costs):
         resampling.jackknife_cost(LeastSquares(curve.rows, lambda x, p, m: F.exp(x) * p[0], ["a"]), F.lit(0), 2, [1.0])
 
 
+def test_weights_are_made_once_and_steps_are_dealt(spark, costs, tmp_path, monkeypatch):
+    # hashes in every try of every step took longer than all else, and rows of one file were one task of a step
+    cost, _ = costs["unbinned"]
+    cost.rows.coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = UnbinnedNLL(spark.read.parquet(str(tmp_path / "t")), cost.model, cost.names)
+    seen = []
+    make = lockstep.replicate_evaluate
+    monkeypatch.setattr(lockstep, "replicate_evaluate", lambda c, each: seen.append(each) or make(c, each))
+    want = {r["rep"]: r["p"][0] for r in resampling.bootstrap_cost(cost, "obs_id", [0.3], 6, 3).collect()}
+    assert {r["rep"]: r["p"][0] for r in resampling.bootstrap_cost(one, "obs_id", [0.3], 6, 3).collect()} == pytest.approx(want, rel=1e-6)
+    resampling.jackknife_cost(one, F.col("obs_id") % 3, 3, [0.3])
+    assert len(seen) == 3 and all("md5" not in e._jdf.queryExecution().optimizedPlan().toString() and e.rdd.getNumPartitions() > 1 for e in seen)
+    # more tries than are fused, and a fit without a row
+    rows = spark.range(40).selectExpr("1.0D * id AS x", "2.0D * id + 1 AS y", "1.0D AS err", "cast(id % 2 AS int) AS _k", "cast(1 + id % 3 AS byte) AS _w")
+    line = LeastSquares(rows, lambda x, p, m: p[0] * x + p[1], ["a", "b"])
+    k, p = np.array([1, 0, 2, 0, 1, 1]), np.array([[1.0, 0.0], [2.0, 1.0], [1.0, 1.0], [2.0, 0.0], [0.0, 0.0], [2.0, 1.5]])
+    fused = lockstep.replicate_evaluate(line, rows)(k, p)
+    monkeypatch.setattr(lockstep, "COLUMNS", 1)
+    tiled = lockstep.replicate_evaluate(line, rows)(k, p)
+    x = np.arange(40)
+    sums = [((1 + x % 3) * (x % 2 == i) * (2 * x + 1 - a * x - b) ** 2).sum() for i, (a, b) in zip(k, p, strict=True)]
+    assert np.allclose(fused[0], sums) and all(np.allclose(a, b) for a, b in zip(fused, tiled, strict=True))
+    assert not fused[1][2].any() and np.isnan(lockstep.replicate_evaluate(line, rows.where("false"))(k, p)[0]).all()
+
+
 def test_sets_beyond_one_job(costs, monkeypatch):
     cost, _ = costs["unbinned"]
     at = np.linspace(0.1, 1, 50)[:, None]
