@@ -32,6 +32,8 @@ from lodefit.llm.simhash import BITS, correlated_groups, mask_of, near_share
 _OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("digest", pa.binary()), ("fps", pa.list_(pa.int64()))])
 _SETS = pa.schema([("digest", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 _BLOCK = 1 << 12
+#: So many choices of leaders are made for the buckets of a crowd.
+SALTS = 4
 
 
 @dataclass(frozen=True)
@@ -193,22 +195,34 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((_apart(a[c], b[c]) for c in CHECKS), F.lit(0))
 
 
+def one_each(met: DataFrame) -> DataFrame:
+    """met(rep, to) -> a, b: each rep is joined to the first of those it is linked to, and these once for all that have the same."""
+    met = cut(met)
+    joined = met.where(F.size("to") > 1).select("to").distinct().select(F.col("to")[0].alias("a"), F.explode(F.expr("slice(to, 2, size(to) - 1)")).alias("b"))
+    return met.select(F.col("rep").alias("a"), F.col("to")[0].alias("b")).unionByName(joined).distinct()
+
+
 def crowds(rows: DataFrame, settings: Settings) -> DataFrame:
     """rep, crowd, size: texts that loosely hang together, in lots of at least settings.crowd.
 
     They show in buckets far above the mean, where every member is held against a
-    few that are chosen by hash; so this is linear in the rows.
+    few that are chosen by hash, nearly the same few in all buckets of a crowd. A
+    member goes to one of those it is near to, and those are joined once for all
+    members that are near to the same: edges are about as many as members, however
+    many buckets they share.
     """
     sizes = cut(rows.groupBy("key").count())
     mean = sizes.agg(F.avg("count").alias("m")).collect()[0]["m"] or 0
     big = sizes.where(F.col("count") > 8 + 4 * mean).select("key")
     big = F.broadcast(big) if big.count() <= FEW else big
     rows = cut(rows.join(big, "key", "left_semi").select("key", "rep", F.struct(*CHECKS).alias("own")))
-    first = rows.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("rep", "key", F.lit(i)).alias("h"), "rep", "own")) for i in range(settings.leaders)]).alias("first"))
+    salt = F.pmod("key", F.lit(SALTS))  # so that a crowd among others isn't without a leader in every bucket
+    first = rows.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("rep", salt, F.lit(i)).alias("h"), "rep", "own")) for i in range(settings.leaders)]).alias("first"))
     loose = settings.loose(BITS * len(CHECKS))
     near = F.filter("first", lambda f: (f["rep"] != F.col("rep")) & (_distance(F.col("own"), f["own"]) <= loose))
     met = split_join(rows, first, "key", ["rep"]).select("rep", F.explode(F.transform(near, lambda f: f["rep"])).alias("to"))
-    found = components(met.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnsRenamed({"node": "rep", "label": "crowd"})
+    near_to = met.groupBy("rep").agg(F.sort_array(F.collect_set("to")).alias("to"))  # a few of each bucket that a text is in
+    found = components(one_each(near_to)).withColumnsRenamed({"node": "rep", "label": "crowd"})
     size = found.groupBy("crowd").agg(F.count("*").alias("size")).where(F.col("size") >= settings.crowd)
     return cut(split_join(found, size, "crowd", ["rep"]))
 
@@ -229,9 +243,8 @@ def star_links(held: DataFrame, settings: Settings) -> DataFrame:
     near = lambda f: bits(f) <= settings.radius(BITS * settings.words, 3.0)
     alike = lambda f: F.when((f["rep"] != F.col("rep")) & near(f), common(f) >= F.lit(settings.similarity) * (F.size("shingles") + F.size(f["shingles"]) - common(f))).otherwise(F.lit(False))
     met = split_join(held, cut(lead), "crowd", ["rep"])
-    found = cut(met.select("rep", F.array_sort(F.transform(F.filter("leads", alike), lambda f: f["rep"])).alias("to")).where(F.size("to") > 0))
-    joined = found.where(F.size("to") > 1).select("to").distinct().select(F.col("to")[0].alias("a"), F.explode(F.expr("slice(to, 2, size(to) - 1)")).alias("b"))
-    return found.select(F.col("rep").alias("a"), F.col("to")[0].alias("b")).unionByName(joined)
+    found = met.select("rep", F.array_sort(F.transform(F.filter("leads", alike), lambda f: f["rep"])).alias("to")).where(F.size("to") > 0)
+    return one_each(found)
 
 
 def dealt(inside: DataFrame, linked: DataFrame, settings: Settings) -> DataFrame:

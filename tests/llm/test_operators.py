@@ -658,6 +658,22 @@ def test_a_crowd_is_dealt_about_once(spark, monkeypatch):
     assert len(dealt) == 1 and dealt[0] <= 2 * len(rows)
 
 
+def test_crowds_take_an_edge_for_each_member(spark, monkeypatch):
+    """Members that share many buckets were joined to the leaders of each: hundreds of edges for each member."""
+    r = np.random.default_rng(5)
+    s = near_copies.Settings()
+    base = r.integers(-(2**62), 2**62, s.words)
+    rows = [(i, [int(w) ^ (1 << int(r.integers(62)) if r.random() < 0.3 else 0) for w in base]) for i in range(600)]
+    rows += [(1000 + i, [int(w) for w in r.integers(-(2**62), 2**62, s.words)]) for i in range(400)]
+    reps = spark.createDataFrame(rows, "rep long, fps array<long>")
+    groups = [(w, list(range(8 * k, 8 * k + 12)), 2) for k, w in enumerate((0, 2, 4, 6))]
+    edges, whole = [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda e: edges.append(e.count()) or whole(e))
+    found = near_copies.crowds(near_copies.members(reps, groups, s), s).collect()
+    assert {x["rep"] for x in found} == set(range(600)) and {x["size"] for x in found} == {600}
+    assert len(edges) == 1 and edges[0] <= 2 * len(rows)
+
+
 def test_near_copies_of_the_corpus(spark):
     rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
     roots = brute_near_copies(rows)
