@@ -1,11 +1,16 @@
 """Cross-tokenizer alignment: groups of the tokens of two tokenizers that cover the same bytes, and the links within them.
 
-Python makes the tokens of a text; all that follows is Spark's functions of
-arrays. The byte offsets where tokens of both sides end cut a text into groups.
-A token is one number, its end above its id, and an end is the number of a token
-there with the largest id. So sorting the tokens of a side together with the ends
-that both sides share puts a mark behind the last token of each group, and the
-groups can be read off.
+Python makes the tokens, Spark's functions of arrays align them. The byte offsets
+where tokens of both sides end cut a text into groups. A token is one number, its
+end above its id, and an end is the number of a token there with the largest id.
+So sorting the tokens of a side together with the ends that both sides share puts
+a mark behind the last token of each group, and the groups can be read off.
+
+Texts are cut into chunks at ends that both sides share whatever the text, so no
+group goes over a cut, and a task aligns a chunk once: numbered hands on each text
+as numbers of chunks, with the tokens of those that the task hasn't met; align
+finds their groups; together, in the same task and order, keeps them by number and
+reads each text's off.
 """
 
 from __future__ import annotations
@@ -14,9 +19,11 @@ import json
 import os
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from hashlib import sha256
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +42,10 @@ from lodefit.llm.common import FEW, give_back, kept, small_batches, table, texts
 #: Bits of a packed token that hold its id; all ones mark the end of a group.
 ID_BITS = 20
 MARK = (1 << ID_BITS) - 1
-#: Chunks a worker keeps, and the longest one that is worth keeping.
-KEPT_CHUNKS = 400_000
-KEPT_CHARS = 48
-#: Tokens of one batch that a worker hands on.
+#: Chunks that a task numbers before it begins anew, and characters of them.
+KEPT_CHUNKS = 600_000
+KEPT_TEXT = 8 << 20
+#: Tokens, chunks or kinds of groups of one batch that a worker hands on.
 OUT_TOKENS = 1 << 20
 #: Characters of a group from which on its ids are made distinct before they are paired.
 LONG_KIND = 200
@@ -108,7 +115,6 @@ class Sides:
         self.b_bytes = np.array([len(r) for r in self.b_raw], np.int64)
         if max(len(self.a_bytes), len(names)) >= MARK:
             raise ValueError("too many ids")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def encode_a(self, chunks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks, of so many bytes, one after another, and how many each has.
@@ -135,6 +141,8 @@ class Sides:
 
     def learn(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """The ids of both sides of chunks, as bytes; of one whose bytes come out otherwise, -1 on side A."""
+        if not chunks:
+            return
         b_lists = self.pieces.encode([c[1:] for c in chunks], num_threads=1)  # the library puts a space before
         b_lists = [x or self.space for x in b_lists]  # but not before nothing
         encoded = [c.encode() for c in chunks]
@@ -155,51 +163,139 @@ class Sides:
             yield (a_ids[i:i_to], b_ids[j:j_to]) if a_raw[x:x_to] == raw == b_raw[y:y_to] else (_BROKEN, b"")
             i, j, x, y = i_to, j_to, x_to, y_to
 
+    def packed(self, found: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, tokens) of A and of B of the chunks with these ids, one after another."""
+        a, b = (np.frombuffer(b"".join([f[k] for f in found]), np.int32) for k in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_bytes[a]) << ID_BITS, np.cumsum(self.b_bytes[b]) << ID_BITS
+        return a_ends | MARK, a_ends | a, b_ends | MARK, b_ends | b
+
     def tokens(self, rows: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(ends, tokens) of A and of B of each text, packed; empty if it is null, empty or doesn't come out the same."""
         cut = [_CHUNK.findall(" " + t) if t else [] for t in rows]
-        used = set().union(*cut)
-        new = [c for c in used if c not in self.known]
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known.clear()
-            new = list(used)
-        if new:
-            self.known.update(zip(new, self.learn(new), strict=True))
+        used = list(set().union(*cut))
+        known = dict(zip(used, self.learn(used), strict=True))
         for chunks in cut:
-            found = list(map(self.known.__getitem__, chunks))
-            a, b = (np.frombuffer(b"".join([f[k] for f in found]), np.int32) for k in (0, 1))
-            if len(a) and a.min() < 0:
-                a = b = a[:0]
-            a_ends, b_ends = np.cumsum(self.a_bytes[a]) << ID_BITS, np.cumsum(self.b_bytes[b]) << ID_BITS
-            yield a_ends | MARK, a_ends | a, b_ends | MARK, b_ends | b
-        for c in new:
-            if len(c) > KEPT_CHARS:
-                del self.known[c]
-
-
-_NUMBERS = T.ArrayType(T.LongType(), False)
-_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, k, False) for n, k in (("a_ends", _NUMBERS), ("a", _NUMBERS), ("b_ends", _NUMBERS), ("b", _NUMBERS))]])
-
-
-def tokenise(docs: DataFrame, files: Files) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, a_ends, a, b_ends, b: where the tokens of a text end, in bytes above a mark, and the tokens themselves, each its end above its id."""
+            found = [known[c] for c in chunks]
+            yield self.packed([] if any(f[0] == _BROKEN for f in found) else found)
+
+
+class Numbers:
+    """Numbers of the chunks that a task meets, from 0 in the order of their first places; they begin anew when there are more than most, or too long ones."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # the next one
+        self.chars = 0
+        self.broken: set[int] = set()
+
+    def of(self, text: str | None) -> tuple[bool, list[int], int, list[str]]:
+        """Whether numbers begin anew, those of this text's chunks, the next number before, and the chunks that are met first here."""
+        anew = len(self.number) > self.most or self.chars > KEPT_TEXT
+        if anew:
+            self.number.clear()
+            self.chars = 0
+        before = len(self.number)
+        own = list(map(self.number.__getitem__, _CHUNK.findall(" " + text))) if text else []
+        new = list(islice(reversed(self.number), len(self.number) - before))[::-1]
+        self.chars += sum(map(len, new))
+        return anew, own, before, new
+
+    def rows(self, sides: Sides, some: list[str | None]) -> Iterator[tuple[bool, list[int], list[int], list[int], np.ndarray, tuple[np.ndarray, ...]]]:
+        """Of each text: whether numbers begin anew, its chunks, none if it doesn't come out the same; of those met first here n_a, n_b, packed ends and all tokens."""
+        found = [self.of(t) for t in some]
+        learned = sides.learn([c for *_, new in found for c in new])
+        for anew, own, before, new in found:
+            if anew:
+                self.broken.clear()
+            ids = list(islice(learned, len(new)))
+            self.broken.update(before + k for k, x in enumerate(ids) if x[0] == _BROKEN)
+            ids = [(b"", b"") if x[0] == _BROKEN else x for x in ids]
+            if not self.broken.isdisjoint(own):
+                own = []
+            n_a, n_b = ([len(x[k]) // 4 for x in ids] for k in (0, 1))
+            packed = sides.packed(ids)
+            yield anew, own, n_a, n_b, np.concatenate([[0], packed[0]])[np.cumsum(n_a, dtype=np.int64)], packed
+
+
+class Met:
+    """The groups of the chunks of a task by number: how many tokens and groups each has, and the kinds of its groups."""
+
+    def __init__(self):
+        self.kind: defaultdict[bytes, int] = defaultdict()
+        self.kind.default_factory = self.kind.__len__
+        self.names: list[bytes] = []
+        self.n = 0
+        self.sizes = np.zeros((1 << 12, 3), np.int32)
+        self.stops = np.zeros(1 << 12, np.int64)
+        self.kinds = np.zeros(1 << 12, np.int32)
+
+    def add(self, n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, groups: bytes) -> None:
+        """The next chunks, with the text of their groups one after another."""
+        parts = groups.split(b";") if groups else []
+        at = int(self.stops[self.n - 1]) if self.n else 0
+        to, end = self.n + len(n_a), at + len(parts)
+        while to > len(self.stops):
+            self.sizes, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.stops))
+        while end > len(self.kinds):
+            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+        self.sizes[self.n : to] = np.column_stack([n_a, n_b, n_groups])
+        self.stops[self.n : to] = at + np.cumsum(n_groups)
+        self.kinds[at:end] = np.fromiter(map(self.kind.__getitem__, parts), np.int32, len(parts))
+        self.names += list(islice(reversed(self.kind), len(self.kind) - len(self.names)))[::-1]
+        self.n = to
+
+    def of(self, chunks: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """Of a text: n_a, n_b and n_groups; the text of its groups; the distinct kinds of them, and how often each is there."""
+        sizes = self.sizes[chunks]
+        counts = sizes[:, 2]
+        # where each chunk's kinds begin, less how many come before it here
+        shift = self.stops[chunks] - np.cumsum(counts, dtype=np.int64)
+        kinds = self.kinds[np.arange(counts.sum()) + np.repeat(shift, counts)]
+        text = b";".join(map(self.names.__getitem__, kinds.tolist()))
+        kinds, times = np.unique(kinds, return_counts=True)
+        return sizes.sum(0, dtype=np.int64), text, kinds, times
+
+
+_NUMBERS, _COUNTS = T.ArrayType(T.LongType(), False), T.ArrayType(T.IntegerType(), False)
+_NUMBERED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("anew", T.BooleanType(), False), *[T.StructField(n, _COUNTS, False) for n in ("chunks", "chunk_a", "chunk_b")], *[T.StructField(n, _NUMBERS, False) for n in ("stops", "a_ends", "a", "b_ends", "b")]])
+_TOGETHER = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType(), False) for n in ("n_a", "n_b", "n_groups")], T.StructField("groups", T.StringType(), False), T.StructField("groups_sha256", T.StringType(), False), T.StructField("kinds", T.ArrayType(T.StringType(), False), False), T.StructField("times", _COUNTS, False)])
+
+
+def _lists_of(rows: list, kind: type) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(np.concatenate([np.asarray(r, kind) for r in rows])))
+
+
+def _rows_of(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of numbers without nulls."""
+    at = column.offsets.to_numpy()
+    flat = column.values.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def numbered(docs: DataFrame, files: Files, most: int = KEPT_CHUNKS) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, anew, chunks, chunk_a, chunk_b, stops, a_ends, a, b_ends, b: one row for each row, in the order of a task.
+
+    chunks has the numbers of a text's chunks, from 0 again with a row that is anew.
+    The others are of the chunks whose numbers come first in this row: how many
+    tokens each has, where it stops, and their tokens one after another, where they
+    end in bytes above a mark, and each its end above its id.
+    """
     small_batches(docs.sparkSession)
 
-    def lists(rows: list[np.ndarray]) -> pa.Array:
-        flat = np.concatenate(rows)
-        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(flat))
-
     def batch(ids: pa.Array, found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, *(lists([f[k] for f in found]) for k in range(4))], ["doc_id", "a_ends", "a", "b_ends", "b"])
+        columns = [_lists_of([f[k] for f in found], np.int32) for k in (1, 2, 3)]
+        columns += [_lists_of([f[4] for f in found], np.int64), *(_lists_of([f[5][k] for f in found], np.int64) for k in range(4))]
+        return pa.RecordBatch.from_arrays([ids, pa.array([f[0] for f in found]), *columns], _NUMBERED.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = kept(("alignment", files), lambda: Sides(files))
+        sides, numbers = kept(("alignment", files), lambda: Sides(files)), Numbers(most)
         for b in batches:
             found, at, n = [], 0, 0
             for some in range(0, b.num_rows, 64):
-                for row in sides.tokens(texts(b.slice(some, 64), "text")):
+                for row in numbers.rows(sides, texts(b.slice(some, 64), "text")):
                     found.append(row)
-                    n += len(row[0]) + len(row[2])
+                    n += len(row[1]) + len(row[5][0]) + len(row[5][2])
                     if n > OUT_TOKENS:
                         yield batch(b.column(0)[at : at + len(found)], found)
                         at, found, n = at + len(found), [], 0
@@ -207,7 +303,48 @@ def tokenise(docs: DataFrame, files: Files) -> DataFrame:
                 yield batch(b.column(0)[at:], found)
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _NUMBERED)
+
+
+def together(aligned: DataFrame, with_groups: bool = False) -> DataFrame:
+    """numbered's rows as align gives them -> doc_id, n_a, n_b, n_groups, groups, groups_sha256, kinds, times; one row for each row.
+
+    groups has `ids of A|ids of B` of each group in order, joined by semicolons, if
+    it is asked for; the digest is that of this text, and empty without any group.
+    kinds has the distinct groups, times how often each is there. Rows must come in
+    the order that numbered made them in, with no exchange between.
+    """
+
+    def batch(ids: pa.Array, found: list, met: Met) -> pa.RecordBatch:
+        names = pa.array(met.names, pa.binary()).cast(pa.string())
+        kinds = _lists_of([f[2] for f in found], np.int32)
+        sizes = np.array([f[0] for f in found]).reshape(-1, 3)
+        groups = [f[1].decode() if with_groups else "" for f in found]
+        digests = [sha256(f[1]).hexdigest() if f[1] else "" for f in found]
+        columns = [ids, *(pa.array(sizes[:, k]) for k in range(3)), pa.array(groups), pa.array(digests), pa.ListArray.from_arrays(kinds.offsets, names.take(kinds.values)), _lists_of([f[3] for f in found], np.int32)]
+        return pa.RecordBatch.from_arrays(columns, _TOGETHER.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
+        for b in batches:
+            ids, anew, groups = b.column(0), b.column(1).to_pylist(), b.column(b.schema.get_field_index("groups")).to_pylist()
+            chunks, chunk_a, chunk_b, stops, ends = (_rows_of(b.column(b.schema.get_field_index(n))) for n in ("chunks", "chunk_a", "chunk_b", "stops", "ends"))
+            found, at, n = [], 0, 0
+            for k in range(b.num_rows):
+                if found and (anew[k] or n > OUT_TOKENS):
+                    yield batch(ids[at:k], found, met)
+                    found, at, n = [], k, 0
+                if anew[k]:
+                    met = Met()
+                if len(stops[k]):
+                    met.add(chunk_a[k], chunk_b[k], np.diff(np.searchsorted(ends[k], stops[k], "right"), prepend=0), groups[k].encode())
+                found.append(met.of(chunks[k]))
+                n += len(found[-1][2])
+            if found:
+                yield batch(ids[at:], found, met)
+        give_back()
+
+    return aligned.select("doc_id", "anew", "chunks", "chunk_a", "chunk_b", "stops", "ends", "groups").mapInArrow(run, _TOGETHER)
 
 
 def _lists(marked: str) -> Column:
@@ -217,21 +354,18 @@ def _lists(marked: str) -> Column:
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """tokenise's rows -> doc_id, n_a, n_b, n_groups, groups, groups_sha256, kinds.
+    """Rows with a_ends, a, b_ends, b -> the rows with ends and groups in their place.
 
-    groups has `ids of A|ids of B` of each group in order, kinds the distinct ones;
-    the digest is that of all groups joined by semicolons, and empty without any.
+    ends has the ends that both sides share, as a_ends has them, groups the
+    `ids of A|ids of B` of each group in order, joined by semicolons.
     Tokens and ends are sorted in columns of their own, each used twice, since
     compiled code sorts numbers, and code beside a function of elements isn't compiled.
     """
-    some = F.size("a_marked") > 0
-    groups = F.when(some, F.zip_with(_lists("a_marked"), _lists("b_marked"), lambda x, y: F.concat(x, F.lit("|"), y))).otherwise(F.array().cast("array<string>"))
+    rest = [c for c in tokens.columns if c not in ("a_ends", "a", "b_ends", "b")]
     found = tokens.withColumn("ends", F.array_intersect("a_ends", "b_ends"))
-    counts = [F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("ends", "n_groups"))]
-    marked = [F.sort_array(F.concat(c, "ends")).alias(f"{c}_marked") for c in ("a", "b")]
-    found = found.select("doc_id", *counts, *marked).select("doc_id", "n_a", "n_b", "n_groups", groups.alias("groups"))
-    digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "groups", digest.alias("groups_sha256"), F.array_distinct("groups").alias("kinds"))
+    marked = found.select(*rest, "ends", *(F.sort_array(F.concat(c, "ends")).alias(f"{c}_marked") for c in ("a", "b")))
+    groups = F.array_join(F.zip_with(_lists("a_marked"), _lists("b_marked"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    return marked.select(*rest, "ends", F.when(F.size("a_marked") > 0, groups).otherwise("").alias("groups"))
 
 
 def _ids(kind: Column, side: int) -> Column:
@@ -281,34 +415,42 @@ def kind_links(kinds: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def link_sums(aligned: DataFrame, kinds: DataFrame) -> DataFrame:
-    """aligned(row, groups), kinds from kind_links -> row, n_links, n_best, count_sum of the rows that have groups.
+    """aligned(row, kinds, times), kinds from kind_links -> row, n_links, n_best, count_sum of the rows that have groups.
 
     Up to FEW kinds of FEW_BYTES in all, both counted, are broadcast; more are
-    joined by exchange, after a row's groups of a kind are counted, common kinds dealt to several tasks.
+    joined by exchange, common kinds dealt to several tasks.
     """
-    each = aligned.select("row", F.explode("groups").alias("kind"))
+    each = aligned.select("row", F.inline(F.arrays_zip(F.col("kinds").alias("kind"), "times")))
     n, size = kinds.agg(F.count("*"), F.sum(F.length("kind"))).first()
     if n <= FEW and (size or 0) <= FEW_BYTES:
-        known, times = each.join(F.broadcast(kinds), "kind"), F.lit(1)
+        known = each.join(F.broadcast(kinds), "kind")
     else:
-        known, times = split_join(each.groupBy("row", "kind").agg(F.count("*").alias("times")), kinds, "kind", ["row"]), F.col("times")
+        known = split_join(each, kinds, "kind", ["row"])
+    times = F.col("times")
     return known.groupBy("row").agg(F.sum(F.col("links") * times).alias("n_links"), F.sum(F.col("best_links") * times).alias("n_best"), F.sum(F.col("links_sum") * times).alias("count_sum"))
 
 
-def alignment(docs: DataFrame, files: Files) -> DataFrame:
+def alignment(docs: DataFrame, files: Files, most: int = KEPT_CHUNKS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_a, n_b, n_groups, groups_sha256, n_links, n_best, count_sum; one row for each row.
 
     Null and empty texts, and those whose tokens don't come out as a space and the
     text, have no tokens: counts of 0 and an empty digest. Rows of one doc_id are
     documents of their own. Other columns are ignored; an empty table gives no rows.
-    Aligned texts are written once; links are counted by kind of group, of which a
-    corpus has few, and not by occurrence. The groups themselves are those of align.
+    A task keeps up to most chunks. What is known of texts is written once; links are
+    counted by kind of group, of which a corpus has few, and not by occurrence.
+    The groups themselves are those of groups_of.
     """
-    aligned = written(align(tokenise(docs, files)).withColumn("row", F.monotonically_increasing_id()), "zstd")
+    aligned = written(together(align(numbered(docs, files, most))).drop("groups").withColumn("row", F.monotonically_increasing_id()), "zstd")
     kinds = kind_counts(aligned)
     kinds = written(kind_links(kinds, pair_counts(aligned, kinds)))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return aligned.drop("groups", "kinds").join(link_sums(aligned, kinds), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
+    return aligned.drop("kinds", "times").join(link_sums(aligned, kinds), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
+
+
+def groups_of(docs: DataFrame, files: Files, most: int = KEPT_CHUNKS) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, groups: the `ids of A|ids of B` of each group in order."""
+    found = together(align(numbered(docs, files, most)), with_groups=True)
+    return found.select("doc_id", F.when(F.col("groups") == "", F.array().cast("array<string>")).otherwise(F.split("groups", ";")).alias("groups"))
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
